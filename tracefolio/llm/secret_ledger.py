@@ -121,7 +121,11 @@ def listed(findings: Column) -> Column:
 def digest(found: DataFrame, paths: tuple[str, ...] = ("doc_id",), base: tuple[Rule, ...] = BASE) -> DataFrame:
     """The path columns, n_<kind> of the base kinds, base_sha256, spans."""
     of_base = F.filter("findings", lambda x: x["rank"] < len(base))
-    counts = [F.size(F.filter("findings", lambda x, k=k: x["rank"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(base)]
+
+    def of_rank(k: int) -> Column:
+        return F.size(F.filter("findings", lambda x: x["rank"] == k)).cast("long")
+
+    counts = [of_rank(k).alias(f"n_{r.kind}") for k, r in enumerate(base)]
     return found.select(*paths, *counts, F.sha2(listed(of_base), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"))
 
 
