@@ -1,5 +1,5 @@
 """Queries over the fixture tables, side by side with the SQL they are held against."""
 
-from tracefolio.bindings import facts
+from tracefolio.bindings import facts, retrieval
 
-MODULES = (facts,)
+MODULES = (facts, retrieval)

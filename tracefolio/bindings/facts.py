@@ -142,16 +142,17 @@ def unit_comparability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.comparability(mixed, "nation").withColumn("companies", F.col("companies").cast("long"))
 
 
-MEASURES = {"revenue": "sum(l_extendedprice)", "net_profit_attributable": "sum(l_extendedprice * (1 - l_discount))", "total_assets": "sum(l_quantity * 1000)", "total_liabilities": "sum(l_extendedprice * l_tax)"}
+MEASURES = {"revenue": "l_extendedprice", "net_profit_attributable": "l_extendedprice * (1 - l_discount)", "total_assets": "l_quantity * 1000", "total_liabilities": "l_extendedprice * l_tax"}
+MEASURE = "cast(sum(cast(floor(({}) * 100 + 0.000001) as bigint)) as double) / 100 AS {}"  # in cents: exact in any order of summing
 
 
 def measures_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SF-09: four metrics of each order, one row each."""
-    wide = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*(F.expr(f"round({e}, 2)").alias(m) for m, e in MEASURES.items()))
+    wide = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*(F.expr(MEASURE.format(e, m)) for m, e in MEASURES.items()))
     return wide.unpivot(["l_orderkey"], list(MEASURES), "metric_id", "value").where("value is not null")
 
 
-MEASURES_SQL = "SELECT l_orderkey, " + ", ".join(f"round({e}, 2) AS {m}" for m, e in MEASURES.items()) + " FROM lineitem GROUP BY l_orderkey"
+MEASURES_SQL = "SELECT l_orderkey, " + ", ".join(MEASURE.format(e, m) for m, e in MEASURES.items()) + " FROM lineitem GROUP BY l_orderkey"
 
 
 @bind(f"SELECT l_orderkey, metric_id, value FROM ({MEASURES_SQL}) UNPIVOT (value FOR metric_id IN ({', '.join(MEASURES)}))")
@@ -208,7 +209,7 @@ def ordered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.ordered_counts(table(spark, sf_dir, "orders"), "o_orderpriority", ("5-LOW", "3-MEDIUM"))
 
 
-@bind("SELECT g AS l_returnflag, count_if(l_linestatus = 'F') AS n_f, count_if(l_linestatus = 'O') AS n_o FROM (VALUES ('A'), ('N'), ('R'), ('X')) v(g) LEFT JOIN lineitem ON l_returnflag = g GROUP BY g")
+@bind("SELECT g AS l_returnflag, count(*) FILTER (l_linestatus = 'F') AS n_f, count(*) FILTER (l_linestatus = 'O') AS n_o FROM (VALUES ('A'), ('N'), ('R'), ('X')) v(g) LEFT JOIN lineitem ON l_returnflag = g GROUP BY g")
 def metric_status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-04: a dense grid with zeros."""
     return ops.status_grid(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", ("F", "O"), ("A", "N", "R", "X"))

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters at which ``str.splitlines`` ends a line.
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
@@ -36,19 +37,19 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), SPACES, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_compact(s: pd.Series) -> pd.Series:
     """NFKC, no white space, lower case."""
     return s.map(lambda t: None if t is None else "".join(unicodedata.normalize("NFKC", t).split()).lower())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_letters(s: pd.Series) -> pd.Series:
     """As ``nfkc_compact``, without punctuation."""
     return s.map(lambda t: None if t is None else "".join(c for c in "".join(unicodedata.normalize("NFKC", t).split()).lower() if not unicodedata.category(c).startswith("P")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else t.casefold())
 

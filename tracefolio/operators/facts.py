@@ -34,9 +34,9 @@ def canonical_metric(df: DataFrame, name: Column, aliases: dict[str, list[str]]
     return df.withColumn("__key", alias_key(name)).join(F.broadcast(listed), F.col("__key") == F.col("alias"), "left").drop("__key", "alias")
 
 
-def cited(page: Column = F.col("evidence_page"), quote: Column = F.col("evidence_quote")) -> Column:
+def cited(page: str = "evidence_page", quote: str = "evidence_quote") -> Column:
     """Page and quote are there."""
-    return page.isNotNull() & (F.length(strip(F.coalesce(quote, F.lit("")))) > 0)
+    return F.col(page).isNotNull() & (F.length(strip(F.coalesce(F.col(quote), F.lit("")))) > 0)
 
 
 def list_facts(facts: DataFrame, *, metric_id: str | None = None, fiscal_year: int | None = None, review_status: str | None = None) -> DataFrame:
@@ -60,10 +60,10 @@ def of_documents(facts: DataFrame, documents: list[str] | DataFrame | None) -> D
     return facts.where(F.col("document_id").isin(documents)) if documents else facts.limit(0)
 
 
-def company_key(name: Column = F.col("company_name"), document: Column = F.col("document_id")) -> Column:
+def company_key(name: str = "company_name", document: str = "document_id") -> Column:
     """The company's name in lower case, or the document where it has none."""
-    trimmed = F.lower(strip(F.coalesce(name, F.lit(""))))
-    return F.when(trimmed != "", F.concat(F.lit("company:"), trimmed)).otherwise(F.concat(F.lit("document:"), document))
+    trimmed = F.lower(strip(F.coalesce(F.col(name), F.lit(""))))
+    return F.when(trimmed != "", F.concat(F.lit("company:"), trimmed)).otherwise(F.concat(F.lit("document:"), F.col(document)))
 
 
 #: Among equal values the first in the store's order.
@@ -83,8 +83,8 @@ def stages(facts: DataFrame) -> DataFrame:
     return facts.withColumn("is_annual", is_annual(F.col("fiscal_period"))).withColumn("is_cited", F.col("is_annual") & cited() & F.col("normalized_value").isNotNull())
 
 
-def unit_of(unit: Column = F.col("normalized_unit"), currency: Column = F.col("currency")) -> Column:
-    first = F.when(F.coalesce(unit, F.lit("")) != "", unit).otherwise(F.coalesce(currency, F.lit("")))
+def unit_of(unit: str = "normalized_unit", currency: str = "currency") -> Column:
+    first = F.when(F.coalesce(F.col(unit), F.lit("")) != "", F.col(unit)).otherwise(F.coalesce(F.col(currency), F.lit("")))
     return strip(first)
 
 
