@@ -1,5 +1,5 @@
 """Queries over the fixture tables, side by side with the SQL they are held against."""
 
-from tracefolio.bindings import evaluation, facts, retrieval
+from tracefolio.bindings import evaluation, evidence, facts, retrieval
 
-MODULES = (facts, retrieval, evaluation)
+MODULES = (facts, retrieval, evaluation, evidence)
