@@ -8,13 +8,14 @@ one of SLOTS slots; a slot's value is its earliest point, and two documents agre
 weighted Jaccard similarity. Processes advance together and a process stops as soon as its time is past the document's
 latest slot, so long documents need few points for each shingle.
 
-Classes. Texts with the same words are one node. BANDS bands of ROWS slots make buckets; a node is linked with a bucket's
-smallest node, not with all others, and a candidate pair counts only if its exact weighted Jaccard similarity is at least
-THRESHOLD. Three rounds find all links that matter for classes: (1) each node with the smallest pivot of all its buckets;
-(2) where a node and a bucket's pivot are in different classes still, this pair; (3) in buckets that hold more than one
-class still, all pairs across classes - the pairs within a class, of which a group of copies has a square number, are never
-made. So no pair that shares a bucket and lies in different classes stays unverified: no link is lost but those that no band
-holds (at similarity 0.8: (1 - 0.8^6)^28, 2 in 10,000).
+Classes. Texts with the same words are one node. BANDS bands of ROWS slots make buckets; nodes are linked with a bucket's pivot,
+not with each other, and a candidate pair counts only if its exact weighted Jaccard similarity is at least THRESHOLD. A bucket's
+pivot is its node with the most company over all buckets: among edited copies of a text that is the text, or the copy nearest to it.
+Three rounds find all links that matter for classes: (1) each node with the best pivot of all its buckets; (2) where a node and a
+bucket's pivot are in different classes still, this pair; (3) buckets whose other members are in several classes still go to the
+tasks whole, in blocks of bounded size, and only the links found across classes come back. Pairs within a class, of which
+a group of copies has a square number, are never made. So no pair that shares a bucket and lies in different classes stays
+unverified: no link is lost but those that no band holds (at similarity 0.8: (1 - 0.8^6)^28, 2 in 10,000).
 
 Classes are contracted by hooking each root to its smallest neighbour and jumping pointers, as tables in the shared folder.
 Links, components and signatures never reach the driver; only counts do.
@@ -226,47 +227,115 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     signed = settle(sign_documents(docs), "signed")
     nodes = signed.where("size(bands) > 0").groupBy("node").agg(F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = settle(nodes.select("node", "n", F.explode("bands").alias("bucket")), "buckets")
-    pivots = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
-    shared = settle(members.join(pivots, "bucket"), "shared")
+    held = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    shared = settle(members.join(held, "bucket"), "shared")
     forget(members)
-    sizes = shared.groupBy("node").agg(F.min("n").alias("n"), F.min("pivot").alias("pivot"))
-    sizes = settle(sizes, "sizes")
-
-    wanted = sizes.count()
-    bags = settle(_bags(docs, signed, small(sizes.select("node"), wanted)), "bags")
-    labels = settle(sizes.select("node", F.col("node").alias("root")), "labels")
-    fits = lambda n, m: F.least(n, m) >= threshold * F.greatest(n, m)  # noqa: E731  similar bags have similar sizes
-    size_of = sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-
-    # (1) the smallest pivot of each node
-    pairs = sizes.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "n").join(size_of, "b")
-    tested = settle(pairs.where(fits(F.col("n"), F.col("nb"))).select("a", "b"), "pairs")
+    company = settle(shared.groupBy("node").agg(F.min("n").alias("n"), F.sum("held").alias("company")), "company")
+    known = shared.select("bucket", "node").join(company, "node")
+    pivots = known.groupBy("bucket").agg(F.max(F.struct("company", "node", "n")).alias("p"))
+    placed = settle(known.join(pivots, "bucket").select("bucket", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.company").alias("pc")), "placed")
+    forget(shared)
+
+    bags = settle(_bags(docs, signed, small(company.select("node"), company.count())), "bags")
+    labels = settle(company.select("node", F.col("node").alias("root")), "labels")
+    fits = F.least("n", "pn") >= threshold * F.greatest("n", "pn")  # similar bags have similar sizes
+    away = placed.where((F.col("node") != F.col("pivot")) & fits)
+
+    # (1) the best pivot of each node
+    best = away.groupBy("node").agg(F.max(F.struct("pc", "pivot")).alias("p"))
+    tested = settle(best.select(F.col("node").alias("a"), F.col("p.pivot").alias("b")), "pairs")
     labels = merge(labels, settle(verified(tested, bags, threshold), "edges"))
 
     # (2) the pivots of all its buckets, where classes still differ
     la = labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     lb = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    apart = shared.where("node != pivot").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.min("n").alias("n"))
-    apart = apart.join(la, "a").join(lb, "b").where("ra != rb").join(size_of, "b").where(fits(F.col("n"), F.col("nb"))).select("a", "b")
+    apart = away.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct().join(la, "a").join(lb, "b").where("ra != rb").select("a", "b")
     more = settle(apart.join(tested, ["a", "b"], "left_anti"), "pairs")
     labels = merge(labels, settle(verified(more, bags, threshold), "edges"))
 
-    # (3) all pairs across classes in buckets that hold several
-    placed = shared.select("bucket", "node", "n", "pivot").join(labels, "node")
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-    rest = settle(placed.join(mixed, "bucket"), "mixed")
-    left = rest.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = rest.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    cross = left.join(right, "bucket").where((F.col("ra") != F.col("rb")) & (F.col("a") > F.col("b")) & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    last = settle(cross.join(tested.unionByName(more), ["a", "b"], "left_anti"), "pairs")
-    labels = merge(labels, settle(verified(last, bags, threshold), "edges"))
-    forget(shared, rest, bags)
+    # (3) buckets whose members other than the pivot are in several classes
+    others = placed.where("node != pivot").select("bucket", "node").join(labels, "node")
+    mixed = others.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo != hi").select("bucket", "held")
+    rest = settle(others.join(mixed, "bucket"), "mixed")
+    labels = merge(labels, settle(_across(rest, bags, threshold), "edges"))
+    forget(placed, rest, bags)
 
     classed = signed.select("doc_id", "row_key", "node", "n_shingles").join(labels, "node", "left").withColumn("class_node", F.coalesce("root", "node")).drop("root")
     names = classed.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))
     return classed.join(names, "class_node")
 
 
+#: Members of a bucket that one task holds at once are about twice this many.
+BUCKET_BLOCK = 512
+
+
+def _across(rest: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Links across classes in (bucket, node, root, held): each bucket is cut to blocks, each pair of blocks is one run of rows."""
+    blocks = F.ceil(F.col("held") / BUCKET_BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    spread = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    keyed = spread.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("run"), "node", "root").join(bags, "node")
+    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = keyed.select("run", "node", "root", "hashes", "counts").repartition(parts, "run").sortWithinPartitions("run")
+
+    def links(batches):
+        import pyarrow as pa
+
+        run, held = None, []
+
+        def close():
+            found = cross_links(held, threshold) if len({r for _, r, _ in held}) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for key, node, root, h, c in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if key != run:
+                    if held:
+                        yield close()
+                    run, held = key, []
+                held.append((node, root, (np.frombuffer(h, "<u8"), np.frombuffer(c, "<u4").astype(np.int64))))
+        if held:
+            yield close()
+
+    return rows.mapInArrow(links, "a long, b long").distinct()
+
+
+def elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A bag as a set: the copies of a shingle are numbered."""
+    values, counts = bag
+    k = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix(np.repeat(values, counts) + k.astype(np.uint64) * GOLDEN)
+
+
+def cross_links(members: list[tuple[int, int, tuple[np.ndarray, np.ndarray]]], threshold: float) -> list[tuple[int, int]]:
+    """Links between members (node, root, bag) of different roots, one for each member and root at most."""
+    sets = [elements(b) for _, _, b in members]
+    sizes = np.array([len(x) for x in sets])
+    roots = np.array([r for _, r, _ in members])
+    names, n = np.unique(roots, return_counts=True)
+    minor = np.flatnonzero(roots != names[n.argmax()])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    # elements that one member alone has are in no overlap
+    use = times[column] > 1
+    kept, column = np.unique(column[use], return_inverse=True)
+    row = row[use]
+    common = np.zeros((len(minor), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, len(kept), 4096):
+        lo, hi = np.searchsorted(column, [at, at + 4096])
+        x = np.zeros((len(sets), min(4096, len(kept) - at)), np.float32)
+        x[row[lo:hi], column[lo:hi] - at] = 1
+        common += x[minor] @ x.T
+    near = common >= threshold * (sizes[minor][:, None] + sizes[None] - common) - 1e-6
+    near &= roots[minor][:, None] != roots[None]
+    found = {}
+    for i, j in zip(*np.nonzero(near)):
+        found.setdefault((int(minor[i]), int(roots[j])), int(j))
+    return [(members[i][0], members[j][0]) for (i, _), j in found.items()]
+
+
 def _bags(docs: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, hashes, counts of the nodes wanted, from one text of each."""
     owner = signed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "row_key")).alias("o"))
