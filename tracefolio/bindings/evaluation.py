@@ -135,7 +135,7 @@ def gold_page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.expected_ranks(e, r, 2)
 
 
-@bind(RANKED + "SELECT case_id, page, min(rank) AS rank, row_number() OVER (PARTITION BY case_id ORDER BY min(rank), page) AS n FROM r WHERE rank <= 3 AND (case_id, page) NOT IN (SELECT (case_id, page) FROM e) GROUP BY case_id, page QUALIFY n <= 2")
+@bind(RANKED + "SELECT case_id, page, CAST(min(rank) AS BIGINT) AS rank, row_number() OVER (PARTITION BY case_id ORDER BY min(rank), page) AS n FROM r WHERE rank <= 3 AND (case_id, page) NOT IN (SELECT (case_id, page) FROM e) GROUP BY case_id, page QUALIFY n <= 2")
 def false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN-14."""
     r, e = ranked_pages(spark, sf_dir)

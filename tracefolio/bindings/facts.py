@@ -72,7 +72,7 @@ def facts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     FACTS
     + f"""SELECT CAST(0 AS BIGINT) AS selected_docs, a.*, d.n AS after_company_dedupe, a.candidate_count - a.verified_annual_candidates AS excluded_non_annual_count, a.after_citation_filter - d.n AS excluded_duplicate_company_count,
   least(d.n, 10) AS returned_rows, CASE WHEN d.n >= 10 THEN 'success' ELSE 'partial' END AS status, '' AS note
-FROM (SELECT count(*) AS candidate_count, count_if(annual) AS verified_annual_candidates, count_if(is_cited) AS after_citation_filter FROM staged WHERE fiscal_year = {YEAR} AND review_status = 'verified') a,
+FROM (SELECT count(*) AS candidate_count, count(*) FILTER (annual) AS verified_annual_candidates, count(*) FILTER (is_cited) AS after_citation_filter FROM staged WHERE fiscal_year = {YEAR} AND review_status = 'verified') a,
   (SELECT count(*) AS n FROM best WHERE fiscal_year = {YEAR}) d"""
 )
 def facts_topk_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +323,7 @@ def filing_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", cls.alias("class"))
 
 
-@bind(FACTS + f"""SELECT to_json({{'company': company_name, 'document': document_id, 'value': CAST(normalized_value AS DECIMAL(18,2))::VARCHAR}}) AS line FROM best WHERE fiscal_year = {YEAR} ORDER BY normalized_value DESC, document_id LIMIT 10""")
+@bind(FACTS + f"""SELECT CAST(to_json({{'company': company_name, 'document': document_id, 'value': CAST(normalized_value AS DECIMAL(18,2))::VARCHAR}}) AS VARCHAR) AS line FROM best WHERE fiscal_year = {YEAR} ORDER BY normalized_value DESC, document_id LIMIT 10""")
 def topk_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SK-08: the question's rows as JSON lines."""
     top = ops.top_facts(facts_view(spark, sf_dir), metric_id="revenue", fiscal_year=YEAR, limit=10)
