@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Characters at which ``str.splitlines`` ends a line.
-LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 SPACES = "(?U)\\s+"
 SPACE_EDGES = "(?U)^\\s+|\\s+$"
 
