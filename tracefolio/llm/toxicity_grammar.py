@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from math import exp, lgamma, log
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,8 @@ from tracefolio.llm.quality_forest import filter_rows
 
 #: Labelled rows of each label that may be learned from, at most.
 SAMPLE = 2048
-STEM, SUPPORT, PRECISION = (4, 8), 4, 0.75
+#: A stem's length, the toxic documents that must have it, their share among all documents that have it, and how many stems as good as it chance may bring forth.
+STEM, SUPPORT, PRECISION, BY_CHANCE = (4, 8), 4, 0.75, 0.5
 LIMIT = 0.3
 
 # Fixed word lists of the grammar (English, French, German, Spanish).
@@ -189,12 +191,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn_stems(rows: list[tuple[int, dict[str, int]]]) -> dict[str, tuple[int, float]]:
+def tail(k: int, n: int, p: float) -> float:
+    """The chance of k or more hits in n draws."""
+    logs = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p) for i in range(k, n + 1)]
+    return min(1.0, sum(map(exp, logs)))
+
+
+def learn_stems(rows: list[tuple[int, dict[str, int]]], ratio: float) -> dict[str, tuple[int, float]]:
     """Starts of words that mark toxic documents: (toxic, word counts) of documents, near copies left out.
 
     A stem counts in a document if words begin with it - once is enough for one reading, twice is asked for by the other: common
-    stems stray into clean documents once. A stem is taken if no shorter one that was taken begins it.
+    stems stray into clean documents once. Clean documents are weighted up to their share among all labelled rows (``ratio`` is the toxic ones'),
+    for the sample may hold as many toxic as clean ones. A stem is taken if no shorter one that was taken begins it.
     """
+    toxic_rows = sum(t for t, _ in rows)
+    weight = (1 - ratio) / ratio * toxic_rows / max(1, len(rows) - toxic_rows)
+    rate = toxic_rows / max(1, len(rows))
     seen: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])  # clean once, toxic once, clean twice, toxic twice
     for toxic, words in rows:
         mine: Counter = Counter()
@@ -206,12 +218,16 @@ def learn_stems(rows: list[tuple[int, dict[str, int]]]) -> dict[str, tuple[int,
             s[toxic] += 1
             s[2 + toxic] += n > 1
     out: dict[str, tuple[int, float]] = {}
+    allowed = BY_CHANCE / max(1, sum(s[1] >= SUPPORT for s in seen.values()))
+
+    def marks(toxic: int, clean: int) -> bool:
+        return toxic >= SUPPORT and toxic >= PRECISION * (toxic + clean * weight) and tail(toxic, toxic + clean, rate) < allowed
+
     for stem in sorted(seen, key=lambda s: (len(s), s)):
         c1, t1, c2, t2 = seen[stem]
-        once = t1 >= SUPPORT and t1 >= PRECISION * (t1 + c1)
-        twice = t2 >= SUPPORT + 1 and t2 >= PRECISION * (t2 + c2)
+        once, twice = marks(t1, c1), marks(t2, c2)
         if (once or twice) and not any(stem[:k] in out for k in range(STEM[0], len(stem))):
-            c, t = (c1, t1) if once else (c2, t2)
+            c, t = (c1 * weight, t1) if once else (c2 * weight, t2)
             out[stem] = (INSULT, float(np.clip(np.log((t + 0.5) / (c + 0.5)), 0.5, 3.0)) * (1.0 if once else 0.5))
     return out
 
@@ -268,7 +284,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             got[r["doc_id"], r["node"]] = (r["toxic"], dict(zip(r["words"], r["counts"])))
     if len({t for t, _ in got.values()}) < 2:
         return Model()
-    stems = learn_stems(list(got.values())) | {t: (THREAT, 1.5) for t in THREATS}
+    ratio = counts[1] / sum(counts.values())
+    stems = learn_stems(list(got.values()), ratio) | {t: (THREAT, 1.5) for t in THREATS}
 
     def measure():
         g = Model(stems).grammar()
@@ -276,7 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     x = {(r["doc_id"], r["node"]): (r["x"], r["toxic"]) for r in map_rows(rows, "doc_id long, node long, toxic int, x array<double>", measure).collect()}
     use = sorted(got)
-    return fit_model(stems, np.array([x[k][0] for k in use]), np.array([x[k][1] for k in use], float), counts[1] / sum(counts.values()))
+    return fit_model(stems, np.array([x[k][0] for k in use]), np.array([x[k][1] for k in use], float), ratio)
 
 
 def score_documents(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
