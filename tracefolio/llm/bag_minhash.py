@@ -261,7 +261,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     forget(placed, rest, bags)
 
     classed = signed.select("doc_id", "row_key", "node", "n_shingles").join(labels, "node", "left").withColumn("class_node", F.coalesce("root", "node")).drop("root")
-    names = classed.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))
+    # a table of its own, so that the join has an exchange on either side and large classes can be split
+    names = settle(classed.groupBy("class_node").agg(F.min("doc_id").alias("class_id")), "names")
     return classed.join(names, "class_node")
 
 

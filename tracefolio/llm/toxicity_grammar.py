@@ -25,7 +25,7 @@ used; labels that are null, repeated (the larger one counts) or of unknown docum
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass, field
 from math import exp, lgamma, log
 
@@ -197,28 +197,26 @@ def tail(k: int, n: int, p: float) -> float:
     return min(1.0, sum(map(exp, logs)))
 
 
-def learn_stems(rows: list[tuple[int, dict[str, int]]], ratio: float) -> dict[str, tuple[int, float]]:
-    """Starts of words that mark toxic documents: (toxic, word counts) of documents, near copies left out.
+def stems_of(words: dict[str, int]) -> Counter:
+    """How often words begin with each stem."""
+    out: Counter = Counter()
+    for w, n in words.items():
+        for k in range(STEM[0], min(STEM[1], len(w)) + 1):
+            out[w[:k]] += n
+    return out
+
 
-    A stem counts in a document if words begin with it - once is enough for one reading, twice is asked for by the other: common
-    stems stray into clean documents once. Clean documents are weighted up to their share among all labelled rows (``ratio`` is the toxic ones'),
-    for the sample may hold as many toxic as clean ones. A stem is taken if no shorter one that was taken begins it.
+def learn_stems(seen: dict[str, tuple[int, int, int, int]], clean_rows: int, toxic_rows: int, ratio: float, tried: int | None = None) -> dict[str, tuple[int, float]]:
+    """Starts of words that mark toxic documents, from counts of sampled documents: (clean, toxic, clean with it twice, toxic with it twice).
+
+    Once is enough for one reading, twice is asked for by the other: common stems stray into clean documents once. Clean documents are
+    weighted up to their share among all labelled rows (``ratio`` is the toxic ones'), for the sample may hold as many toxic as clean ones;
+    and no more than BY_CHANCE of the ``tried`` stems may come out as good by chance. A stem is taken if no shorter one that was taken begins it.
     """
-    toxic_rows = sum(t for t, _ in rows)
-    weight = (1 - ratio) / ratio * toxic_rows / max(1, len(rows) - toxic_rows)
-    rate = toxic_rows / max(1, len(rows))
-    seen: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])  # clean once, toxic once, clean twice, toxic twice
-    for toxic, words in rows:
-        mine: Counter = Counter()
-        for w, n in words.items():
-            for k in range(STEM[0], min(STEM[1], len(w)) + 1):
-                mine[w[:k]] += n
-        for stem, n in mine.items():
-            s = seen[stem]
-            s[toxic] += 1
-            s[2 + toxic] += n > 1
+    weight = (1 - ratio) / ratio * toxic_rows / max(1, clean_rows)
+    rate = toxic_rows / max(1, clean_rows + toxic_rows)
     out: dict[str, tuple[int, float]] = {}
-    allowed = BY_CHANCE / max(1, sum(s[1] >= SUPPORT for s in seen.values()))
+    allowed = BY_CHANCE / max(1, tried or sum(s[1] >= SUPPORT for s in seen.values()))
 
     def marks(toxic: int, clean: int) -> bool:
         return toxic >= SUPPORT and toxic >= PRECISION * (toxic + clean * weight) and tail(toxic, toxic + clean, rate) < allowed
@@ -255,7 +253,7 @@ def fit_model(stems: dict[str, tuple[int, float]], x: np.ndarray, y: np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from labelled rows that are not held out. Word counts and features of the sample reach the driver; texts do not."""
+    """Learn from labelled rows that are not held out. Stems and features of the sample reach the driver; texts and words do not."""
     from tracefolio.llm.bag_minhash import _signed, shingles
 
     spark = docs.sparkSession
@@ -267,25 +265,40 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = spark.createDataFrame(picked, "label_id long, toxic int")
     rows = settle(doc_texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic"), "labelled").coalesce(16)
 
-    def read():
+    def sign():
         def work(cols: dict) -> list[tuple]:
             bags = [shingles(t) for t in cols["text"]]
             keys = iter(_signed([b[:2] for b in bags if len(b[0])]).tolist())
-            words = [Counter(WORD.findall(t.lower())) for t in cols["text"]]
-            return [(d, n, k, next(keys) if len(b[0]) else [], list(w), list(w.values())) for d, n, k, w, b in zip(cols["doc_id"], cols["node"], cols["toxic"], words, bags)]
+            return [(d, n, k, next(keys) if len(b[0]) else []) for d, n, k, b in zip(cols["doc_id"], cols["node"], cols["toxic"], bags)]
 
         return work
 
     rows = rows.withColumn("node", F.xxhash64("text"))
     got, buckets = {}, set()
-    for r in sorted(map_rows(rows, "doc_id long, node long, toxic int, bands array<long>, words array<string>, counts array<int>", read).collect(), key=lambda r: (r["doc_id"], r["node"])):
+    for r in sorted(map_rows(rows, "doc_id long, node long, toxic int, bands array<long>", sign).collect(), key=lambda r: (r["doc_id"], r["node"])):
         if buckets.isdisjoint(r["bands"]):  # else a near copy of an earlier one
             buckets.update(r["bands"])
-            got[r["doc_id"], r["node"]] = (r["toxic"], dict(zip(r["words"], r["counts"])))
-    if len({t for t, _ in got.values()}) < 2:
+            got[r["doc_id"], r["node"]] = r["toxic"]
+    n_toxic = sum(got.values())
+    if not 0 < n_toxic < len(got):
         return Model()
+
+    def count():
+        def work(cols: dict) -> list[tuple]:
+            kept = ((k, t) for d, n, k, t in zip(cols["doc_id"], cols["node"], cols["toxic"], cols["text"]) if (d, n) in got)
+            return [(stem, k, n > 1) for k, t in kept for stem, n in stems_of(Counter(WORD.findall(t.lower()))).items()]
+
+        return work
+
     ratio = counts[1] / sum(counts.values())
-    stems = learn_stems(list(got.values()), ratio) | {t: (THREAT, 1.5) for t in THREATS}
+    sums = map_rows(rows, "stem string, toxic int, twice boolean", count, batch=32).groupBy("stem").agg(
+        F.count_if(F.col("toxic") == 0).alias("c1"), F.count_if(F.col("toxic") == 1).alias("t1"), F.count_if((F.col("toxic") == 0) & F.col("twice")).alias("c2"), F.count_if((F.col("toxic") == 1) & F.col("twice")).alias("t2")
+    )
+    sums = settle(sums.where(F.col("t1") >= SUPPORT), "stems")
+    weighted = F.lit((1 - ratio) / ratio * n_toxic / (len(got) - n_toxic))
+    precise = (F.col("t1") >= PRECISION * (F.col("t1") + F.col("c1") * weighted)) | (F.col("t2") >= PRECISION * (F.col("t2") + F.col("c2") * weighted))
+    found = {r["stem"]: (r["c1"], r["t1"], r["c2"], r["t2"]) for r in sums.where(precise).collect()}
+    stems = learn_stems(found, len(got) - n_toxic, n_toxic, ratio, sums.count()) | {t: (THREAT, 1.5) for t in THREATS}
 
     def measure():
         g = Model(stems).grammar()
