@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracefolio.functions import text as T
 from tracefolio.operators import evidence as ops
-from tracefolio.operators import retrieval
+from tracefolio.operators import locator, retrieval
 from tracefolio.session import table
 
 QUERIES: dict = {}
@@ -307,3 +307,32 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SF-26: words of a question, stop phrases out, each once."""
     words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " "))
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.filter(words, lambda w: (F.length(w) > 3) & ~F.contains(F.lit("that with from this"), w)), " ").alias("terms"))
+
+
+LEX = locator.Lexicon(
+    fields={"revenue": ("thing", "apache"), "total_assets": ("license",), "total_liabilities": ("that",), "unit": ("with",)}, shared=("license", "version"), context=("the",), balance=("apache",), units=("ing",), periods=("20",),
+    metrics=("revenue", "total_assets", "total_liabilities"), paired={"total_assets": "total_liabilities", "total_liabilities": "total_assets"}, front={"revenue": 1, "unit": 2},
+)
+_C = lambda w: f"CAST(contains(t, '{w}') AS INTEGER)"
+_PAGE_LOCATOR = f"""WITH p AS (SELECT source, doc_id, {COMPACT} AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents),
+s AS (SELECT source, doc_id, place, unnest(['shared', 'revenue', 'total_assets', 'total_liabilities', 'unit']) AS field, unnest([2, 1, 0, 0, 2]) AS front, unnest([
+  8 * ({_C('license')} + {_C('version')}) + 3 * CAST(place <= 2 AS INTEGER) + 3 * {_C('the')} + {_C('ing')} + {_C('20')},
+  CASE WHEN {_C('thing')} + {_C('apache')} > 0 OR place <= 1 THEN 2 * CAST(place <= 1 AS INTEGER) + 10 * ({_C('thing')} + {_C('apache')}) + CASE WHEN {_C('thing')} + {_C('apache')} > 0 THEN 4 * {_C('the')} + 2 * {_C('ing')} + {_C('20')} + CASE WHEN place <= 30 AND {_C('ing')} + {_C('20')} > 0 AND {_C('the')} > 0 THEN 8 ELSE 0 END ELSE 0 END END,
+  CASE WHEN {_C('license')} > 0 THEN 10 + 4 * {_C('the')} + 2 * {_C('ing')} + {_C('20')} + 5 * {_C('apache')} + 3 * {_C('that')} + CASE WHEN place <= 30 AND {_C('ing')} + {_C('20')} > 0 AND {_C('the')} + {_C('that')} > 0 THEN 8 ELSE 0 END END,
+  CASE WHEN {_C('that')} > 0 THEN 10 + 4 * {_C('the')} + 2 * {_C('ing')} + {_C('20')} + 5 * {_C('apache')} + 3 * {_C('license')} + CASE WHEN place <= 30 AND {_C('ing')} + {_C('20')} > 0 AND {_C('the')} + {_C('license')} > 0 THEN 8 ELSE 0 END END,
+  CASE WHEN {_C('with')} > 0 OR place <= 2 THEN 2 * CAST(place <= 2 AS INTEGER) + 10 * {_C('with')} + 4 * {_C('ing')} END]) AS score FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, field ORDER BY coalesce(score, 0) DESC, doc_id) AS best FROM s)
+SELECT source, field, doc_id, CAST(coalesce(score, 0) AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY source, field ORDER BY CASE WHEN place <= front THEN place ELSE 1048576 + best END) AS INTEGER) AS pos FROM r WHERE place <= front OR (best <= CASE field WHEN 'shared' THEN 4 ELSE 5 END AND coalesce(score, 0) > 0)"""
+
+
+@bind(_PAGE_LOCATOR)
+def page_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DX-05, TK-05: front and best pages of each field."""
+    return locator.locate(docs(spark, sf_dir).select("source", "doc_id", "text"), LEX, by="source", order="doc_id")
+
+
+@bind(f"SELECT doc_id, 4 * ({_C('license')} + {_C('version')}) + 2 * {_C('thing')} + CASE WHEN {_C('apache')} + {_C('that')} > 0 THEN 4 ELSE 0 END + 4 * {_C('with')} AS score FROM (SELECT doc_id, {COMPACT} AS t FROM documents)")
+def table_page_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SF-37, PJ-01."""
+    text = ops.page_text(F.lit(""), F.coalesce("text", F.lit("")))
+    return docs(spark, sf_dir).select("doc_id", locator.table_page_score(text, ("license", "version"), ("thing",), ("apache", "that"), ("with",)).alias("score"))

@@ -252,3 +252,33 @@ def term_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", T.compact(F.coalesce("text", F.lit(""))).alias("x"))
     hits = d.crossJoin(F.broadcast(asked)).select("item_id", "doc_id", F.filter("ts", lambda t: F.contains(F.col("x"), t)).alias("h")).where("size(h) > 0")
     return hits.select("item_id", "doc_id", F.array_join(F.slice("h", 1, 8), " ").alias("terms"))
+
+
+@bind(LISTS + """, m AS (SELECT 'semantic_only' AS mode, query_id, page, rank FROM sem WHERE rank <= 4 UNION ALL SELECT 'bm25_only', query_id, page, rank FROM bm WHERE rank <= 10),
+f AS (SELECT mode, query_id, page, min(rank) AS rank FROM m GROUP BY ALL) SELECT mode, query_id, page, row_number() OVER (PARTITION BY mode, query_id ORDER BY rank, page) AS rank FROM f QUALIFY rank <= 6""".replace("QUALIFY rank", "QUALIFY row_number() OVER (PARTITION BY mode, query_id ORDER BY f.rank, page)"))
+def mode_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RT-22: how many rows each mode looks at is its own: the strategy's number for vectors, a larger one for the others."""
+    sem, bm = ranked_lists(spark, sf_dir)
+    both = sem.where("rank <= 4").withColumn("mode", F.lit("semantic_only")).unionByName(bm.where("rank <= 10").withColumn("mode", F.lit("bm25_only")))
+    first = both.groupBy("mode", "query_id", "page").agg(F.min("rank").alias("r"))
+    return ops.ranked(first, ["mode", "query_id"], ["r", "page"], 6).select("mode", "query_id", "page", "rank")
+
+
+@bind(F20 + "SELECT q.query_id, bool_or(src = 'semantic') AS semantic, bool_or(src = 'bm25') AS bm25, bool_or(src = 'fused') AS fused FROM (SELECT DISTINCT query_id FROM fz) q LEFT JOIN (SELECT 'semantic' AS src, query_id, page FROM sem WHERE rank <= 6 UNION ALL SELECT 'bm25', query_id, page FROM bm WHERE rank <= 6 UNION ALL SELECT 'fused', query_id, page FROM fz WHERE rank <= 6 UNION ALL SELECT 'none', query_id, query_id % 40 FROM fz) h ON h.query_id = q.query_id AND h.page = q.query_id % 40 GROUP BY q.query_id")
+def guard_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RT-25: is the expected page among the first six of each list?"""
+    f, sem, bm = fused(spark, sf_dir)
+    lists = f.select("query_id", "page", "rank").withColumn("src", F.lit("fused")).unionByName(sem.withColumn("src", F.lit("semantic"))).unionByName(bm.withColumn("src", F.lit("bm25")))
+    hit = (F.col("page") == F.col("query_id") % 40) & (F.col("rank") <= 6)
+    return lists.groupBy("query_id").agg(*(F.bool_or(hit & (F.col("src") == s)).alias(s) for s in ("semantic", "bm25", "fused")))
+
+
+@bind(LISTS + "SELECT d.source AS company, u.query, CASE WHEN count(h.page) = 0 THEN 'needs_manual_probe' WHEN d.n % 2 = 0 THEN 'ready' ELSE 'needs_human_pages' END AS readiness, count(h.page) AS pages FROM (SELECT source, max(doc_id) AS n FROM documents GROUP BY source) d, (SELECT unnest([0, 1, 2])::BIGINT AS query) u LEFT JOIN (SELECT DISTINCT query_id, page FROM sem WHERE rank <= 6) h ON h.query_id = u.query AND h.page % 4 = d.n % 4 GROUP BY d.source, u.query, d.n")
+def universal_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RT-24: every company (its last document) with every question, the pages found for it and whether it can be used."""
+    sem, _ = ranked_lists(spark, sf_dir)
+    company = table(spark, sf_dir, "documents").groupBy("source").agg(F.max("doc_id").alias("n"))
+    asked = company.select(F.col("source").alias("company"), "n", F.explode(F.array(*(F.lit(k).cast("long") for k in range(3)))).alias("query"))
+    pages = sem.where("rank <= 6").select("query_id", "page").distinct().select("query_id", "page", (F.col("page") % 4).alias("m"))
+    j = asked.join(pages, (F.col("query_id") == F.col("query")) & (F.col("m") == F.col("n") % 4), "left").groupBy("company", "query", "n").agg(F.count("page").alias("pages"))
+    return j.select("company", "query", F.when(F.col("pages") == 0, "needs_manual_probe").when(F.col("n") % 2 == 0, "ready").otherwise("needs_human_pages").alias("readiness"), "pages")
