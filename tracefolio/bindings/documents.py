@@ -59,7 +59,7 @@ def citation_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @bind
-def quote_unit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+def resolve_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SF-08: units of order values by quotes beside them."""
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     value = F.round("o_totalprice", 2)

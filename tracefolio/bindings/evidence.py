@@ -336,3 +336,28 @@ def table_page_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SF-37, PJ-01."""
     text = ops.page_text(F.lit(""), F.coalesce("text", F.lit("")))
     return docs(spark, sf_dir).select("doc_id", locator.table_page_score(text, ("license", "version"), ("thing",), ("apache", "that"), ("with",)).alias("score"))
+
+
+@bind("SELECT doc_id AS chunk_id, source AS document_id, 'page_text' AS chunk_kind, CAST(doc_id % 40 AS INTEGER) AS page_number, md5(text) AS text_md5, CAST(NULL AS DOUBLE) AS score FROM documents")
+def evidence_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PJ-02: evidence as retrieval rows, without a score yet."""
+    d = docs(spark, sf_dir).select(F.struct(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.lit("page_text").alias("chunk_kind"), (F.col("doc_id") % 40).cast("int").alias("page_number")).alias("metadata"), "text")
+    return d.select("metadata.*", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.lit(None).cast("double").alias("score"))
+
+
+@bind(SEARCH + ", best AS (SELECT source, count(*) AS pages, max(score) AS score FROM top WHERE rank <= 3 GROUP BY source) SELECT d.source, CASE WHEN hash_blocked THEN 'blocked' WHEN best.source IS NULL THEN 'manual' ELSE 'searched' END AS status, CASE WHEN NOT hash_blocked THEN coalesce(pages, 0) ELSE 0 END AS pages, CAST(CASE WHEN NOT hash_blocked THEN coalesce(score, 0) ELSE 0 END AS INTEGER) AS score FROM (SELECT DISTINCT source, length(source) = 4 AS hash_blocked FROM documents) d LEFT JOIN best USING (source)")
+def evidence_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RT-23: a row for every case: blocked, without hits, or searched."""
+    best = searched(spark, sf_dir, 3).groupBy("source").agg(F.count(F.lit(1)).alias("p"), F.max("score").alias("s"))
+    j = docs(spark, sf_dir).select("source").distinct().join(best, "source", "left")
+    blocked = F.length("source") == 4
+    status = F.when(blocked, "blocked").when(F.col("p").isNull(), "manual").otherwise("searched")
+    return j.select("source", status.alias("status"), F.when(~blocked, F.coalesce("p", F.lit(0))).otherwise(0).alias("pages"), F.when(~blocked, F.coalesce("s", F.lit(0))).otherwise(0).cast("int").alias("score"))
+
+
+@bind(LINES + "SELECT doc_id, line_no, line FROM x WHERE length(line) BETWEEN 2 AND 24 AND NOT regexp_matches(line, '[。；;，,：:0-9]') AND regexp_matches(lower(line), 'the|license')")
+def heading_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DX-03: lines that may be plain headings: short, without punctuation or digits, with a heading's word."""
+    ls = docs(spark, sf_dir).select("doc_id", F.posexplode(T.lines(F.coalesce("text", F.lit("")))).alias("line_no", "line"))
+    plain = F.length("line").between(2, 24) & ~F.col("line").rlike("[。；;，,：:0-9]") & F.lower("line").rlike("the|license")
+    return ls.where(plain).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")

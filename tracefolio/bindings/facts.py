@@ -337,3 +337,24 @@ def topk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("normalized_value"), "document_id")))
     line = F.concat(F.lit("| "), F.col("r").cast("string"), F.lit(" | "), "company_name", F.lit(" | "), F.col("normalized_value").cast("decimal(18,2)").cast("string"), F.lit(" |"))
     return ranked.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("t")))), lambda x: x["t"]), "\n").alias("md"))
+
+
+@bind(FACTS + "SELECT document_id, fact_id FROM facts")
+def fact_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SF-10."""
+    return facts_view(spark, sf_dir).select("document_id", "fact_id")
+
+
+@bind("SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN NULL WHEN o_totalprice >= 100000 THEN CAST(round(o_totalprice / 10000, 2) AS DECIMAL(18,2))::VARCHAR || ' 万元' ELSE CAST(round(o_totalprice, 2) AS DECIMAL(18,2))::VARCHAR || ' 元' END AS shown FROM orders")
+def display_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SF-33: an amount in the unit that suits its size."""
+    v = F.col("o_totalprice")
+    two = lambda c: F.round(c, 2).cast("decimal(18,2)").cast("string")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(v < 1000, F.lit(None)).when(v >= 100000, F.concat(two(v / 10000), F.lit(" 万元"))).otherwise(F.concat(two(v), F.lit(" 元"))).alias("shown"))
+
+
+@bind("SELECT o_orderkey, CASE WHEN y BETWEEN 1900 AND 2100 THEN y END AS year FROM (SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 13 = 0 THEN 3000 ELSE year(o_orderdate) END AS INTEGER) AS y FROM orders)")
+def chinese_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SF-17: years written in Chinese digits and read back."""
+    y = F.when(F.col("o_orderkey") % 13 == 0, F.lit("3000")).otherwise(F.year("o_orderdate").cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", units.chinese_year(F.translate(y, "0123456789", "〇一二三四五六七八九")).alias("year"))

@@ -282,3 +282,21 @@ def universal_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = sem.where("rank <= 6").select("query_id", "page").distinct().select("query_id", "page", (F.col("page") % 4).alias("m"))
     j = asked.join(pages, (F.col("query_id") == F.col("query")) & (F.col("m") == F.col("n") % 4), "left").groupBy("company", "query", "n").agg(F.count("page").alias("pages"))
     return j.select("company", "query", F.when(F.col("pages") == 0, "needs_manual_probe").when(F.col("n") % 2 == 0, "ready").otherwise("needs_human_pages").alias("readiness"), "pages")
+
+
+@bind("SELECT ks, kb, k, a10, hits, row_number() OVER (ORDER BY hits DESC, ks + kb, k, abs(a10 - 5), ks, a10) AS place FROM (" + SQL["rrf_grid"] + ") QUALIFY place <= 10")
+def grid_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TK-07: the ten best of the grid's 160 settings: most hits, then the smaller lists, the smaller k and the more even weights."""
+    order = [F.desc("hits"), F.col("ks") + F.col("kb"), "k", F.abs(F.col("a10") - 5), "ks", "a10"]
+    top = rrf_grid(spark, sf_dir).orderBy(*order).limit(10)
+    return ops.ranked(top.withColumn("all", F.lit(1)), ["all"], order, None, "place").drop("all")
+
+
+@bind("SELECT turn, intent, CASE intent WHEN 'metric_value' THEN 'page_text' ELSE 'section_text' END AS primary_kind, CASE intent WHEN 'metric_value' THEN NULL ELSE 'page_text' END AS fallback_kind, CASE intent WHEN 'metric_value' THEN 6 ELSE 4 END AS primary_k, CASE intent WHEN 'metric_value' THEN 0 ELSE 4 END AS fallback_k FROM (SELECT DISTINCT turn, ['metric_value', 'metric_attribution', 'business_narrative'][turn % 3 + 1] AS intent FROM conversations)")
+def no_table_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RT-15: the plan of each intent without table rows; the strategies are a table."""
+    plans = [(i, *p) for i, p in ops.STRATEGIES["page_text_hybrid"].items()]
+    table_ = spark.createDataFrame(plans, "intent string, primary_kind string, fallback_kind string, always boolean, primary_k int, fallback_k int").drop("always")
+    turns = table(spark, sf_dir, "conversations").select("turn").distinct()
+    intent = F.element_at(F.array(*(F.lit(i) for i, *_ in plans)), (F.col("turn") % 3 + 1).cast("int"))
+    return turns.withColumn("intent", intent).join(F.broadcast(table_), "intent").select("turn", "intent", "primary_kind", "fallback_kind", "primary_k", "fallback_k")
