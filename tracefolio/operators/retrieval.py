@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,13 +28,15 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return sized.groupBy("corpus").agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avg_len"))
 
 
-def term_frequencies(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """corpus, doc_id, dl, term, tf; of the terms only, where given: postings of other terms are never made."""
+def term_frequencies(docs: DataFrame, terms: DataFrame | None = None, lengths: bool = False) -> DataFrame:
+    """corpus, doc_id, dl, term, tf; of the terms only, where given: postings of other terms are never made. With ``lengths`` every document has a row for the empty term, too."""
     tokens = docs.select("corpus", "doc_id", bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    rows = tokens.select("corpus", "doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    listed = F.concat(F.array(F.lit("")), "tokens") if lengths else F.col("tokens")
+    rows = tokens.select("corpus", "doc_id", F.size("tokens").cast("long").alias("dl"), F.explode(listed).alias("term"))
     if terms is not None:
+        wanted = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")) if lengths else terms
         few = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS
-        rows = rows.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+        rows = rows.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
     return rows.groupBy("corpus", "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -44,9 +47,12 @@ def idf(n: Column, df: Column) -> Column:
 def bm25_search(docs: DataFrame, queries: DataFrame, *, top_k: int, k1: float = K1, b: float = B) -> DataFrame:
     """The best documents of each corpus for each (query_id, text): corpus, query_id, doc_id, score, rank."""
     asked = queries.select("query_id", F.explode(bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    tf = term_frequencies(docs, asked.select("term").distinct())
+    # texts are read and cut to tokens once; counts and lengths come from the postings, which are few
+    postings = term_frequencies(docs, asked.select("term").distinct(), lengths=True).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = postings.where("term = ''").groupBy("corpus").agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avg_len"))
+    tf = postings.where("term != ''")
     df = tf.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = tf.join(df, ["corpus", "term"]).join(corpus_stats(docs), "corpus").join(asked, "term")
+    weighted = tf.join(df, ["corpus", "term"]).join(stats, "corpus").join(asked, "term")
     length = k1 * (1.0 - b + b * F.col("dl") / F.col("avg_len"))
     one = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (k1 + 1.0) / (F.col("tf") + length) * F.col("qtf")
     scored = weighted.groupBy("corpus", "query_id", "doc_id").agg(F.sum(one).alias("score")).where("score > 0")
