@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefolio.llm.common import doc_texts, forget, map_rows, settle, small
+from tracefolio.llm.common import claim, doc_texts, forget, map_rows, settle, small, small_batches
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 28, 6
@@ -59,7 +59,7 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         v = self[word] = xxhash.xxh3_64_intdigest(word)
         return v
@@ -163,6 +163,8 @@ def sign_documents(docs: DataFrame) -> DataFrame:
     """doc_id, row_key (of the text itself), node, n_shingles, bands."""
 
     def start():
+        claim("words", _WORDS.clear)
+
         def work(cols: dict) -> list[tuple]:
             bags = [shingles(t) for t in cols["text"]]
             keys = iter(_signed([b[:2] for b in bags if len(b[0])]).tolist())
@@ -267,7 +269,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
 
 
 #: Members of a bucket that one task holds at once are about twice this many.
-BUCKET_BLOCK = 512
+BUCKET_BLOCK = 256
 
 
 def _across(rest: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -298,7 +300,7 @@ def _across(rest: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield close()
 
-    return rows.mapInArrow(links, "a long, b long").distinct()
+    return small_batches(rows).mapInArrow(links, "a long, b long").distinct()
 
 
 def elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:

@@ -23,7 +23,7 @@ from struct import pack
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tracefolio.llm.common import doc_texts, map_rows, tokenizer_path
+from tracefolio.llm.common import claim, doc_texts, map_rows, tokenizer_path
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -218,6 +218,10 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.memo.__getitem__, self.pieces(text)))
 
+    def empty(self) -> None:
+        self.memo.clear()
+        self.memo.heads.clear()
+
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
@@ -228,7 +232,9 @@ _ENCODERS: dict[tuple[str, str], Encoder] = {}
 def encoder(path: str, pattern: str) -> Encoder:
     if (path, pattern) not in _ENCODERS:
         _ENCODERS[path, pattern] = Encoder(path, pattern)
-    return _ENCODERS[path, pattern]
+    e = _ENCODERS[path, pattern]
+    claim(path, e.empty)
+    return e
 
 
 def encode_decode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, *, keep_ids: bool = False) -> DataFrame:

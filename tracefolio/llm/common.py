@@ -61,6 +61,29 @@ def doc_texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+#: How to empty what operators keep between tasks, by the operator's name. A Python worker serves many stages.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, empty: Callable[[], None]) -> None:
+    """From now on this worker's memory is for what ``name`` keeps; what others have kept is emptied."""
+    for other, clear in _KEPT.items():
+        if other != name:
+            clear()
+    _KEPT[name] = empty
+
+
+#: Rows of an Arrow batch, at most: texts are long, and a batch lies in the JVM and in Python at once.
+ARROW_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return df
+
+
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[dict], list[tuple]]], batch: int = 256) -> DataFrame:
     """Rows to rows by Arrow. ``start()`` runs once a task and gives a function from the columns of a slice (lists) to rows."""
     from pyspark.sql.types import StructType
@@ -76,7 +99,7 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[dict], li
                 rows = work({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield to_batch(rows, arrow)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def to_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
@@ -101,13 +124,15 @@ def byte_alphabet() -> dict[int, str]:
 
 #: Beyond these characters a text goes to the library whole: there, its Unicode tables and Python's may differ.
 PLAIN = re.compile("[^\t\n\r -~À-įı-ſ]")
-CONTRACTED = "'s|'t|'re|'ve|'m|'ll|'d"
+#: Letters among the plain characters.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+CONTRACTED = "'(?:[stmd]|re|ve|ll)"
 
 
 class PieceMemo(dict):
     """Piece to packed ids, each piece encoded once by the library's model. It is emptied when full, so its memory is bounded."""
 
-    def __init__(self, model, most: int = 400_000):
+    def __init__(self, model, most: int = 300_000):
         super().__init__()
         self.model, self.most, self.alphabet = model, most, byte_alphabet()
 
@@ -129,8 +154,9 @@ class FastTokenizer:
         self.whole.encode_special_tokens = True
         self.lower = lower
         self.memo = PieceMemo(self.whole.model)
-        digits, more = ("[0-9]", r"(?:[^\s\w]|_)+") if lower else (" ?[0-9]+", r" ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-        self.pieces = re.compile(f"{CONTRACTED}|{'' if lower else ' ?'}[^\\W\\d_]+|{digits}|{more}").findall
+        # letters and digits begin no contraction, so they may stand first
+        space, digits, white = ("", "[0-9]", "") if lower else (" ?", " ?[0-9]+", r"|\s+(?!\S)|\s+")
+        self.pieces = re.compile(rf"{space}[{LETTERS}]+|{digits}|{CONTRACTED}|{space}[^\s0-9{LETTERS}]+{white}").findall
 
     def ids(self, text: str) -> np.ndarray:
         if PLAIN.search(text):
@@ -145,4 +171,6 @@ def fast_tokenizer(path: str, lower: bool) -> FastTokenizer:
     """One for each Python worker: workers live longer than tasks."""
     if (path, lower) not in _TOKENIZERS:
         _TOKENIZERS[path, lower] = FastTokenizer(path, lower)
-    return _TOKENIZERS[path, lower]
+    tok = _TOKENIZERS[path, lower]
+    claim(path, tok.memo.clear)
+    return tok

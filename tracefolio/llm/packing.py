@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefolio.llm.common import doc_texts, fast_tokenizer, settle, small, to_batch, tokenizer_path
+from tracefolio.llm.common import doc_texts, fast_tokenizer, settle, small, small_batches, to_batch, tokenizer_path
 
 SIZE = 2048
 END_ID = 1
@@ -151,7 +151,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, *, end_id: int
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = doc_texts(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    pieces = settle(ordered.mapInArrow(run, PIECES), "pieces")
+    pieces = settle(small_batches(ordered).mapInArrow(run, PIECES), "pieces")
 
     # one row a task: its windows, and the length of its tail
     per_part = pieces.groupBy("part").agg(F.coalesce(F.max(F.when(~F.col("tail"), F.col("window") + 1)), F.lit(0)).alias("windows"), F.coalesce(F.sum(F.when(F.col("tail"), F.col("length"))), F.lit(0)).alias("rest"))

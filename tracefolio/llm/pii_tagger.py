@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefolio.llm.common import doc_texts, map_rows
+from tracefolio.llm.common import doc_texts, map_rows, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents and windows that training may look at, at most.
@@ -486,4 +486,4 @@ def mask_documents(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
                     cols[j] = pa.array([o if t is None else len(t) for t, o in zip(new, cols[j].to_pylist())], cols[j].type)
                 yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

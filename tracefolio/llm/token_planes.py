@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefolio.llm.common import doc_texts, fast_tokenizer, map_rows, settle, small, tokenizer_path
+from tracefolio.llm.common import doc_texts, fast_tokenizer, map_rows, settle, small, small_batches, tokenizer_path
 
 MAGIC = b"TPL1"
 HEAD = struct.Struct("<4sBBHIIQI")
@@ -143,7 +143,7 @@ def write_store(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, block:
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = doc_texts(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return settle(ordered.mapInArrow(encode, "part int, seg int, n_docs long, n_ids long, image binary"), "planes")
+    return settle(small_batches(ordered).mapInArrow(encode, "part int, seg int, n_docs long, n_ids long, image binary"), "planes")
 
 
 def read_store(store: DataFrame) -> DataFrame:
