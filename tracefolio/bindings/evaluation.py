@@ -24,7 +24,7 @@ def bind(sql: str):
 
 CASES = """WITH c AS (SELECT l.doc_id AS case_id, quality, toxic, lang, source, n_chars, l.doc_id % 7 > 0 AS executed, CASE WHEN l.doc_id % 5 > 0 THEN CASE WHEN toxic = 1 THEN 'refuse' ELSE 'answer' END END AS route,
   CASE WHEN quality = 1 THEN 'answer' ELSE 'refuse' END AS expected_route, CASE WHEN l.doc_id % 4 = 0 THEN [] ELSE [n_chars % 10, n_chars % 7] END AS pages, CASE WHEN l.doc_id % 6 = 0 THEN [] ELSE [l.doc_id % 10, 3] END AS expected_pages,
-  CASE WHEN l.doc_id % 3 = 0 THEN NULL ELSE left(text, 200) END AS answer FROM labels l JOIN documents d USING (doc_id)) """
+  CASE WHEN l.doc_id % 3 = 0 THEN NULL ELSE text END AS answer FROM labels l JOIN documents d USING (doc_id)) """
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(
         k.alias("case_id"), "quality", "toxic", "lang", "source", "n_chars", (k % 7 > 0).alias("executed"), F.when(k % 5 > 0, F.when(F.col("toxic") == 1, "refuse").otherwise("answer")).alias("route"),
         F.when(F.col("quality") == 1, "answer").otherwise("refuse").alias("expected_route"), F.when(k % 4 == 0, empty).otherwise(F.array(F.col("n_chars") % 10, F.col("n_chars") % 7)).alias("pages"),
-        F.when(k % 6 == 0, empty).otherwise(F.array(k % 10, F.lit(3).cast("long"))).alias("expected_pages"), F.when(k % 3 > 0, F.substring("text", 1, 200)).alias("answer"),
+        F.when(k % 6 == 0, empty).otherwise(F.array(k % 10, F.lit(3).cast("long"))).alias("expected_pages"), F.when(k % 3 > 0, F.col("text")).alias("answer"),
     )
 
 

@@ -100,13 +100,11 @@ def facts_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("fact_id", "document_id", "metric_id", "fiscal_period", "review_status")
 
 
-DOCS = [str(k) for k in range(1, 4000, 3)]
-
-
-@bind(FACTS + f"SELECT document_id, normalized_value FROM facts WHERE fiscal_year = {YEAR} AND review_status = 'verified' AND normalized_value IS NOT NULL AND CAST(document_id AS BIGINT) < 4000 AND CAST(document_id AS BIGINT) % 3 = 1")
+@bind(FACTS + f"SELECT document_id, normalized_value FROM facts WHERE fiscal_year = {YEAR} AND review_status = 'verified' AND normalized_value IS NOT NULL AND document_id IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW'))")
 def facts_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FP-02: candidates of some documents, pushed down."""
-    return ops.candidates(facts_view(spark, sf_dir), metric_id="revenue", fiscal_year=YEAR, documents=DOCS).select("document_id", "normalized_value")
+    """FP-02: candidates of some documents; a selection that is a table is a semi join, a list of ids an IN."""
+    chosen = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "5-LOW")).select(F.col("o_orderkey").cast("string").alias("document_id"))
+    return ops.candidates(facts_view(spark, sf_dir), metric_id="revenue", fiscal_year=YEAR, documents=chosen).select("document_id", "normalized_value")
 
 
 @bind(FACTS + f"SELECT document_id, review_status FROM facts WHERE fiscal_year = {YEAR} AND nation IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")

@@ -28,7 +28,7 @@ TOKENS = f"SELECT source AS corpus, doc_id, list_transform(regexp_extract_all(co
 BM25 = f"""WITH d AS ({TOKENS}), s AS (SELECT corpus, count(*) AS n_docs, sum(len(tokens)) / count(*) AS avg_len FROM d GROUP BY corpus),
 tf AS (SELECT corpus, doc_id, dl, term, count(*) AS tf FROM (SELECT corpus, doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM d) GROUP BY ALL),
 df AS (SELECT corpus, term, count(*) AS df FROM tf GROUP BY ALL),
-q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(list_transform(regexp_extract_all(text, '{TOKEN}'), lambda t: lower(t))) AS term FROM benchmark WHERE item_id < 12) GROUP BY ALL),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(list_transform(regexp_extract_all(text, '{TOKEN}'), lambda t: lower(t))) AS term FROM benchmark) GROUP BY ALL),
 scored AS (SELECT corpus, query_id, doc_id, sum(ln(1.0::DOUBLE + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avg_len)) * qtf) AS score
   FROM tf JOIN df USING (corpus, term) JOIN s USING (corpus) JOIN q USING (term) GROUP BY ALL)
 """
@@ -39,7 +39,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").where("item_id < 12").select(F.col("item_id").alias("query_id"), "text")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @bind(f"SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens, md5(array_to_string(tokens, ' ')) AS digest FROM ({TOKENS})")
@@ -49,17 +49,17 @@ def bm25_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.md5(F.array_join(tokens, " ").cast("binary")).alias("digest"))
 
 
-@bind(f"SELECT corpus, term, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS total FROM (SELECT corpus, doc_id, term, count(*) AS tf FROM (SELECT corpus, doc_id, unnest(tokens) AS term FROM ({TOKENS})) GROUP BY ALL) GROUP BY ALL HAVING count(*) >= 5")
+@bind(f"SELECT corpus, term, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS total FROM (SELECT corpus, doc_id, term, count(*) AS tf FROM (SELECT corpus, doc_id, unnest(tokens) AS term FROM ({TOKENS})) GROUP BY ALL) GROUP BY ALL")
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RT-02: postings of the terms that five documents of a corpus have."""
-    return ops.term_frequencies(corpus(spark, sf_dir)).groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("total")).where("postings >= 5")
+    """RT-02: postings and occurrences of every term."""
+    return ops.term_frequencies(corpus(spark, sf_dir)).groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("total"))
 
 
-@bind(BM25 + "SELECT corpus, term, df, round(ln(1.0::DOUBLE + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM df JOIN s USING (corpus) WHERE df >= 5")
+@bind(BM25 + "SELECT corpus, term, df, round(ln(1.0::DOUBLE + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM df JOIN s USING (corpus)")
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-21."""
     docs = corpus(spark, sf_dir)
-    df = ops.term_frequencies(docs).groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df")).where("df >= 5")
+    df = ops.term_frequencies(docs).groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
     return df.join(ops.corpus_stats(docs), "corpus").select("corpus", "term", "df", F.round(ops.idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
 
 
@@ -82,35 +82,34 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @bind(
-    BM25.replace("FROM documents", "FROM documents WHERE doc_id < 500").replace("source AS corpus", "'all' AS corpus")
+    BM25.replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)").replace("source AS corpus", "'all' AS corpus")
     + f""", b AS (SELECT query_id, doc_id AS page, 'bm25' AS source, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored QUALIFY rank <= 5),
-v AS (SELECT a.vec_id AS query_id, b.vec_id AS page, 'semantic' AS source, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COSINE}, 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id < 12 AND b.vec_id < 500 AND b.vec_id IN (SELECT doc_id FROM documents) QUALIFY rank <= 5),
+v AS (SELECT a.vec_id AS query_id, b.vec_id AS page, 'semantic' AS source, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COSINE}, 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark) AND b.vec_id IN (SELECT doc_id FROM documents) QUALIFY rank <= 5),
 f AS (SELECT query_id, page, sum(CASE source WHEN 'semantic' THEN 0.4::DOUBLE ELSE 0.6::DOUBLE END / (20.0::DOUBLE + rank)) AS score, min((CASE source WHEN 'semantic' THEN 0 ELSE 1 END) * 1000 + rank) AS seen FROM (SELECT * FROM b UNION ALL SELECT * FROM v) GROUP BY ALL)
 SELECT query_id, page, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen, page) AS rank FROM f QUALIFY rank <= 6"""
 )
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RT-07: vector and BM25 lists of one corpus, fused (k = 20, 0.4 semantic), best six."""
-    docs = table(spark, sf_dir, "documents").where("doc_id < 500").select(F.lit("all").alias("corpus"), "doc_id", "text")
     e = table(spark, sf_dir, "embeddings")
+    docs = table(spark, sf_dir, "documents").join(e.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(F.lit("all").alias("corpus"), "doc_id", "text")
     bm25 = ops.bm25_search(docs, questions(spark, sf_dir), top_k=5).select("query_id", F.col("doc_id").alias("page"), F.lit("bm25").alias("source"), "rank")
-    pages = e.where("vec_id < 500").join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    vector = ops.vector_search(pages, e.where("vec_id < 12").select(F.col("vec_id").alias("query_id"), "embedding"), top_k=5).select("query_id", F.col("vec_id").alias("page"), F.lit("semantic").alias("source"), "rank")
+    pages = e.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    vector = ops.vector_search(pages, e.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding"), top_k=5).select("query_id", F.col("vec_id").alias("page"), F.lit("semantic").alias("source"), "rank")
     return ops.fuse(vector.unionByName(bm25), {"semantic": 0.4, "bm25": 0.6}, k=20, top_k=6).select("query_id", "page", F.round("score", 6).alias("score"), "rank")
 
 
-# Two ranked lists for each question that need no search: pages by a fixed shuffle of the documents, with repeats.
-LISTS = """WITH l AS (SELECT item_id AS query_id, doc_id % 40 AS page, doc_id, (doc_id * 7919 + item_id * 104729) % 1009 AS s, (doc_id * 6101 + item_id * 15485863) % 997 AS t FROM documents, benchmark WHERE item_id < 20 AND doc_id < 150),
-sem AS (SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY s, doc_id) AS rank FROM l QUALIFY rank <= 12), bm AS (SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY t, doc_id) AS rank FROM l QUALIFY rank <= 12),
+# Two ranked lists for each question: an order's lines, dear ones first and small ones first; pages repeat.
+LISTS = """WITH l AS (SELECT l_orderkey AS query_id, l_partkey % 7 AS page, * FROM lineitem),
+sem AS (SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS rank FROM l WHERE l_discount <= 0.07), bm AS (SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY l_quantity, l_linenumber, l_partkey, l_suppkey) AS rank FROM l WHERE l_tax >= 0.01),
 al AS (SELECT 'semantic' AS source, * FROM sem UNION ALL SELECT 'bm25', * FROM bm), one AS (SELECT query_id, page, source, min(rank) AS rank FROM al GROUP BY ALL)
 """
 
 
 def ranked_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    d = table(spark, sf_dir, "documents").where("doc_id < 150").select("doc_id")
-    q = table(spark, sf_dir, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"))
-    both = d.crossJoin(F.broadcast(q)).withColumn("page", F.col("doc_id") % 40)  # twenty stated questions
-    sem = ops.ranked(both, ["query_id"], [F.expr("(doc_id * 7919 + query_id * 104729) % 1009"), "doc_id"], 12).select("query_id", "page", "rank")
-    bm = ops.ranked(both, ["query_id"], [F.expr("(doc_id * 6101 + query_id * 15485863) % 997"), "doc_id"], 12).select("query_id", "page", "rank")
+    l = table(spark, sf_dir, "lineitem").withColumns({"query_id": F.col("l_orderkey"), "page": F.col("l_partkey") % 7})
+    tie = ["l_linenumber", "l_partkey", "l_suppkey"]
+    sem = ops.ranked(l.where("l_discount <= 0.07"), ["query_id"], [F.desc("l_extendedprice"), *tie]).select("query_id", "page", "rank")
+    bm = ops.ranked(l.where("l_tax >= 0.01"), ["query_id"], ["l_quantity", *tie]).select("query_id", "page", "rank")
     return sem, bm
 
 
@@ -142,20 +141,20 @@ def fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 F20 = LISTS + f", fz AS {fused_sql(0.4, 0.6, 20)} "
 
 
-@bind(F20 + """, fl AS (SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY r, page) AS pos FROM (SELECT query_id, page, min(rank) AS r FROM sem GROUP BY ALL) QUALIFY pos <= 3)
-SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY part, pos, page) AS pos2 FROM (SELECT query_id, page, 0 AS part, pos FROM fl UNION ALL SELECT query_id, page, 1, rank FROM fz WHERE (query_id, page) NOT IN (SELECT (query_id, page) FROM fl)) QUALIFY pos2 <= 6""".replace("pos2", "place").replace("AS place", "AS place"))
+@bind(F20 + """, fl AS (SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY r, page) AS pos FROM (SELECT query_id, page, min(rank) AS r FROM sem GROUP BY ALL) QUALIFY pos <= 2)
+SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY part, pos, page) AS pos2 FROM (SELECT query_id, page, 0 AS part, pos FROM fl UNION ALL SELECT query_id, page, 1, rank FROM fz WHERE (query_id, page) NOT IN (SELECT (query_id, page) FROM fl)) QUALIFY pos2 <= 4""".replace("pos2", "place").replace("AS place", "AS place"))
 def guard_semantic_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN-12."""
     f, sem, _ = fused(spark, sf_dir)
-    return ops.semantic_floor(f, sem, count=3, top_k=6).withColumnRenamed("pos", "place")
+    return ops.semantic_floor(f, sem, count=2, top_k=4).withColumnRenamed("pos", "place")
 
 
 @bind(F20 + """, m AS (SELECT fz.*, (query_id, page) NOT IN (SELECT (query_id, page) FROM sem) AS alone FROM fz), c AS (SELECT *, sum(CAST(alone AS INTEGER)) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM m)
-SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS pos FROM c WHERE NOT alone OR so_far <= 2 QUALIFY pos <= 6""")
+SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS pos FROM c WHERE NOT alone OR so_far <= 1 QUALIFY pos <= 4""")
 def guard_bm25_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN-11."""
     f, sem, _ = fused(spark, sf_dir)
-    return ops.bm25_cap(f, sem, cap=2, top_k=6)
+    return ops.bm25_cap(f, sem, cap=1, top_k=4)
 
 
 @bind(F20 + """SELECT query_id, page, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, rank) AS pos FROM (SELECT *, score + CASE WHEN (query_id, page) IN (SELECT (query_id, page) FROM sem) AND (query_id, page) IN (SELECT (query_id, page) FROM bm) THEN 0.5::DOUBLE / 21 ELSE 0 END AS s FROM fz)""")
@@ -168,29 +167,29 @@ def guard_overlap_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 VARIANTS = ((0, 0.4, 20), (1, 0.6, 20), (2, 0.5, 60))
 
 
-@bind(LISTS + " UNION ALL ".join(f"SELECT CAST({v} AS BIGINT) AS variant, query_id, page, rank FROM {fused_sql(a, round(1 - a, 1), k)} WHERE rank <= 6" for v, a, k in VARIANTS))
+@bind(LISTS + " UNION ALL ".join(f"SELECT CAST({v} AS BIGINT) AS variant, query_id, page, rank FROM {fused_sql(a, round(1 - a, 1), k)} WHERE rank <= 3" for v, a, k in VARIANTS))
 def guard_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RT-14: several fusions of the same lists."""
     lists = sourced(*ranked_lists(spark, sf_dir))
     out = None
     for v, a, k in VARIANTS:
-        part = ops.fuse(lists, {"semantic": a, "bm25": round(1 - a, 1)}, k=k, top_k=6).select(F.lit(v).cast("long").alias("variant"), "query_id", "page", "rank")
+        part = ops.fuse(lists, {"semantic": a, "bm25": round(1 - a, 1)}, k=k, top_k=3).select(F.lit(v).cast("long").alias("variant"), "query_id", "page", "rank")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-GRID = """, g AS (SELECT s.unnest AS ks, b.unnest AS kb, k.unnest AS k, a.unnest / 10.0 AS alpha FROM unnest([5, 8, 10, 12]) s, unnest([5, 8, 10, 12]) b, unnest([20, 60]) k, unnest([3, 4, 5, 6, 7]) a)"""
+GRID = """, g AS (SELECT s.unnest AS ks, b.unnest AS kb, k.unnest AS k, a.unnest / 10.0 AS alpha FROM unnest([1, 2, 3, 4]) s, unnest([1, 2, 3, 4]) b, unnest([20, 60]) k, unnest([3, 4, 5, 6, 7]) a)"""
 
 
 @bind(
     LISTS + GRID + """, e AS (SELECT g.*, al.query_id, al.page, al.source, min(al.rank) AS rank FROM g, al WHERE (source = 'semantic' AND rank <= ks) OR (source = 'bm25' AND rank <= kb) GROUP BY ALL),
 f AS (SELECT ks, kb, k, alpha, query_id, page, sum(CASE source WHEN 'semantic' THEN alpha::DOUBLE ELSE 1 - alpha::DOUBLE END / (k + rank)) AS score, min((CASE source WHEN 'semantic' THEN 0 ELSE 1 END) * 1000 + rank) AS seen FROM e GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY ks, kb, k, alpha, query_id ORDER BY round(score, 9) DESC, seen, page) AS rank FROM f)
-SELECT ks, kb, k, CAST(round(alpha * 10) AS BIGINT) AS a10, count(DISTINCT query_id) FILTER (page = query_id % 40) AS hits FROM r WHERE rank <= 6 GROUP BY ALL""".replace("ks, kb, k, CAST", "CAST(ks AS BIGINT) AS ks, CAST(kb AS BIGINT) AS kb, CAST(k AS BIGINT) AS k, CAST")
+SELECT ks, kb, k, CAST(round(alpha * 10) AS BIGINT) AS a10, count(DISTINCT query_id) FILTER (page = query_id % 7) AS hits FROM r WHERE rank <= 3 GROUP BY ALL""".replace("ks, kb, k, CAST", "CAST(ks AS BIGINT) AS ks, CAST(kb AS BIGINT) AS kb, CAST(k AS BIGINT) AS k, CAST")
 )
 def rrf_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RT-13, TK-07: 160 settings in one job over the cached lists; a hit is the page query % 40 among the first six."""
-    rows = [(s, b, k, a) for s in (5, 8, 10, 12) for b in (5, 8, 10, 12) for k in (20, 60) for a in (3, 4, 5, 6, 7)]
+    """RT-13, TK-07: 160 settings in one job over the cached lists; a hit is the page query % 7 among the first three."""
+    rows = [(s, b, k, a) for s in (1, 2, 3, 4) for b in (1, 2, 3, 4) for k in (20, 60) for a in (3, 4, 5, 6, 7)]
     grid = spark.createDataFrame(rows, "ks long, kb long, k long, a10 long")
     lists = sourced(*ranked_lists(spark, sf_dir))
     cut = lists.crossJoin(F.broadcast(grid)).where(((F.col("source") == "semantic") & (F.col("rank") <= F.col("ks"))) | ((F.col("source") == "bm25") & (F.col("rank") <= F.col("kb"))))
@@ -199,8 +198,8 @@ def rrf_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     alpha = F.col("a10") / 10.0
     score = F.sum(F.when(F.col("source") == "semantic", alpha).otherwise(1 - alpha) / (F.col("k") + F.col("rank")))
     scored = one.groupBy(*by, "page").agg(score.alias("score"), F.min(F.when(F.col("source") == "semantic", 0).otherwise(1000) + F.col("rank")).alias("seen"))
-    top = ops.ranked(scored, by, [F.round("score", 9).desc(), "seen", "page"], 6)
-    return top.groupBy("ks", "kb", "k", "a10").agg(F.countDistinct(F.when(F.col("page") == F.col("query_id") % 40, F.col("query_id"))).alias("hits"))
+    top = ops.ranked(scored, by, [F.round("score", 9).desc(), "seen", "page"], 3)
+    return top.groupBy("ks", "kb", "k", "a10").agg(F.countDistinct(F.when(F.col("page") == F.col("query_id") % 7, F.col("query_id"))).alias("hits"))
 
 
 @bind("SELECT conv_id, turn, CASE WHEN intent = 'metric_value' THEN 'page_text' WHEN intent IN ('metric_attribution', 'business_narrative') THEN 'section_text' WHEN regexp_matches(q, 'would|the') THEN 'section_text' ELSE 'page_text' END AS primary_kind, CASE WHEN intent = 'metric_value' THEN NULL WHEN intent IN ('metric_attribution', 'business_narrative') THEN 'page_text' WHEN regexp_matches(q, 'would|the') THEN 'page_text' END AS fallback_kind FROM (SELECT *, CASE turn % 4 WHEN 0 THEN 'metric_value' WHEN 2 THEN CASE WHEN conv_id % 3 = 0 THEN 'metric_attribution' WHEN conv_id % 3 = 1 THEN 'business_narrative' END END AS intent, regexp_replace(lower(text), '\\s+', '', 'g') AS q FROM conversations WHERE role = 'user')")
@@ -229,59 +228,59 @@ def boost_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.ranked(out, ["p_brand"], [F.desc("boost"), "__order"], 6).select("p_brand", "p_partkey", "boost", "rank")
 
 
-@bind(LISTS + "SELECT query_id, page, pos FROM (SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY part, r, page) AS pos FROM (SELECT query_id, page, min(part) AS part, min(CASE WHEN part = 0 THEN rank END) AS r0, coalesce(min(CASE WHEN part = 0 THEN rank END), min(rank)) AS r FROM (SELECT query_id, page, rank, 0 AS part FROM sem WHERE rank <= 4 UNION ALL SELECT query_id, page, rank, 1 FROM bm WHERE rank <= 4) GROUP BY query_id, page)) WHERE pos <= 6")
+@bind(LISTS + "SELECT query_id, page, pos FROM (SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY part, r, page) AS pos FROM (SELECT query_id, page, min(part) AS part, min(CASE WHEN part = 0 THEN rank END) AS r0, coalesce(min(CASE WHEN part = 0 THEN rank END), min(rank)) AS r FROM (SELECT query_id, page, rank, 0 AS part FROM sem WHERE rank <= 2 UNION ALL SELECT query_id, page, rank, 1 FROM bm WHERE rank <= 2) GROUP BY query_id, page)) WHERE pos <= 3")
 def union_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SO-02: primary rows, then fallback rows, each page once."""
     sem, bm = ranked_lists(spark, sf_dir)
-    return ops.union_dedupe(sem.where("rank <= 4"), bm.where("rank <= 4"), ["page"], "rank", 6, ["query_id"]).select("query_id", "page", "pos")
+    return ops.union_dedupe(sem.where("rank <= 2"), bm.where("rank <= 2"), ["page"], "rank", 3, ["query_id"]).select("query_id", "page", "pos")
 
 
-@bind(LISTS + "SELECT query_id, page, rank, 'primary' AS source FROM sem WHERE query_id % 3 > 0 UNION ALL SELECT query_id, page, rank, 'fallback' FROM bm WHERE query_id % 3 = 0 OR query_id % 5 = 0")
+@bind(LISTS + "SELECT query_id, page, rank, 'primary' AS source FROM sem WHERE query_id % 3 > 0 UNION ALL SELECT query_id, page, rank, 'fallback' FROM bm WHERE query_id NOT IN (SELECT query_id FROM sem WHERE query_id % 3 > 0) OR query_id % 5 = 0")
 def primary_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RT-09: the fallback list where there is no primary row, or where it is asked for."""
     sem, bm = ranked_lists(spark, sf_dir)
     return ops.primary_or_fallback(sem.where("query_id % 3 > 0"), bm, "query_id", F.col("query_id") % 5 == 0)
 
 
-@bind(f"WITH q AS (SELECT item_id, t, count(*) AS n, min(p) AS p FROM (SELECT item_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS p FROM (SELECT item_id, list_transform(regexp_extract_all(text, '{TOKEN}'), lambda t: lower(t)) AS ts FROM benchmark WHERE item_id < 5)) WHERE length(t) > 1 GROUP BY ALL), h AS (SELECT item_id, doc_id, t, n, p FROM q, (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '\\s+', '', 'g') AS x FROM documents WHERE doc_id < 200) WHERE contains(x, t)) SELECT item_id, doc_id, array_to_string(list(t ORDER BY n DESC, p)[1:8], ' ') AS terms FROM h GROUP BY ALL")
+@bind(f"WITH q AS (SELECT item_id, t, count(*) AS n, min(p) AS p FROM (SELECT item_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS p FROM (SELECT item_id, list_transform(regexp_extract_all(text, '{TOKEN}'), lambda t: lower(t)) AS ts FROM benchmark)) WHERE length(t) > 1 GROUP BY ALL), h AS (SELECT doc_id, t, n, p FROM q JOIN (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id, regexp_replace(lower(coalesce(text, '')), '\\s+', '', 'g') AS x FROM documents) USING (item_id) WHERE contains(x, t)) SELECT doc_id, array_to_string(list(t ORDER BY n DESC, p)[1:8], ' ') AS terms FROM h GROUP BY ALL")
 def term_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RT-26: the question's most frequent terms that a text has, eight at most. Five stated questions."""
-    q = table(spark, sf_dir, "benchmark").where("item_id < 5")
+    """RT-26: the most frequent terms of a question that a text has, eight at most. Every document is asked one question."""
+    q = table(spark, sf_dir, "benchmark")
     terms = q.select("item_id", F.posexplode(T.bm25_tokens(F.col("text"))).alias("p", "t")).where("length(t) > 1").groupBy("item_id", "t").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("p"))
     asked = terms.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "p", "t"))), lambda x: x["t"]).alias("ts"))
-    d = table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", T.compact(F.coalesce("text", F.lit(""))).alias("x"))
-    hits = d.crossJoin(F.broadcast(asked)).select("item_id", "doc_id", F.filter("ts", lambda t: F.contains(F.col("x"), t)).alias("h")).where("size(h) > 0")
-    return hits.select("item_id", "doc_id", F.array_join(F.slice("h", 1, 8), " ").alias("terms"))
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % q.count()).alias("item_id"), T.compact(F.coalesce("text", F.lit(""))).alias("x"))
+    hits = d.join(asked, "item_id").select("doc_id", F.filter("ts", lambda t: F.contains(F.col("x"), t)).alias("h")).where("size(h) > 0")
+    return hits.select("doc_id", F.array_join(F.slice("h", 1, 8), " ").alias("terms"))
 
 
-@bind(LISTS + """, m AS (SELECT 'semantic_only' AS mode, query_id, page, rank FROM sem WHERE rank <= 4 UNION ALL SELECT 'bm25_only', query_id, page, rank FROM bm WHERE rank <= 10),
+@bind(LISTS + """, m AS (SELECT 'semantic_only' AS mode, query_id, page, rank FROM sem WHERE rank <= 2 UNION ALL SELECT 'bm25_only', query_id, page, rank FROM bm WHERE rank <= 5),
 f AS (SELECT mode, query_id, page, min(rank) AS rank FROM m GROUP BY ALL) SELECT mode, query_id, page, row_number() OVER (PARTITION BY mode, query_id ORDER BY rank, page) AS rank FROM f QUALIFY rank <= 6""".replace("QUALIFY rank", "QUALIFY row_number() OVER (PARTITION BY mode, query_id ORDER BY f.rank, page)"))
 def mode_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RT-22: how many rows each mode looks at is its own: the strategy's number for vectors, a larger one for the others."""
     sem, bm = ranked_lists(spark, sf_dir)
-    both = sem.where("rank <= 4").withColumn("mode", F.lit("semantic_only")).unionByName(bm.where("rank <= 10").withColumn("mode", F.lit("bm25_only")))
+    both = sem.where("rank <= 2").withColumn("mode", F.lit("semantic_only")).unionByName(bm.where("rank <= 5").withColumn("mode", F.lit("bm25_only")))
     first = both.groupBy("mode", "query_id", "page").agg(F.min("rank").alias("r"))
     return ops.ranked(first, ["mode", "query_id"], ["r", "page"], 6).select("mode", "query_id", "page", "rank")
 
 
-@bind(F20 + "SELECT q.query_id, bool_or(src = 'semantic') AS semantic, bool_or(src = 'bm25') AS bm25, bool_or(src = 'fused') AS fused FROM (SELECT DISTINCT query_id FROM fz) q LEFT JOIN (SELECT 'semantic' AS src, query_id, page FROM sem WHERE rank <= 6 UNION ALL SELECT 'bm25', query_id, page FROM bm WHERE rank <= 6 UNION ALL SELECT 'fused', query_id, page FROM fz WHERE rank <= 6 UNION ALL SELECT 'none', query_id, query_id % 40 FROM fz) h ON h.query_id = q.query_id AND h.page = q.query_id % 40 GROUP BY q.query_id")
+@bind(F20 + "SELECT q.query_id, bool_or(src = 'semantic') AS semantic, bool_or(src = 'bm25') AS bm25, bool_or(src = 'fused') AS fused FROM (SELECT DISTINCT query_id FROM fz) q LEFT JOIN (SELECT 'semantic' AS src, query_id, page FROM sem WHERE rank <= 2 UNION ALL SELECT 'bm25', query_id, page FROM bm WHERE rank <= 2 UNION ALL SELECT 'fused', query_id, page FROM fz WHERE rank <= 2 UNION ALL SELECT 'none', query_id, query_id % 7 FROM fz) h ON h.query_id = q.query_id AND h.page = q.query_id % 7 GROUP BY q.query_id")
 def guard_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RT-25: is the expected page among the first six of each list?"""
+    """RT-25: is the expected page among the first two of each list?"""
     f, sem, bm = fused(spark, sf_dir)
     lists = f.select("query_id", "page", "rank").withColumn("src", F.lit("fused")).unionByName(sem.withColumn("src", F.lit("semantic"))).unionByName(bm.withColumn("src", F.lit("bm25")))
-    hit = (F.col("page") == F.col("query_id") % 40) & (F.col("rank") <= 6)
+    hit = (F.col("page") == F.col("query_id") % 7) & (F.col("rank") <= 2)
     return lists.groupBy("query_id").agg(*(F.bool_or(hit & (F.col("src") == s)).alias(s) for s in ("semantic", "bm25", "fused")))
 
 
-@bind(LISTS + "SELECT d.source AS company, u.query, CASE WHEN count(h.page) = 0 THEN 'needs_manual_probe' WHEN d.n % 2 = 0 THEN 'ready' ELSE 'needs_human_pages' END AS readiness, count(h.page) AS pages FROM (SELECT source, max(doc_id) AS n FROM documents GROUP BY source) d, (SELECT unnest([0, 1, 2])::BIGINT AS query) u LEFT JOIN (SELECT DISTINCT query_id, page FROM sem WHERE rank <= 6) h ON h.query_id = u.query AND h.page % 4 = d.n % 4 GROUP BY d.source, u.query, d.n")
+@bind("SELECT d.source AS company, u.query, CASE WHEN count(h.p) = 0 THEN 'needs_manual_probe' WHEN d.n % 2 = 0 THEN 'ready' ELSE 'needs_human_pages' END AS readiness, count(h.p) AS pages FROM (SELECT source, max(doc_id) AS n FROM documents GROUP BY source) d CROSS JOIN (SELECT unnest(['version', 'licensed', 'trademark']) AS query) u LEFT JOIN (SELECT source, doc_id AS p, q FROM documents, (SELECT unnest(['version', 'licensed', 'trademark']) AS q) WHERE contains(lower(text), q)) h ON h.source = d.source AND h.q = u.query GROUP BY d.source, u.query, d.n")
 def universal_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RT-24: every company (its last document) with every question, the pages found for it and whether it can be used."""
-    sem, _ = ranked_lists(spark, sf_dir)
-    company = table(spark, sf_dir, "documents").groupBy("source").agg(F.max("doc_id").alias("n"))
-    asked = company.select(F.col("source").alias("company"), "n", F.explode(F.array(*(F.lit(k).cast("long") for k in range(3)))).alias("query"))
-    pages = sem.where("rank <= 6").select("query_id", "page").distinct().select("query_id", "page", (F.col("page") % 4).alias("m"))
-    j = asked.join(pages, (F.col("query_id") == F.col("query")) & (F.col("m") == F.col("n") % 4), "left").groupBy("company", "query", "n").agg(F.count("page").alias("pages"))
-    return j.select("company", "query", F.when(F.col("pages") == 0, "needs_manual_probe").when(F.col("n") % 2 == 0, "ready").otherwise("needs_human_pages").alias("readiness"), "pages")
+    d, asked = table(spark, sf_dir, "documents"), ("version", "licensed", "trademark")
+    counts = [F.count_if(F.contains(F.lower("text"), F.lit(q))).alias(q) for q in asked]
+    wide = d.groupBy("source").agg(F.max("doc_id").alias("n"), *counts)
+    long = wide.select(F.col("source").alias("company"), "n", F.explode(F.array(*(F.struct(F.lit(q).alias("query"), F.col(q).alias("pages")) for q in asked))).alias("r")).select("company", "n", "r.*")
+    return long.select("company", "query", F.when(F.col("pages") == 0, "needs_manual_probe").when(F.col("n") % 2 == 0, "ready").otherwise("needs_human_pages").alias("readiness"), "pages")
+
 
 
 @bind("SELECT ks, kb, k, a10, hits, row_number() OVER (ORDER BY hits DESC, ks + kb, k, abs(a10 - 5), ks, a10) AS place FROM (" + SQL["rrf_grid"] + ") QUALIFY place <= 10")

@@ -80,11 +80,12 @@ def bm25_tokens(c: Column) -> Column:
 
 def matched_terms(text: Column, terms: list[str]) -> Column:
     """Those terms, in their order, that the text has; both compacted."""
-    return F.filter(F.array(*(F.lit(t) for t in terms)), lambda t: F.contains(compact(text), compact(t)))
+    # one expression a term, not a lambda: the text is compacted once
+    return F.array_compact(F.array(*(F.when(F.contains(compact(text), F.lit("".join(t.lower().split()))), F.lit(t)) for t in terms)))
 
 
 def windows(lines_: Column, most: int = 3) -> Column:
-    """array<struct<i, n, text>>: 1 to ``most`` consecutive lines, by start, then length."""
+    """array<struct<i, n, text>>: 1 to ``most`` consecutive lines, by start, then length. ``lines_`` should be a column of its own, for a lambda computes it anew for every element."""
 
     def at(i: Column) -> Column:
         rows = [F.when(i + n <= F.size(lines_), F.struct(i.alias("i"), F.lit(n).alias("n"), F.concat_ws(" ", F.slice(lines_, i + 1, F.lit(n))).alias("text"))) for n in range(1, most + 1)]

@@ -132,9 +132,45 @@ def page_budget(pages: DataFrame, score: Column, *, front: int, top: int, by: st
     return ranked.where((F.col("n") <= front) | ((F.col("m") <= top) & (F.col("s") > 0))).withColumn("pos", F.when(F.col("n") <= front, F.col("n")).otherwise(front + F.col("m")))
 
 
+#: Quotes that one automaton holds.
+QUOTE_BLOCK = 20_000
+
+
 def quote_pages(quotes: DataFrame, pages: DataFrame) -> DataFrame:
-    """(quote_id, quote) with the pages that contain it, both compacted. Few quotes against all pages: the quotes are the broadcast side if they are few, and
-    then each page is read once; longer lists are cut to blocks by the caller."""
-    q = quotes.select("quote_id", compact(F.col("quote")).alias("q")).where("length(q) >= 6")
-    p = pages.withColumn("t", compact(F.coalesce("text", F.lit(""))))
-    return p.join(F.broadcast(q), F.contains("t", F.col("q")))
+    """quote_id, doc_id of the pages (doc_id, text) that contain a quote, both compacted; quotes under six characters match nothing.
+
+    All quotes are looked for at once, by an automaton over them that reads each text once; quotes go to the tasks in blocks of bounded size. No page is paired with a quote that it does not hold.
+    """
+    texts = pages.select("doc_id", compact(F.coalesce("text", F.lit(""))).alias("t"))
+    block: list[tuple[int, str]] = []
+    out = None
+    for r in quotes.select("quote_id", compact(F.col("quote")).alias("q")).where("length(q) >= 6").toLocalIterator():
+        block.append((r[0], r[1]))
+        if len(block) == QUOTE_BLOCK:
+            part = texts.mapInArrow(_finder(block), "quote_id long, doc_id long")
+            out, block = part if out is None else out.unionByName(part), []
+    if block or out is None:
+        part = texts.mapInArrow(_finder(block), "quote_id long, doc_id long")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _finder(block: list[tuple[int, str]]):
+    wanted: dict[str, list[int]] = {}
+    for i, q in block:
+        wanted.setdefault(q, []).append(i)
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        machine = ahocorasick.Automaton()
+        for q, ids in wanted.items():
+            machine.add_word(q, ids)
+        if wanted:
+            machine.make_automaton()
+        for b in batches:
+            hits = [(i, d) for d, t in zip(b.column(0).to_pylist(), b.column(1)) if wanted for i in sorted({i for _, ids in machine.iter(t.as_py()) for i in ids})]
+            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())], names=["quote_id", "doc_id"])
+
+    return run
