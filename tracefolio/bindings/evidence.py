@@ -200,7 +200,7 @@ def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 TITLE = "regexp_replace(substr(coalesce(text, ''), 1, 60), '\\s+', ' ', 'g')"
 
 
-@bind("WITH t AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN '12.5%' WHEN 1 THEN '2024-03' WHEN 2 THEN 'tea' WHEN 3 THEN '3月' WHEN 4 THEN 'to be...' WHEN 5 THEN '中山路' WHEN 6 THEN '' ELSE 'A plain title' END AS title, CASE WHEN doc_id % 2 = 0 THEN 'other' ELSE 'risk' END AS section FROM documents) SELECT doc_id, CASE WHEN title = '' THEN 'empty_title' ELSE concat_ws(',', CASE WHEN regexp_matches(title, '^[0-9]+(\\.[0-9]+)?\\s*[%％]$') THEN 'naked_percent' END, CASE WHEN regexp_matches(title, '^(19|20)[0-9]{2}([-/.年][0-9]{1,2})?([-/.月][0-9]{1,2}日?)?$') THEN 'date_like' END, CASE WHEN contains(title, '路') THEN 'address_like' END, CASE WHEN contains(title, '...') THEN 'truncated' END, CASE WHEN length(title) BETWEEN 2 AND 4 AND section = 'other' THEN 'short_other' END, CASE WHEN regexp_matches(title, '^[0-9][0-9.,]*\\s*($|[月日%％])') THEN 'numeric_fragment' END) END AS reasons FROM t")
+@bind("WITH t AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN '12.5%' WHEN 1 THEN '2024-03' WHEN 2 THEN 'tea' WHEN 3 THEN '3月' WHEN 4 THEN 'to be...' WHEN 5 THEN '中山路' WHEN 6 THEN '' ELSE 'A plain title' END AS title, CASE WHEN doc_id % 2 = 0 THEN 'other' ELSE 'risk' END AS section FROM documents) SELECT doc_id, CASE WHEN title = '' THEN 'empty_title' ELSE concat_ws(',', CASE WHEN regexp_matches(title, '^[0-9]+(\\.[0-9]+)?\\s*[%％]$') THEN 'naked_percent' END, CASE WHEN regexp_matches(title, '^(19|20)[0-9]{2}(年|[-/.年][0-9]{1,2}(月|[-/.月][0-9]{1,2}日?)?)?$') THEN 'date_like' END, CASE WHEN contains(title, '路') THEN 'address_like' END, CASE WHEN contains(title, '...') THEN 'truncated' END, CASE WHEN length(title) BETWEEN 2 AND 4 AND section = 'other' THEN 'short_other' END, CASE WHEN regexp_matches(title, '^[0-9][0-9.,]*\\s*($|[月日%％])') THEN 'numeric_fragment' END) END AS reasons FROM t")
 def suspicious_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SF-28."""
     names = ["12.5%", "2024-03", "tea", "3月", "to be...", "中山路", ""]

@@ -114,7 +114,7 @@ def suspicious(title: Column, section: Column) -> Column:
     reasons = F.array_compact(
         F.array(
             F.when(t.rlike(r"^[0-9]+(?:\.[0-9]+)?\s*[%％]$"), F.lit("naked_percent")),
-            F.when(t.rlike(r"^(?:19|20)[0-9]{2}([-/.年][0-9]{1,2})?([-/.月][0-9]{1,2}日?)?$"), F.lit("date_like")),
+            F.when(t.rlike(r"^(?:19|20)[0-9]{2}(?:年|[-/.年][0-9]{1,2}(?:月|[-/.月][0-9]{1,2}日?)?)?$"), F.lit("date_like")),
             F.when(t.rlike("[樓楼室街路號号]|大厦|大廈"), F.lit("address_like")),
             F.when(F.contains(t, F.lit("...")) | t.endswith("…"), F.lit("truncated")),
             F.when((F.length(t) > 1) & (F.length(t) <= 4) & (section == "other"), F.lit("short_other")),
