@@ -1,7 +1,10 @@
 """A corpus pipeline: quality rules, toxicity, near-dedup, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; it is written as Parquet to the shared folder and read again as the
-next stage's ``docs``. The first four give the columns of ``documents``.
+next stage's ``docs``. The first four give the columns of ``documents``, whatever these are.
+
+Defined results: null texts count as empty ones, and the quality rules reject them; a null doc_id stays with its row; of equal rows one
+is left by near_dedup; an empty table goes through all stages and gives no rows; labels of unknown documents do no harm.
 """
 
 from __future__ import annotations

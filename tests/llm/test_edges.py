@@ -5,19 +5,19 @@ from pyspark.sql import functions as F
 
 from tracefolio.llm import bag_minhash, bpe_prefix, mpeg_audio, packing, pii_tagger, quality_forest, secret_ledger, token_planes, tool_calls, toxicity_grammar
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, start long, kept string, bands string, at string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, start long, kept string, bands string, at string, row string, d string, k string, keep_d string"
 LONG = "the card 4111111111111111 of a long text, you idiot. token = abcdef123456\n" * 3000
 ROWS = [
-    (1, "one two three four five six", "en", "s", 27, 1, 1, "x", "b", "a"),
-    (1, "one two three four five six", "en", "s", 27, 1, 1, "x", "b", "a"),
-    (1, "another text with the same id", None, None, None, None, None, None, None, None),
-    (None, "no id at all but a text", "en", "s", 3, 1, 1, "x", "b", "a"),
-    (None, None, None, None, None, None, None, None, None, None),
-    (2, "", "en", "s", 0, 1, 1, "x", "b", "a"),
-    (3, None, "en", "s", None, 1, 1, "x", "b", "a"),
-    (4, " \n\t ", "en", "s", 4, 1, 1, "x", "b", "a"),
-    (5, LONG, "en", "s", len(LONG), 1, 1, "x", "b", "a"),
-    (6, "é中文😀\x00 ÀÉ <|endoftext|> 😀 mail me@example.com, 10.0.0.1 İ", "fr", "s", 9, 1, 1, "x", "b", "a"),
+    (1, "one two three four five six", "en", "s", 27, 1, 1, "x", "b", "a", "r", "d", "k", "q"),
+    (1, "one two three four five six", "en", "s", 27, 1, 1, "x", "b", "a", "r", "d", "k", "q"),
+    (1, "another text with the same id", None, None, None, None, None, None, None, None, None, None, None, None),
+    (None, "no id at all but a text", "en", "s", 3, 1, 1, "x", "b", "a", "r", "d", "k", "q"),
+    (None,) * 14,
+    (2, "", "en", "s", 0, 1, 1, "x", "b", "a", "r", "d", "k", "q"),
+    (3, None, "en", "s", None, 1, 1, "x", "b", "a", "r", "d", "k", "q"),
+    (4, " \n\t ", "en", "s", 4, 1, 1, "x", "b", "a", "r", "d", "k", "q"),
+    (5, LONG, "en", "s", len(LONG), 1, 1, "x", "b", "a", "r", "d", "k", "q"),
+    (6, "é中文😀\x00 ÀÉ <|endoftext|> 😀 mail me@example.com, 10.0.0.1 İ", "fr", "s", 9, 1, 1, "x", "b", "a", "r", "d", "k", "q"),
 ]
 LABELS = [(1, 1, 0), (5, 0, 1), (None, 1, 1), (6, None, None), (99, 1, 0), (5, 0, 1)]
 

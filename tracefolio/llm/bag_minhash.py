@@ -226,6 +226,14 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of ``docs``: doc_id, row_key, node, n_shingles, class_id (the least doc_id of the class), class_node."""
+    classed = classes(docs, threshold=threshold)
+    # a table of its own, so that the join has an exchange on either side and large classes can be split
+    names = settle(classed.groupBy("class_node").agg(F.min("doc_id").alias("class_id")), "names")
+    return classed.join(names, "class_node")
+
+
+def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, row_key, node, n_shingles, class_node (one node of the class)."""
     signed = settle(sign_documents(docs), "signed")
     nodes = signed.where("size(bands) > 0").groupBy("node").agg(F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = settle(nodes.select("node", "n", F.explode("bands").alias("bucket")), "buckets")
@@ -262,10 +270,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     labels = merge(labels, settle(_across(rest, bags, threshold), "edges"))
     forget(placed, rest, bags)
 
-    classed = signed.select("doc_id", "row_key", "node", "n_shingles").join(labels, "node", "left").withColumn("class_node", F.coalesce("root", "node")).drop("root")
-    # a table of its own, so that the join has an exchange on either side and large classes can be split
-    names = settle(classed.groupBy("class_node").agg(F.min("doc_id").alias("class_id")), "names")
-    return classed.join(names, "class_node")
+    return signed.select("doc_id", "row_key", "node", "n_shingles").join(labels, "node", "left").withColumn("class_node", F.coalesce("root", "node")).drop("root")
 
 
 #: Members of a bucket that one task holds at once are about twice this many.
@@ -361,14 +366,14 @@ def _bags(docs: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with the least (doc_id, text) of each class; all columns, unchanged."""
-    found = near_duplicates(docs, threshold=threshold)
+    found = classes(docs, threshold=threshold)
     none = F.lit(-(1 << 63))
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", none).alias("d"), F.col("row_key").alias("k"))
     keep = found.groupBy("class_node").agg(F.min(order).alias("o")).select(F.col("o.d").alias("keep_d"), F.col("o.k").alias("keep_k"))
     keep = settle(keep, "keepers")
-    rows = docs.withColumns({"__d": F.coalesce("doc_id", none), "__k": F.xxhash64(F.coalesce("text", F.lit("")))})
-    kept = rows.join(small(keep, keep.count()), (F.col("__d") == F.col("keep_d")) & (F.col("__k") == F.col("keep_k")))
-    twice = found.groupBy("doc_id", "row_key").count().where("count > 1").limit(1).count()
-    if twice:  # the same row again: one of them stays
-        kept = kept.dropDuplicates(["__d", "__k"])
-    return kept.select(*docs.columns)
+    # all columns in one, so that none can have the name of ours
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("doc_id", none).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"))
+    kept = rows.join(small(keep, keep.count()), (F.col("d") == F.col("keep_d")) & (F.col("k") == F.col("keep_k")))
+    if found.groupBy("doc_id", "row_key").count().where("count > 1").limit(1).count():  # the same row again: one of them stays
+        kept = kept.dropDuplicates(["d", "k"])
+    return kept.select("row.*")
