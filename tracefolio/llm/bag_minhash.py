@@ -227,7 +227,7 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of ``docs``: doc_id, row_key, node, n_shingles, class_id (the least doc_id of the class), class_node."""
     classed = classes(docs, threshold=threshold)
-    # a table of its own, so that the join has an exchange on either side and large classes can be split
+    # written first, so that the join has an exchange on either side and large classes can be split
     names = settle(classed.groupBy("class_node").agg(F.min("doc_id").alias("class_id")), "names")
     return classed.join(names, "class_node")
 
@@ -242,7 +242,8 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     forget(members)
     company = settle(shared.groupBy("node").agg(F.min("n").alias("n"), F.sum("held").alias("company")), "company")
     known = shared.select("bucket", "node").join(company, "node")
-    pivots = known.groupBy("bucket").agg(F.max(F.struct("company", "node", "n")).alias("p"))
+    # as with names: written first, so that a bucket which holds a tenth of the rows can be split in the join
+    pivots = settle(known.groupBy("bucket").agg(F.max(F.struct("company", "node", "n")).alias("p")), "pivots")
     placed = settle(known.join(pivots, "bucket").select("bucket", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.company").alias("pc")), "placed")
     forget(shared)
 
