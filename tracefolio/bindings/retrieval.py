@@ -191,15 +191,23 @@ def rrf_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RT-13, TK-07: 160 settings in one job over the cached lists; a hit is the page query % 7 among the first three."""
     rows = [(s, b, k, a) for s in (1, 2, 3, 4) for b in (1, 2, 3, 4) for k in (20, 60) for a in (3, 4, 5, 6, 7)]
     grid = spark.createDataFrame(rows, "ks long, kb long, k long, a10 long")
-    lists = sourced(*ranked_lists(spark, sf_dir))
-    cut = lists.crossJoin(F.broadcast(grid)).where(((F.col("source") == "semantic") & (F.col("rank") <= F.col("ks"))) | ((F.col("source") == "bm25") & (F.col("rank") <= F.col("kb"))))
-    by = ["ks", "kb", "k", "a10", "query_id"]
-    one = cut.groupBy(*by, "page", "source").agg(F.min("rank").alias("rank"))
-    alpha = F.col("a10") / 10.0
-    score = F.sum(F.when(F.col("source") == "semantic", alpha).otherwise(1 - alpha) / (F.col("k") + F.col("rank")))
-    scored = one.groupBy(*by, "page").agg(score.alias("score"), F.min(F.when(F.col("source") == "semantic", 0).otherwise(1000) + F.col("rank")).alias("seen"))
-    top = ops.ranked(scored, by, [F.round("score", 9).desc(), "seen", "page"], 3)
-    return top.groupBy("ks", "kb", "k", "a10").agg(F.countDistinct(F.when(F.col("page") == F.col("query_id") % 7, F.col("query_id"))).alias("hits"))
+    # a question's pages are few: one row holds them with their ranks, and every setting is worked out on that row, so nothing of the 160 settings is shuffled but their sums
+    one = sourced(*ranked_lists(spark, sf_dir)).groupBy("query_id", "page").agg(F.min(F.when(F.col("source") == "semantic", F.col("rank"))).alias("s"), F.min(F.when(F.col("source") == "bm25", F.col("rank"))).alias("b"))
+    mine = F.col("page") == F.col("query_id") % 7
+    row = one.groupBy("query_id").agg(F.max(F.when(mine, F.struct("page", "s", "b"))).alias("t"), F.collect_list(F.when(~mine, F.struct("page", "s", "b"))).alias("others")).where("t is not null")
+    alpha, k = F.col("a10") / 10.0, F.col("k")
+    in_s, in_b = lambda x: F.coalesce(x["s"] <= F.col("ks"), F.lit(False)), lambda x: F.coalesce(x["b"] <= F.col("kb"), F.lit(False))
+    score = lambda x: F.round(F.when(in_s(x), alpha / (k + x["s"])).otherwise(0.0) + F.when(in_b(x), (1 - alpha) / (k + x["b"])).otherwise(0.0), 9)
+    seen = lambda x: F.when(in_s(x), x["s"]).otherwise(1000 + x["b"])
+    every = row.crossJoin(F.broadcast(grid)).where(in_s(F.col("t")) | in_b(F.col("t"))).withColumns({"score": score(F.col("t")), "seen": seen(F.col("t"))})
+
+    def before(x):
+        """Does this page stand before the one asked for?"""
+        same, earlier = score(x) == F.col("score"), (seen(x) < F.col("seen")) | ((seen(x) == F.col("seen")) & (x["page"] < F.col("t.page")))
+        return (in_s(x) | in_b(x)) & ((score(x) > F.col("score")) | (same & earlier))
+
+    hits = every.groupBy("ks", "kb", "k", "a10").agg(F.count_if(F.size(F.filter("others", before)) < 3).alias("hits"))
+    return F.broadcast(grid).join(hits, ["ks", "kb", "k", "a10"], "left").na.fill(0, ["hits"])
 
 
 @bind("SELECT conv_id, turn, CASE WHEN intent = 'metric_value' THEN 'page_text' WHEN intent IN ('metric_attribution', 'business_narrative') THEN 'section_text' WHEN regexp_matches(q, 'would|the') THEN 'section_text' ELSE 'page_text' END AS primary_kind, CASE WHEN intent = 'metric_value' THEN NULL WHEN intent IN ('metric_attribution', 'business_narrative') THEN 'page_text' WHEN regexp_matches(q, 'would|the') THEN 'page_text' END AS fallback_kind FROM (SELECT *, CASE turn % 4 WHEN 0 THEN 'metric_value' WHEN 2 THEN CASE WHEN conv_id % 3 = 0 THEN 'metric_attribution' WHEN conv_id % 3 = 1 THEN 'business_narrative' END END AS intent, regexp_replace(lower(text), '\\s+', '', 'g') AS q FROM conversations WHERE role = 'user')")
