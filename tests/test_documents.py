@@ -3,6 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tracefolio.bindings import documents as bindings
 from tracefolio.functions import answers, numbers, questions
 from tracefolio.operators import documents as D
 
@@ -96,3 +97,16 @@ def test_sanitize(text, clean):
 def test_rank_questions(spark, question, want):
     got = spark.createDataFrame([(question,)], "q string").select(questions.parse(F.col("q")).alias("p")).select("p.*").collect()[0]
     assert tuple(got) == want
+
+
+def test_citations_equal_all_pairs(spark, sf):
+    """Every tier, with quotes that have no three long words; then the query's own tables."""
+    quotes = [(1, "We do as we say"), (2, "资产质量保持稳定"), (3, "go on … as it was then"), (4, "we had a good run; it was all as set out"), (5, "x x x the sum of it all is as we had it in May x x x"), (6, "ΤΕΛΟΣ ΣΑΣ"), (7, None), (8, "a b"), (1, "ﬁnd it here")]
+    pages = [(1, "It is so: we do\nas we say."), (2, "各项监管指标，资产质量\n保持稳定。"), (3, "now as it was then, too"), (4, "Oh, we had a good run\n-\nand it was all as set out here"), (5, "a\nthe sum of it all is\nas we had it in May\nb"), (6, "ΤΕΛΟΣ ΣΑΣ\nΚΑΙ"), (7, None), (8, "a b find it here")]
+    got = D.cite(spark.createDataFrame(quotes, "quote_id long, quote string"), spark.createDataFrame(pages, "doc_id long, text string")).collect()
+    want = sorted((i, d, f) for i, q in quotes for d, t in pages if (f := D.find_quote(t, q)))
+    assert sorted(map(tuple, got)) == want and {i for i, *_ in want} == {1, 2, 3, 4, 5, 6}
+    quotes = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    pages = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    want = sorted((i, d, f) for d, t in pages for i, q in quotes if (f := D.find_quote(t, q)))
+    assert sorted(map(tuple, bindings.citation_fuzzy(spark, sf).collect())) == want

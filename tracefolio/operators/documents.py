@@ -201,7 +201,75 @@ def find_quote(page: str | None, quote: str | None, limit: int = 240) -> str | N
     return cut(" ".join(dict.fromkeys(hits))) if len(hits) > 1 else None
 
 
-def cite(pairs: DataFrame) -> DataFrame:
-    """(quote_id, quote, doc_id, text) to quote_id, doc_id, found."""
-    make = lambda r: [(r[0], r[2], f)] if (f := find_quote(r[3], r[1])) else []
-    return each(pairs, ["quote_id", "quote", "doc_id", "text"], make, "quote_id long, doc_id long, found string")
+#: Quotes whose needles one task's index holds.
+CITE_BLOCK = 1_000
+
+
+def sought(quote: str | None) -> list[str]:
+    """What a tier of ``find_quote`` looks for, folded: the quote, its parts between ellipses, its clauses."""
+    parts = {folded(p) for p in [quote or "", *re.split(r"\.{3,}|…+", quote or "")]}
+    clauses = {folded(c) for c in re.split("[;；。]", quote or "")}
+    return sorted({p for p in parts if len(p) >= 6} | {c for c in clauses if len(c) >= 10})
+
+
+def even(text: str) -> str:
+    """``lower`` writes a sigma by what stands after it, which a window's end and a page's middle tell otherwise."""
+    return text.replace("ς", "σ")
+
+
+class Needles:
+    """Quotes that a page may hold: ``of(page)`` has the place of every quote that ``find_quote`` finds there.
+
+    A tier matches where a needle stands in the page, or where a window of lines stands in a needle. The first is read off by an automaton;
+    for the second, such a window has twelve characters at least, and its first twelve are looked up among the needles'.
+    """
+
+    def __init__(self, quotes: list[tuple[int, str]]):
+        import ahocorasick
+
+        self.of_needle: dict[str, list[int]] = {}
+        for i, (_, q) in enumerate(quotes):
+            for n in sought(q):
+                self.of_needle.setdefault(even(n), []).append(i)
+        self.starts: dict[str, set[str]] = {}
+        self.machine = ahocorasick.Automaton()
+        for n in self.of_needle:
+            self.machine.add_word(n, n)
+            for k in range(len(n) - 11):
+                self.starts.setdefault(n[k : k + 12], set()).add(n)
+        if self.of_needle:
+            self.machine.make_automaton()
+
+    def of(self, page: str | None) -> list[int]:
+        if not page or not self.of_needle:
+            return []
+        found = {n for _, n in self.machine.iter(even(folded(page)))}
+        for w in windows([even(folded(x)) for x in split_lines(page)]):
+            w = w.replace(" ", "")
+            found.update(n for n in self.starts.get(w[:12], ()) if len(w) >= len(n) // 2 and w in n)
+        return sorted({i for n in found for i in self.of_needle[n]})
+
+
+def cite(quotes: DataFrame, pages: DataFrame) -> DataFrame:
+    """(quote_id, quote) and (doc_id, text) to quote_id, doc_id, found, for all pairs that ``find_quote`` finds.
+
+    Quotes go to the tasks in blocks of bounded size; every page is read once a block, and only pairs that share a needle are matched.
+    """
+    schema, block, out = "quote_id long, doc_id long, found string", [], None
+
+    def add(block: list[tuple[int, str]]) -> DataFrame:
+        held: list[Needles] = []  # made by the first row of a task
+
+        def make(r: tuple) -> list[tuple]:
+            if not held:
+                held.append(Needles(block))
+            return [(block[k][0], r[0], f) for k in held[0].of(r[1]) if (f := find_quote(r[1], block[k][1]))]
+
+        part = each(pages, ["doc_id", "text"], make, schema)
+        return part if out is None else out.unionByName(part)
+
+    for r in quotes.select("quote_id", "quote").where("quote is not null").toLocalIterator():
+        block.append((r[0], r[1]))
+        if len(block) == CITE_BLOCK:
+            out, block = add(block), []
+    return add(block) if block or out is None else out
