@@ -10,6 +10,12 @@ from test_queries import QUERIES, SQL, plain
 #: For each query, what its SQL has and the whole job has not.
 CUTS = {
     "hybrid_topk": [(" WHERE doc_id IN (SELECT vec_id FROM embeddings)", ""), (" AND b.vec_id IN (SELECT doc_id FROM documents)", "")],
+    "evidence_union": [(" WHERE doc_id % 2 = 0 OR kind <> 'page_text'", "")],
+    "gold_page_coverage": [(" WHERE doc_id % 4 > 0", "")],
+    "rescue_report": [("l.doc_id % 3 = 0", "d.doc_id IS NULL")],
+    "live_observations": [(" WHERE doc_id % 5 > 0", "")],
+    "artifact_reuse": [(" WHERE doc_id % 3 > 0", "")],
+    "primary_fallback": [(" WHERE query_id % 3 > 0", "")],
 }
 
 

@@ -243,7 +243,7 @@ def baseline_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @bind("SELECT l.doc_id, d.doc_id IS NOT NULL AS parsed, coalesce(d.n, 0) AS n_units, coalesce(d.rows, 0) AS n_rows FROM labels l LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (lang = 'en') AS rows FROM documents WHERE doc_id % 4 > 0 GROUP BY doc_id) d USING (doc_id)")
 def gold_page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-10: expected pages with counts of what was parsed of them."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 4 > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lang") == "en").alias("rows"))
+    d = table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lang") == "en").alias("rows"))
     return table(spark, sf_dir, "labels").join(d, "doc_id", "left").select("doc_id", F.col("n").isNotNull().alias("parsed"), F.coalesce("n", F.lit(0)).alias("n_units"), F.coalesce("rows", F.lit(0)).alias("n_rows"))
 
 
@@ -264,18 +264,18 @@ def case_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 @bind("SELECT l.doc_id AS case_id, CASE WHEN l.doc_id % 3 = 0 THEN 'not_in_selected_cases' WHEN l.toxic = 1 AND d.lang = 'en' THEN 'live_intent_mismatch' WHEN l.quality = 1 THEN 'rescued' ELSE 'still_failing' END AS status FROM labels l LEFT JOIN documents d USING (doc_id)")
 def rescue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RT-21: formerly failing cases, by the first status that fits."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 > 0").select("doc_id", "lang")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(True).alias("selected"))
     j = table(spark, sf_dir, "labels").join(d, "doc_id", "left")
-    status = F.when(F.col("lang").isNull(), "not_in_selected_cases").when((F.col("toxic") == 1) & (F.col("lang") == "en"), "live_intent_mismatch").when(F.col("quality") == 1, "rescued").otherwise("still_failing")
+    status = F.when(F.col("selected").isNull(), "not_in_selected_cases").when((F.col("toxic") == 1) & (F.col("lang") == "en"), "live_intent_mismatch").when(F.col("quality") == 1, "rescued").otherwise("still_failing")
     return j.select(F.col("doc_id").alias("case_id"), status.alias("status"))
 
 
 @bind("SELECT l.doc_id AS case_id, CASE WHEN d.doc_id IS NULL THEN 'document missing' END AS error, CASE WHEN d.doc_id IS NOT NULL THEN d.lang END AS route FROM labels l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 5 > 0) d USING (doc_id)")
 def live_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DX-26: an observation for every case; what is missing is an error row."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 5 > 0").select("doc_id", "lang")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(True).alias("present"))
     j = table(spark, sf_dir, "labels").join(d, "doc_id", "left")
-    return j.select(F.col("doc_id").alias("case_id"), F.when(F.col("lang").isNull(), "document missing").alias("error"), F.col("lang").alias("route"))
+    return j.select(F.col("doc_id").alias("case_id"), F.when(F.col("present").isNull(), "document missing").alias("error"), F.col("lang").alias("route"))
 
 
 @bind("SELECT c.conv_id, c.turn, regexp_matches(lower(text), 'the') AS has_term, length(text) >= 40 AS long_enough, NOT contains(text, '()') AS tidy FROM conversations c WHERE role = 'assistant'")

@@ -148,8 +148,8 @@ def artifact_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SK-05."""
     d = table(spark, sf_dir, "documents")
     a = d.select("doc_id", "lang", F.sha2("text", 256).alias("sum"))
-    b = d.where("doc_id % 3 > 0").select((F.col("doc_id") + 1).alias("doc_id"), F.col("lang").alias("lang_b"), F.sha2("text", 256).alias("sum_b"))
-    checks = [("missing", F.col("lang_b").isNull()), ("schema_version", F.col("doc_id") % 11 == 0), ("document_key", F.col("lang") != F.col("lang_b")), ("checksum", F.col("sum") != F.col("sum_b"))]
+    b = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("lang").alias("lang_b"), F.sha2("text", 256).alias("sum_b"), F.lit(True).alias("there"))
+    checks = [("missing", F.col("there").isNull()), ("schema_version", F.col("doc_id") % 11 == 0), ("document_key", F.col("lang") != F.col("lang_b")), ("checksum", F.col("sum") != F.col("sum_b"))]
     return ops.reuse_reason(a.join(b, "doc_id", "left"), checks).select("doc_id", "reuse_reason")
 
 
