@@ -23,6 +23,30 @@ def test_memo_equals_library(spark, sf, name, lower):
         assert tok.ids(t).tolist() == tok.whole.encode(t, add_special_tokens=False).ids, repr(t[:80])
 
 
+@pytest.mark.parametrize("name,lower,ids", [(BYTE, False, [31373, 220, 50256, 995]), (WORD, True, [3306, 49407, 1002])])
+def test_added_tokens_are_the_library_s(name, lower, ids):
+    from tokenizers import Tokenizer
+
+    tok, fresh = fast_tokenizer(tokenizer_path(name), lower), Tokenizer.from_file(tokenizer_path(name))
+    assert tok.ids("hello <|endoftext|> world").tolist() == ids
+    random.seed(4)
+    parts = ["the", " The", "'s", "é", "12", "!?", " ", "\n", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "endoftext", "中"]
+    for _ in range(3000):
+        t = "".join(random.choice(parts) for _ in range(random.randrange(9)))
+        assert tok.ids(t).tolist() == fresh.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_planes_and_packing_hold_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    texts = [(1, "hello <|endoftext|> world"), (2, "plain text. "), (3, "<|startoftext|>A b. C<|endoftext|>"), (4, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for name, key, got in ((BYTE, "n_tokens", token_planes.token_planes(docs)), (WORD, "doc_tokens", packing.pack_documents(docs))):
+        fresh = Tokenizer.from_file(tokenizer_path(name))
+        want = {d: len(fresh.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in texts}
+        assert {r["doc_id"]: r[key] for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("bits", [8, 1])
 @given(ids=st.lists(st.integers(0, 70_000), max_size=300), block=st.integers(1, 64))
 @settings(max_examples=40, deadline=None)

@@ -151,7 +151,8 @@ class FastTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        # the memo's pieces know no added tokens: texts that have one go to the library whole, too
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.lower = lower
         self.memo = PieceMemo(self.whole.model)
         # letters and digits begin no contraction, so they may stand first
@@ -159,7 +160,7 @@ class FastTokenizer:
         self.pieces = re.compile(rf"{space}[{LETTERS}]+|{digits}|{CONTRACTED}|{space}[^\s0-9{LETTERS}]+{white}").findall
 
     def ids(self, text: str) -> np.ndarray:
-        if PLAIN.search(text):
+        if PLAIN.search(text) or any(t in text for t in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2")
         return np.frombuffer(b"".join(map(self.memo.__getitem__, self.pieces(text.lower() if self.lower else text))), "<u2")
 
