@@ -15,6 +15,7 @@ CUTS = {
     "rescue_report": [("l.doc_id % 3 = 0", "d.doc_id IS NULL")],
     "live_observations": [(" WHERE doc_id % 5 > 0", "")],
     "artifact_reuse": [(" WHERE doc_id % 3 > 0", "")],
+    "citation_dedupe": [("substr(text, 1, 10)", "text")],
     "primary_fallback": [(" WHERE query_id % 3 > 0", "")],
 }
 
@@ -34,3 +35,9 @@ def test_whole(name, spark):
     df = QUERIES[name](spark, sf)
     assert sorted(df.columns) == names
     assert sorted(str([plain(r[c]) for c in names]) for r in df.collect()) == sorted(str([plain(r[k]) for k in at]) for r in cursor.fetchall())
+
+
+def test_quotes_that_begin_alike_stay(spark, tmp_path):
+    rows = [(1, 1, "user", "Revenue rose by a tenth"), (1, 2, "user", "Revenue rose by a half"), (1, 4, "user", "Revenue rose by a tenth"), (2, 1, "user", "Revenue rose by a half")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted((r["conv_id"], r["turn"]) for r in QUERIES["citation_dedupe"](spark, str(tmp_path)).collect()) == [(1, 1), (1, 2), (2, 1)]

@@ -113,8 +113,8 @@ def citation_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @bind("SELECT conv_id, key, min(turn) AS turn FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'page:' || turn % 2 ELSE 'quote:' || substr(text, 1, 10) END AS key FROM conversations) GROUP BY conv_id, key")
 def citation_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DX-22: by page, or by quote without a page; numbers given before keep their gaps."""
-    key = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("page:"), (F.col("turn") % 2).cast("string"))).otherwise(F.concat(F.lit("quote:"), F.substring("text", 1, 10)))
+    """DX-22: by page, or by the whole quote without a page; numbers given before keep their gaps."""
+    key = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("page:"), (F.col("turn") % 2).cast("string"))).otherwise(F.concat(F.lit("quote:"), "text"))
     return messages(spark, sf_dir).withColumn("key", key).groupBy("conv_id", "key").agg(F.min("turn").alias("turn"))
 
 
