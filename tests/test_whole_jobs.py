@@ -1,12 +1,17 @@
 """Queries whose SQL in the bindings leaves out rows by id: held against the same SQL without those conditions."""
 
 import glob
+import itertools
 import os
+import re
+import unicodedata
 
 import duckdb
 import pytest
 from test_queries import QUERIES, SQL, plain
 
+from tracefolio.functions import questions as Q
+
 #: For each query, what its SQL has and the whole job has not.
 CUTS = {
     "hybrid_topk": [(" WHERE doc_id IN (SELECT vec_id FROM embeddings)", ""), (" AND b.vec_id IN (SELECT doc_id FROM documents)", "")],
@@ -41,3 +46,36 @@ def test_quotes_that_begin_alike_stay(spark, tmp_path):
     rows = [(1, 1, "user", "Revenue rose by a tenth"), (1, 2, "user", "Revenue rose by a half"), (1, 4, "user", "Revenue rose by a tenth"), (2, 1, "user", "Revenue rose by a half")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert sorted((r["conv_id"], r["turn"]) for r in QUERIES["citation_dedupe"](spark, str(tmp_path)).collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def parsed(text):
+    """SF-18 in plain Python."""
+    q = "".join(unicodedata.normalize("NFKC", text or "").split()).lower()
+    has = lambda words: any(w in q for w in words)
+    number = lambda t: int(t) if t.isdecimal() else Q.VALUE_OF[t]
+    metric = next((name for name, words in Q.METRIC_NAMES if has(words)), None)
+    scope = has(Q.KB_SCOPE) or has(Q.COMPANY_SCOPE)
+    ranked = has(Q.RANK_WORDS) or re.search(f"前([0-9]+|[{Q.NUMERALS}])", q)
+    counted = "topk" in q or re.search(rf"top[0-9]+|前([0-9]+|[{Q.NUMERALS}])|[{Q.NUMERALS}0-9]+家", q)
+    if not (ranked and (scope or counted and (metric or has(Q.OTHER_METRICS)))):
+        return (False, None, None, None, None)
+    year = re.search("20[0-9]{2}", q)
+    year = int(year[0]) if year else None
+    found = next((m[1] for p in ("top([0-9]+)", "前([0-9]+)", "哪([0-9]+)家", "([0-9]+)家", f"([{Q.NUMERALS}])家", f"前([{Q.NUMERALS}])") if (m := re.search(p, q))), None)
+    limit = number(found) if found else 1 if metric and scope and has(Q.TOP_ONE) else None
+    refusal = "metric" if not metric else "year_missing" if not year else "year_unsupported" if year != Q.SUPPORTED_YEAR else None if limit else "limit_missing"
+    return (True, metric, year, limit, refusal)
+
+
+def test_questions_of_a_table_are_parsed(spark, sf, tmp_path):
+    parts = (["当前 KB 里", "which companies", "", "factstore："], ["2025年", " 2024 ", ""], ["营业收入", "Ｎｅｔ Profit", "毛利率", "总资产", "the"], ["最高的三家公司", " top 5", "排名前十名", "largest", "ＴＯＰ３", "哪12家公司排名", "公司排名", "最高"])
+    texts = ["".join(p) for p in itertools.product(*parts)] + [None, "", "the largest in 2025"]
+    rows = [(i, 0, "user", t) for i, t in enumerate(texts)] + [(0, 1, "assistant", texts[0]), (0, 2, "system", texts[0])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for folder in (str(tmp_path), sf):
+        turns = [(r["conv_id"], r["turn"], r["text"]) for r in spark.read.parquet(f"{folder}/conversations.parquet").where("role = 'user'").collect()]
+        got = QUERIES["kb_question_parse"](spark, folder)
+        assert got.columns == ["conv_id", "turn", "recognized", "metric_id", "fiscal_year", "limit", "refusal"]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(((c, t, *parsed(x)) for c, t, x in turns), key=str)
+    made = [parsed(t) for t in texts]
+    assert {m[4] for m in made if m[0]} == {None, "metric", "year_missing", "year_unsupported", "limit_missing"} and {m[3] for m in made} >= {1, 3, 5, 10, 12}

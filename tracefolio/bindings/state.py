@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracefolio.functions import questions
 from tracefolio.functions import text as T
 from tracefolio.operators import retrieval
 from tracefolio.session import table
@@ -127,10 +128,8 @@ def draft_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @bind("SELECT conv_id, turn, regexp_extract(text, '(19|20)[0-9]{2}') AS year, regexp_matches(lower(text), 'top|rank|largest|the') AS ranked, CASE WHEN regexp_matches(lower(text), 'the') THEN 1 END AS implicit_limit FROM (SELECT conv_id, turn, text || ' 20' || lpad(CAST(conv_id % 100 AS VARCHAR), 2, '0') AS text FROM conversations WHERE role = 'user')")
 def kb_question_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SF-18 over a table of questions: year, rank signal, implicit limit. (functions.questions has the whole parser.)"""
-    t = F.concat("text", F.lit(" 20"), F.lpad((F.col("conv_id") % 100).cast("string"), 2, "0"))
-    low = F.lower(t)
-    return messages(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", F.regexp_extract(t, "(19|20)[0-9]{2}", 0).alias("year"), low.rlike("top|rank|largest|the").alias("ranked"), F.when(low.rlike("the"), 1).alias("implicit_limit"))
+    """SF-18: every user turn by the parser of ranking questions."""
+    return messages(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", questions.parse(F.col("text")).alias("p")).select("conv_id", "turn", "p.*")
 
 
 @bind("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
