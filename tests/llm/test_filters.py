@@ -82,6 +82,21 @@ def test_grammar_reads_clauses():
     assert w("a fine day") == 0 and w("overkill") == 0 and g.score("") == g.score("a fine day")
 
 
+@pytest.mark.parametrize("n", [1, 300, 450, 5000])
+def test_long_clauses_are_one(n):
+    """Targets, reports and hits of a clause count however far they stand apart."""
+    g = G.Model(stems={"idio": (G.INSULT, 2.0), "kill": (G.THREAT, 1.5)}).grammar()
+    far = " word" * n
+    for text in ("you {} an idiot", "he said {} what an idiot", "idiot {} you", "kill {} you {} idiot", "an idiot {} idiot {} idiots", "Fine. You said {} kill {} him. An idiot {}"):
+        assert g.clauses(text.format(*[" word word word"] * 3)) == g.clauses(text.format(*[far + " word word"] * 3)), text
+
+
+def test_no_hit_is_cut_in_two():
+    g = G.Model(stems={"idio": (G.INSULT, 2.0)}).grammar()
+    for n in range(1980, 2010):
+        assert g.clauses("idiot" + " " * n + "idiot") == g.clauses("idiot idiot")
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

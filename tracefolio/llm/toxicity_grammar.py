@@ -159,14 +159,14 @@ class Grammar:
         """Weights of the clauses that have a hit, and the number of hits."""
         lower = text.lower()
         hits = sorted(set(self.trie.hits(lower)))
-        out, done = [], -1
+        out, done = [], 0
         for at in hits:
             if at < done:
                 continue
-            # the clause around the hit: from the boundary before to the one after
-            start = max((m.end() for m in CLAUSE.finditer(lower, max(done, at - 2000, 0), at)), default=max(done, at - 2000, 0))
+            # the clause around the hit, however long: from the boundary before to the one after; no character is looked at twice
+            start = max((m.end() for m in CLAUSE.finditer(lower, done, at)), default=done)
             m = CLAUSE.search(lower, at)
-            stop = min(m.start() if m else len(lower), at + 2000)  # longer clauses are read in parts, each around its hits
+            stop = m.start() if m else len(lower)
             out.append(self.clause(WORD.findall(lower, start, stop)))
             done = max(stop, at + 1)
         return out, len(hits)
