@@ -79,3 +79,11 @@ def test_questions_of_a_table_are_parsed(spark, sf, tmp_path):
         assert sorted(map(tuple, got.collect()), key=str) == sorted(((c, t, *parsed(x)) for c, t, x in turns), key=str)
     made = [parsed(t) for t in texts]
     assert {m[4] for m in made if m[0]} == {None, "metric", "year_missing", "year_unsupported", "limit_missing"} and {m[3] for m in made} >= {1, 3, 5, 10, 12}
+
+
+def test_rows_of_a_long_document_stay(spark, tmp_path):
+    """Up to the operator's own caps: 24 rows a label, 120 a document."""
+    text = lambda n: "\n".join(f"{word} number {i}" for word in ("license", "token", "a@b") for i in range(n))
+    spark.createDataFrame([(1, text(20)), (2, text(30)), (3, text(1))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["doc_id"], r["row_label"]) for r in QUERIES["table_row_evidence"](spark, str(tmp_path)).collect()]
+    assert {k: got.count(k) for k in set(got)} == {(d, label): n for d, n in ((1, 20), (2, 24), (3, 1)) for label in ("licence", "secret", "mail")}

@@ -171,7 +171,7 @@ f AS (SELECT doc_id, row_label, min(line_no) AS line_no FROM j WHERE regexp_matc
 g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, row_label ORDER BY line_no) <= 2) SELECT doc_id, line_no, row_label FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no, row_label) <= 3""")
 def table_row_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DX-04, WN-08."""
-    out = ops.table_rows(docs(spark, sf_dir), [("licence", ["license"]), ("secret", ["token"]), ("mail", ["@"])], per_label=2, per_document=3)
+    out = ops.table_rows(docs(spark, sf_dir), [("licence", ["license"]), ("secret", ["token"]), ("mail", ["@"])])
     return out.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "row_label")
 
 
