@@ -95,11 +95,67 @@ def test_cross_links_are_exact():
     for k in range(30):
         v = np.unique(np.concatenate([base[rng.random(40) < 0.9], rng.integers(0, 2**63, 3).astype(np.uint64)]))
         members.append((k, int(rng.integers(0, 5)), (v, rng.integers(1, 3, len(v)))))
-    got = {(a, members[b][1]) for a, b in B.cross_links(members, 0.6)}
-    roots = [r for _, r, _ in members]
-    largest = max(set(roots), key=lambda r: (roots.count(r), -r))
-    want = {(i, members[j][1]) for i in range(30) for j in range(30) if roots[i] != roots[j] and B.similarity(members[i][2], members[j][2]) >= 0.6}
-    assert {(i, r) for i, r in want if roots[i] != largest} == got
+    probes, homes = members[:12], members[5:]
+    got = {(a, members[b][1]) for a, b in B.cross_links(probes, homes, 0.6)}
+    assert got == {(i, other) for i, r, x in probes for _, other, y in homes if r != other and B.similarity(x, y) >= 0.6}
+
+
+def shared(rows):
+    """Similarities of all pairs of bags, as a matrix."""
+    sets = [B.elements(b) for b in rows]
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    use = times[column] > 1
+    keep, column = np.unique(column[use], return_inverse=True)
+    x = np.zeros((len(sets), len(keep)), np.float32)
+    x[np.repeat(np.arange(len(sets)), [len(s) for s in sets])[use], column] = 1
+    common, size = x @ x.T, np.array([len(s) for s in sets])
+    return common / (size[:, None] + size[None] - common)
+
+
+def test_small_blocks_give_the_same_classes(spark, monkeypatch):
+    """Every mixed group goes through the prefix filter and over several blocks."""
+    monkeypatch.setattr(B, "BLOCK", 2)
+    rows = texts(5, 300)
+    got = {r["doc_id"]: r["class_id"] for r in B.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_a_passage_that_thousands_of_texts_share(spark):
+    """5,000 different texts with one passage fill buckets together; pairs that are similar besides it are found, and no others."""
+    random.seed(9)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(5))
+    passage = [word() for _ in range(110)]
+    rows = [passage + [word() for _ in range(random.choice([14, 20, 45]))] for _ in range(4900)]
+    for k in range(100):
+        copy = list(rows[k * 7])
+        copy[-1 - k % 5] = word()
+        rows.append(copy)
+    rows = [(k, " ".join(t)) for k, t in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in B.near_duplicates(docs).collect()}
+    near = (shared([B.shingles(t)[:2] for _, t in rows]) >= B.THRESHOLD - 1e-6) | np.eye(len(rows), dtype=bool)
+    least = np.arange(len(rows))
+    while ((new := np.array([least[n].min() for n in near])) != least).any():
+        least = new
+    assert [got[k] for k in range(len(rows))] == least.tolist()
+    assert len(set(got.values())) > 1000
+
+
+def test_prefixes_lose_no_link(spark):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    rows = []
+    for k in range(120):
+        v = np.unique(np.concatenate([base[rng.random(60) < 0.93], rng.integers(0, 2**63, int(rng.integers(0, 14))).astype(np.uint64)]))
+        rows.append((k, v, rng.integers(1, 3, len(v)) if k % 9 == 0 else np.ones(len(v), np.int64)))
+    bags = spark.createDataFrame([(k, v.astype("<u8").tobytes(), c.astype("<u4").tobytes()) for k, v, c in rows], "node long, hashes binary, counts binary")
+    nodes = spark.createDataFrame([(k, k, int(c.sum())) for k, _, c in rows], "node long, root long, n long")
+    under = {}
+    for r in B.prefixes(nodes, bags, 0.8).collect():
+        under.setdefault(r["key"], set()).add(r["node"])
+    met = {(a, b) for g in under.values() for a in g for b in g if a < b}
+    near = {(i, j) for i, x, c in rows for j, y, d in rows if i < j and B.similarity((x, c), (y, d)) >= 0.8}
+    assert near and near <= met
 
 
 def test_one_of_each_keeps_the_least(spark):

@@ -12,8 +12,12 @@ Classes. Texts with the same words are one node. BANDS bands of ROWS slots make
 not with each other, and a candidate pair counts only if its exact weighted Jaccard similarity is at least THRESHOLD. A bucket's
 pivot is its node with the most company over all buckets: among edited copies of a text that is the text, or the copy nearest to it.
 Three rounds find all links that matter for classes: (1) each node with the best pivot of all its buckets; (2) where a node and a
-bucket's pivot are in different classes still, this pair; (3) buckets whose other members are in several classes still go to the
-tasks whole, in blocks of bounded size, and only the links found across classes come back. Pairs within a class, of which
+bucket's pivot are in different classes still, this pair; (3) what is left of buckets whose other members are in several classes
+still. Such a bucket of at most BLOCK members goes to one task, which gives the links found across classes. A larger one (texts that
+share a long passage and little else fill one) is dealt anew by an exact prefix filter (``prefixes``): every node stands under the
+rarest of its elements, so many that two nodes of enough similarity share one of them. Nodes whose elements are mostly their own, and
+groups in which no two sizes and shares allow a link, drop out before any pair is made; in what is left only members outside of
+a group's main class meet the others, in blocks of bounded size. Pairs within a class, of which
 a group of copies has a square number, are never made. So no pair that shares a bucket and lies in different classes stays
 unverified: no link is lost but those that no band holds (at similarity 0.8: (1 - 0.8^6)^28, 2 in 10,000).
 
@@ -21,7 +25,7 @@ Classes are contracted by hooking each root to its smallest neighbour and jumpin
 Links, components and signatures never reach the driver; only counts do.
 
 Defined results: null and empty texts, and texts without words, are in a class with equal texts only; texts under five
-words are one shingle; equal rows are in one class; a null doc_id takes part and never names a class unless all in it are
+words are one shingle; a very long text is read whole (its shingles are its own task's memory); equal rows are in one class; a null doc_id takes part and never names a class unless all in it are
 null; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
@@ -212,23 +216,21 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     two = bags.select(F.col("node").alias("b"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
 
     def start():
-        def bag(h: bytes, c: bytes):
-            return np.frombuffer(h, "<u8"), np.frombuffer(c, "<u4").astype(np.int64)
-
         def work(cols: dict) -> list[tuple]:
-            return [(a, b) for a, b, ha, ca, hb, cb in zip(*(cols[k] for k in ("a", "b", "ha", "ca", "hb", "cb"))) if similarity(bag(ha, ca), bag(hb, cb)) >= threshold]
+            return [(a, b) for a, b, ha, ca, hb, cb in zip(*(cols[k] for k in ("a", "b", "ha", "ca", "hb", "cb"))) if similarity(read_bag(ha, ca), read_bag(hb, cb)) >= threshold]
 
         return work
 
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "ca", "hb", "cb")
-    return map_rows(joined, "a long, b long", start)
+    return map_rows(joined, "a long, b long", start, batch=64)
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, row_key, node, n_shingles, class_id (the least doc_id of the class), class_node."""
+    """One row for each row of ``docs``: doc_id, row_key, node, n_shingles, class_id (the least doc_id of the class, its representative), class_rows, class_texts (different ones), class_node."""
     classed = classes(docs, threshold=threshold)
     # written first, so that the join has an exchange on either side and large classes can be split
-    names = settle(classed.groupBy("class_node").agg(F.min("doc_id").alias("class_id")), "names")
+    per_text = classed.groupBy("class_node", "node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    names = settle(per_text.groupBy("class_node").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_rows"), F.count(F.lit(1)).alias("class_texts")), "names")
     return classed.join(names, "class_node")
 
 
@@ -237,15 +239,15 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     signed = settle(sign_documents(docs), "signed")
     nodes = signed.where("size(bands) > 0").groupBy("node").agg(F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
     members = settle(nodes.select("node", "n", F.explode("bands").alias("bucket")), "buckets")
-    held = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    # tables of one row a bucket are written before they are joined, so that a bucket which holds a tenth of the rows can be split in the join
+    held = settle(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "held")
     shared = settle(members.join(held, "bucket"), "shared")
-    forget(members)
+    forget(members, held)
     company = settle(shared.groupBy("node").agg(F.min("n").alias("n"), F.sum("held").alias("company")), "company")
     known = shared.select("bucket", "node").join(company, "node")
-    # as with names: written first, so that a bucket which holds a tenth of the rows can be split in the join
     pivots = settle(known.groupBy("bucket").agg(F.max(F.struct("company", "node", "n")).alias("p")), "pivots")
     placed = settle(known.join(pivots, "bucket").select("bucket", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.company").alias("pc")), "placed")
-    forget(shared)
+    forget(shared, pivots)
 
     bags = settle(_bags(docs, signed, small(company.select("node"), company.count())), "bags")
     labels = settle(company.select("node", F.col("node").alias("root")), "labels")
@@ -265,48 +267,103 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     labels = merge(labels, settle(verified(more, bags, threshold), "edges"))
 
     # (3) buckets whose members other than the pivot are in several classes
-    others = placed.where("node != pivot").select("bucket", "node").join(labels, "node")
-    mixed = others.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo != hi").select("bucket", "held")
-    rest = settle(others.join(mixed, "bucket"), "mixed")
-    labels = merge(labels, settle(_across(rest, bags, threshold), "edges"))
+    others = placed.where("node != pivot").select(F.col("bucket").alias("key"), "node", "n").join(labels, "node")
+    rest = mixed_groups(others)
+    edges = _across(rest.where(F.col("held") <= BLOCK), bags, threshold)
+    if rest.where(F.col("held") > BLOCK).limit(1).count():
+        crowd = settle(rest.where(F.col("held") > BLOCK).select("node", "root", "n").distinct(), "crowd")
+        edges = edges.unionByName(_across(mixed_groups(prefixes(crowd, bags, threshold)), bags, threshold))
+    labels = merge(labels, settle(edges.distinct(), "edges"))
     forget(placed, rest, bags)
 
     return signed.select("doc_id", "row_key", "node", "n_shingles").join(labels, "node", "left").withColumn("class_node", F.coalesce("root", "node")).drop("root")
 
 
-#: Members of a bucket that one task holds at once are about twice this many.
-BUCKET_BLOCK = 256
+#: Members, and their elements, that a block of a group has at most, or about.
+BLOCK, BLOCK_ELEMENTS = 256, 500_000
+
+
+def mixed_groups(members: DataFrame) -> DataFrame:
+    """Members (key, node, n, root, ...) of the groups that have several roots, each with the group's size, its main root and the number of its blocks."""
+    per_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    groups = per_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("m").alias("held"), F.sum("n").alias("elements"), F.max_by("root", F.struct("m", "root")).alias("main")).where("roots > 1")
+    blocks = F.greatest(F.ceil(F.col("held") / BLOCK), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+    # written first, so that a group which holds a tenth of the rows can be split in the join
+    named = settle(groups.select("key", "held", "main", blocks.alias("blocks")), "groups")
+    return settle(members.join(named, "key"), "mixed")
+
+
+def prefixes(nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """(node, root, n) to (key, node, n, root): each node under its rarest elements.
+
+    Elements are the numbered copies of shingles, n of a node; their order is by how many of ``nodes`` have them. Nodes x and y of similarity t share
+    t n of x's n elements at least, so one of the first n - ceil(t n) + 1 of each is common to both. An element that one node alone has is no
+    key, but has its place in the order. With c elements that others have, too, the smaller of two similar nodes has c (1 + t) >= 2 t n:
+    groups without such a node are left out.
+    """
+    rows = bags.join(nodes.select("node"), "node").select("node", "hashes", "counts")
+
+    def start():
+        def work(cols: dict) -> list[tuple]:
+            return [(node, e) for node, h, c in zip(cols["node"], cols["hashes"], cols["counts"]) for e in elements(read_bag(h, c)).view(np.int64).tolist()]
+
+        return work
+
+    listed = settle(map_rows(rows, "node long, element long", start, batch=8), "elements")
+    common = settle(listed.groupBy("element").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "common")
+    kept = listed.join(common, "element").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "element"))).alias("es"))
+    least = F.ceil(threshold * F.col("n") - 1e-9)
+    c = F.size("es")
+    sized = kept.join(nodes, "node").where(c >= least).select("node", "root", "n", (c * (1 + threshold) >= 2 * threshold * F.col("n") - 1e-6).alias("lesser"), F.explode(F.slice("es", F.lit(1), (c + 1 - least).cast("int"))).alias("e"))
+    keyed = settle(sized.select(F.col("e.element").alias("key"), "node", "n", "root", "lesser"), "prefixes")
+    open_ = settle(keyed.groupBy("key").agg(F.bool_or("lesser").alias("any")).where("any").select("key"), "open")
+    out = keyed.join(open_, "key").select("key", "node", "n", "root")
+    forget(listed, common)
+    return out
+
+
+def read_bag(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(hashes, "<u8"), np.frombuffer(counts, "<u4").astype(np.int64)
 
 
 def _across(rest: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Links across classes in (bucket, node, root, held): each bucket is cut to blocks, each pair of blocks is one run of rows."""
-    blocks = F.ceil(F.col("held") / BUCKET_BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    spread = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    keyed = spread.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("run"), "node", "root").join(bags, "node")
+    """Links across classes in mixed groups. Members are dealt to blocks; those outside of the main class go to every block of their group and meet its members there."""
+    mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    probe = F.col("root") != F.col("main")
+    spread = rest.withColumn("mine", mine).withColumn("block", F.explode(F.when(probe, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))))
+    keyed = spread.select(F.xxhash64("key", "block").alias("run"), (F.col("block") == F.col("mine")).alias("home"), probe.alias("probe"), "node", "root").join(bags, "node")
     parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = keyed.select("run", "node", "root", "hashes", "counts").repartition(parts, "run").sortWithinPartitions("run")
+    # members at home come first, then the others pass by in slices: a task holds one block and one slice
+    rows = keyed.select("run", "home", "probe", "node", "root", "hashes", "counts").repartition(parts, "run").sortWithinPartitions("run", F.desc("home"))
 
     def links(batches):
         import pyarrow as pa
 
-        run, held = None, []
+        run, homes, probes, size = None, [], [], 0
 
         def close():
-            found = cross_links(held, threshold) if len({r for _, r, _ in held}) > 1 else []
+            found = cross_links(probes, homes, threshold) if probes else []
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for key, node, root, h, c in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if key != run:
-                    if held:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                for key, home, probe, node, root, h, c in zip(*(part.column(k).to_pylist() for k in range(7))):
+                    if probes and (key != run or not home and (len(probes) >= BLOCK or size > BLOCK_ELEMENTS)):
                         yield close()
-                    run, held = key, []
-                held.append((node, root, (np.frombuffer(h, "<u8"), np.frombuffer(c, "<u4").astype(np.int64))))
-        if held:
+                        probes, size = [], 0
+                    if key != run:
+                        run, homes, probes, size = key, [], [], 0
+                    member = (node, root, read_bag(h, c))
+                    if home:
+                        homes.append(member)
+                    if probe:
+                        probes.append(member)
+                        size += int(member[2][1].sum())
+        if probes:
             yield close()
 
-    return small_batches(rows).mapInArrow(links, "a long, b long").distinct()
+    return small_batches(rows).mapInArrow(links, "a long, b long")
 
 
 def elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -316,33 +373,35 @@ def elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return mix(np.repeat(values, counts) + k.astype(np.uint64) * GOLDEN)
 
 
-def cross_links(members: list[tuple[int, int, tuple[np.ndarray, np.ndarray]]], threshold: float) -> list[tuple[int, int]]:
-    """Links between members (node, root, bag) of different roots, one for each member and root at most."""
-    sets = [elements(b) for _, _, b in members]
+Member = tuple[int, int, tuple[np.ndarray, np.ndarray]]
+
+
+def cross_links(probes: list[Member], homes: list[Member], threshold: float) -> list[tuple[int, int]]:
+    """Links between probes and homes (node, root, bag) of different roots, one for each probe and root at most."""
+    sets = [elements(b) for _, _, b in probes + homes]
     sizes = np.array([len(x) for x in sets])
-    roots = np.array([r for _, r, _ in members])
-    names, n = np.unique(roots, return_counts=True)
-    minor = np.flatnonzero(roots != names[n.argmax()])
+    n = len(probes)
+    roots = np.array([r for _, r, _ in probes + homes])
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), sizes)
     # elements that one member alone has are in no overlap
     use = times[column] > 1
     kept, column = np.unique(column[use], return_inverse=True)
     row = row[use]
-    common = np.zeros((len(minor), len(sets)), np.float32)
+    common = np.zeros((n, len(homes)), np.float32)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     for at in range(0, len(kept), 4096):
         lo, hi = np.searchsorted(column, [at, at + 4096])
         x = np.zeros((len(sets), min(4096, len(kept) - at)), np.float32)
         x[row[lo:hi], column[lo:hi] - at] = 1
-        common += x[minor] @ x.T
-    near = common >= threshold * (sizes[minor][:, None] + sizes[None] - common) - 1e-6
-    near &= roots[minor][:, None] != roots[None]
+        common += x[:n] @ x[n:].T
+    near = common >= threshold * (sizes[:n][:, None] + sizes[n:][None] - common) - 1e-6
+    near &= roots[:n][:, None] != roots[n:][None]
     found = {}
     for i, j in zip(*np.nonzero(near)):
-        found.setdefault((int(minor[i]), int(roots[j])), int(j))
-    return [(members[i][0], members[j][0]) for (i, _), j in found.items()]
+        found.setdefault((int(i), int(roots[n + j])), int(j))
+    return [(probes[i][0], homes[j][0]) for (i, _), j in found.items()]
 
 
 def _bags(docs: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame:

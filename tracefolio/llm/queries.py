@@ -38,7 +38,7 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bag_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_shingles")
+    return bag_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows", "class_texts", "n_shingles")
 
 
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
