@@ -13,11 +13,11 @@ not with each other, and a candidate pair counts only if its exact weighted Jacc
 pivot is its node with the most company over all buckets: among edited copies of a text that is the text, or the copy nearest to it.
 Three rounds find all links that matter for classes: (1) each node with the best pivot of all its buckets; (2) where a node and a
 bucket's pivot are in different classes still, this pair; (3) what is left of buckets whose other members are in several classes
-still. Such a bucket of at most BLOCK members goes to one task, which gives the links found across classes. A larger one (texts that
-share a long passage and little else fill one) is dealt anew by an exact prefix filter (``prefixes``): every node stands under the
-rarest of its elements, so many that two nodes of enough similarity share one of them. Nodes whose elements are mostly their own, and
-groups in which no two sizes and shares allow a link, drop out before any pair is made; in what is left only members outside of
-a group's main class meet the others, in blocks of bounded size. Pairs within a class, of which
+still. Their members outside of the bucket's main class meet the others in blocks of bounded size, where that comes to no more than one copy
+of each member. A bucket with more strays than that (texts that share a long passage and little else fill one) is dealt anew by an exact
+prefix filter (``prefixes``): every node stands under the rarest of its elements, so many that two nodes of enough similarity
+share one of them. Nodes whose elements are mostly their own, and groups in which no two sizes and shares allow a link, drop out
+before any pair is made; what is left meets in blocks likewise. Pairs within a class, of which
 a group of copies has a square number, are never made. So no pair that shares a bucket and lies in different classes stays
 unverified: no link is lost but those that no band holds (at similarity 0.8: (1 - 0.8^6)^28, 2 in 10,000).
 
@@ -269,9 +269,10 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     # (3) buckets whose members other than the pivot are in several classes
     others = placed.where("node != pivot").select(F.col("bucket").alias("key"), "node", "n").join(labels, "node")
     rest = mixed_groups(others)
-    edges = _across(rest.where(F.col("held") <= BLOCK), bags, threshold)
-    if rest.where(F.col("held") > BLOCK).limit(1).count():
-        crowd = settle(rest.where(F.col("held") > BLOCK).select("node", "root", "n").distinct(), "crowd")
+    crowded = F.col("strays") * (F.col("blocks") - 1) > F.col("held")
+    edges = _across(rest.where(~crowded), bags, threshold)
+    if rest.where(crowded).limit(1).count():
+        crowd = settle(rest.where(crowded).select("node", "root", "n").distinct(), "crowd")
         edges = edges.unionByName(_across(mixed_groups(prefixes(crowd, bags, threshold)), bags, threshold))
     labels = merge(labels, settle(edges.distinct(), "edges"))
     forget(placed, rest, bags)
@@ -284,12 +285,12 @@ BLOCK, BLOCK_ELEMENTS = 256, 500_000
 
 
 def mixed_groups(members: DataFrame) -> DataFrame:
-    """Members (key, node, n, root, ...) of the groups that have several roots, each with the group's size, its main root and the number of its blocks."""
+    """Members (key, node, n, root) of the groups that have several roots, each with the group's size, its main root, how many members have another one, and the number of its blocks."""
     per_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
-    groups = per_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("m").alias("held"), F.sum("n").alias("elements"), F.max_by("root", F.struct("m", "root")).alias("main")).where("roots > 1")
+    groups = per_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("m").alias("held"), F.sum("n").alias("elements"), F.max(F.struct("m", "root")).alias("main")).where("roots > 1")
     blocks = F.greatest(F.ceil(F.col("held") / BLOCK), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")
     # written first, so that a group which holds a tenth of the rows can be split in the join
-    named = settle(groups.select("key", "held", "main", blocks.alias("blocks")), "groups")
+    named = settle(groups.select("key", "held", F.col("main.root").alias("main"), (F.col("held") - F.col("main.m")).alias("strays"), blocks.alias("blocks")), "groups")
     return settle(members.join(named, "key"), "mixed")
 
 
@@ -327,13 +328,17 @@ def read_bag(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _across(rest: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Links across classes in mixed groups. Members are dealt to blocks; those outside of the main class go to every block of their group and meet its members there."""
-    mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    probe = F.col("root") != F.col("main")
-    spread = rest.withColumn("mine", mine).withColumn("block", F.explode(F.when(probe, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))))
-    keyed = spread.select(F.xxhash64("key", "block").alias("run"), (F.col("block") == F.col("mine")).alias("home"), probe.alias("probe"), "node", "root").join(bags, "node")
+    """Links across classes in mixed groups. Members are dealt to blocks, strays (those outside of the main class) to slices, too; every block meets every slice."""
+    place = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), n).cast("int")
+    many = rest.withColumns({"block": place(1, F.col("blocks")), "slices": F.ceil(F.col("strays") / (4 * BLOCK)).cast("int")}).withColumn("slice", place(2, F.col("slices")))
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    stray = F.col("root") != F.col("main")
+    at_home = F.transform(up_to(F.col("slices")), lambda s: F.struct(F.col("block").alias("b"), s.alias("s"), F.lit(True).alias("home"), (stray & (s == F.col("slice"))).alias("probe")))
+    abroad = F.transform(F.filter(up_to(F.col("blocks")), lambda b: stray & (b != F.col("block"))), lambda b: F.struct(b.alias("b"), F.col("slice").alias("s"), F.lit(False).alias("home"), F.lit(True).alias("probe")))
+    spread = many.select("key", "node", "root", F.explode(F.concat(at_home, abroad)).alias("w"))
+    keyed = spread.select(F.xxhash64("key", "w.b", "w.s").alias("run"), "w.home", "w.probe", "node", "root").join(bags, "node")
     parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # members at home come first, then the others pass by in slices: a task holds one block and one slice
+    # members at home come first, then the others pass by: a task holds one block and BLOCK strays
     rows = keyed.select("run", "home", "probe", "node", "root", "hashes", "counts").repartition(parts, "run").sortWithinPartitions("run", F.desc("home"))
 
     def links(batches):
