@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from tracefolio.llm import pii_tagger, quality_forest, secret_ledger, toxicity_grammar
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
+Q = quality_forest
 
 
 @given(text=st.text(alphabet=" \t\n\x0b\x1fab#é|　", max_size=60))
@@ -46,6 +47,42 @@ def test_forest_finds_the_odd_one():
     assert f.length[tree, at] >= depth
 
 
+def test_verdicts_against_brute_force(spark):
+    """Sample, forest, threshold and verdicts made again from plain lists; path lengths by walking each tree."""
+    sf, Q = "/root/testdata/sf0.01", quality_forest
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    rows += [(rows[0][0], "another text of the same id"), (None, "no id " * 60)]
+    got = {(r["doc_id"], r["n_words"], r["word_chars"]): r for r in Q.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    least = {}
+    for d, t in rows:
+        least[d] = min(least.get(d, t), t)
+    known = {}
+    for r in labels.collect():
+        known[r["doc_id"]] = max(known.get(r["doc_id"], 0), r["quality"])
+    sample = sorted((d, known[d], Q.text_stats(least[d])) for d in known if d in least)
+    sample = [(q, s[1]) for _, q, s in sample if not Q.base_failed(s[0][0], s[0][4])]
+    v = Q.fit(np.array([s for _, s in sample]), np.array([q == 1 for q, _ in sample]))
+    for d, t in rows:
+        counts, stats = Q.text_stats(t)
+        total = 0.0
+        for k in range(Q.TREES):
+            at = 0
+            while v.forest.feature[k, at] >= 0:
+                at = v.forest.left[k, at] + int(stats[v.forest.feature[k, at]] >= v.forest.split[k, at])
+            total += v.forest.length[k, at]
+        anomaly = 2.0 ** (-total / Q.TREES / Q.mean_path(v.forest.size))
+        r = got[d, counts[0], counts[1]]
+        assert r["anomaly"] == pytest.approx(anomaly)
+        assert r["kept"] == (not r["base_failed"] and r["anomaly"] <= v.threshold) and r["base_failed"] == (counts[0] < 50 or 100 * counts[4] > 50 * counts[0])
+
+
+def test_repeated_lines_count():
+    usual, much = Q.text_stats("a line here\nother line\n" + "\n".join(f"line {k}" for k in range(8)))[1], Q.text_stats("a line here\n" * 9 + "other")[1]
+    k = Q.STATS.index("dup_lines")
+    assert usual[k] == 0 and much[k] == pytest.approx(0.5)
+
+
 def test_quality_on_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -97,6 +134,48 @@ def test_no_hit_is_cut_in_two():
         assert g.clauses("idiot" + " " * n + "idiot") == g.clauses("idiot idiot")
 
 
+def plain_score(model, text):
+    """A text's score from the rules as they are written in the module's text: no trie, no composed machine, all clauses read."""
+    lower = text.lower()
+    cuts = [0, *(x for m in G.CLAUSE.finditer(lower) for x in m.span()), len(lower)]
+    weights, hits = [], 0
+    for clause in (lower[a:b] for a, b in zip(cuts[::2], cuts[1::2])):
+        under, reported, target, harm, aimed, total, mine = 0, False, False, False, False, 0.0, 0
+        for word in G.WORD.findall(clause):
+            stem = next((word[:n] for n in range(len(word), 0, -1) if word[:n] in model.stems), None)
+            plain = word.replace("'", "")
+            if stem:
+                kind, weight = model.stems[stem]
+                if kind == G.THREAT and not target:
+                    weight *= 0.3
+                total += weight * (0.2 if under else 1) * (0.5 if reported else 1)
+                mine += 1
+                harm = True
+            target |= not stem and plain in G.TARGETS
+            if harm and target and not aimed:
+                aimed, total = True, total + 0.3
+            negated = not stem and plain not in G.TARGETS and plain in G.NEGATIONS
+            reported |= not stem and plain not in G.TARGETS and not negated and plain in G.REPORTS
+            under = 3 if negated else max(0, under - 1)
+        if mine:
+            weights.append(total)
+            hits += mine
+    if not weights:
+        return model.base
+    x = [1.0, np.log1p(sum(weights)), min(max(weights), 8.0), np.log1p(len(weights)), 100 * hits / max(50, text.count(" ") + 1) ** 0.75]
+    return 1 / (1 + np.exp(-np.clip(np.dot(x, model.coefficients), -30, 30)))
+
+
+def test_scores_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = G.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    off = [d for r in G.score_documents(docs, model).collect() if abs(r["score"] - plain_score(model, texts[d := r["doc_id"]] or "")) > 1e-9]
+    assert not off
+    assert G.score_documents(docs, model).where("score >= 0.3").count() > 20
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -234,3 +313,17 @@ def test_ledger_is_incremental(spark, tmp_path):
     assert got[("d", 1)] == ["assign"] and got[("c", 1)] == [] and len(got) == 5
     L.scan(spark.createDataFrame(rows, schema), paths=("path",), ledger=folder, rules=L.BASE).count()
     assert size() == 3  # another rule version has rows of its own
+
+
+def test_ledger_reads_no_blob_twice(spark, tmp_path):
+    """Two runs that overlapped have written the same blobs; a run that was not ended does not count."""
+    import shutil
+
+    folder, here = f"file://{tmp_path}/ledger", tmp_path / "ledger" / f"rule_version={L.rule_version(L.RULES)}"
+    rows = spark.createDataFrame([(1, "token = abcdef1"), (2, "x"), (3, "x")], "doc_id long, text string")
+    assert L.scan(rows, ledger=folder).count() == 3
+    (run,) = here.iterdir()
+    shutil.copytree(run, here / "run=again")
+    shutil.copytree(run, here / "run=broken")
+    (here / "run=broken" / "_SUCCESS").unlink()
+    assert L.scan(rows, ledger=folder).count() == 3 and L.read_ledger(spark, f"{folder}/{here.name}").count() == 2

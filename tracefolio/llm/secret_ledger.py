@@ -13,7 +13,7 @@ a blob that a third of all paths share costs one row a task. The join back is ke
 ledger's side; adaptive execution splits its large partitions.
 
 Defined results: a null text is an empty one; rows with equal paths are versions of their own and each gets a row; a blob without
-findings gives zeros, an empty ``spans`` and the hash of the empty string; an empty table gives no rows; columns of the
+findings gives zeros, an empty ``spans`` and the hash of the empty string; a very long text is scanned whole, by one task; an empty table gives no rows; columns of the
 history other than its path columns and ``text`` are ignored, whatever their names.
 """
 
@@ -27,7 +27,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracefolio.llm.common import shared_dir
+from tracefolio.llm.common import settle, shared_dir
 
 
 @dataclass(frozen=True)
@@ -101,16 +101,23 @@ def scan(history: DataFrame, *, paths: tuple[str, ...] = ("doc_id",), ledger: st
     blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
     known = read_ledger(spark, here)
     pending = blobs.join(known.select("blob"), "blob", "left_anti") if known is not None else blobs
-    scan_blobs(pending, rules).write.mode("append").parquet(here)
+    scan_blobs(pending, rules).write.parquet(f"{here}/run={uuid.uuid4().hex}")
     return versions.drop("text").join(read_ledger(spark, here), "blob")
 
 
 def read_ledger(spark, folder: str) -> DataFrame | None:
-    """What has been scanned under one rule version; None if nothing has."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    """What has been scanned under one rule version, each blob once; None if nothing has.
+
+    Every run has a folder of its own, and counts from when Spark's committer has ended it. Runs that overlapped, or one that was
+    done again after a failure behind its commit, may both have a blob: with more than one run the ledger is written anew without repeats.
+    """
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(f"{folder}/run=*/_SUCCESS")
+    done = [str(f.getPath().getParent()) for f in p.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(p) or []]
+    if not done:
         return None
-    return spark.read.schema("blob string, findings array<struct<start:bigint,rank:int,kind:string,end:bigint>>").parquet(folder)
+    found = spark.read.schema("blob string, findings array<struct<start:bigint,rank:int,kind:string,end:bigint>>").parquet(*done)
+    return found if len(done) == 1 else settle(found.dropDuplicates(["blob"]), "ledger")
 
 
 def listed(findings: Column) -> Column:

@@ -18,7 +18,8 @@ ones by a hash of doc_id, near copies counted once); threats, targets, negations
 model is fitted on the same sample and its intercept is set to the labels' true ratio. Labels of held-out rows are never read.
 
 Texts are read whole, where they lie; no row is moved. Defined results: null and empty texts have no clause and get the score of
-a document without matches; with no labels, or labels of one kind, only the fixed threats match and fixed coefficients are
+a document without matches; a very long text, or clause, is read as any other; of rows that share a doc_id the least text is learned from, and all are
+scored; columns besides doc_id and text are ignored, whatever their names; with no labels, or labels of one kind, only the fixed threats match and fixed coefficients are
 used; labels that are null, repeated (the larger one counts) or of unknown documents do no harm; every row gives a row.
 """
 
@@ -263,7 +264,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model()
     picked = [(r["doc_id"], int(r["toxic"])) for k in counts for r in known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     chosen = spark.createDataFrame(picked, "label_id long, toxic int")
-    rows = settle(doc_texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic"), "labelled").coalesce(16)
+    labelled = doc_texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    # of rows with one doc_id the least text counts, so no more rows than labels are learned from; for these a few tasks are enough
+    rows = settle(labelled.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic"), "labelled").coalesce(16)
 
     def sign():
         def work(cols: dict) -> list[tuple]:
