@@ -9,8 +9,9 @@ only until the table's entries agree with the old ones over a full token's lengt
 Compatibility is decided from the merges by undoing them: starting with a pair of tokens, no merge across the boundary
 may have come before the merges that built both sides.
 
-Texts are first cut by the pattern; each distinct piece is encoded once a worker (a bounded memo). Decoding joins the
-tokens' bytes. Defined results: a null text is an empty one (no tokens); every row gives one row, repeated ones too; no
+Texts are first cut by the pattern; each distinct piece is encoded once a worker (a memo bounded in pieces and in their length). Decoding joins the
+tokens' bytes. Defined results: a null text is an empty one (no tokens); a very long text is encoded whole, piece by piece, and a very long piece
+(a run of letters without end) costs time and memory in proportion to its bytes; every row gives one row, repeated ones too; no
 row is moved between tasks, so skew in any column does not matter; an empty table gives no rows.
 """
 
@@ -23,7 +24,7 @@ from struct import pack
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tracefolio.llm.common import claim, doc_texts, map_rows, tokenizer_path
+from tracefolio.llm.common import KEPT_CHARS, claim, doc_texts, map_rows, tokenizer_path
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -190,7 +191,9 @@ class Memo(dict):
             self.heads.clear()
         raw = piece.encode()
         token = self.vocabulary.usable.get(raw)
-        packed = self[piece] = (pack("<I", token) if token is not None else self.table(raw).packed())
+        packed = pack("<I", token) if token is not None else self.table(raw).packed()
+        if len(piece) <= KEPT_CHARS:
+            self[piece] = packed
         return packed
 
     def table(self, raw: bytes) -> Prefix:

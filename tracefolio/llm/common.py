@@ -22,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (local tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where it is unset and there is but one machine."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tracefolio-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -56,6 +58,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def in_order(rows: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, text) in ``parts`` ranges, each in order of doc_id, the text's hash and text. The hash is in the range key, so rows of one doc_id, or of none, may lie in many tasks; keys that the driver samples stay short."""
+    hashed = rows.withColumn("__h", F.xxhash64("text"))
+    return hashed.repartitionByRange(parts, "doc_id", "__h").sortWithinPartitions("doc_id", "__h", "text").drop("__h")
+
+
 def doc_texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty), and the columns named."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
@@ -73,14 +81,16 @@ def claim(name: str, empty: Callable[[], None]) -> None:
     _KEPT[name] = empty
 
 
-#: Rows of an Arrow batch, at most: texts are long, and a batch lies in the JVM and in Python at once.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch, at most: texts and images are long, and a batch lies in the JVM and in Python at once.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches have no more than ARROW_ROWS rows and ARROW_BYTES bytes. Spark has no such setting for one plan, so the session's is lowered, and stays so."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        if not 0 < int((conf.get(key, None) or "0").rstrip("b")) <= most:
+            conf.set(key, most)
     return df
 
 
@@ -129,8 +139,12 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 CONTRACTED = "'(?:[stmd]|re|ve|ll)"
 
 
+#: Longer pieces are not kept by memos.
+KEPT_CHARS = 64
+
+
 class PieceMemo(dict):
-    """Piece to packed ids, each piece encoded once by the library's model. It is emptied when full, so its memory is bounded."""
+    """Piece to packed ids, each piece encoded once by the library's model. It is emptied when full and keeps no long pieces, so its memory is bounded."""
 
     def __init__(self, model, most: int = 300_000):
         super().__init__()
@@ -140,7 +154,9 @@ class PieceMemo(dict):
         if len(self) >= self.most:
             self.clear()
         ids = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
-        packed = self[piece] = np.array([t.id for t in ids], "<u2").tobytes()
+        packed = np.array([t.id for t in ids], "<u2").tobytes()
+        if len(piece) <= KEPT_CHARS:
+            self[piece] = packed
         return packed
 
 

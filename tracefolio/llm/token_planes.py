@@ -12,10 +12,12 @@ bit k, packed eight to a byte) of every id - and each plane is compressed with z
 a reader opens only the blocks it needs (``read_ids``).
 
 Segments are the rows of a Parquet table in the shared folder, written by Spark's committer: a task that is lost is
-written again, never twice. Texts are moved once (a range exchange on doc_id); ids never are.
+written again, never twice. Texts are moved once (a range exchange on doc_id and the text's hash, so that one doc_id, or
+rows without one, may hold any share of the table); ids never are.
 
 Defined results: a null text is an empty one and gives the end id alone; a null doc_id sorts first; rows with equal
-doc_id are ordered by text; equal rows each get their own place; an empty table gives no rows; other columns are ignored.
+doc_id are ordered by the text's hash, then by text; equal rows each get their own place; a very long text is encoded whole and
+makes a segment as long as it is; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefolio.llm.common import doc_texts, fast_tokenizer, map_rows, settle, small, small_batches, tokenizer_path
+from tracefolio.llm.common import doc_texts, fast_tokenizer, in_order, map_rows, settle, small, small_batches, tokenizer_path
 
 MAGIC = b"TPL1"
 HEAD = struct.Struct("<4sBBHIIQI")
 BLOCK = 1 << 16
-SEGMENT_IDS = 2_000_000
+#: Ids after which a segment is closed: images stay under a megabyte, for readers hold several at once.
+SEGMENT_IDS = 1 << 19
 END_ID = 0
 NULL_ID = -(1 << 63)
 
@@ -142,15 +145,20 @@ def write_store(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, block:
             yield flush()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = doc_texts(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = in_order(doc_texts(docs), parts)
     return settle(small_batches(ordered).mapInArrow(encode, "part int, seg int, n_docs long, n_ids long, image binary"), "planes")
 
 
 def read_store(store: DataFrame) -> DataFrame:
     """Every document of a store, from its images: doc_id, start, n_tokens, ids_crc32, segment."""
     sizes = store.select("part", "seg", "n_ids")
-    before = Window.orderBy("part", "seg").rowsBetween(Window.unboundedPreceding, -1)
-    index = sizes.select("part", "seg", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("base"))
+    # one row a part is summed up in one task; segments are summed up within their part
+    per_part = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = per_part.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inner = Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    index = sizes.withColumn("within", F.coalesce(F.sum("n_ids").over(inner), F.lit(0))).join(small(parts, per_part.count()), F.col("part") == F.col("p"))
+    index = index.select("part", "seg", (F.col("first") + F.col("within")).cast("long").alias("base"))
     placed = store.select("part", "seg", "image").join(small(index, sizes.count()), ["part", "seg"])
 
     def start():
