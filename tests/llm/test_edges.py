@@ -19,6 +19,8 @@ ROWS = [
     (5, LONG, "en", "s", len(LONG), 1, 1, "x", "b", "a", "r", "d", "k", "q"),
     (6, "é中文😀\x00 ÀÉ <|endoftext|> 😀 mail me@example.com, 10.0.0.1 İ", "fr", "s", 9, 1, 1, "x", "b", "a", "r", "d", "k", "q"),
 ]
+#: The tool of the messages below.
+TOOLS = {"reply": {"text": "string", "turn": "integer"}}
 LABELS = [(1, 1, 0), (5, 0, 1), (None, 1, 1), (6, None, None), (99, 1, 0), (5, 0, 1)]
 
 
@@ -82,8 +84,8 @@ def test_mask_keeps_null_and_counts(docs):
 def test_messages_with_nulls(spark):
     rows = [(1, 0, "user", "plain"), (1, None, None, None), (None, 1, "assistant", '{"tool_calls":[{"id":"a","name":"reply","arguments":"{\\"text\\":\\"x\\",\\"turn\\":1}"}]}'), (None, 2, "tool", '{"tool_call_id":"a","content":"r"}'), (2, 0, "user", "{broken"), (2, 0, "user", "{broken")]
     m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("kind", F.lit("clash")).withColumn("owner", F.lit(1))
-    got = tool_calls.link(tool_calls.messages_to_items(m), tool_calls.REPLY).collect()
+    got = tool_calls.link(tool_calls.messages_to_items(m), TOOLS).collect()
     assert len(got) == len(rows)
     assert [r["linked"] for r in got if r["conv_id"] is None] == [False, False]
     assert sum(r["kind"] == "message" and r["conv_id"] == 2 for r in got) == 2
-    assert tool_calls.link(tool_calls.messages_to_items(m.limit(0)), tool_calls.REPLY).count() == 0
+    assert tool_calls.link(tool_calls.messages_to_items(m.limit(0)), TOOLS).count() == 0

@@ -72,8 +72,9 @@ def test_links_orders_and_checks(spark):
         (2, 0, "tool", json.dumps({"tool_call_id": "x", "content": "of another conversation"})),
     ]
     out = T.link(T.messages_to_items(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), SCHEMAS)
-    got = out.where("conv_id = 1").orderBy("anchor_turn", "step", "item").collect()
-    assert [(r["kind"], r["call_id"]) for r in got[:6]] == [("message", None), ("message", None), ("call", "x"), ("call", "y"), ("result", "x"), ("result", "y")]
+    got = out.where("conv_id = 1").orderBy(*T.ORDER).collect()
+    assert [(r["kind"], r["call_id"]) for r in got[:6]] == [("message", None), ("message", None), ("call", "x"), ("result", "x"), ("call", "y"), ("result", "y")]
+    assert [r["json"] for r in T.transcript(out.where("conv_id = 1")).collect()] == [r["json"] for r in got]
     by = {(r["kind"], r["call_id"], r["turn"]): r for r in got}
     assert by["call", "x", 1]["linked"] and by["call", "x", 1]["errors"] == [] and by["result", "x", 5]["linked"]
     assert by["call", "x", 1]["json"] == '{"arguments":{"a":1,"b":2},"id":"x","name":"add","turn":1,"type":"call"}'
@@ -88,5 +89,19 @@ def test_links_orders_and_checks(spark):
 
 def test_no_python_on_the_way(spark, sf):
     c = spark.read.parquet(f"{sf}/conversations.parquet")
-    plan = T.link(T.messages_to_items(T.replies_as_calls(c)), T.REPLY)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+    df = T.link(T.messages_to_items(T.replies_as_calls(c)), T.TOOLS)
+    plan = df._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    by = {k: n for k, n in df.groupBy("kind").count().collect()}
+    users = c.where("role = 'user'").count()
+    assert by["call"] == 3 * users and df.where("duplicate").count() > 0 and df.where("size(errors) > 0").count() > 0
+    assert df.where("kind = 'result' and linked").count() > 0 and df.where("kind = 'result' and not linked").count() > 0
+
+
+def test_long_and_tied_messages(spark):
+    big = "x" * 300_000
+    rows = [(1, 0, "assistant", call(("a", "add", json.dumps({"a": 1, "b": 2, "note": big}))))] * 3 + [(1, 1, "tool", json.dumps({"tool_call_id": "a", "content": big}))] * 2
+    got = T.link(T.messages_to_items(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), SCHEMAS).collect()
+    assert len(got) == 5 and all(r["linked"] for r in got if r["kind"] == "result")
+    assert {len(r["json"]) > 300_000 for r in got} == {True} and all(r["errors"] == [] for r in got)
+    assert not any(r["duplicate"] for r in got)  # rows that are equal can't be told apart: each is the first

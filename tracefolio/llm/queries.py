@@ -43,8 +43,9 @@ def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = tool_calls.messages_to_items(tool_calls.replies_as_calls(table(spark, sf_dir, "conversations")))
-    linked = tool_calls.link(items, tool_calls.REPLY)
-    return linked.select("conv_id", "turn", "role", "kind", "call_id", "linked", F.size("errors").cast("long").alias("n_errors"), "anchor_turn", F.col("step").cast("long").alias("step"), "json")
+    linked = tool_calls.link(items, tool_calls.TOOLS)
+    errors = F.array_join("errors", "; ").alias("errors")
+    return linked.select("conv_id", "turn", "role", "kind", "call_id", "linked", "duplicate", errors, "anchor_turn", F.col("item").cast("long").alias("item"), F.col("step").cast("long").alias("step"), "json")
 
 
 def op9_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,22 +67,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 TOOL_CALLS_SQL = """
-WITH t AS (SELECT conv_id, turn, role, text, CAST(conv_id AS VARCHAR) || '-' AS c FROM conversations),
-calls AS (SELECT conv_id, turn, count(*) AS n FROM t WHERE role = 'user' GROUP BY ALL),
-answers AS (SELECT conv_id, turn - 1 AS turn, count(*) AS n FROM t WHERE role = 'assistant' GROUP BY ALL)
-SELECT t.conv_id, t.turn, t.role,
-  CASE t.role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-  CASE t.role WHEN 'user' THEN c || t.turn WHEN 'assistant' THEN c || (t.turn - 1) END AS call_id,
-  CASE t.role WHEN 'user' THEN answers.n IS NOT NULL WHEN 'assistant' THEN calls.n IS NOT NULL END AS linked,
-  CAST(0 AS BIGINT) AS n_errors,
-  CASE WHEN t.role = 'assistant' AND calls.n IS NOT NULL THEN t.turn - 1 ELSE t.turn END AS anchor_turn,
-  CAST(CASE t.role WHEN 'user' THEN 1 WHEN 'assistant' THEN CASE WHEN calls.n IS NOT NULL THEN 2 ELSE 3 END ELSE 0 END AS BIGINT) AS step,
-  CASE t.role
-    WHEN 'user' THEN '{"arguments":{"text":' || to_json(text) || ',"turn":' || t.turn || '},"id":"' || c || t.turn || '","name":"reply","turn":' || t.turn || ',"type":"call"}'
-    WHEN 'assistant' THEN '{"content":' || to_json(text) || ',"id":"' || c || (t.turn - 1) || '","turn":' || t.turn || ',"type":"result"}'
-    ELSE '{"content":' || to_json(text) || ',"role":"' || t.role || '","turn":' || t.turn || ',"type":"message"}' END AS json
-FROM t LEFT JOIN calls ON t.role = 'assistant' AND calls.conv_id = t.conv_id AND calls.turn = t.turn - 1
-LEFT JOIN answers ON t.role = 'user' AND answers.conv_id = t.conv_id AND answers.turn = t.turn
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, coalesce(CAST(conv_id AS VARCHAR), 'null') AS c FROM conversations),
+i AS (
+  SELECT conv_id, turn, role, 'message' AS kind, NULL AS call_id, NULL AS name, -1 AS item, text, NULL AS args, '' AS errors FROM t WHERE role = 'user'
+  UNION ALL SELECT conv_id, turn, role, 'call', c || '-' || turn, 'reply', 0, NULL, '{"text":' || to_json(text) || ',"turn":' || turn || '}', '' FROM t WHERE role = 'user'
+  UNION ALL SELECT conv_id, turn, role, 'call', c || '-n-' || turn, 'note', 1, NULL,
+    '{' || concat_ws(',', CASE WHEN n % 7 = 0 THEN '"other":1' END, CASE WHEN n % 5 <> 0 THEN '"size":' || CASE WHEN n % 3 = 0 THEN '"' || n || '"' ELSE CAST(n AS VARCHAR) END END) || '}',
+    concat_ws('; ', CASE WHEN n % 5 = 0 THEN 'missing size' WHEN n % 3 = 0 THEN 'size is not integer' END, CASE WHEN n % 7 = 0 THEN 'unknown argument' END) FROM t WHERE role = 'user'
+  UNION ALL SELECT conv_id, turn, role, 'call', c || '-s-' || (n % 4), 'note', 2, NULL, '{"size":' || n || '}', '' FROM t WHERE role = 'user'
+  UNION ALL SELECT conv_id, turn, role, 'result', CASE role WHEN 'assistant' THEN c || '-' || (turn - 1) ELSE c || '-n-' || turn END, NULL, NULL, text, NULL, '' FROM t WHERE role <> 'user'),
+o AS (SELECT conv_id AS o_conv, call_id AS o_call, min(turn * 10 + item) AS owner FROM i WHERE kind = 'call' GROUP BY ALL),
+r AS (SELECT conv_id AS r_conv, call_id AS r_call, count(*) AS answers FROM i WHERE kind = 'result' GROUP BY ALL)
+SELECT conv_id, turn, role, kind, call_id,
+  CASE kind WHEN 'call' THEN owner = turn * 10 + item AND answers IS NOT NULL WHEN 'result' THEN owner IS NOT NULL END AS linked,
+  kind = 'call' AND owner <> turn * 10 + item AS duplicate, errors,
+  CASE WHEN kind = 'result' AND owner IS NOT NULL THEN owner // 10 ELSE turn END AS anchor_turn,
+  CAST(CASE WHEN kind <> 'result' THEN item WHEN owner IS NOT NULL THEN owner % 10 ELSE 2147483647 END AS BIGINT) AS item,
+  CAST(CASE kind WHEN 'call' THEN 1 WHEN 'result' THEN CASE WHEN owner IS NOT NULL THEN 2 ELSE 3 END ELSE 0 END AS BIGINT) AS step,
+  CASE kind
+    WHEN 'call' THEN '{"arguments":' || args || ',"id":"' || call_id || '","name":"' || name || '","turn":' || turn || ',"type":"call"}'
+    WHEN 'result' THEN '{"content":' || to_json(text) || ',"id":"' || call_id || '","turn":' || turn || ',"type":"result"}'
+    ELSE '{"content":' || to_json(text) || ',"role":"' || role || '","turn":' || turn || ',"type":"message"}' END AS json
+FROM i LEFT JOIN o ON conv_id = o_conv AND call_id = o_call LEFT JOIN r ON conv_id = r_conv AND call_id = r_call
 """
 
 ORACLES: dict[str, str] = {"op6_secret_ledger": secret_ledger.oracle(), "op8_tool_calls": TOOL_CALLS_SQL}
