@@ -33,9 +33,107 @@ def test_resynchronises_after_damage():
     hurt[good.offsets[5] + 1] ^= 0xFF  # a header
     hurt[good.offsets[9] + 10] ^= 0x55  # side information: the checksum fails
     s = M.parse(bytes(hurt))
-    assert s.frames == good.frames - 2 and s.skipped and set(s.offsets) == set(good.offsets) - {good.offsets[5], good.offsets[9]}
+    # the frame without a header is gone; the one with a wrong checksum is there and named
+    assert s.frames == good.frames - 1 and s.skipped and set(s.offsets) == set(good.offsets) - {good.offsets[5]}
+    assert s.bad_checksums == 1 and s.offsets[s.bad[0]] == good.offsets[9] and s.samples == good.samples - 1152
     cut = M.parse(media[: good.offsets[4]] + b"\xff\xfa junk" * 3 + media[good.offsets[4] :])
-    assert cut.payload() == payload and cut.skipped == 21
+    assert cut.payload() == payload and cut.skipped == 21 and not cut.bad_checksums
+
+
+def frames(version, n, kbits_index=4, rate_index=0, mono=False, protected=False, padding=(0,), body=b"", sound=lambda k: b"\x55"):
+    """Frames by the format's arithmetic alone, with side information that is not empty."""
+    low = version != 3
+    kbits = (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)[kbits_index - 1] if low else (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)[kbits_index - 1]
+    rate = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}[version][rate_index]
+    side = {(False, False): 32, (False, True): 17, (True, False): 17, (True, True): 9}[low, mono]
+    out = []
+    for k in range(n):
+        pad = padding[k % len(padding)]
+        size = (72 if low else 144) * kbits * 1000 // rate + pad
+        head = bytes([0xFF, 0xE0 | version << 3 | 2 | (not protected), kbits_index << 4 | rate_index << 2 | pad << 1, 0xC0 if mono else 0x40])
+        info = bytes((k + j) % 251 for j in range(side))
+        crc = M.crc16(head[2:] + info).to_bytes(2, "big") if protected else b""
+        rest = size - 4 - len(crc) - side
+        out.append(head + crc + info + (body if not k else b"").ljust(rest, sound(k))[:rest])
+    return out, rate, 576 if low else 1152
+
+
+@pytest.mark.parametrize("version,rate_index,mono,protected", [(3, 0, False, False), (3, 2, True, True), (2, 0, False, False), (2, 1, True, True), (0, 0, True, False), (0, 2, False, True)])
+def test_streams_of_other_writers(version, rate_index, mono, protected):
+    made, rate, samples = frames(version, 12, 5, rate_index, mono, protected, padding=(0, 1, 1))
+    raw = b"".join(made)
+    s = M.parse(raw)
+    assert s.frames == 12 and s.samples == 12 * samples and s.rate == rate and not s.skipped and not s.bad_checksums
+    assert s.offsets == [sum(map(len, made[:k])) for k in range(12)] and s.duration == Fraction(12 * samples, rate)
+    assert M.seek(s, Fraction(5 * samples, rate)) == s.offsets[5]
+    junk = b"\x00\xff\xfb\x00junk\xff"
+    s = M.parse(junk + b"".join(made[:6]) + junk + b"".join(made[6:]))
+    assert s.frames == 12 and s.skipped == 2 * len(junk) and not s.bad_checksums
+
+
+def test_wrong_checksums_are_counted_and_not_lost():
+    made, rate, _ = frames(3, 10, 5, 1, True, True)
+    for k in (3, 7):
+        f = bytearray(made[k])
+        f[4] ^= 0x10
+        made[k] = bytes(f)
+    s = M.parse(b"".join(made))
+    assert s.frames == 10 and s.bad == [3, 7] and not s.skipped and s.duration == Fraction(11520, rate)
+
+
+def test_a_vbri_table():
+    import struct
+
+    plain, rate, samples = frames(3, 8, 9, 0)
+    jumps = [len(plain[k]) for k in range(8)]
+    table = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, sum(jumps), 8, 8, 1, 2, 1) + b"".join(struct.pack(">H", j) for j in jumps)
+    lead = bytearray(frames(3, 1, 9, 0)[0][0])
+    lead[36 : 36 + len(table)] = table
+    s = M.parse(bytes(lead) + b"".join(plain))
+    assert s.table_frames == s.frames == 8 and s.table_bytes == sum(jumps) and s.points[-1] == sum(jumps) and s.offsets[0] == len(lead)
+
+
+def test_an_encoders_delay():
+    import struct
+
+    plain, rate, _ = frames(3, 8, 9, 0)
+    table = b"Info" + struct.pack(">I", 0x0F) + struct.pack(">II", 8, sum(map(len, plain))) + bytes(100) + bytes(4) + b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    s = M.parse(frames(3, 1, 9, 0, body=table)[0][0] + b"".join(plain))
+    assert (s.delay, s.padding) == (576, 1000) and s.duration == Fraction(8 * 1152 - 1576, rate) and s.frames == s.table_frames == 8
+
+
+def test_tags_of_all_kinds():
+    import struct
+
+    made = b"".join(frames(3, 5)[0])
+    sync = lambda n: bytes(n >> k & 0x7F for k in (21, 14, 7, 0))
+    long = "x" * 400
+    v3 = b"".join(n + struct.pack(">I", len(b)) + b"\x00\x00" + b for n, b in ((b"TXXX", b"\x00long\x00" + long.encode()), (b"TIT2", b"\x01" + "é名".encode("utf-16")), (b"APIC", bytes(300)), (b"TPE1", b"\x00me")))
+    v2 = b"TT2" + (4).to_bytes(3, "big") + b"\x00old"
+    v4 = b"TCON" + sync(3) + b"\x00\x00" + b"\x03ab"
+    tags = b"ID3\x03\x00\x00" + sync(len(v3)) + v3 + b"ID3\x02\x00\x00" + sync(len(v2)) + v2 + b"ID3\x04\x00\x10" + sync(len(v4)) + v4 + b"3DI" + bytes(7)
+    s = M.parse(tags + made)
+    assert s.tags == {"long": long, "TIT2": "é名", "TPE1": "me", "TT2": "old", "TCON": "ab"} and s.frames == 5 and s.offsets[0] == len(tags) and not s.skipped
+    item = struct.pack("<II", 3, 0) + b"Album\x00one"
+    ape = item + b"APETAGEX" + struct.pack("<IIII", 2000, len(item) + 32, 1, 0) + bytes(8)
+    v1 = b"TAG" + b"a title".ljust(30, b"\x00") + b"who".ljust(30, b"\x00") + bytes(65)
+    s = M.parse(made + ape + v1)
+    assert s.tags == {"TIT2": "a title", "TPE1": "who", "Album": "one"} and s.frames == 5 and not s.skipped
+
+
+def test_feature_against_the_format(spark, sf):
+    """Frames, duration and offsets worked out from the payload's length alone."""
+    room = 960 - 23
+    for r in M.media_column(spark.read.parquet(f"{sf}/documents.parquet")).collect():
+        full, rest = divmod(r["payload_bytes"], room)
+        sizes = [960] * full + ([next(k for k in (96, 120, 144, 168, 192, 240, 288, 336, 384, 480, 576, 672, 768, 960) if k - 23 >= rest)] if rest else [])
+        first = r["media_bytes"] - sum(sizes)
+        offsets = [first + sum(sizes[:k]) for k in range(len(sizes))]
+        d = Fraction(1152 * len(sizes), 48000)
+        kbits = ",".join(map(str, sorted({z // 3 for z in sizes})))
+        crc = zlib.crc32(b"".join(o.to_bytes(4, "little") for o in offsets))
+        assert r["offsets"] == offsets and r["duration"] == f"{d.numerator}/{d.denominator}"
+        assert r["feature"] == f"frames={len(sizes)};samples={1152 * len(sizes)};duration={r['duration']};kbits={kbits};offsets_crc32={crc}"
 
 
 def test_seek():
