@@ -34,13 +34,20 @@ def labels(spark):
     return spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
 
 
+@pytest.fixture(scope="module", autouse=True)
+def tagger(spark):
+    global TAGGER
+    TAGGER = pii_tagger.train_tagger(spark.createDataFrame([(k, f"me{k}@example.com or +1 (555) 555-010{k % 10} and words of text {k}") for k in range(40)], "doc_id long, text string"))
+
+
+TAGGER = None
 OPERATORS = {
     "quality": lambda d, k: quality_forest.quality_verdicts(d, k),
     "quality_filter": lambda d, k: quality_forest.keep_documents(d, k),
     "planes": lambda d, k: token_planes.token_planes(d),
     "packing": lambda d, k: packing.pack_documents(d),
-    "pii": lambda d, k: pii_tagger.find_pii(d, None),
-    "pii_mask": lambda d, k: pii_tagger.mask_documents(d, None),
+    "pii": lambda d, k: pii_tagger.find_pii(d, TAGGER),
+    "pii_mask": lambda d, k: pii_tagger.mask_documents(d, TAGGER),
     "toxicity": lambda d, k: toxicity_grammar.score_documents(d, toxicity_grammar.train(d, k)),
     "toxicity_filter": lambda d, k: toxicity_grammar.keep_civil(d, toxicity_grammar.train(d, k)),
     "secrets": lambda d, k: secret_ledger.digest(secret_ledger.scan(d)),

@@ -268,6 +268,76 @@ def test_tagger_learns_and_reconciles():
     assert set(base) <= set(every) and len(base) == 2
 
 
+@pytest.fixture(scope="module")
+def tagger(spark):
+    return P.train_tagger(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_added_spans_on_held_out_windows(spark, tagger):
+    """New values in windows that training has not seen; spellings that it was trained on, and others."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id >= 1000 and doc_id < 1800").collect()]
+    windows = [t[len(t) // 3 :][: P.WINDOW] for t in texts]
+    odd, unseen = P.evaluate(tagger, windows, P.ODD), P.evaluate(tagger, windows, P.UNSEEN)
+    assert all(precision >= 0.9 for precision, _ in [*odd.values(), *unseen.values()]), (odd, unseen)
+    assert all(recall >= 0.7 for _, recall in odd.values()), odd
+    assert np.mean([recall for _, recall in unseen.values()]) >= 0.5, unseen
+
+
+def test_nothing_is_added_to_prose_and_ids(tagger):
+    for text in ("order 4111111111111112 of 12 items", "version 1.2.3.400 at noon", "we met at the dot. Com was not there", "1234567890123456 7654321", "look at it. The dot is at 12.30"):
+        base, every = P.all_spans(tagger, [text])[0]
+        assert every == base, (text, every)
+
+
+def test_find_pii_against_brute_force(spark, tagger):
+    """Each text by itself, with the base rules as written and one undivided pass over each region."""
+    import hashlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(-1, "write to jo at mail dot example dot org or (020) 555-0182, host 10[.]0[.]0[.]7, card 4111.1111.1111.1111")]
+    got = {r["doc_id"]: r for r in P.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), tagger).collect()}
+    for d, t in rows:
+        base = plain_spans(t)
+        every = set(base)
+        for a, b in P.regions(t):
+            ids = P.char_ids(t[a:b])
+            total, weight = np.zeros((len(ids), P.TAGS), np.float32), np.zeros(len(ids), np.float32)
+            for k in range(0, max(1, len(ids) - P.WINDOW + P.STRIDE), P.STRIDE):
+                x = np.zeros((1, P.WINDOW), np.int64)
+                n = len(ids[k : k + P.WINDOW])
+                x[0, :n] = ids[k : k + P.WINDOW]
+                total[k : k + n] += tagger.scores(x)[0, :n] * P.EDGE[:n, None]
+                weight[k : k + n] += P.EDGE[:n]
+            tags = P.viterbi((total / weight[:, None])[None], np.array([len(ids)]), tagger.w[6])[0]
+            for kind, x, y in P.tagged_spans(tags):
+                x, y = P.snapped(kind, t, a + x, a + y)
+                if P.plausible(kind, t[x:y]) and not any(x < q and p < y for _, p, q in base):
+                    every.add((kind, x, y))
+        r = got[d]
+        assert r["base_sha256"] == hashlib.sha256(P.listed(base).encode()).hexdigest()
+        assert r["spans"] == P.listed(sorted(every)) and [r[f"n_{k}"] for k in P.KINDS] == [sum(b[0] == i for b in base) for i in range(4)]
+    assert "ip:64:78" in got[-1]["spans"] and "phone:43:57" in got[-1]["spans"]
+
+
+def test_one_region_is_decoded_as_many(tagger):
+    rng = np.random.default_rng(8)
+    s = rng.normal(size=(3, 700, P.TAGS)).astype(np.float32)
+    many = P.viterbi(s, np.array([700, 700, 700]), tagger.w[6])
+    assert all((P.viterbi_one(s[k], tagger.w[6]) == many[k]).all() for k in range(3))
+
+
+def test_long_regions_take_little_memory(tagger):
+    """A million digits beside many short regions."""
+    import tracemalloc
+
+    texts = ["1 2" * 333_334] + ["call 555 now"] * 300
+    tracemalloc.start()
+    spans = P.all_spans(tagger, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(spans) == 301 and peak < 300e6
+
+
 def test_mask():
     assert P.mask("a b@c.de, 1.2.3.4!", [(0, 2, 8), (1, 10, 17)]) == "a [EMAIL], [IP]!"
     assert P.mask("12345", [(2, 0, 4), (3, 2, 5)]) == "[CARD]"

@@ -165,3 +165,17 @@ def test_append_and_edit(encoder, raw, more, a, n):
     whole = q.raw[:a] + more + q.raw[b:]
     q.edit(a, b, more)
     assert q.raw == whole and q.last == bpe_prefix.Prefix(v, whole).last
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_one_id_lies_in_many_tasks(spark, doc_id):
+    """Rows without an id, or of one id, are cut to ranges by their texts' hashes; ids and starts are right all the same."""
+    rows = [(doc_id, f"text {k} of one id") for k in range(400)] + [(9, "last")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    store = token_planes.write_store(docs, tokenizer_path("byte_bpe_50k.json"))
+    assert store.select("part").distinct().count() > 2
+    got = token_planes.read_store(store).orderBy("start").collect()
+    assert [r["start"] for r in got] == list(np.cumsum([0] + [r["n_tokens"] for r in got])[:-1]) and got[-1]["doc_id"] == 9
+    assert sorted(r["ids_crc32"] for r in got) == sorted(zlib.crc32(np.append(fast_tokenizer(tokenizer_path("byte_bpe_50k.json"), False).ids(t), 0).astype("<u4").tobytes()) for _, t in rows)
+    pieces = packing.pack_documents(docs).collect()
+    assert sum(r["length"] for r in pieces) == sum(len(fast_tokenizer(tokenizer_path("word_bpe_49k.json"), True).ids(t)) + 1 for _, t in rows)

@@ -4,16 +4,21 @@ Base rules find emails, addresses, card and phone numbers; they are written so t
 start at an ``@`` or at a run of digits, never inside one).
 
 The tagger is trained in numpy, at the start of a query, on labelled spans: windows of a bounded sample of documents with the rules' spans
-in them, and spans of every kind (also in spellings that the rules don't take) written into windows of the sample. It
-reads windows of WINDOW characters that overlap by half; where windows overlap, their scores for each character and tag are averaged
+in them, and made-up spans of every kind written into windows of the sample, most of them in spellings that the rules don't take:
+``jo at mail dot org``, ``10[.]0[.]0[.]7``, cards with dots or slashes, phones without a plus. It reads windows of WINDOW characters that
+overlap by half; where windows overlap, their scores for each character and tag are averaged
 (a window's middle counts more than its edges), and one Viterbi pass with the CRF's transitions decodes each whole region, so no
-span is cut at a window's edge. Every kind has a digit or an ``@`` in it, so regions are the neighbourhoods (CONTEXT characters) of
-digits and ``@``; text outside of them can't hold a span.
+span is cut at a window's edge. Regions are the neighbourhoods (CONTEXT characters) of everything that a span of the four kinds has in any of
+these spellings: digits, ``@``, a bracketed *at* or *dot*, the word *dot* (or its French, German or Spanish one), an *at* before a domain.
 
-A decoded span that meets no base span and has its kind's least content (an ``@``; three dots; digits) is added. Base spans stay.
+A decoded span is moved to the ends of its words and added if it meets no base span and its content is possible (``plausible``): once
+spelled plainly, an email is one by the base pattern, an address has four numbers up to 255, a card passes Luhn, a phone has 7 to 15
+digits in groups. Base spans stay. ``evaluate`` measures what is added.
 
-Texts are read whole where they lie; no row is moved. Defined results: a null text is an empty one; every row gives a row; an empty
-table gives no rows and needs no training; other columns are ignored, whatever their names.
+Texts are read whole where they lie; no row is moved. Regions are decoded DECODE_CHARS characters at a time, a longer one by itself, so that
+memory grows by some sixty bytes with each character of the longest region only. Defined results: a null text is an empty one; every row
+gives a row, repeated ones too; a very long text is read whole; an empty table gives no rows and needs no training; other columns are ignored by
+``find_pii`` and kept by ``mask_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,12 +40,12 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_WINDOWS = 512, 512
 WINDOW, STRIDE, CONTEXT = 96, 48, 32
 HIDDEN, EPOCHS, BATCH, SEED = 20, 10, 32, 4
+WRITTEN = 3
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 
 # --- base rules ------------------------------------------------------------------------------------------------------
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -254,27 +260,57 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.nd
 # --- training windows ------------------------------------------------------------------------------------------------
 
 
-def made_up(rng: np.random.Generator, kind: int) -> str:
-    """A value of the kind, in one of several spellings."""
+def with_luhn(digits: str) -> str:
+    """The digits with the last one such that they pass Luhn."""
+    return next(digits[:-1] + c for c in "0123456789" if luhn(digits[:-1] + c))
+
+
+#: Spellings of each kind: the base rules' own, those that the tagger is trained on besides, and others that it is only tried on.
+USUAL, ODD, UNSEEN = 0, 1, 2
+
+
+def made_up(rng: np.random.Generator, kind: int, spelling: int = USUAL) -> str:
+    """A value of the kind."""
     d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
     pick = lambda *options: options[int(rng.integers(len(options)))]
     if kind == 0:
-        return letters(rng.integers(2, 11)) + pick("", ".", "_", "-", "+") + pick(d(2), letters(3), "") + "@" + pick("mail", "post", letters(5)) + pick("", d(1)) + "." + pick("example.com", "example.org", letters(4) + "." + letters(2), letters(3))
+        name = letters(rng.integers(2, 11)) + pick("", ".", "_", "-", "+") + pick(d(2), letters(3), "")
+        name = name.rstrip("._-+")
+        host, top = pick("mail", "post", letters(5)) + pick("", d(1)), pick("example.com", "example.org", letters(4) + "." + letters(2), letters(3)).split(".")
+        if spelling == USUAL:
+            return name + pick("", ".") + "@" + ".".join([host, *top])
+        at, dot = ((" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]"), ("(at)", "."), (" [at] ", "."), (" @ ", " . "), (" @ ", "."), (" AT ", " DOT "), (" at ", "."))[int(rng.integers(10))]
+        if spelling == UNSEEN:
+            at, dot = ((" {at} ", " {dot} "), (" arobase ", " point "), ("<at>", "<dot>"), (" at ", " (dot) "), ("(at)", "(dot)"))[int(rng.integers(5))]
+        return name + at + dot.join([host, *top])
     if kind == 1:
-        return ".".join(str(int(v)) for v in rng.integers(1, 256, 4))
+        sep = (".", pick("[.]", " . ", " dot ", "[dot]", "(.)"), pick("(dot)", " [.] ", "{.}"))[spelling]
+        return sep.join(str(int(v)) for v in rng.integers(1, 256, 4))
     if kind == 2:
-        raw = pick("4", "5", "3", "2") + d(15)
-        return pick(raw, " ".join(raw[k : k + 4] for k in range(0, 16, 4)), "-".join(raw[k : k + 4] for k in range(0, 16, 4)))
+        raw = with_luhn(pick("4", "5", "3", "2") + d(15))
+        sep = (pick("", " ", "-"), pick(".", "/", "  ", "_"), pick(" - ", "--"))[spelling]
+        if rng.random() < 0.2:
+            raw = with_luhn("3" + pick("4", "7") + d(13))
+            return sep.join((raw[:4], raw[4:10], raw[10:]))
+        return sep.join(raw[k : k + 4] for k in range(0, 16, 4))
     a, b, c = d(3), d(3), d(4)
-    return pick(f"+1 ({a}) {b}-{c}", f"+{d(2)} {a} {b}{c}", f"({a}) {b}-{c}", f"+1-{a}-{b}-{c}", f"+{d(2)} {d(2)} {c} {d(4)}", f"+1 {a}.{b}.{c}")
+    if spelling == USUAL:
+        return pick(f"+1 ({a}) {b}-{c}", f"+{d(2)} {a} {b}{c}", f"+1-{a}-{b}-{c}", f"+{d(2)} {d(2)} {c} {d(4)}", f"+1 {a}.{b}.{c}")
+    if spelling == ODD:
+        return pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{d(2)} {c} {d(4)}", f"00{d(2)} {d(2)} {c} {d(4)}", f"0{d(3)}/{d(6)}", f"({a}){b}-{c}")
+    return pick(f"({a}) {b} {c}", f"0{d(2)}-{c}-{d(4)}", f"0{d(4)} {d(5)}", f"00{d(2)} {d(3)} {d(3)} {d(3)}")
 
 
 def distractor(rng: np.random.Generator) -> str:
-    """Digits that are none of the kinds."""
+    """What looks like one of the kinds and is none."""
     d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 8))))
     hexes = "".join(rng.choice(list("0123456789abcdef"), 40))
-    options = (d(rng.integers(1, 6)), f'token = "{hexes}"', f"{d(1)}.{d(1)}", "CC BY-NC 4.0", f"v{d(1)}.{d(1)}.{d(1)}", f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}", hexes[:24], f"${d(3)}.{d(2)}", f"@{hexes[:5]}", f"AKIA{d(16)}")
+    options = (
+        d(rng.integers(1, 6)), f'token = "{hexes}"', f"{d(1)}.{d(1)}", "CC BY-NC 4.0", f"v{d(1)}.{d(1)}.{d(1)}", f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}", hexes[:24], f"${d(3)}.{d(2)}", f"@{hexes[:5]}", f"AKIA{d(16)}",
+        f"{word()} at {word()}", f"the dot {word()}", f"{word()} at {word()}. {word()}", f"a dot and a {word()}", f"{d(2)}/{d(2)}/{d(4)}", f"{d(1)},{d(3)},{d(3)}", f"{d(2)} - {d(2)}", f"{d(3)} {word()} {d(4)}", f"{word()} (at {word()})", f"{d(12)}",
+    )
     return str(options[int(rng.integers(len(options)))])
 
 
@@ -284,7 +320,7 @@ def label(tags: np.ndarray, kind: int, a: int, b: int) -> None:
 
 
 def training_set(windows: list[str], seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Characters and tags. Each window comes once with the rules' spans, and twice with something written into it."""
+    """Characters and tags. Each window comes once with the rules' spans, and WRITTEN times with something written into it."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
 
@@ -305,7 +341,7 @@ def training_set(windows: list[str], seed: int = SEED) -> tuple[np.ndarray, np.n
             rest = rest[:a] + "x" * (b - a) + rest[b:]
         if not re.search(r"@|\+[0-9]|[0-9][0-9 -]{8}|[0-9]\.[0-9]+\.[0-9]", rest):  # what is left holds nothing that may be a span cut off, or one that fails a check
             add(text, spans)
-        for _ in range(2):
+        for _ in range(WRITTEN):
             at = int(rng.integers(0, max(1, min(len(bare), WINDOW - 30))))
             while at > 0 and at < len(bare) and bare[at - 1].isalnum():
                 at += 1
@@ -314,9 +350,14 @@ def training_set(windows: list[str], seed: int = SEED) -> tuple[np.ndarray, np.n
             if rng.random() < 0.3:
                 add(left + distractor(rng) + end + " " + right, [])
             else:
-                kind = int(rng.integers(len(KINDS)))
-                value = made_up(rng, kind)
-                add(left + value + end + " " + right, [(kind, len(left), len(left) + len(value))])
+                text, spans = left, []
+                for _ in range(1 + (rng.random() < 0.5)):
+                    kind = int(rng.integers(len(KINDS)))
+                    value = made_up(rng, kind, ODD if rng.random() < 0.7 else USUAL)
+                    spans.append((kind, len(text), len(text) + len(value)))
+                    text += value + end + " " + right[: int(rng.integers(3, 20))].strip() + " "
+                    end = ", "
+                add(text + right, spans)
     return np.array(xs), np.array(ys)
 
 
@@ -344,6 +385,27 @@ def sample_windows(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most: int = SA
     return [r[1] for r in map_rows(rows, "o long, w string", start).orderBy("o", "w").limit(most).collect()]
 
 
+def evaluate(tagger: Tagger, windows: list[str], spelling: int, seed: int = 99) -> dict[str, tuple[float, float]]:
+    """Precision and recall by kind, of whole spans: a made-up value or a distractor is written between two windows; spans by the rules alone don't count."""
+    rng = np.random.default_rng(seed)
+    texts, wanted = [], []
+    for k, text in enumerate(windows):
+        left, right = TRIGGER.sub("", text).rstrip() + " ", " " + TRIGGER.sub("", windows[k - 1])
+        kind = int(rng.integers(len(KINDS) + 1))
+        value = made_up(rng, kind, spelling) if kind < len(KINDS) else distractor(rng)
+        texts.append(left + value + right)
+        wanted.append([(kind, len(left), len(left) + len(value))] if kind < len(KINDS) else [])
+    out = {}
+    got = [sorted(set(every) - set(base)) for base, every in all_spans(tagger, texts)]
+    want = [[w for w in ws if w not in base_spans(t)] for t, ws in zip(texts, wanted)]
+    for k, name in enumerate(KINDS):
+        found = [(i, s) for i, spans in enumerate(got) for s in spans if s[0] == k]
+        due = [(i, s) for i, spans in enumerate(want) for s in spans if s[0] == k]
+        hits = len(set(found) & set(due))
+        out[name] = (hits / max(1, len(found)), hits / max(1, len(due)))
+    return out
+
+
 def train_tagger(docs: DataFrame) -> Tagger | None:
     windows = sample_windows(docs)
     if not windows:
@@ -354,13 +416,24 @@ def train_tagger(docs: DataFrame) -> Tagger | None:
 # --- finding ---------------------------------------------------------------------------------------------------------
 
 
+#: Without one of these no text has a spelled-out address; looking for them costs little.
+HINTS = ("dot", "punkt", "punto", "point", "at)", "at]", "at}", "at>", "arobase", "arroba", " at ")
+SPELLED = re.compile(
+    r"[\[({<]\s?(?:at|arobase|arroba|ät|dot|point|punkt|punto|\.)\s?[\])}>]|\b(?:dot|punkt|punto|arobase|arroba)\b|\s(?:at|ät)\s+[\w-]+(?:\.[a-z]{2}|\s+(?:dot|point|punkt|punto)\s)", re.I
+)
+
+
 def regions(text: str) -> list[tuple[int, int]]:
-    """Neighbourhoods of digits and ``@``, joined where they meet."""
+    """Neighbourhoods of whatever a span must have, joined where they meet."""
+    spots = [m.span() for m in TRIGGER.finditer(text)]
+    lower = text.lower()
+    if any(h in lower for h in HINTS):
+        spots = sorted(spots + [m.span() for m in SPELLED.finditer(text)])
     out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
+    for p, q in spots:
+        a, b = max(0, p - CONTEXT), min(len(text), q + CONTEXT)
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
@@ -370,12 +443,32 @@ def regions(text: str) -> list[tuple[int, int]]:
 EDGE = (np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)) / (WINDOW / 2)).astype(np.float32)
 
 
-def decode(tagger: Tagger, parts: list[str], windows_at_once: int = 1024) -> list[np.ndarray]:
+#: Characters whose scores are held at once, but for a longer region's.
+DECODE_CHARS = 100_000
+
+
+def decode(tagger: Tagger, parts: list[str], windows_at_once: int = 512) -> list[np.ndarray]:
     """Tags of each part, from averaged scores of overlapping windows and one Viterbi pass a part."""
+    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(parts)
+    order = sorted(range(len(parts)), key=lambda k: len(parts[k]))  # parts of like length together: little is padded
+    at = 0
+    while at < len(order):
+        stop = at + 1
+        while stop < len(order) and stop - at < 1024 and (stop + 1 - at) * len(parts[order[stop]]) <= DECODE_CHARS:
+            stop += 1
+        group = order[at:stop]
+        for k, tags in zip(group, _decoded(tagger, [parts[k] for k in group], windows_at_once)):
+            out[k] = tags
+        at = stop
+    return out
+
+
+def _decoded(tagger: Tagger, parts: list[str], windows_at_once: int) -> list[np.ndarray]:
     ids = [char_ids(p) for p in parts]
+    lengths = np.array([len(x) for x in ids])
+    total = np.zeros((len(parts), max(1, int(lengths.max())), TAGS), np.float32)
+    weight = np.full(total.shape[:2], 1e-9, np.float32)
     where = [(k, a) for k, x in enumerate(ids) for a in range(0, max(1, len(x) - WINDOW + STRIDE), STRIDE)]
-    total = [np.zeros((len(x), TAGS), np.float32) for x in ids]
-    weight = [np.zeros(len(x), np.float32) for x in ids]
     for at in range(0, len(where), windows_at_once):
         chunk = where[at : at + windows_at_once]
         x = np.zeros((len(chunk), WINDOW), np.int64)
@@ -384,25 +477,68 @@ def decode(tagger: Tagger, parts: list[str], windows_at_once: int = 1024) -> lis
             x[r, : len(piece)] = piece
         for (k, a), s in zip(chunk, tagger.scores(x)):
             n = min(WINDOW, len(ids[k]) - a)
-            total[k][a : a + n] += s[:n] * EDGE[:n, None]
-            weight[k][a : a + n] += EDGE[:n]
-    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(parts)
-    order = sorted(range(len(parts)), key=lambda k: len(ids[k]))
-    for at in range(0, len(order), 256):
-        group = order[at : at + 256]
-        lengths = np.array([len(ids[k]) for k in group])
-        s = np.zeros((len(group), max(1, lengths.max()), TAGS), np.float32)
-        for r, k in enumerate(group):
-            s[r, : len(ids[k])] = total[k] / weight[k][:, None]
-        tags = viterbi(s, lengths, tagger.w[6])
-        for r, k in enumerate(group):
-            out[k] = tags[r, : lengths[r]]
+            total[k, a : a + n] += s[:n] * EDGE[:n, None]
+            weight[k, a : a + n] += EDGE[:n]
+    total /= weight[:, :, None]
+    tags = viterbi(total, lengths, tagger.w[6]) if len(parts) > 1 else viterbi_one(total[0], tagger.w[6])[None]
+    return [t[:n] for t, n in zip(tags, lengths)]
+
+
+def viterbi_one(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """As ``viterbi``, for one region of any length."""
+    columns, into = np.arange(scores.shape[1]), np.ascontiguousarray(trans)
+    back = np.zeros(scores.shape, np.int8)
+    best = scores[0].copy()
+    for s in range(1, len(scores)):
+        paths = best[:, None] + into
+        back[s] = choice = paths.argmax(0)
+        best = paths[choice, columns] + scores[s]
+    out = np.zeros(len(scores), np.int8)
+    tag = int(best.argmax())
+    for s in range(len(scores) - 1, -1, -1):
+        out[s] = tag
+        tag = int(back[s, tag])
     return out
 
 
+AT = re.compile(r"\s*[\[({<]\s*(?:at|arobase|arroba|ät)\s*[\])}>]\s*|\s+(?:at|arobase|arroba|ät)\s+|\s*@\s*", re.I)
+DOT = re.compile(r"\s*[\[({<]\s*(?:dot|point|punkt|punto|\.)\s*[\])}>]\s*|\s+(?:dot|point|punkt|punto)\s+|\s*\.\s*", re.I)
+PLAIN_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+
+
+def plain(s: str) -> str:
+    """An email or address as it is spelled plainly."""
+    return DOT.sub(".", AT.sub("@", s))
+
+
 def plausible(kind: int, s: str) -> bool:
-    n = len(digits_of(s))
-    return (bool(re.search(r"[^\s@]@[^\s@]+\.\w", s)), s.count(".") == 3 and n >= 4, 12 <= n <= 19, 7 <= n <= 15)[kind]
+    if kind == 0:
+        return bool(PLAIN_EMAIL.fullmatch(plain(s)))
+    if kind == 1:
+        parts = plain(s).split(".")
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)
+    d = digits_of(s)
+    if kind == 2:
+        return 13 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9](?:[ ./_-]{0,2}[0-9])+", s))
+    return 7 <= len(d) <= 15 and bool(re.fullmatch(r"[+(]?[0-9]+(?:[ )(./-]{1,3}[0-9]+){1,6}", s))
+
+
+def snapped(kind: int, text: str, a: int, b: int) -> tuple[int, int]:
+    """A span without blanks and marks at its ends, and with the rest of the words (for numbers: of the digits) that it begins and ends in."""
+    inside = str.isalnum if kind == 0 else str.isdigit
+    first = inside if kind < 3 else lambda c: c.isdigit() or c in "+("
+    while a < b and not first(text[a]):
+        a += 1
+    while b > a and not inside(text[b - 1]):
+        b -= 1
+    if a < b:
+        while a and (inside(text[a - 1]) or kind == 0 and text[a - 1] in LOCAL_CHARS):
+            a -= 1
+        while b < len(text) and inside(text[b]):
+            b += 1
+        if kind == 3 and a and text[a - 1] in "+(":
+            a -= 1
+    return a, b
 
 
 def tagged_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
@@ -428,12 +564,22 @@ def all_spans(tagger: Tagger | None, texts: list[str]) -> list[tuple[list, list]
         return [(b, b) for b in base]
     places = [(k, a, b) for k, t in enumerate(texts) for a, b in regions(t)]
     every = [list(b) for b in base]
+    spans_of: list[list[tuple[int, int]] | None] = [None] * len(texts)
     for (k, a, _), tags in zip(places, decode(tagger, [texts[k][a:b] for k, a, b in places])):
-        for kind, x, y in tagged_spans(tags):
-            x, y = a + x, a + y
-            if plausible(kind, texts[k][x:y]) and not any(x < q and p < y for _, p, q in base[k]):
+        found = tagged_spans(tags)
+        if found and spans_of[k] is None:
+            spans_of[k] = sorted((p, q) for _, p, q in base[k])
+        for kind, x, y in found:
+            x, y = snapped(kind, texts[k], a + x, a + y)
+            if plausible(kind, texts[k][x:y]) and not meets(spans_of[k], x, y):
                 every[k].append((kind, x, y))
-    return [(b, sorted(e)) for b, e in zip(base, every)]
+    return [(b, sorted(set(e))) for b, e in zip(base, every)]
+
+
+def meets(spans: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Does a span of an ascending list share a character with a to b? (Base spans of different kinds may overlap, by less than 64 spans.)"""
+    k = bisect_left(spans, (b, 0))
+    return any(p < b and a < q for p, q in spans[max(0, k - 64) : k])
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
