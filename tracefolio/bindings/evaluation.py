@@ -240,7 +240,7 @@ def baseline_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").join(b, "doc_id", "left").select("doc_id", F.coalesce("lang", F.lit("unknown")).alias("baseline"))
 
 
-@bind("SELECT l.doc_id, d.doc_id IS NOT NULL AS parsed, coalesce(d.n, 0) AS n_units, coalesce(d.rows, 0) AS n_rows FROM labels l LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (lang = 'en') AS rows FROM documents WHERE doc_id % 4 > 0 GROUP BY doc_id) d USING (doc_id)")
+@bind("SELECT l.doc_id, d.doc_id IS NOT NULL AS parsed, coalesce(d.n, 0) AS n_units, coalesce(d.rows, 0) AS n_rows FROM labels l LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (lang = 'en') AS rows FROM documents GROUP BY doc_id) d USING (doc_id)")
 def gold_page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-10: expected pages with counts of what was parsed of them."""
     d = table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lang") == "en").alias("rows"))
@@ -261,7 +261,7 @@ def case_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where(F.col("toxic").isin(1) & F.col("quality").isin(0, 1)).join(langs, "doc_id", "left_semi").select("doc_id")
 
 
-@bind("SELECT l.doc_id AS case_id, CASE WHEN l.doc_id % 3 = 0 THEN 'not_in_selected_cases' WHEN l.toxic = 1 AND d.lang = 'en' THEN 'live_intent_mismatch' WHEN l.quality = 1 THEN 'rescued' ELSE 'still_failing' END AS status FROM labels l LEFT JOIN documents d USING (doc_id)")
+@bind("SELECT l.doc_id AS case_id, CASE WHEN d.doc_id IS NULL THEN 'not_in_selected_cases' WHEN l.toxic = 1 AND d.lang = 'en' THEN 'live_intent_mismatch' WHEN l.quality = 1 THEN 'rescued' ELSE 'still_failing' END AS status FROM labels l LEFT JOIN documents d USING (doc_id)")
 def rescue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RT-21: formerly failing cases, by the first status that fits."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(True).alias("selected"))
@@ -270,7 +270,7 @@ def rescue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("doc_id").alias("case_id"), status.alias("status"))
 
 
-@bind("SELECT l.doc_id AS case_id, CASE WHEN d.doc_id IS NULL THEN 'document missing' END AS error, CASE WHEN d.doc_id IS NOT NULL THEN d.lang END AS route FROM labels l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 5 > 0) d USING (doc_id)")
+@bind("SELECT l.doc_id AS case_id, CASE WHEN d.doc_id IS NULL THEN 'document missing' END AS error, CASE WHEN d.doc_id IS NOT NULL THEN d.lang END AS route FROM labels l LEFT JOIN documents d USING (doc_id)")
 def live_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DX-26: an observation for every case; what is missing is an error row."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(True).alias("present"))

@@ -168,7 +168,7 @@ def page_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT doc_id, line_no, list(line) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 5 FOLLOWING) AS ctx FROM x),
 j AS (SELECT doc_id, line_no, row_label, array_to_string(ctx, chr(10)) AS context FROM r JOIN c USING (doc_id, line_no) WHERE row_label IS NOT NULL),
 f AS (SELECT doc_id, row_label, min(line_no) AS line_no FROM j WHERE regexp_matches(context, '[0-9]') GROUP BY doc_id, row_label, regexp_replace(lower(context), '\\s+', '', 'g')),
-g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, row_label ORDER BY line_no) <= 2) SELECT doc_id, line_no, row_label FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no, row_label) <= 3""")
+g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, row_label ORDER BY line_no) <= 24) SELECT doc_id, line_no, row_label FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no, row_label) <= 120""")
 def table_row_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DX-04, WN-08."""
     out = ops.table_rows(docs(spark, sf_dir), [("licence", ["license"]), ("secret", ["token"]), ("mail", ["@"])])
@@ -259,7 +259,7 @@ def dedupe_prefix500(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).withColumn("k", k).groupBy("source", "k").agg(F.min("doc_id").alias("doc_id"))
 
 
-@bind("SELECT kind, doc_id, source FROM (SELECT 'page_text' AS kind, doc_id, source, text FROM documents UNION ALL SELECT 'section_text', doc_id, source, text FROM documents WHERE lang = 'en' UNION ALL SELECT 'table_row', doc_id, source, text FROM documents WHERE contains(text, '|')) WHERE doc_id % 2 = 0 OR kind <> 'page_text'")
+@bind("SELECT kind, doc_id, source FROM (SELECT 'page_text' AS kind, doc_id, source, text FROM documents UNION ALL SELECT 'section_text', doc_id, source, text FROM documents WHERE lang = 'en' UNION ALL SELECT 'table_row', doc_id, source, text FROM documents WHERE contains(text, '|'))")
 def evidence_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SO-01, SK-04, PJ-02: the kinds of evidence as one table; every document has its page text."""
     d = docs(spark, sf_dir)

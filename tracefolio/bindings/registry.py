@@ -143,7 +143,7 @@ def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.html_pages(table(spark, sf_dir, "pages"))
 
 
-@bind("SELECT a.doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id % 11 = 0 THEN 'schema_version' WHEN a.lang <> b.lang THEN 'document_key' WHEN sha256(a.text) <> sha256(b.text) THEN 'checksum' END AS reuse_reason FROM documents a LEFT JOIN (SELECT doc_id + 1 AS doc_id, lang, text FROM documents WHERE doc_id % 3 > 0) b USING (doc_id)")
+@bind("SELECT a.doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id % 11 = 0 THEN 'schema_version' WHEN a.lang <> b.lang THEN 'document_key' WHEN sha256(a.text) <> sha256(b.text) THEN 'checksum' END AS reuse_reason FROM documents a LEFT JOIN (SELECT doc_id + 1 AS doc_id, lang, text FROM documents) b USING (doc_id)")
 def artifact_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SK-05."""
     d = table(spark, sf_dir, "documents")

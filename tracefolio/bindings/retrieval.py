@@ -82,9 +82,9 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @bind(
-    BM25.replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)").replace("source AS corpus", "'all' AS corpus")
+    BM25.replace("source AS corpus", "'all' AS corpus")
     + f""", b AS (SELECT query_id, doc_id AS page, 'bm25' AS source, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored QUALIFY rank <= 5),
-v AS (SELECT a.vec_id AS query_id, b.vec_id AS page, 'semantic' AS source, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COSINE}, 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark) AND b.vec_id IN (SELECT doc_id FROM documents) QUALIFY rank <= 5),
+v AS (SELECT a.vec_id AS query_id, b.vec_id AS page, 'semantic' AS source, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COSINE}, 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark) QUALIFY rank <= 5),
 f AS (SELECT query_id, page, sum(CASE source WHEN 'semantic' THEN 0.4::DOUBLE ELSE 0.6::DOUBLE END / (20.0::DOUBLE + rank)) AS score, min((CASE source WHEN 'semantic' THEN 0 ELSE 1 END) * 1000 + rank) AS seen FROM (SELECT * FROM b UNION ALL SELECT * FROM v) GROUP BY ALL)
 SELECT query_id, page, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen, page) AS rank FROM f QUALIFY rank <= 6"""
 )
@@ -242,7 +242,7 @@ def union_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.union_dedupe(sem.where("rank <= 2"), bm.where("rank <= 2"), ["page"], "rank", 3, ["query_id"]).select("query_id", "page", "pos")
 
 
-@bind(LISTS + "SELECT query_id, page, rank, 'primary' AS source FROM sem WHERE query_id % 3 > 0 UNION ALL SELECT query_id, page, rank, 'fallback' FROM bm WHERE query_id NOT IN (SELECT query_id FROM sem WHERE query_id % 3 > 0) OR query_id % 5 = 0")
+@bind(LISTS + "SELECT query_id, page, rank, 'primary' AS source FROM sem UNION ALL SELECT query_id, page, rank, 'fallback' FROM bm WHERE query_id NOT IN (SELECT query_id FROM sem) OR query_id % 5 = 0")
 def primary_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RT-09: the fallback list where there is no primary row, or where it is asked for."""
     sem, bm = ranked_lists(spark, sf_dir)
