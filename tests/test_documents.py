@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tracefolio.bindings import documents as bindings
 from tracefolio.functions import answers, numbers, questions
 from tracefolio.operators import documents as D
+from tracefolio.operators import sections as S
 
 
 @given(words=st.lists(st.sampled_from(["a", "bb.", "ccc", "\n", "dd!"]), max_size=120), size=st.integers(2, 20), overlap=st.integers(0, 5))
@@ -24,16 +25,76 @@ def test_chunks_cover_every_word(words, size, overlap):
 BODY = "本集团持续加强信用风险管理，优化资产结构，完善制度流程，提升风险识别与处置能力，资产质量保持稳定，各项监管指标均达到要求，拨备水平充足，抵补能力进一步增强。"
 
 
+def titles(*pages, company=""):
+    return [(p, t) for p, _, t, _, _ in S.sections(list(enumerate(pages, 1)), company)]
+
+
 def test_sections_by_hand():
     pages = [(1, f"1.2 信用风险管理\n{BODY}\n零售贷款：\n{BODY}"), (2, BODY + BODY), (3, "市场风险\n太短"), (4, f"管理层讨论与分析\n{BODY}")]
-    got = D.sections(pages)
-    assert [(p, t) for p, _, t, _ in got] == [(1, "1.2 信用风险管理"), (1, "零售贷款"), (2, "零售贷款"), (4, "管理层讨论与分析")]
-    assert got[0][3].startswith("1.2 信用风险管理\n本集团") and all(len(t) <= 2200 for *_, t in got)
+    got = S.sections(pages)
+    # page 3 gives no section of its own, and too little text for the heading before it
+    assert [(p, t) for p, _, t, _, _ in got] == [(1, "1.2 信用风险管理"), (1, "零售贷款"), (2, "零售贷款"), (4, "管理层讨论与分析")]
+    assert got[0][4].startswith("1.2 信用风险管理\n本集团") and all(len(x[4]) <= 2200 for x in got) and {x[3] for x in got} == {"risk_asset_quality"}
     # a generic heading gives way to the one below it, and pages after a generic one belong to nothing
-    assert [t for _, _, t, _ in D.sections([(1, f"业务回顾\n公司贷款\n{BODY}")])] == ["公司贷款"]
-    assert D.sections([(1, f"管理层讨论与分析\n{BODY}"), (2, BODY)])[-1][0] == 1
-    assert D.heading("3", "流动性风险") == ("3. 流动性风险", None, 2) and D.heading("12 月份数据", "") is None
-    assert D.heading(f"经营资料。{BODY}", "")[1] == BODY
+    assert titles(f"业务回顾\n公司贷款\n{BODY}") == [(1, "公司贷款")] and titles(f"管理层讨论与分析\n{BODY}", BODY) == [(1, "管理层讨论与分析")]
+
+
+H = S.Headings()
+
+
+def test_what_is_a_heading():
+    assert H.at("3", "流动性风险") == S.Heading("3. 流动性风险", lines=2) and H.at("2.", "人才管理風險").title == "2. 人才管理風險"
+    for line in ("2025年集团业务发展稳健", "123 apples were sold today", "12 月份数据", "第三章", "第三节 贷款", "3.1.2 % of all"):
+        assert not H.numbered(line) and (not H.at(line, "") or H.at(line, "").title != line), line
+    assert H.at("第三章 管理层讨论与分析", "") and H.at("4 財務風險管理", "") and H.at("3.8.5 践行战略", "") and H.at("3.8.5AI战略", "")
+    # plain: only with a long line below that is no heading itself
+    assert H.at("前景展望", BODY) == S.Heading("前景展望") and not H.at("前景展望", "短") and not H.at("前景展望", "1.2 风险管理") and not H.at("前景展望", "")
+    assert H.at("以下為二零二五年我們主要服務的重點表現：", "") == S.Heading("主要服務的重點表現")
+    # with the body in the same line: the line is kept whole, an opener is needed, numbers and lists are none
+    line = f"利息收入。截至年末{BODY}"
+    assert H.at(line, "") == S.Heading("利息收入", line) and not H.at(f"利息收入。不过{BODY}", "") and not H.at(f"利息2。截至{BODY}", "") and not H.at(f"收入如下。截至{BODY}", "")
+    lede = f"展望2026年，{BODY}"
+    assert H.at(lede, "") == S.Heading("展望2026年", lede) and not H.at("展望2026年，稳健", "")
+
+
+def test_frames_are_no_text():
+    page = f"某某银行股份有限公司\n2025年度报告（A股）\n43\n82 企業管治報告\n信用风险\n{BODY}\n{BODY}\n44"
+    assert S.page_lines(page) == ["信用风险", BODY]
+    assert S.page_lines("某某 银行 概览\n一\n某某银行", "某某银行") == ["一"] and S.page_lines("某某 银行 概览") == ["某某 银行 概览"]
+    assert titles(page) == [(1, "信用风险")]
+
+
+def test_several_inline_topics_on_a_page():
+    topics = ("銷售及市場推廣開支", "一般及行政開支", "利息收入", "財務成本")
+    page = "管理層討論及分析\n" + "\n".join(f"{t}。截至本年末止的{t}同比有所增加，主要由於業務規模擴大以及相關投入增加所致，\n同時反映若干安排帶來的影響，詳情載於財務報表附註並應與其一併閱讀理解。" for t in topics)
+    assert titles(page) == [(1, t) for t in topics]
+    got = S.sections([(1, page)])
+    assert all(x[4].startswith(f"{x[2]}。截至") for x in got) and {x[3] for x in got} == {"financial_summary"}
+
+
+def test_pages_after_an_inline_topic_and_types():
+    first = f"管理層討論及分析\n收入。截至本年末的{BODY}"
+    assert titles(first, BODY) == [(1, "收入"), (2, "收入")]
+    # a chapter above a plain heading leaves no section of its own; the next page belongs to the last heading
+    assert titles(f"第三章 管理层讨论与分析\n消费信贷风险管控\n{BODY}", BODY) == [(1, "消费信贷风险管控"), (2, "消费信贷风险管控")]
+    # of no type: left out, unless asked for
+    plain = "1.1 天气\n" + "今天天气晴朗适合出门散步" * 8
+    assert titles(plain) == [] and len(S.sections([(1, plain)], keep_other=True)) == 1
+    assert S.sections([(1, "經營資料\n" + "月活躍賬戶數與訂閱會員數均有增長，用戶使用時長亦同比上升。" * 3)])[0][3] == "product_user_metrics"
+
+
+@pytest.mark.parametrize(
+    "page,quote,found",
+    [
+        ("Revenue (RMB million) 1,234.5 for the year", "Revenue RMB million 1234.5", "Revenue RMB million 1234.5"),
+        ("营业收入：人民币1,234百万元，同比增长。", "营业收入人民币1234百万元", "营业收入人民币1234百万元"),
+        ("营业收入：\n人民币1,234\n百万元", "营业收入 人民币 1234 百万元", "营业收入 人民币 1234 百万元"),
+        ("a\n總收入一二三四五六七八九十\nb", "其中總收入一二三四五六七八九十有所增長", "總收入一二三四五六七八九十"),
+        ("...\n--\nthe net margin was 10", "(the net margin was 10)", "(the net margin was 10)"),
+    ],
+)
+def test_quotes_without_punctuation(page, quote, found):
+    assert D.find_quote(page, quote) == found
 
 
 @pytest.mark.parametrize(

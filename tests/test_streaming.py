@@ -1,5 +1,6 @@
 """Streams against their batch twins."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracefolio.streaming import memory, runs
@@ -12,16 +13,32 @@ def drain(spark, df, folder, mode="update", **sink):
 
 
 def test_session_memory(spark, tmp_path):
-    rows = [(str(c), t, "user", "x") for c in range(3) for t in range(12 - c)]
-    df = spark.createDataFrame(rows, "session string, turn long, role string, text string")
+    rows = [(f"d{c % 2}", str(c), t, "user" if t % 2 == 0 else "assistant", f"text {t} of {c}") for c in range(3) for t in range(12 - c)]
+    schema = "document_id string, session_id string, turn long, role string, text string"
+    df = spark.createDataFrame(rows, schema)
     df.repartition(3).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     out = drain(spark, memory.remember(stream, 4), "memory_out", at=f"{tmp_path}/cp")
-    got = {r["session"]: r["turns"] for r in out.groupBy("session").agg(F.max_by("turns", F.struct("last_turn", F.length("turns"))).alias("turns")).collect()}
+    last = {(r["document_id"], r["session_id"]): r for r in out.orderBy(F.size("messages"), F.expr("aggregate(messages, 0L, (a, m) -> a + m.turn)")).collect()}
     want = {}
-    for r in memory.recent(df, ["session"], ["turn"], 4).orderBy("turn").collect():
-        want.setdefault(r["session"], []).append(str(r["turn"]))
-    assert got == {k: ",".join(v) for k, v in want.items()}
+    for r in memory.recent(df, ["document_id", "session_id"], ["turn"], 4).orderBy("turn").collect():
+        want.setdefault((r["document_id"], r["session_id"]), []).append((r["turn"], r["role"], r["text"]))
+    assert {k: [tuple(m) for m in r["messages"]] for k, r in last.items()} == want
+    assert {k: r["version"] for k, r in last.items()} == {k: v[-1][0] for k, v in want.items()}
+
+
+def test_stale_summaries_are_dropped(spark, tmp_path):
+    schema = "document_id string, session_id string, turn long, role string, text string"
+    batches = [[("d", "s", 0, "user", "a"), ("d", "s", 1, "assistant", "b")], [("d", "s", 1, "summary", "of two")], [("d", "s", 2, "user", "c")], [("d", "s", 1, "summary", "stale")], [("e", "s", 5, "user", "another document")]]
+    seen = []
+    for k, rows in enumerate([*batches, [("d", "s", 3, "assistant", "d")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        sink = memory.remember(stream, 8).writeStream.outputMode("update").foreachBatch(lambda df, _: seen.append(df.collect()))
+        sink.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(180)
+    rows = [r for batch in seen for r in batch]
+    assert [r["summary"] for r in rows] == [None, "of two", "of two", "of two", None, "of two"]
+    assert rows[-1]["version"] == 3 and [m["text"] for m in rows[-1]["messages"]] == ["a", "b", "c", "d"]
 
 
 def test_versions_merge_once(spark, tmp_path):
@@ -29,9 +46,16 @@ def test_versions_merge_once(spark, tmp_path):
     merge = memory.keep_latest(path, "k", "v")
     schema = "k string, v int, x string"
     first, second = spark.createDataFrame([("a", 1, "old"), ("b", 5, "b5")], schema), spark.createDataFrame([("a", 2, "new"), ("b", 4, "stale")], schema)
+    assert memory.read_latest(spark, path) is None
     for batch in (first, second, second, first):
         merge(batch, 0)
-    assert sorted(tuple(r) for r in spark.read.parquet(path).select("k", "v", "x").collect()) == [("a", 2, "new"), ("b", 5, "b5")]
+    now = lambda: sorted(tuple(r) for r in memory.read_latest(spark, path).select("k", "v", "x").collect())
+    assert now() == [("a", 2, "new"), ("b", 5, "b5")]
+    # a merge that is broken off before it ends leaves the table as it was
+    broken = first.withColumn("x", F.when(F.col("k") == "b", F.raise_error(F.lit("broken"))).otherwise(F.col("x")))
+    with pytest.raises(Exception, match="broken"):
+        merge(broken, 1)
+    assert now() == [("a", 2, "new"), ("b", 5, "b5")]
 
 
 def test_runs(spark, tmp_path):

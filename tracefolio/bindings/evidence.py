@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tracefolio.functions import text as T
 from tracefolio.operators import evidence as ops
-from tracefolio.operators import locator, retrieval
+from tracefolio.operators import locator, retrieval, sections
+from tracefolio.operators.documents import each
 from tracefolio.session import table
 
 QUERIES: dict = {}
@@ -356,9 +357,18 @@ def evidence_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("source", status.alias("status"), F.when(~blocked, F.coalesce("p", F.lit(0))).otherwise(0).alias("pages"), F.when(~blocked, F.coalesce("s", F.lit(0))).otherwise(0).cast("int").alias("score"))
 
 
-@bind(LINES + "SELECT doc_id, line_no, line FROM x WHERE length(line) BETWEEN 2 AND 24 AND NOT regexp_matches(line, '[。；;，,：:0-9]') AND regexp_matches(lower(line), 'the|license')")
+_TIDY = "trim(line, ' ：:;,.，、')"
+
+
+@bind(LINES + f"SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, {_TIDY} AS title FROM x WHERE length({_TIDY}) BETWEEN 2 AND 24 AND NOT regexp_matches({_TIDY}, '[。；;，,：:0-9]') AND regexp_matches(regexp_replace(lower({_TIDY}), '\\s+', '', 'g'), 'the|license')")
 def heading_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DX-03: lines that may be plain headings: short, without punctuation or digits, with a heading's word."""
-    ls = docs(spark, sf_dir).select("doc_id", F.posexplode(T.lines(F.coalesce("text", F.lit("")))).alias("line_no", "line"))
-    plain = F.length("line").between(2, 24) & ~F.col("line").rlike("[。；;，,：:0-9]") & F.lower("line").rlike("the|license")
-    return ls.where(plain).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+    """DX-03: lines that sections.Headings takes for titles."""
+    held: list[sections.Headings] = []
+
+    def make(r: tuple) -> list[tuple]:
+        if not held:
+            held.append(sections.Headings(("the", "license")))
+        return [(r[0], k, sections.tidy(line)) for k, line in enumerate(r[1]) if held[0].titled(line)]
+
+    ls = docs(spark, sf_dir).select("doc_id", T.lines(F.coalesce("text", F.lit(""))).alias("ls"))
+    return each(ls, ["doc_id", "ls"], make, "doc_id long, line_no long, title string")

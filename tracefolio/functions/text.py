@@ -43,10 +43,18 @@ def nfkc_compact(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else "".join(unicodedata.normalize("NFKC", t).split()).lower())
 
 
+# Punctuation that counts for nothing when quotes are compared.
+UNSEEN = str.maketrans("", "", ",.;:，。；：()[]{}<>％%/\\-—_")
+
+
+def folded(text: str) -> str:
+    """NFKC, without white space and punctuation, in lower case: how quotes and pages are compared."""
+    return "".join(unicodedata.normalize("NFKC", text).split()).lower().translate(UNSEEN)
+
+
 @F.pandas_udf(StringType())
-def nfkc_letters(s: pd.Series) -> pd.Series:
-    """As ``nfkc_compact``, without punctuation."""
-    return s.map(lambda t: None if t is None else "".join(c for c in "".join(unicodedata.normalize("NFKC", t).split()).lower() if not unicodedata.category(c).startswith("P")))
+def folded_column(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else folded(t))
 
 
 @F.pandas_udf(StringType())

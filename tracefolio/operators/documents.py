@@ -1,13 +1,16 @@
-"""Whole-document transforms: chunks, sections, fuzzy citations. One document at a time, wherever it lies; none needs another's rows."""
+"""Whole-document transforms: chunks and fuzzy citations. One document at a time, wherever it lies; none needs another's rows."""
 
 from __future__ import annotations
 
 import re
-import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
+from tracefolio.functions.text import folded
+
 LINE_ENDS = re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 
 
@@ -66,139 +69,76 @@ def chunks(pages: DataFrame, key: str = "doc_id", size: int = 800, overlap: int
     return each(pages, [key, "text"], make, f"{key} long, chunk_index long, start long, end long, text string")
 
 
-# --- sections --------------------------------------------------------------------------------------------------------
-
-# Fixed values of headings in reports.
-GENERIC = ("管理层讨论与分析", "管理層討論及分析", "财务表现摘要", "財務表現摘要", "业务回顾", "業務回顧", "主席報告", "主席报告", "業績", "业绩", "經營資料", "经营资料", "企業管治報告", "企业管治报告")
-SUFFIXES = ("风险", "風險", "管控", "风险管理", "風險管理", "应对措施", "應對措施", "前景展望", "业务回顾", "業務回顧", "重点表现", "重點表現", "经营资料", "經營資料", "业绩", "業績", "收入", "毛利", "开支", "開支", "股息", "分红", "分紅", "贷款", "貸款", "存款", "機遇")
-VALUE_STARTS = ("%", "％", "月", "日", "楼", "樓", "页", "頁", "亿", "億", "万元", "萬元", "百万元", "百萬元", "次", "倍", "户", "戶", "点", "點")
-CHAPTER = re.compile(r"^第[一二三四五六七八九十\d]+[章节節]")
-NUMBERED = re.compile(r"^(\d+(?:\.\d+){0,3})\.?\s*(\D.*)$")
-LEDE = re.compile(r"^(展望(?:20\d{2}|二零[一二三四五六七八九十]{2})年)[，,。](.+)$")
-INLINE = re.compile(r"^([A-Za-z一-鿿\s\-/]{2,12})。(.{24,})$")
-
-
-def solid(text: str) -> str:
-    return "".join(text.lower().split())
-
-
-def tidy_title(text: str) -> str:
-    t = text.strip(" ：:;,.，、\t")
-    for start in ("以下为", "以下為", "其中", "有关", "有關"):
-        t = t.removeprefix(start).strip()
-    t = re.sub(r"^(?:20\d{2}|二零[一二三四五六七八九十]{2})年", "", t).strip()
-    return re.sub("^我[們们]", "", t).strip(" ：:;,.，、")
-
-
-def plain_heading(text: str, words: tuple[str, ...]) -> bool:
-    """Short, without punctuation or digits, and ends like a heading or has one of the words."""
-    t = tidy_title(text)
-    return 2 <= len(t) <= 24 and not re.search(r"[。；;，,：:\d]", t) and t not in GENERIC and (t.endswith(SUFFIXES) or any(w in solid(t) for w in words))
-
-
-def generic(title: str) -> bool:
-    return bool(CHAPTER.match(title)) or any(g in title for g in GENERIC)
+# --- citations -------------------------------------------------------------------------------------------------------
 
 
-def heading(line: str, after: str, words: tuple[str, ...] = ()) -> tuple[str, str | None, int] | None:
-    """Title, first words of the body that stand in the line, and how many lines the heading takes; None if the line is none."""
-    if CHAPTER.match(line) or line in GENERIC:
-        return line, None, 1
-    if re.fullmatch(r"\d+(?:\.\d+)*\.?", line) and plain_heading(after, words):
-        return f"{line.rstrip('.')}. {tidy_title(after)}", None, 2
-    m = NUMBERED.match(line)
-    if m and len(line) <= 40 and not m[2].strip().startswith(VALUE_STARTS):
-        return line, None, 1
-    if re.fullmatch(r"[^：:]{2,36}[：:]", line) and plain_heading(line[:-1], words):
-        return tidy_title(line[:-1]), None, 1
-    if plain_heading(line, words):
-        return tidy_title(line), None, 1
-    for m in (LEDE.match(line), INLINE.match(line)):
-        if m:
-            return m[1].strip(), m[2], 1
-    return None
+#: Characters that a quote has at least, a clause of it, and a window of lines that stands in one.
+LEAST, LEAST_CLAUSE, LEAST_WINDOW, WINDOW_LINES, SHOWN = 6, 10, 12, 3, 240
 
 
-def sections(pages: list[tuple[int, str]], words: tuple[str, ...] = (), min_body: int = 60, most: int = 2200) -> list[tuple[int, int, str, str]]:
-    """(page, index, title, text) of a document's ordered pages.
+def shown(text: str, most: int = SHOWN) -> str:
+    return text if len(text) <= most else text[: most - 3].rstrip() + "..."
 
-    A heading holds until the next one; a page without one belongs to the heading before it, unless that is a generic one. Where a page's bodies
-    are all too short the page goes to the heading before, too, and its own last heading does not take over.
-    """
-    out, open_title = [], None
-    for number, text in pages:
-        every = split_lines(text)
-        lines = [x for k, x in enumerate(every) if not k or x != every[k - 1]]
-        marks, k = [], 0
-        while k < len(lines):
-            found = heading(lines[k], lines[k + 1] if k + 1 < len(lines) else "", words)
-            if found:
-                marks.append((k, found))
-            k += found[2] if found else 1
-        mine = []
-        for i, (k, (title, seed, used)) in enumerate(marks):
-            stop = marks[i + 1][0] if i + 1 < len(marks) else len(lines)
-            if generic(title) and i + 1 < len(marks) and stop - k <= 3:
-                continue
-            body = ([seed] if seed else []) + lines[k + used : stop]
-            if generic(title) and len(body) > 1 and (inner := heading(body[0], body[1], words)) and not generic(inner[0]):
-                title, body = inner[0], body[1:]
-            if len(solid("".join(body))) >= min_body:
-                mine.append((title, body, seed))
-        for i, (title, body, seed) in enumerate(mine):
-            out.append((number, i, title, clip("\n".join(body if seed else [title, *body]), most)))
-        if mine:
-            open_title = marks[-1][1][0]
-        elif open_title and not generic(open_title) and len(solid("".join(lines))) >= min_body:
-            out.append((number, 0, open_title, clip("\n".join([open_title, *lines]), most)))
-    return out
 
+class Page:
+    """A page's folded text with the place at which each of its lines begins, so that a window of lines is a piece of it."""
 
-def clip(text: str, most: int) -> str:
-    text = text.strip()
-    return text if len(text) <= most else text[: most - 3].rstrip() + "..."
+    def __init__(self, text: str | None):
+        self.lines = split_lines(text)
+        parts = [folded(x) for x in self.lines]
+        self.text = "".join(parts)
+        self.starts = [0, *accumulate(map(len, parts))]
 
+    def window(self, i: int, n: int) -> str:
+        return self.text[self.starts[i] : self.starts[i + n]]
 
-def section_evidence(documents: DataFrame, words: tuple[str, ...] = (), min_body: int = 60, key: str = "doc_id") -> DataFrame:
-    """(key, pages array<struct<page_number, text>>) to key, page_number, section_index, title, text: a fold over each document's pages."""
-    make = lambda r: [(r[0], *s) for s in sections(sorted((p["page_number"], p["text"]) for p in r[1] or []), words, min_body)]
-    return each(documents, [key, "pages"], make, f"{key} long, page_number long, section_index long, title string, text string")
+    def windows(self) -> Iterator[tuple[int, int]]:
+        """(first line, lines) of the windows, by their first line, then by length."""
+        return ((i, n) for i in range(len(self.lines)) for n in range(1, min(WINDOW_LINES, len(self.lines) - i) + 1))
 
+    def spelled(self, at: tuple[int, int]) -> str:
+        return shown(" ".join(self.lines[at[0] : at[0] + at[1]]))
 
-# --- citations -------------------------------------------------------------------------------------------------------
+    def around(self, needle: str) -> tuple[int, int] | None:
+        """The first window that holds the needle."""
+        at = self.text.find(needle)
+        while at >= 0:
+            first, last = bisect_right(self.starts, at) - 1, bisect_left(self.starts, at + len(needle)) - 1
+            if last - first < WINDOW_LINES:
+                i = max(0, last - WINDOW_LINES + 1)
+                return i, last - i + 1
+            at = self.text.find(needle, at + 1)
+        return None
 
+    def inside(self, needle: str) -> tuple[int, int] | None:
+        """The first window that the needle holds, if it is half of it and no mere word."""
+        least = max(LEAST_WINDOW, len(needle) // 2)
+        return next((w for w in self.windows() if least <= self.starts[w[0] + w[1]] - self.starts[w[0]] <= len(needle) and self.window(*w) in needle), None)
 
-def folded(text: str) -> str:
-    return "".join(unicodedata.normalize("NFKC", text).split()).lower()
 
+def find_quote(page: str | None, quote: str | None) -> str | None:
+    """The quote as the page has it, null if it hasn't.
 
-def windows(lines: list[str], most: int = 3) -> Iterator[str]:
-    for i in range(len(lines)):
-        for n in range(1, most + 1):
-            if i + n <= len(lines):
-                yield " ".join(lines[i : i + n])
+    The quote and its parts between ellipses are tried, the longest first: one that the page holds is given as it is; else the first window of
+    up to three lines that is half of it or more. Else two or more of its clauses have to be found in windows, which are given one after the other.
+    """
+    quote = quote or ""
+    p = Page(page)
+    for part in by_length(quote):
+        needle = folded(part)
+        if len(needle) >= LEAST:
+            if needle in p.text:
+                return shown(part)
+            if at := p.inside(needle):
+                return p.spelled(at)
+    clauses = [f for f in map(folded, re.split("[;；。]", quote)) if len(f) >= LEAST_CLAUSE]
+    found = [p.spelled(min(w)) for c in clauses if (w := [x for x in (p.around(c), p.inside(c)) if x])] if len(clauses) > 1 else []
+    return shown(" ".join(dict.fromkeys(found))) if len(found) > 1 else None
 
 
-def find_quote(page: str | None, quote: str | None, limit: int = 240) -> str | None:
-    """The quote as the page has it: whole, or a part between ellipses, longest first; else a window of lines that holds it or most of it; else two or more of its clauses."""
-    lines = split_lines(page)
-    shown = [(w, folded(w)) for w in windows(lines)]
-    whole = folded(page or "")
-    cut = lambda t: t if len(t) <= limit else t[: limit - 3].rstrip() + "..."
-    meets = lambda q, w: w and (q in w or w in q and len(w) >= max(12, len(q) // 2))
-    parts = sorted({p.strip() for p in [quote or "", *re.split(r"\.{3,}|…+", quote or "")] if p.strip()}, key=lambda p: (-len(p), (quote or "").find(p)))
-    for part in parts:
-        q = folded(part)
-        if len(q) < 6:
-            continue
-        if q in whole:
-            return cut(part)
-        hit = next((w for w, f in shown if meets(q, f)), None)
-        if hit:
-            return cut(hit)
-    clauses = [f for f in (folded(c) for c in re.split("[;；。]", quote or "")) if len(f) >= 10]
-    hits = [h for h in (next((cut(w) for w, f in shown if meets(c, f)), None) for c in clauses) if h] if len(clauses) > 1 else []
-    return cut(" ".join(dict.fromkeys(hits))) if len(hits) > 1 else None
+def by_length(quote: str) -> list[str]:
+    """The quote and its parts between ellipses, longest first, each once."""
+    return sorted(dict.fromkeys(x for x in map(str.strip, [quote, *re.split(r"\.{3,}|…+", quote)]) if x), key=len, reverse=True)
 
 
 #: Quotes whose needles one task's index holds.
@@ -207,9 +147,8 @@ CITE_BLOCK = 1_000
 
 def sought(quote: str | None) -> list[str]:
     """What a tier of ``find_quote`` looks for, folded: the quote, its parts between ellipses, its clauses."""
-    parts = {folded(p) for p in [quote or "", *re.split(r"\.{3,}|…+", quote or "")]}
-    clauses = {folded(c) for c in re.split("[;；。]", quote or "")}
-    return sorted({p for p in parts if len(p) >= 6} | {c for c in clauses if len(c) >= 10})
+    parts, clauses = map(folded, by_length(quote or "")), map(folded, re.split("[;；。]", quote or ""))
+    return sorted({p for p in parts if len(p) >= LEAST} | {c for c in clauses if len(c) >= LEAST_CLAUSE})
 
 
 def even(text: str) -> str:
@@ -235,18 +174,19 @@ class Needles:
         self.machine = ahocorasick.Automaton()
         for n in self.of_needle:
             self.machine.add_word(n, n)
-            for k in range(len(n) - 11):
-                self.starts.setdefault(n[k : k + 12], set()).add(n)
+            for k in range(len(n) - LEAST_WINDOW + 1):
+                self.starts.setdefault(n[k : k + LEAST_WINDOW], set()).add(n)
         if self.of_needle:
             self.machine.make_automaton()
 
     def of(self, page: str | None) -> list[int]:
         if not page or not self.of_needle:
             return []
-        found = {n for _, n in self.machine.iter(even(folded(page)))}
-        for w in windows([even(folded(x)) for x in split_lines(page)]):
-            w = w.replace(" ", "")
-            found.update(n for n in self.starts.get(w[:12], ()) if len(w) >= len(n) // 2 and w in n)
+        p = Page(page)
+        found = {n for _, n in self.machine.iter(even(p.text))}
+        for at in p.windows():
+            w = even(p.window(*at))
+            found.update(n for n in self.starts.get(w[:LEAST_WINDOW], ()) if len(w) >= len(n) // 2 and w in n)
         return sorted({i for n in found for i in self.of_needle[n]})
 
 

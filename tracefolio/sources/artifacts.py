@@ -34,11 +34,9 @@ def write_artifact(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-class FactTable:
-    """The fact table as versions in a folder: a write makes a new version beside the old one, then moves the pointer file to it, so readers see one or the other.
-
-    Files are partitioned by metric and year, which are what questions filter by.
-    """
+class Versions:
+    """Versions of a table in a folder, and a pointer file that names the one that holds. A write makes a new version beside the old ones and then renames a new pointer over the old one, in one step: whenever
+    it is broken off, readers see one whole version or the other, and there is always one."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -47,21 +45,45 @@ class FactTable:
         fs, p = filesystem(self.spark, f"{self.folder}/CURRENT")
         return self.spark.read.text(f"{self.folder}/CURRENT").collect()[0][0] if fs.exists(p) else None
 
+    def path(self) -> str | None:
+        version = self.current()
+        return f"{self.folder}/{version}" if version else None
+
+    def new(self) -> str:
+        return f"v-{uuid.uuid4().hex}"
+
+    def switch(self, version: str) -> None:
+        jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
+        fs, new = filesystem(self.spark, f"{self.folder}/CURRENT.{version}")
+        out = fs.create(new, True)
+        out.write(bytearray(version.encode()))
+        out.close()
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = sc._gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri() if new.toUri().getScheme() else fs.getUri(), sc._jsc.hadoopConfiguration())
+        files.rename(new, filesystem(self.spark, f"{self.folder}/CURRENT")[1], over)
+
+    def drop_others(self, *keep: str | None) -> None:
+        """Remove versions that nobody reads any more."""
+        fs, p = filesystem(self.spark, self.folder)
+        for f in fs.listStatus(p):
+            if f.isDirectory() and f.getPath().getName().startswith("v-") and f.getPath().getName() not in keep:
+                fs.delete(f.getPath(), True)
+
+
+class FactTable(Versions):
+    """The fact table in versions. Files are partitioned by metric and year, which are what questions filter by."""
+
     def read(self) -> DataFrame:
         version, empty = self.current(), self.spark.createDataFrame([], schemas.FACT)
         # partition columns are read last: back to the schema's order
         return self.spark.read.schema(schemas.FACT).parquet(f"{self.folder}/{version}").select(*empty.columns) if version else empty
 
     def write(self, facts: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
+        version = self.new()
         facts.select(*self.read().columns).write.partitionBy("metric_id", "fiscal_year").parquet(f"{self.folder}/{version}")
-        fs, new = filesystem(self.spark, f"{self.folder}/CURRENT.new")
-        out = fs.create(new, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        _, now = filesystem(self.spark, f"{self.folder}/CURRENT")
-        fs.delete(now, False)
-        fs.rename(new, now)
+        self.switch(version)
 
 
 def import_name(name: str, size: int, taken: set[str], stamp: str) -> str:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracefolio.sources.artifacts import Versions
+
 KEEP = 8
 
 
@@ -23,36 +26,51 @@ def latest(df: DataFrame, key: str, version: str, columns: list[str]) -> DataFra
 
 
 def remember(stream: DataFrame, keep: int = KEEP) -> DataFrame:
-    """The streaming form of ``recent``: (session, turn, role, text) to the messages each session remembers after every batch.
+    """The streaming form: (document_id, session_id, turn, role, text) to what each session remembers after every batch: its last ``keep`` messages, its summary, and its version.
 
-    The state of a session is its last messages, a bounded list, so state grows with sessions only.
+    A session is one of a document. Its version is its latest turn. A row of the role ``summary`` brings a new summary, made in the background from all up to its turn: it is taken
+    only if no later turn has come since; a stale one is dropped. The state of a session is its last messages and one summary, so state grows with sessions only.
     """
-    schema = "session string, turns string, last_turn long"
-    state = "turns string"
+    schema = "document_id string, session_id string, messages array<struct<turn:bigint,role:string,text:string>>, summary string, version bigint"
+    place = {"user": 0, "assistant": 1, "summary": 2}
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        turns = [int(t) for t in (held.get[0] or "").split(",") if t] if held.exists else []
-        for f in frames:
-            turns += [int(t) for t in f["turn"]]
-        turns = sorted(set(turns))[-keep:]
-        held.update((",".join(map(str, turns)),))
-        yield pd.DataFrame({"session": [key[0]], "turns": [",".join(map(str, turns))], "last_turn": [turns[-1] if turns else None]})
-
-    return stream.groupBy("session").applyInPandasWithState(update, schema, state, "update", "NoTimeout")
+        kept, summary, version = held.get if held.exists else ("[]", None, None)
+        messages = json.loads(kept)
+        rows = sorted({(int(t), place.get(r, 1), r, x) for f in frames for t, r, x in zip(f["turn"], f["role"], f["text"])}, key=lambda x: (x[0], x[1], str(x[3])))
+        told = [[t, r, x] for t, _, r, x in rows if r != "summary"]
+        messages = sorted(messages + [m for m in told if m not in messages], key=lambda m: (m[0], place.get(m[1], 1)))[-keep:]
+        version = max([*(m[0] for m in messages), *([version] if version is not None else [])], default=None)
+        for t, _, r, x in rows:
+            if r == "summary" and version is not None and t >= version:
+                summary = x
+        held.update((json.dumps(messages, ensure_ascii=False), summary, version))
+        shown = [{"turn": t, "role": r, "text": x} for t, r, x in messages]
+        yield pd.DataFrame({"document_id": [key[0]], "session_id": [key[1]], "messages": [shown], "summary": [summary], "version": [version]})
+
+    return stream.groupBy("document_id", "session_id").applyInPandasWithState(update, schema, "messages string, summary string, version bigint", "update", "NoTimeout")
 
 
 def keep_latest(path: str, key: str, version: str):
-    """A function for foreachBatch: merge a batch into the table at ``path``, the highest version of each key wins. Running a batch again changes nothing."""
+    """A function for foreachBatch: merge a batch into the table at ``path``, the highest version of each key wins. Running a batch again changes nothing; broken off at any point it leaves the table as it was.
+
+    The table is one of versions (``read_latest``); the one before stays for those who still read it.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        every = spark.read.parquet(path).unionByName(batch) if fs.exists(p) else batch
+        table = Versions(spark, path)
+        before, new = table.current(), table.new()
+        every = spark.read.parquet(f"{table.folder}/{before}").unionByName(batch) if before else batch
         columns = [c for c in batch.columns if c not in (key, version)]
-        new = f"{path}.new"
-        latest(every, key, version, columns).select(*batch.columns).write.mode("overwrite").parquet(new)
-        fs.delete(p, True)
-        fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new), p)
+        latest(every, key, version, columns).select(*batch.columns).write.parquet(f"{table.folder}/{new}")
+        table.switch(new)
+        table.drop_others(before, new)
 
     return merge
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that ``keep_latest`` keeps; None before its first batch."""
+    now = Versions(spark, path).path()
+    return spark.read.parquet(now) if now else None
