@@ -10,7 +10,10 @@ import duckdb
 import pytest
 from test_queries import QUERIES, SQL, plain
 
+from pyspark.sql import functions as F
+
 from tracefolio.functions import questions as Q
+from tracefolio.operators import chat
 
 @pytest.mark.parametrize("name", ["hybrid_topk", "evidence_union", "gold_page_coverage", "rescue_report", "live_observations", "artifact_reuse", "citation_dedupe", "primary_fallback"])
 def test_whole(name, spark):
@@ -26,10 +29,21 @@ def test_whole(name, spark):
     assert sorted(str([plain(r[c]) for c in names]) for r in df.collect()) == sorted(str([plain(r[k]) for k in at]) for r in cursor.fetchall())
 
 
-def test_quotes_that_begin_alike_stay(spark, tmp_path):
-    rows = [(1, 1, "user", "Revenue rose by a tenth"), (1, 2, "user", "Revenue rose by a half"), (1, 4, "user", "Revenue rose by a tenth"), (2, 1, "user", "Revenue rose by a half")]
-    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    assert sorted((r["conv_id"], r["turn"]) for r in QUERIES["citation_dedupe"](spark, str(tmp_path)).collect()) == [(1, 1), (1, 2), (2, 1)]
+def test_quotes_that_begin_alike_stay(spark):
+    rows = [(1, 0, k, f"chat-citation-{k + 1}", "document", None, q, None, None) for k, q in enumerate(("Revenue rose by a tenth", "Revenue rose by a half", " Revenue rose by a tenth"))]
+    rows += [(1, 0, 3, "chat-citation-4", "document", 7, "x", None, None), (1, 0, 4, "chat-citation-5", "document", 7, "y", None, None), (1, 1, 5, "w1", "external", None, None, "u", "t"), (1, 1, 6, "w2", "external", None, None, "u", "s"), (1, 1, 7, "w3", "external", None, None, "", "s"), (1, 1, 8, "w4", "external", None, None, None, "")]
+    c = spark.createDataFrame(rows, "conv_id long, part int, pos long, citation_id string, source_type string, page_number long, quote string, url string, title string")
+    assert sorted(r["pos"] for r in chat.dedupe_citations(c, ["conv_id"]).collect()) == [0, 1, 3, 5, 7, 8]
+
+
+def test_chat_defaults(spark):
+    q = lambda *ws: spark.createDataFrame([(w,) for w in ws], "q string")
+    got = q("存货周转的变化请解释", "库存为什么偏高", "渠道效率描述一下", "净利润为什么下降", "存 货 变化", None).select(chat.intent_hint(F.col("q"))).collect()
+    assert [r[0] for r in got] == ["metric_attribution"] * 3 + [None] * 3
+    one = spark.range(1)
+    parts = one.select(chat.answer_sections(F.lit("document_only"), F.array(F.lit("d")), F.array(F.lit("e")), F.lit(None).cast("array<string>"), F.lit(True)).alias("p")).first()["p"]
+    assert [(p["section_type"], p["title"]) for p in parts] == [("document_evidence", "文档证据"), ("external_evidence", "外部解释"), ("analysis_and_limits", "分析与边界")] and parts[2]["items"] == [chat.EXTERNAL_PARTLY]
+    assert one.select(chat.answer_sections(F.lit("unsupported"), F.lit(None).cast("array<string>"), F.array(F.lit("e")), F.array(F.lit("a")), F.lit(False)).alias("p")).first()["p"][0]["section_type"] == "analysis_and_limits"
 
 
 def parsed(text):

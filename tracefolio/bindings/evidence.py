@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracefolio.functions import text as T
 from tracefolio.operators import evidence as ops
-from tracefolio.operators import locator, retrieval, sections
+from tracefolio.operators import chat, locator, retrieval, sections
 from tracefolio.operators.documents import each
 from tracefolio.session import table
 
@@ -276,11 +276,18 @@ def evidence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(d, F.col("vec_id") == F.col("doc_id")).select("vec_id", "doc_id", F.lit("page_text").alias("chunk_kind"), "source", F.size("embedding").cast("long").alias("dims"))
 
 
-@bind("SELECT doc_id, md5('Source: DOC_' || doc_id || chr(10) || 'Language: ' || lang || chr(10) || substr(text, 1, 700)) AS digest FROM documents")
+@bind(
+    """WITH t AS (SELECT source, doc_id, lang, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents QUALIFY n <= 5),
+b AS (SELECT source, n, '[Document evidence DOC_' || n || ']' || chr(10) || 'Page: ' || CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE CAST(doc_id % 40 AS VARCHAR) END || chr(10) || 'Evidence kind: page_text' || chr(10) || CASE WHEN lang = 'en' THEN '' ELSE 'Section: ' || lang || chr(10) END
+  || 'Excerpt: ' || CASE WHEN length(t) <= 700 THEN t ELSE regexp_replace(t[1:697], '\\s+$', '') || '...' END AS block FROM t)
+SELECT source, md5(string_agg(block, chr(10) || chr(10) ORDER BY n)) AS digest, count(*) AS refs FROM b GROUP BY source"""
+)
 def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DX-17: references with metadata and an excerpt."""
-    body = F.concat_ws("\n", F.concat(F.lit("Source: DOC_"), F.col("doc_id").cast("string")), F.concat(F.lit("Language: "), "lang"), F.substring("text", 1, 700))
-    return docs(spark, sf_dir).select("doc_id", F.md5(body.cast("binary")).alias("digest"))
+    """DX-17: the five chunks that a question has found, with metadata and excerpts."""
+    found = retrieval.ranked(docs(spark, sf_dir), ["source"], ["doc_id"], 5, "pos")
+    page = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 40)
+    chunks = found.select("source", "pos", F.col("doc_id").alias("chunk_id"), page.alias("page_number"), F.lit("page_text").alias("chunk_kind"), F.when(F.col("lang") != "en", F.col("lang")).alias("section_title"), "text")
+    return chat.prompt_context(chunks, ["source"]).select("source", F.md5(F.col("context").cast("binary")).alias("digest"), F.size("refs").cast("long").alias("refs"))
 
 
 @bind(LINES + "SELECT lang, doc_id, line, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM (SELECT lang, line, min(doc_id) AS doc_id FROM x WHERE line_no = 0 GROUP BY lang, line) QUALIFY n <= 5")
