@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracefolio.functions import phrases
 from tracefolio.operators import line_tables as L
@@ -123,3 +124,76 @@ def test_import_names():
     for name, size in (("a.exe", 1), (".pdf", 1), ("a.pdf", 0)):
         with pytest.raises(ValueError):
             artifacts.import_name(name, size, set(), "T")
+
+
+def test_terms_of_questions(spark):
+    from tracefolio.operators import cases
+
+    def reference(q):
+        import re
+
+        plain = re.sub(f"({cases._STOP})", " ", re.sub(cases._PUNCTUATION, " ", q))
+        out = []
+        for part in (p.strip() for p in re.findall(cases._TERM, plain)):
+            if re.fullmatch("[一-鿿]+", part) and len(part) > 8:
+                cut = [part[i : i + n] for n in (4, 5, 6) for i in range(len(part) - n + 1)]
+                out += [w for w in cut if sum(c in cases._STOP_CHARS for c in w) < max(2, len(w) - 1)]
+            elif len(part) >= 2:
+                out.append(part)
+        seen = {}
+        for t in out:
+            seen.setdefault("".join(t.lower().split()), t)
+        return list(seen.values())
+
+    questions = ["招商银行如何管控房地产风险？", "房地产贷款集中度管理情况说明如下文所述", "Revenue growth, revenue  Growth & R&D; 研发", "", "的的的的的的的的的的多少多少"]
+    rows = spark.createDataFrame(list(enumerate(questions)), "k int, q string")
+    got = {r["k"]: r["t"] for r in rows.select("k", cases.query_terms(F.col("q")).alias("t")).collect()}
+    assert [got[k] for k in range(len(questions))] == [reference(q) for q in questions]
+
+
+def test_unknown_and_repeated_cases_raise(spark):
+    from tracefolio.operators import cases
+
+    c = spark.createDataFrame([("a", "smoke"), ("b", "full")], "case_id string, tier string")
+    assert [r["case_id"] for r in cases.select_cases(c, case_ids=["a", "b"], tiers=["full"]).collect()] == ["b"]
+    with pytest.raises(ValueError, match="zz: unknown"):
+        cases.select_cases(c, case_ids=["a", "zz"])
+    pages = "array<bigint>"
+    m = spark.createDataFrame([("x",), ("x",)], "case_id string").withColumns({k: F.array(F.lit(1)).cast(pages) for k in ("human_confirmed_pages", "human_corrected_pages", "human_supporting_pages")} | {"document_key": F.lit("d"), "manifest_readiness": F.lit("c"), "auto_anchor_status": F.lit("a"), "human_missing_fields": F.array().cast("array<string>")})
+    with pytest.raises(ValueError, match="x: duplicate"):
+        cases.manifest_cases(m)
+
+
+def test_answers_are_checked(spark):
+    from tracefolio.operators import cases
+
+    schema = "id int, answer string, items array<string>, route string, expected_route string, document_pages array<int>, external_urls array<string>, n_document int, n_external int, required_terms array<string>, required_groups array<array<string>>, forbidden_terms array<string>, min_document int, min_external int, expected_pages array<int>"
+    ask = ("document_only", [3, 5, None], [None], 2, 0, ["98,361.30"], [["50.79", "49"]], ["请告知"], 2, 0, [5, 9])
+    row = lambda i, answer, items, *more: (i, answer, items, "document_only", *more)
+    rows = [row(0, "客户存款98361.30亿元", ["占50.79%"], *ask), row(1, "客户存款（、）DOC_3", None, *ask), row(2, None, None, *ask), row(3, "98,361.30 49", ["请告知"], "mixed", [5, 5], ["u", "u"], 1, 0, *ask[5:])]
+    got = {r["id"]: (r["failed_checks"], r["passed"]) for r in cases.quality_checks(spark.createDataFrame(rows, schema)).collect()}
+    assert got[0] == ([], True) and got[2] == (None, False)
+    assert got[1] == (["required_answer_terms", "required_answer_term_groups", "empty_citation_markers", "internal_markers"], False)
+    assert got[3] == (["route", "forbidden_answer_terms", "document_citation_count", "duplicate_document_pages", "duplicate_external_urls"], False)
+
+
+def test_files_are_taken_in_and_indexed_once(spark, tmp_path):
+    from tracefolio.sources import artifacts
+
+    root = f"file://{tmp_path}"
+    folders = artifacts.ensure_folders(spark, root)
+    assert set(folders) == set(artifacts.FOLDERS) and artifacts.ensure_folders(spark, root) == folders
+    first = artifacts.import_file(spark, folders["raw"], "../a/report.pdf", b"one", "20250101")
+    second = artifacts.import_file(spark, folders["raw"], "report.pdf", b"two", "20250101")
+    assert first.endswith("/report.pdf") and second.endswith("/report_20250101.pdf")
+    assert sorted(bytes(r["content"]) for r in spark.read.format("binaryFile").load(folders["raw"]).collect()) == [b"one", b"two"]
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert artifacts.index_once(spark, folders["indexes"], "sum", build).count() == 3
+    assert built == [1]
+    assert artifacts.prewarm(spark, folders["indexes"], "other", lambda: 1 / 0).startswith("ZeroDivisionError") and artifacts.prewarm(spark, folders["indexes"], "sum", build) is None

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracefolio.functions import text as T
 from tracefolio.operators import evidence as ops
-from tracefolio.operators import chat, locator, retrieval, sections
+from tracefolio.operators import cases, chat, locator, retrieval, review, sections
 from tracefolio.operators.documents import each
 from tracefolio.session import table
 
@@ -157,12 +157,13 @@ def page_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", "doc_id", F.col("pos").cast("long").alias("pos"))
 
 
-@bind("SELECT doc_id, array_to_string(list_distinct_ordered, ',') AS pages FROM (SELECT doc_id, list_filter([doc_id % 5, doc_id % 3, doc_id % 7, doc_id % 2], lambda v, i: list_position([doc_id % 5, doc_id % 3, doc_id % 7, doc_id % 2], v) = i) AS list_distinct_ordered FROM documents)")
+@bind("WITH p AS (SELECT doc_id, [doc_id % 5, doc_id % 3, doc_id % 7, doc_id % 2] AS f, [doc_id % 5, doc_id % 3, doc_id % 7, doc_id % 2, doc_id % 4, doc_id % 6] AS a FROM documents) SELECT doc_id, array_to_string(list_filter(f, lambda v, i: list_position(f, v) = i), ',') AS pages, array_to_string(list_filter(a, lambda v, i: list_position(a, v) = i), ',') AS every FROM p")
 def page_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DX-06: shared pages before a field's pages, each once."""
+    """DX-06: shared pages before a field's pages, each once; and the pages of all fields."""
     k = F.col("doc_id")
-    pages = F.array_distinct(F.concat(F.array(k % 5, k % 3), F.array(k % 7, k % 2)))
-    return docs(spark, sf_dir).select("doc_id", F.array_join(F.transform(pages, lambda p: p.cast("string")), ",").alias("pages"))
+    shared, revenue, unit = F.array(k % 5, k % 3), F.array(k % 7, k % 2), F.array(k % 4, k % 6)
+    text = lambda c: F.array_join(F.transform(c, lambda p: p.cast("string")), ",")
+    return docs(spark, sf_dir).select("doc_id", text(review.pages_for(shared, revenue)).alias("pages"), text(review.all_pages(shared, F.array(revenue, unit))).alias("every"))
 
 
 @bind(LINES + """, r AS (SELECT doc_id, line_no, CASE WHEN contains(k, 'license') THEN 'licence' WHEN contains(k, 'token') THEN 'secret' WHEN contains(k, '@') THEN 'mail' END AS row_label FROM (SELECT *, regexp_replace(lower(line), '\\s+', '', 'g') AS k FROM x) WHERE length(k) > 0 AND length(k) <= 90 AND NOT (length(k) > 45 AND regexp_matches(line, '[，。；:：]'))),
@@ -298,10 +299,12 @@ def merge_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.ranked(t, ["lang"], ["doc_id"], 5, "n").select("lang", "doc_id", "line", "n")
 
 
-@bind("SELECT lang, doc_id, toxic = 1 AS needs_review FROM labels JOIN documents USING (doc_id) WHERE toxic = 0")
+@bind("SELECT lang AS section, doc_id FROM labels JOIN documents USING (doc_id) WHERE CASE WHEN doc_id % 7 > 0 THEN toxic = 1 ELSE false END = false")
 def verified_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FP-12: only what needs no review."""
-    return table(spark, sf_dir, "labels").join(docs(spark, sf_dir), "doc_id").where("toxic = 0").select("lang", "doc_id", (F.col("toxic") == 1).alias("needs_review"))
+    """FP-12: only what needs no review; a point that nobody has judged is shown."""
+    j = table(spark, sf_dir, "labels").join(docs(spark, sf_dir), "doc_id")
+    points = j.select(F.col("lang").alias("section"), "doc_id", F.when(F.col("doc_id") % 7 > 0, F.col("toxic") == 1).alias("needs_review"))
+    return review.verified_view(points).select("section", "doc_id")
 
 
 @bind(LINES + ", h AS (SELECT doc_id, line_no, contains(lower(line), 'license') AS hit, line FROM x), c AS (SELECT doc_id, line_no, hit, array_to_string(list(line) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), ' / ') AS s FROM h) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS BIGINT) AS k, CASE WHEN length(s) <= 260 THEN s ELSE rtrim(s[1:257]) || '...' END AS snippet FROM c WHERE hit QUALIFY k < 2")
@@ -311,11 +314,13 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("k", F.col("k").cast("long"))
 
 
-@bind("SELECT item_id, array_to_string(list_filter(list_distinct_keep, lambda t: length(t) > 3 AND NOT contains('that with from this', t)), ' ') AS terms FROM (SELECT item_id, list_filter(w, lambda v, i: list_position(w, v) = i) AS list_distinct_keep FROM (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') AS w FROM benchmark))")
+@bind(
+    r"""WITH w AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(text, '[，。！？、；：:,.?;()\[\]（）/]+', ' ', 'g'), '(thing|with)', ' ', 'g'), '[A-Za-z][A-Za-z0-9&./ -]{1,}'), lambda t: trim(t)), lambda t: length(t) >= 2) AS ts FROM benchmark),
+k AS (SELECT item_id, ts, list_transform(ts, lambda t: regexp_replace(lower(t), '\s+', '', 'g')) AS ks FROM w) SELECT item_id, array_to_string(list_filter(ts, lambda t, i: list_position(ks, ks[i]) = i), '|') AS terms FROM k"""
+)
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SF-26: words of a question, stop phrases out, each once."""
-    words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " "))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.filter(words, lambda w: (F.length(w) > 3) & ~F.contains(F.lit("that with from this"), w)), " ").alias("terms"))
+    """SF-26: the terms of questions, with stop words of the fixture's language; ideographs are tried in tests/test_reports.py."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(cases.query_terms(F.col("text"), "thing|with"), "|").alias("terms"))
 
 
 LEX = locator.Lexicon(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracefolio.functions import periods, units
+from tracefolio.operators import cases, review
 from tracefolio.operators import facts as ops
 from tracefolio.session import table
 
@@ -289,11 +290,18 @@ def format_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", units.display_amount(value, F.when(F.col("o_orderkey") % 2 == 0, F.lit("CNY")).otherwise(F.lit("HKD"))).alias("shown"))
 
 
-@bind("SELECT o_orderkey, round(coalesce(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END, CASE WHEN o_orderkey % 4 > 0 THEN c_acctbal END), 2) AS value FROM orders JOIN customer ON o_custkey = c_custkey")
+MERGED = """WITH j AS (SELECT o_orderkey AS document_id, o_orderstatus = 'F' AS f, o_orderkey % 5 AS k, round(o_totalprice, 2) AS t, round(o_totalprice * 2, 2) AS m FROM orders) """
+
+
+@bind(MERGED + "SELECT document_id, CASE WHEN k < 4 AND k % 2 = 0 THEN '元' ELSE '万元' END AS unit, CASE WHEN k < 4 AND f THEN t ELSE m END AS revenue, CASE WHEN k < 4 AND k <> 1 THEN t ELSE m END AS total_assets, CASE WHEN k < 4 AND k = 2 THEN 12.5 WHEN k < 4 AND f THEN NULL ELSE 9.5 END::DOUBLE AS roe FROM j")
 def coalesce_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DX-10: a table's value before a model's; an explicit null stays."""
-    j = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return j.select("o_orderkey", F.round(F.coalesce(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")), F.when(F.col("o_orderkey") % 4 > 0, F.col("c_acctbal"))), 2).alias("value"))
+    """DX-10: a table's figures before a model's; a table without a return on equity takes the model's away."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    t, m, f = F.round("o_totalprice", 2), F.round(F.col("o_totalprice") * 2, 2), F.col("o_orderstatus") == "F"
+    rest = lambda v: [v.alias("net_profit"), v.alias("total_liabilities")]
+    model = o.select(k.alias("document_id"), F.lit("万元").alias("unit"), m.alias("revenue"), m.alias("total_assets"), *rest(m), F.lit(9.5).alias("roe"))
+    tables = o.where(k % 5 < 4).select(k.alias("document_id"), F.when(k % 5 % 2 == 0, "元").otherwise("").alias("unit"), F.when(f, t).alias("revenue"), F.when(k % 5 != 1, t).alias("total_assets"), *rest(t), F.when(k % 5 == 2, 12.5).alias("roe"), f.alias("has_table_signal"))
+    return review.merge_figures(model, tables).select("document_id", "unit", "revenue", "total_assets", "roe")
 
 
 @bind("SELECT a.o_orderkey, a.o_orderstatus IS DISTINCT FROM b.s AS status_changed, a.o_totalprice IS DISTINCT FROM b.p AS price_changed, b.o_orderkey IS NULL AS gone FROM orders a LEFT JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS s, o_totalprice + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS p FROM orders WHERE o_orderkey % 11 > 0) b USING (o_orderkey) WHERE b.o_orderkey IS NULL OR a.o_orderstatus IS DISTINCT FROM b.s OR a.o_totalprice IS DISTINCT FROM b.p")
@@ -313,12 +321,16 @@ def numeric_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.filter(listed, lambda s: s.rlike(r"^-?[0-9]+\.[0-9]{2}$")), 1).alias("two"))
 
 
-@bind("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND year(o_orderdate) = 1998 THEN 'current_annual' WHEN o_orderstatus = 'F' THEN 'historical_annual' WHEN o_orderpriority = '3-MEDIUM' THEN 'quarterly' WHEN o_orderpriority = '5-LOW' THEN 'interim' ELSE NULL END AS class FROM orders")
+@bind(
+    """SELECT o_orderkey, CASE kind WHEN 0 THEN '20f' WHEN 1 THEN 'earnings_release' WHEN 2 THEN CASE WHEN o_orderkey % 7 = 0 THEN 'annual_summary' WHEN o_orderkey % 7 = 1 THEN 'annual_summary' WHEN year(o_orderdate) = 1998 THEN 'annual_report' ELSE 'annual_report_historical' END
+  WHEN 3 THEN CASE WHEN o_orderkey % 7 IN (2, 3) THEN 'quarterly_report' ELSE 'interim_report' END END AS class FROM (SELECT *, o_orderkey % 5 AS kind FROM orders)"""
+)
 def filing_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SF-13."""
-    annual, year = F.col("o_orderstatus") == "F", F.year("o_orderdate")
-    cls = F.when(annual & (year == 1998), "current_annual").when(annual, "historical_annual").when(F.col("o_orderpriority") == "3-MEDIUM", "quarterly").when(F.col("o_orderpriority") == "5-LOW", "interim")
-    return table(spark, sf_dir, "orders").select("o_orderkey", cls.alias("class"))
+    """SF-13: the class of a filing by its kind, its file's name and its year."""
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("form_20f", "earnings_release", "annual_report", "interim_report", "form_6k"))), (k % 5 + 1).cast("int"))
+    name = F.element_at(F.array(*(F.lit(x) for x in ("report 摘要", "A Summary", "三季报告", "Q2 note", "a file", "other", "the report"))), (k % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", cases.filing_class(kind, name, F.year("o_orderdate"), 1998).alias("class"))
 
 
 @bind(FACTS + f"""SELECT CAST(to_json({{'company': company_name, 'document': document_id, 'value': CAST(normalized_value AS DECIMAL(18,2))::VARCHAR}}) AS VARCHAR) AS line FROM best WHERE fiscal_year = {YEAR} ORDER BY normalized_value DESC, document_id LIMIT 10""")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracefolio.operators import cases
+from tracefolio.sources import artifacts
 from tracefolio.sources import html as H
 from tracefolio.sources import registry as ops
 from tracefolio.session import table
@@ -86,7 +88,15 @@ def allowlist_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 @bind("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def registry_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC-04: documents that the manifest lacks."""
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+    return ops.missing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id")
+
+
+@bind("SELECT 'k' || p_partkey % 500 AS document_key, unnest(list_filter([CASE WHEN n > 1 THEN 'duplicate document_key' END, CASE WHEN p_size % 9 = 0 THEN 'missing company_name' END, CASE WHEN p_brand = 'Brand#3' THEN 'unknown doc_type' END], lambda x: x IS NOT NULL)) AS rule FROM (SELECT *, count(*) OVER (PARTITION BY p_partkey % 500) AS n FROM part)")
+def registry_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-04: what is wrong with a registry's rows: keys that come twice, fields without a value, kinds that are none."""
+    p = table(spark, sf_dir, "part")
+    rows = p.select(F.concat(F.lit("k"), (F.col("p_partkey") % 500).cast("string")).alias("document_key"), F.when(F.col("p_size") % 9 != 0, F.col("p_name")).alias("company_name"), F.when(F.col("p_brand") == "Brand#3", "leaflet").otherwise("annual_report").alias("doc_type"))
+    return ops.registry_violations(rows, required=["company_name"], kinds={"doc_type": [k for k, _ in ops.DOC_TYPES]})
 
 
 @bind("SELECT o_orderkey, unnest(list_filter([CASE WHEN o_orderkey % 9 = 0 THEN 'missing_query' END, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'unknown_route' END, CASE WHEN o_totalprice < 2000 THEN 'top_k_not_positive' END], lambda x: x IS NOT NULL)) AS rule FROM orders")
@@ -96,12 +106,46 @@ def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.violations(table(spark, sf_dir, "orders"), "o_orderkey", rules)
 
 
-@bind("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'blocked_missing_raw' WHEN o_orderpriority = '5-LOW' THEN 'no_hit_or_deferred' WHEN o_orderkey % 3 = 0 THEN 'human_missing_fields' WHEN o_orderkey % 4 = 0 THEN 'missing_human_confirmed_or_corrected_pages' ELSE 'not_included' END AS reason FROM orders")
+MATRIX = """WITH r AS (SELECT o_orderkey AS case_id, 'd' || o_custkey % 40 AS document_key, o_orderdate AS pos, o_clerk_or_status AS manifest_readiness, anchor, missing, c, x, s FROM (SELECT *, CASE WHEN o_orderstatus = 'P' THEN 'blocked_missing_raw' ELSE 'candidate' END AS o_clerk_or_status,
+  CASE WHEN o_orderpriority = '5-LOW' THEN 'needs_manual_probe' ELSE 'auto_anchor_high_confidence' END AS anchor, CASE WHEN o_orderkey % 3 = 0 THEN ['unit'] ELSE [] END AS missing, CASE WHEN o_orderkey % 4 > 0 THEN [o_orderkey % 9, o_custkey % 5] ELSE [] END AS c, CASE WHEN o_orderkey % 4 = 1 THEN [o_orderkey % 9, 7] ELSE [] END AS x, [o_custkey % 3, o_custkey % 3] AS s FROM orders)),
+p AS (SELECT *, list_concat(c, x) AS cx FROM r), e AS (SELECT *, list_filter(cx, lambda v, i: list_position(cx, v) = i) AS expected,
+  CASE WHEN manifest_readiness = 'blocked_missing_raw' THEN 'blocked_missing_raw' WHEN anchor = 'needs_manual_probe' THEN 'no_hit_or_deferred' WHEN len(missing) > 0 THEN 'human_missing_fields' WHEN len(cx) = 0 THEN 'missing_human_confirmed_or_corrected_pages' END AS reason FROM p) """
+
+
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as rows of a reviewed matrix."""
+    o, k, c = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    none = F.array().cast("array<bigint>")
+    return o.select(
+        k.alias("case_id"), F.concat(F.lit("d"), (c % 40).cast("string")).alias("document_key"), F.col("o_orderdate").alias("pos"), F.col("o_totalprice"), F.when(F.col("o_orderstatus") == "P", "blocked_missing_raw").otherwise("candidate").alias("manifest_readiness"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "needs_manual_probe").otherwise("auto_anchor_high_confidence").alias("auto_anchor_status"), F.when(k % 3 == 0, F.array(F.lit("unit"))).otherwise(F.array().cast("array<string>")).alias("human_missing_fields"),
+        F.when(k % 4 > 0, F.array(k % 9, c % 5)).otherwise(none).alias("human_confirmed_pages"), F.when(k % 4 == 1, F.array(k % 9, F.lit(7).cast("long"))).otherwise(none).alias("human_corrected_pages"), F.array(c % 3, c % 3).alias("human_supporting_pages"),
+    )
+
+
+@bind(MATRIX + "SELECT case_id, reason FROM e")
 def exclude_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FP-10: the first reason that holds."""
-    k = F.col("o_orderkey")
-    r = F.when(F.col("o_orderstatus") == "P", "blocked_missing_raw").when(F.col("o_orderpriority") == "5-LOW", "no_hit_or_deferred").when(k % 3 == 0, "human_missing_fields").when(k % 4 == 0, "missing_human_confirmed_or_corrected_pages").otherwise("not_included")
-    return table(spark, sf_dir, "orders").select("o_orderkey", r.alias("reason"))
+    """FP-10: the first reason that holds; null for cases."""
+    return matrix(spark, sf_dir).select("case_id", cases.exclude_reason().alias("reason"))
+
+
+@bind(MATRIX + "SELECT case_id, document_key, array_to_string(expected, ',') AS expected, CAST(s[1] AS VARCHAR) AS supporting FROM e WHERE reason IS NULL")
+def manifest_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DX-20: the cases of a manifest, with pages that people confirmed and put right, each once."""
+    text = lambda c: F.array_join(F.transform(c, lambda p: p.cast("string")), ",")
+    return cases.manifest_cases(matrix(spark, sf_dir)).select("case_id", "document_key", text("expected_pages").alias("expected"), text("supporting_pages").alias("supporting"))
+
+
+@bind(MATRIX + "SELECT document_key, min(case_id) AS first_case FROM e WHERE reason IS NULL GROUP BY document_key")
+def manifest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DX-20: the documents of a manifest, from their first row that is a case."""
+    return cases.manifest_documents(matrix(spark, sf_dir), ["case_id"], "case_id").withColumnRenamed("case_id", "first_case")
+
+
+@bind(MATRIX + "SELECT count(*) AS total_rows, count(*) FILTER (reason IS NULL) AS included_cases, count(reason) AS excluded_cases, count(DISTINCT document_key) FILTER (reason IS NULL) AS documents, count(*) FILTER (reason LIKE 'missing_human%') AS excluded_missing_human_pages, count(*) FILTER (reason = 'human_missing_fields') AS excluded_partial_field_gap, count(*) FILTER (reason = 'no_hit_or_deferred') AS excluded_no_hit_or_deferred FROM e")
+def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DX-20: the manifest's counts."""
+    return cases.manifest_summary(matrix(spark, sf_dir))
 
 
 @bind("SELECT 'doc-' || substr(md5(url), 1, 10) AS document_id, url, page_id % 2 = 0 AS listed FROM pages")
@@ -112,17 +156,38 @@ def document_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.catalogue(listed, p.select("url", F.lit(False).alias("listed")), "url").select("document_id", "url", "listed")
 
 
-@bind("SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'skipped' WHEN strlen(html) < 1500 THEN 'failed' ELSE 'passed' END AS status FROM pages")
+SMOKED = """WITH f AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN '.zip' WHEN 1 THEN '.pdf' ELSE '.html' END AS suffix, CASE page_id % 11 WHEN 2 THEN 'gone' WHEN 3 THEN 'empty' WHEN 4 THEN 'broken' ELSE 'page' END AS what, page_id % 5 = 0 AS warned FROM pages),
+s AS (SELECT *, CASE WHEN suffix = '.zip' THEN 'skipped' WHEN what = 'page' THEN 'passed' WHEN what = 'broken' AND suffix = '.html' THEN 'passed' ELSE 'failed' END AS status, CASE suffix WHEN '.pdf' THEN 'pymupdf' WHEN '.html' THEN 'html_tag' ELSE 'unsupported' END AS parser,
+  CASE WHEN suffix = '.zip' THEN NULL WHEN what = 'gone' THEN 'FileNotFoundError' WHEN what = 'empty' THEN 'EmptyTextError' WHEN what = 'broken' AND suffix = '.pdf' THEN 'ValueError' END AS error FROM f),
+w AS (SELECT *, concat_ws(',', CASE WHEN warned THEN 'small' END, CASE WHEN error = 'EmptyTextError' THEN 'empty_extracted_text' END) AS warnings FROM s) """
+
+
+def four_pages(content: bytes) -> list[str]:
+    """A stand-in for a PDF parser."""
+    if content == b"broken":
+        raise ValueError("not a PDF")
+    return ["" if content.startswith(b"<script>") else "text of a page"] * 4
+
+
+def smoked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages as files: some of other kinds, some missing, empty or broken."""
+    k = F.col("page_id")
+    suffix = F.when(k % 7 == 0, ".zip").when(k % 7 == 1, ".pdf").otherwise(".html")
+    html = F.when(k % 11 == 3, F.lit("<script>var x = 1</script>")).when(k % 11 == 4, F.lit("broken")).otherwise(F.concat(F.lit("<p>a</p>"), "html"))
+    files = table(spark, sf_dir, "pages").select(k.cast("string").alias("document_key"), F.concat(k.cast("string"), suffix).alias("local_path"), suffix.alias("suffix"), F.when(k % 11 != 2, html.cast("binary")).alias("content"), F.when(k % 5 == 0, F.array(F.lit("small"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
+    return artifacts.parser_smoke(files, supported=(".pdf", ".html"), parse_pdf=four_pages)
+
+
+@bind(SMOKED + "SELECT CAST(page_id AS VARCHAR) AS document_key, status, parser AS parser_kind_candidate, error AS error_type, CASE WHEN status = 'passed' OR error = 'EmptyTextError' THEN CASE suffix WHEN '.pdf' THEN 3 ELSE 1 END ELSE 0 END AS pages, warnings FROM w")
 def parser_smoke(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC-12: a status for every file; a failure is a row."""
-    s = F.when(F.col("page_id") % 7 == 0, "skipped").when(F.octet_length("html") < 1500, "failed").otherwise("passed")
-    return table(spark, sf_dir, "pages").select("page_id", s.alias("status"))
+    """SC-12: files are opened and sampled; a failure is a row."""
+    return smoked(spark, sf_dir).select("document_key", "status", "parser_kind_candidate", "error_type", F.size("sample_pages_checked").alias("pages"), F.array_join("warnings", ",").alias("warnings"))
 
 
-@bind("SELECT CASE WHEN page_id % 7 = 0 THEN 'skipped' WHEN strlen(html) < 1500 THEN 'failed' ELSE 'passed' END AS status, count(*) AS n FROM pages GROUP BY ALL")
+@bind(SMOKED + "SELECT what, name, count(*) AS n FROM (SELECT 'documents' AS what, 'total' AS name FROM w UNION ALL SELECT 'documents', 'supported' FROM w WHERE suffix <> '.zip' UNION ALL SELECT 'status', status FROM w UNION ALL SELECT 'parser', parser FROM w UNION ALL SELECT 'error', error FROM w WHERE error IS NOT NULL UNION ALL SELECT 'warning', 'small' FROM w WHERE warned UNION ALL SELECT 'warning', 'empty_extracted_text' FROM w WHERE error = 'EmptyTextError') GROUP BY ALL")
 def parser_smoke_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC-13."""
-    return parser_smoke(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """SC-13: counts by status, parser, error and warning."""
+    return artifacts.smoke_summary(smoked(spark, sf_dir), (".pdf", ".html"))
 
 
 @bind("")
@@ -210,13 +275,6 @@ def matrix_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both
 
 
-@bind("SELECT lang, arg_min(doc_id, doc_id) AS document, array_to_string(list(DISTINCT doc_id % 9 ORDER BY doc_id % 9), ',') AS pages FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY lang")
-def manifest_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DX-20: the first document of each key and its distinct pages in order."""
-    j = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").where("quality = 1")
-    return j.groupBy("lang").agg(F.min("doc_id").alias("document"), F.array_join(F.transform(F.array_sort(F.collect_set(F.col("doc_id") % 9)), lambda p: p.cast("string")), ",").alias("pages"))
-
-
 @bind("SELECT string_agg('| ' || r_regionkey || ' | ' || replace(r_name, '|', '\\|') || ' |', chr(10) ORDER BY r_regionkey) AS md FROM region")
 def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SK-06: a small table as Markdown."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefolio.functions import text as T
+from tracefolio.operators import cases
 from tracefolio.operators import retrieval as ops
 from tracefolio.session import table
 
@@ -279,15 +280,24 @@ def guard_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.groupBy("query_id").agg(*(F.bool_or(hit & (F.col("src") == s)).alias(s) for s in ("semantic", "bm25", "fused")))
 
 
-@bind("SELECT d.source AS company, u.query, CASE WHEN count(h.p) = 0 THEN 'needs_manual_probe' WHEN d.n % 2 = 0 THEN 'ready' ELSE 'needs_human_pages' END AS readiness, count(h.p) AS pages FROM (SELECT source, max(doc_id) AS n FROM documents GROUP BY source) d CROSS JOIN (SELECT unnest(['version', 'licensed', 'trademark']) AS query) u LEFT JOIN (SELECT source, doc_id AS p, q FROM documents, (SELECT unnest(['version', 'licensed', 'trademark']) AS q) WHERE contains(lower(text), q)) h ON h.source = d.source AND h.q = u.query GROUP BY d.source, u.query, d.n")
+@bind(
+    """WITH f AS (SELECT source AS company, max(doc_id) AS doc FROM documents GROUP BY source), d AS (SELECT company, CAST(doc AS VARCHAR) AS document_key, doc, unnest(['version', 'licensed', 'trademark']) AS query_id FROM f),
+h AS (SELECT source AS company, q AS query_id, count(*) AS pages FROM documents, (SELECT unnest(['version', 'licensed', 'trademark']) AS q) WHERE contains(lower(text), q) GROUP BY ALL)
+SELECT document_key || '::' || query_id AS case_id, company, query_id, document_key, CASE WHEN pages > 0 THEN 'candidate' ELSE 'needs_manual_probe' END AS search_status, coalesce(pages, 0) AS score, CASE WHEN doc % 2 = 0 AND query_id = 'version' THEN doc % 9 || CASE WHEN doc % 9 <> 3 THEN ',3' ELSE '' END ELSE '' END AS expected,
+  CASE WHEN doc % 3 = 0 AND query_id = 'version' AND doc % 2 = 0 THEN 'needs_anchor_confirmation' WHEN doc % 2 = 0 AND query_id = 'version' THEN 'ready_for_manifest' WHEN pages > 0 THEN 'needs_anchor_confirmation' ELSE 'needs_manual_probe' END AS readiness FROM d LEFT JOIN h USING (company, query_id)"""
+)
 def universal_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RT-24: every company (its last document) with every question, the pages found for it and whether it can be used."""
+    """RT-24: every question on its company's last filing, with what the search found, what people noted, and what it needs yet."""
     d, asked = table(spark, sf_dir, "documents"), ("version", "licensed", "trademark")
-    counts = [F.count_if(F.contains(F.lower("text"), F.lit(q))).alias(q) for q in asked]
-    wide = d.groupBy("source").agg(F.max("doc_id").alias("n"), *counts)
-    long = wide.select(F.col("source").alias("company"), "n", F.explode(F.array(*(F.struct(F.lit(q).alias("query"), F.col(q).alias("pages")) for q in asked))).alias("r")).select("company", "n", "r.*")
-    return long.select("company", "query", F.when(F.col("pages") == 0, "needs_manual_probe").when(F.col("n") % 2 == 0, "ready").otherwise("needs_human_pages").alias("readiness"), "pages")
-
+    companies = d.groupBy(F.col("source").alias("company")).agg(F.max("doc_id").alias("doc"), *(F.count_if(F.contains(F.lower("text"), F.lit(q))).alias(q) for q in asked))
+    filings = d.select(F.col("source").alias("company"), F.col("doc_id").cast("string").alias("document_key"), F.array(*(F.lit(q) for q in asked)).alias("universal_candidates"), F.col("doc_id").alias("pos"))
+    each = companies.select("company", "doc", F.explode(F.array(*(F.struct(F.lit(q).alias("query_id"), F.col(q).alias("n")) for q in asked))).alias("r")).select("company", "doc", "r.*")
+    hits = each.where("n > 0").select("query_id", F.col("doc").cast("string").alias("document_key"), F.array(F.lit(1).cast("long")).alias("candidate_pages"), F.col("n").alias("score"))
+    notes = companies.where("doc % 2 = 0").select(
+        "company", F.lit("version").alias("query_id"), F.array(F.col("doc") % 9).alias("human_confirmed_pages"), F.array(F.lit(3).cast("long")).alias("human_corrected_pages"), F.when(F.col("doc") % 3 == 0, F.array(F.lit("unit"))).otherwise(F.array().cast("array<string>")).alias("human_missing_fields")
+    )
+    out = cases.universal_matrix(each.select("query_id", "company"), filings, hits, notes)
+    return out.withColumn("expected", F.array_join(F.transform("expected_pages", lambda p: p.cast("string")), ",")).drop("expected_pages")
 
 
 @bind("SELECT ks, kb, k, a10, hits, row_number() OVER (ORDER BY hits DESC, ks + kb, k, abs(a10 - 5), ks, a10) AS place FROM (" + SQL["rrf_grid"] + ") QUALIFY place <= 10")

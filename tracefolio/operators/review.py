@@ -61,3 +61,51 @@ def changed_fields(before: DataFrame, after: DataFrame, fields: list[str]) -> Da
     b = after.select("document_id", F.struct(*fields).alias("b"))
     differ: list[Column] = [F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f)) for f in fields]
     return a.join(b, "document_id", "full").select("document_id", F.array_compact(F.array(*differ)).alias("changed")).where("size(changed) > 0")
+
+
+def review_state(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The state of reviewed results, worked out anew: a row a document, and a row a section.
+
+    ``items``: document_id, kind (overview, point or field), section, needs_review, value, n_citations. Overviews and points are verified unless they need review, filled fields if they are cited; empty
+    fields count for nothing. A section needs review if one of its points does; a document if anything is pending.
+    """
+    field = F.col("kind") == "field"
+    pending = F.when(field, F.when(F.col("value").isNotNull(), F.col("n_citations") == 0)).otherwise(F.col("needs_review"))
+    marked = items.withColumn("pending", pending).where("pending is not null")
+    n = F.count_if("pending")
+    documents = marked.groupBy("document_id").agg(F.count_if(~F.col("pending")).alias("verified"), n.alias("pending"), F.when(n > 0, "needs_confirmation").otherwise("passed").alias("status"))
+    sections = items.where("kind = 'point'").groupBy("document_id", "section").agg(F.bool_or("needs_review").alias("needs_review"))
+    return documents, sections
+
+
+def verified_view(points: DataFrame) -> DataFrame:
+    """What is shown when only verified points are asked for: points that need no review; a section without any goes with them."""
+    return points.where(~F.coalesce(F.col("needs_review"), F.lit(False)))
+
+
+# The figures that a table's reading may replace.
+FIGURES = ("revenue", "net_profit", "total_assets", "total_liabilities", "roe")
+
+
+def merge_figures(model: DataFrame, tables: DataFrame, key: str = "document_id") -> DataFrame:
+    """Figures that a model has read, with those that tables give in their place; a unit likewise, unless it is blank. Where there is a table (has_table_signal) that gives no return on equity, the model's goes.
+
+    ``model``: key, unit, FIGURES; ``tables``: the same and has_table_signal.
+    """
+    t = tables.select(key, *(F.col(c).alias(f"t_{c}") for c in ("unit", *FIGURES)), "has_table_signal")
+    j = model.join(t, key, "left")
+    signal = F.coalesce(F.col("has_table_signal"), F.lit(False))
+    new = {c: F.coalesce(f"t_{c}", c) for c in FIGURES}
+    new["roe"] = F.when(signal & F.col("t_roe").isNull(), F.lit(None)).otherwise(new["roe"])
+    return j.select(key, F.coalesce(F.nullif("t_unit", F.lit("")), "unit").alias("unit"), *(new[c].alias(c) for c in FIGURES))
+
+
+def pages_for(shared: Column, own: Column) -> Column:
+    """The pages that a field is looked for on: the shared ones, then its own, each once."""
+    listed = lambda c: F.coalesce(c, F.array().cast("array<bigint>"))
+    return F.array_distinct(F.concat(listed(shared), listed(own)))
+
+
+def all_pages(shared: Column, fields: Column) -> Column:
+    """All pages of a selection (shared pages, and a map or list of fields' pages in order), each once; the shared ones where there is no field."""
+    return pages_for(shared, F.flatten(fields))

@@ -127,3 +127,106 @@ def page_sources(files: DataFrame, parse_pdf=None) -> DataFrame:
         return [(path, None, None, None, error)]
 
     return each(files, ["path", "content"], make, "path string, page_number long, text string, parser_kind string, error string")
+
+
+# The parser that a suffix is read by first, and the warning of a file without text.
+CANDIDATES = {".pdf": "pymupdf", ".htm": "html_tag", ".html": "html_tag"}
+EMPTY_TEXT = "empty_extracted_text"
+SMOKE = "document_key string, local_path string, suffix string, status string, parser_kind_candidate string, page_count_estimate long, sample_text_chars long, sample_pages_checked array<long>, error_type string, error_message string, warnings array<string>"
+
+
+def parser_smoke(entries: DataFrame, *, supported: tuple[str, ...], parse_pdf=None, sample_pages: int = 3, least: int = 1) -> DataFrame:
+    """Can the files be read? (document_key, local_path, suffix, content, warnings) to a row a file: passed, failed or skipped, what was sampled, and what went wrong.
+
+    Of a PDF the first ``sample_pages`` pages are read (``parse_pdf``: bytes to page texts), of HTML the visible text. A kind that is not supported is skipped; a file that is missing (null content), breaks its parser or
+    gives fewer than ``least`` characters has failed. No failure stops the run.
+    """
+    if sample_pages < 1 or least < 1:
+        raise ValueError("sample_pages and least must be 1 or more")
+    from tracefolio.operators.documents import each
+    from tracefolio.sources.html import decode, visible
+
+    def sample(suffix: str, content: bytes) -> tuple[int, str, list[int]]:
+        if suffix in (".htm", ".html"):
+            return 1, visible(decode(content)), [1]
+        if suffix == ".pdf" and parse_pdf:
+            pages = list(parse_pdf(content))
+            return len(pages), "\n".join(pages[:sample_pages]), list(range(1, min(sample_pages, len(pages)) + 1))
+        raise ValueError(f"no parser for {suffix}")
+
+    def make(row: tuple) -> list[tuple]:
+        key, path, suffix, content, warnings = row
+        head, warnings = (key, path, suffix), list(warnings or [])
+        kind = CANDIDATES.get(suffix, "unsupported")
+        if suffix not in supported:
+            return [(*head, "skipped", kind, None, 0, [], None, None, warnings)]
+        if content is None:
+            return [(*head, "failed", kind, None, 0, [], "FileNotFoundError", f"File not found: {path}", warnings)]
+        try:
+            pages, text, checked = sample(suffix, bytes(content))
+        except Exception as e:  # a broken file is a row
+            return [(*head, "failed", kind, None, 0, [], type(e).__name__, str(e) or "the parser failed", warnings)]
+        n = len(" ".join(text.split()))
+        if n < least:
+            return [(*head, "failed", kind, pages, n, checked, "EmptyTextError", f"{n} characters of text, {least} are required", [*warnings, EMPTY_TEXT])]
+        return [(*head, "passed", kind, pages, n, checked, None, None, warnings)]
+
+    return each(entries, ["document_key", "local_path", "suffix", "content", "warnings"], make, SMOKE)
+
+
+def smoke_summary(results: DataFrame, supported: tuple[str, ...]) -> DataFrame:
+    """(what, name, n): documents and supported ones, and counts by status, parser, error and warning."""
+    one = lambda what, name: F.struct(F.lit(what).alias("what"), name.alias("name"))
+    kinds = [one("documents", F.lit("total")), F.when(F.col("suffix").isin(*supported), one("documents", F.lit("supported"))), one("status", F.col("status")), one("parser", F.col("parser_kind_candidate")), F.when(F.col("error_type").isNotNull(), one("error", F.col("error_type")))]
+    every = F.concat(F.array_compact(F.array(*kinds)), F.transform("warnings", lambda w: one("warning", w)))
+    return results.select(F.explode(every).alias("k")).groupBy("k.what", "k.name").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Folders of a data directory.
+FOLDERS = ("samples", "raw", "parsed", "indexes", "outputs", "qdrant")
+
+
+def ensure_folders(spark: SparkSession, root: str) -> dict[str, str]:
+    """The folders under ``root``, made where they are missing, by Spark's own file system."""
+    out = {}
+    for name in FOLDERS:
+        fs, p = filesystem(spark, f"{root.rstrip('/')}/{name}")
+        fs.mkdirs(p)
+        out[name] = str(p)
+    return out
+
+
+def import_file(spark: SparkSession, folder: str, name: str, content: bytes, stamp: str) -> str:
+    """Take a file in under a name that is free (``import_name``); its bytes are written beside it first and renamed, so no reader sees half of it. Gives the path."""
+    fs, base = filesystem(spark, folder)
+    fs.mkdirs(base)
+    taken = {f.getPath().getName() for f in fs.listStatus(base)}
+    path = f"{folder.rstrip('/')}/{import_name(name, len(content), taken, stamp)}"
+    _, part = filesystem(spark, f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(part, False)
+    out.write(bytearray(content))
+    out.close()
+    if not fs.rename(part, filesystem(spark, path)[1]):
+        fs.delete(part, False)
+        raise FileExistsError(path)
+    return path
+
+
+def index_once(spark: SparkSession, folder: str, key: str, build) -> DataFrame:
+    """The table under ``key`` (a checksum of what it is made from), built by ``build()`` if it is not there. Two that build at once both write, each whole; the first to switch is read by both."""
+    table = Versions(spark, f"{folder.rstrip('/')}/{key}")
+    if not table.path():
+        version = table.new()
+        build().write.parquet(f"{table.folder}/{version}")
+        if not table.path():
+            table.switch(version)
+    return spark.read.parquet(table.path())
+
+
+def prewarm(spark: SparkSession, folder: str, key: str, build) -> str | None:
+    """As ``index_once``, but what goes wrong is given back and not raised: a run does not fail for its index."""
+    try:
+        index_once(spark, folder, key, build)
+    except Exception as e:
+        return f"{type(e).__name__}: {e}"
+    return None

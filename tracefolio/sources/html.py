@@ -50,10 +50,14 @@ def read(html: str | None, hidden: frozenset = HIDDEN, inside: tuple[str, ...] =
     return r
 
 
+def visible(html: str | None) -> str:
+    return " ".join(" ".join(read(html).nodes).split())
+
+
 @F.pandas_udf(StringType())
 def visible_text(s: pd.Series) -> pd.Series:
     """Shown text, white space collapsed; inline tags part words as block tags do."""
-    return s.map(lambda h: " ".join(" ".join(read(h).nodes).split()))
+    return s.map(visible)
 
 
 @F.pandas_udf(StringType())

@@ -57,15 +57,14 @@ def company(stem: Column) -> Column:
     marks = sorted({m for _, ms in (*DOC_TYPES, *MARKETS) for m in ms}, key=len, reverse=True)
     words = "|".join(rf"\b{m}\b" if m.isascii() else m for m in marks)
     c = F.regexp_replace(c, f"(?i){words}", " ")
+    # fixed values: words of file names that name no company
     generic = ("document", "doc", "filing", "raw", "report", "unknown", "untitled", "sample", "test", "misc", "zh", "cn", "en", "hk", "us", "未命名", "未知", "样本", "樣本")
     tokens = F.filter(F.split(c, r"[ ()\[\]{}（）【】,，.]+"), lambda t: (t != "") & ~t.isin(*generic) & ~t.rlike("^[0-9]+$"))
     return F.nullif(F.array_join(tokens, " "), F.lit(""))
 
 
 def entries(files: DataFrame) -> DataFrame:
-    """Registry rows of (path, content): unsupported files too. Checksums that come twice are marked, by one window over the digest."""
-    from pyspark.sql import Window
-
+    """Registry rows of (path, content): unsupported files too. Checksums that come twice are marked; copies are counted by an aggregate, so a digest that very many files share combines before the shuffle."""
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
@@ -74,7 +73,8 @@ def entries(files: DataFrame) -> DataFrame:
         company(stem).alias("company_name"), fiscal_year(stem).alias("fiscal_year"), first_kind(name_key(stem), DOC_TYPES).alias("doc_type"), first_kind(name_key(stem), MARKETS).alias("market"),
         F.when(stem.rlike("[㐀-鿿]"), "zh").otherwise("en").alias("language"),
     )
-    rows = rows.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("checksum_sha256")))
+    copies = files.select(F.sha2("content", 256).alias("checksum_sha256")).groupBy("checksum_sha256").agg(F.count(F.lit(1)).alias("copies"))
+    rows = rows.join(copies, rows["checksum_sha256"].eqNullSafe(copies["checksum_sha256"])).drop(copies["checksum_sha256"])
     tests = [~F.col("suffix").isin(*SUPPORTED), F.col("company_name").isNull(), F.col("fiscal_year").isNull(), F.col("doc_type").isNull(), F.col("file_size_bytes") < SMALL, F.col("copies") > 1]
     warned = F.array_compact(F.array(*(F.when(t, F.lit(w)) for t, w in zip(tests, WARNINGS))))
     return rows.withColumn("warnings", warned).withColumn("is_supported", F.col("suffix").isin(*SUPPORTED)).withColumn("document_key", document_key())
@@ -134,3 +134,17 @@ def require_none(found: DataFrame, key: str) -> None:
     first = found.orderBy(key, "rule").limit(1).collect()
     if first:
         raise ValueError(f"{first[0][key]}: {first[0]['rule']}")
+
+
+def missing(listed: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Rows of a registry that have no file."""
+    return listed.join(found.select(key).distinct(), key, "left_anti")
+
+
+def registry_violations(rows: DataFrame, required: list[str], kinds: dict[str, list[str]], key: str = "document_key") -> DataFrame:
+    """(key, rule): keys that come twice, required fields without a value, values that are none of a field's kinds. ``require_none`` raises the first of them."""
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    rules = [("duplicate document_key", F.col("__n") > 1)]
+    rules += [(f"missing {c}", F.coalesce(F.col(c).cast("string"), F.lit("")) == "") for c in required]
+    rules += [(f"unknown {c}", F.col(c).isNotNull() & ~F.col(c).isin(*known)) for c, known in kinds.items()]
+    return violations(rows.join(n, key), key, rules)
