@@ -171,3 +171,22 @@ def test_citations_equal_all_pairs(spark, sf):
     pages = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     want = sorted((i, d, f) for d, t in pages for i, q in quotes if (f := D.find_quote(t, q)))
     assert sorted(map(tuple, bindings.citation_fuzzy(spark, sf).collect())) == want
+
+
+@pytest.mark.parametrize(
+    "text,clean",
+    [
+        ("see (Chunk 3) and [chunk a b] (DOC_1、WEB_2)", "see and"),
+        ("source = annual_1 ok, score=-0.5.", "ok,."),
+        ("resource=fine and x = 3", "resource=fine and x = 3"),
+        ("存款16日均余额与 16 占比，共16个", "存款日均余额与占比，共16个"),
+        ("profit (page 12, table row) rose (page 12) in FY2025", "profit rose (page 12) in 2025年"),
+        ("-1,250.5 USD million；3 million hkd", "-1,250.5 USD million，即 -12.51 亿美元；3 HKD million，即 0.03 亿港元"),
+        ("7（單位：人民幣百萬元）", "7 百万元，即 0.07 亿元"),
+        ("如下： - 一。 * 二", "如下：\n- 一。\n* 二"),
+        ("a ( ( ) ) b ，c", "a b，c"),
+        ("x |\n\n\n\n| y", "x\n\ny"),
+    ],
+)
+def test_sanitize_tokens(text, clean):
+    assert answers.sanitize(text) == clean

@@ -197,3 +197,25 @@ def test_files_are_taken_in_and_indexed_once(spark, tmp_path):
         assert artifacts.index_once(spark, folders["indexes"], "sum", build).count() == 3
     assert built == [1]
     assert artifacts.prewarm(spark, folders["indexes"], "other", lambda: 1 / 0).startswith("ZeroDivisionError") and artifacts.prewarm(spark, folders["indexes"], "sum", build) is None
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("ROAA 和 ROAE 分 别 为 1.2% 和 13.4%", (13.4, 4)),
+        ("ROAE 及 ROAA 分別為 13.4 ％ 及 1.2％", (13.4, 4)),
+        ("归属于本行普通股股东的加权平均净资产收益率为 13.44%", (13.44, 2)),
+        ("扣除非经常性损益后归属于本行普通股股东的加权平均净资产收益率（年化）为 12.1%", (12.1, 4)),
+        ("weighted average return on equity was -3.5 %", (-3.5, 1)),
+        ("return on equity: 8% year-on-year growth", (8.0, 1)),
+        ("return on equity yoy 8%", None),
+        ("ROE rose; net margin" + " x" * 80 + " 9%", None),
+        ("净资产收益率 100% 完成", (100.0, 1)),
+        ("总资产 5%", None),
+    ],
+)
+def test_return_on_equity_phrases(text, want):
+    got = phrases.roe(text)
+    assert (got and (got[0], got[2])) == want
+    if got and "归属于" in text:
+        assert got[1].startswith("归属于")
