@@ -1,5 +1,7 @@
 """Evidence, locator, strategies and guards over small Chinese and English pages."""
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -125,3 +127,24 @@ def test_hygiene(spark, text, check, passed):
 def test_period_labels(spark, period, kind, market, label):
     got = spark.createDataFrame([(period, kind, market)], "p string, k string, m string").select(periods.period_label(F.col("p"), F.col("k"), F.col("m"))).collect()[0][0]
     assert got == label or kind == "earnings_release" and got == label
+
+
+def test_many_queries_stay_a_table(spark, monkeypatch):
+    """More asked rows than a block holds: the same results as with all of them in one."""
+    from tracefolio.operators import documents, retrieval
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(6))
+    pages = [(k, " ".join(word() for _ in range(60))) for k in range(700)]
+    quotes = [(k, " ".join(rng.choice(pages)[1].split()[3:6]) if k % 3 else word() * 2) for k in range(90)]
+    p, q = spark.createDataFrame(pages, "doc_id long, text string").repartition(3), spark.createDataFrame(quotes, "quote_id long, quote string")
+    v = spark.createDataFrame([(k, [rng.random() - 0.5 for _ in range(8)]) for k in range(700)], "vec_id long, embedding array<double>").repartition(3)
+    asked = v.where("vec_id < 50").selectExpr("vec_id as query_id", "embedding")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole = [rows(evidence.quote_pages(q, p)), rows(documents.cite(q, p)), rows(retrieval.vector_search(v, asked, top_k=4).select("query_id", "vec_id", "rank"))]
+    monkeypatch.setattr(evidence, "QUOTE_BLOCK", 20)
+    monkeypatch.setattr(documents, "CITE_BLOCK", 20)
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 20)
+    assert [rows(evidence.quote_pages(q, p)), rows(documents.cite(q, p)), rows(retrieval.vector_search(v, asked, top_k=4).select("query_id", "vec_id", "rank"))] == whole
+    assert len(whole[0]) >= 60 and len(whole[2]) == 200
+    assert rows(retrieval.vector_search(v.withColumn("kind", (F.col("vec_id") % 2).cast("string")), asked, top_k=4, filters={"kind": "1"}).where("vec_id % 2 = 0")) == []

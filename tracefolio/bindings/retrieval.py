@@ -82,6 +82,16 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
+@bind(f"SELECT a.vec_id AS query_id, b.vec_id, round({COSINE}, 5) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COSINE}, 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b JOIN documents d ON d.doc_id = b.vec_id WHERE a.vec_id IN (SELECT item_id FROM benchmark) AND d.source = 'src3' AND d.lang = 'en' QUALIFY rank <= 3")
+def semantic_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FP-05: vector search in one document's evidence of one kind; both are exact."""
+    e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    evidence = e.join(d.select(F.col("doc_id").alias("vec_id"), F.col("source").alias("document_id"), F.col("lang").alias("chunk_kind")), "vec_id")
+    asked = e.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = ops.vector_search(evidence, asked, top_k=3, filters={"document_id": "src3", "chunk_kind": "en"})
+    return found.select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
+
+
 @bind(
     BM25.replace("source AS corpus", "'all' AS corpus")
     + f""", b AS (SELECT query_id, doc_id AS page, 'bm25' AS source, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored QUALIFY rank <= 5),

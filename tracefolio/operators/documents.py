@@ -10,6 +10,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 
 from tracefolio.functions.text import folded
+from tracefolio.operators.blocks import against
 
 LINE_ENDS = re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 
@@ -141,7 +142,7 @@ def by_length(quote: str) -> list[str]:
     return sorted(dict.fromkeys(x for x in map(str.strip, [quote, *re.split(r"\.{3,}|…+", quote)]) if x), key=len, reverse=True)
 
 
-#: Quotes whose needles one task's index holds.
+#: Quotes whose needles one index holds.
 CITE_BLOCK = 1_000
 
 
@@ -193,23 +194,12 @@ class Needles:
 def cite(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """(quote_id, quote) and (doc_id, text) to quote_id, doc_id, found, for all pairs that ``find_quote`` finds.
 
-    Quotes go to the tasks in blocks of bounded size; every page is read once a block, and only pairs that share a needle are matched.
+    Every page meets every block of quotes (``blocks.against``), and only pairs that share a needle are matched.
     """
-    schema, block, out = "quote_id long, doc_id long, found string", [], None
 
-    def add(block: list[tuple[int, str]]) -> DataFrame:
-        held: list[Needles] = []  # made by the first row of a task
+    def start(block: list[tuple]):
+        needles = Needles(block)
+        return lambda rows: [(block[k][0], doc, f) for doc, text in rows for k in needles.of(text) if (f := find_quote(text, block[k][1]))]
 
-        def make(r: tuple) -> list[tuple]:
-            if not held:
-                held.append(Needles(block))
-            return [(block[k][0], r[0], f) for k in held[0].of(r[1]) if (f := find_quote(r[1], block[k][1]))]
-
-        part = each(pages, ["doc_id", "text"], make, schema)
-        return part if out is None else out.unionByName(part)
-
-    for r in quotes.select("quote_id", "quote").where("quote is not null").toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == CITE_BLOCK:
-            out, block = add(block), []
-    return add(block) if block or out is None else out
+    asked = quotes.select("quote_id", "quote").where("quote is not null")
+    return against(pages.select("doc_id", "text"), asked, start, "quote_id long, doc_id long, found string", ask_block=CITE_BLOCK)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefolio.functions.text import collapse, compact, context, lines, truncate
+from tracefolio.operators.blocks import against
 
 #: Per page: a term counts 5 up to 40, two numbers 1 up to a cap, a line like a table's 2 up to 16, a section word 4 up to 12, the whole query 10.
 NUMBER = r"[0-9]+(?:[.,][0-9]+)?\s*(?:%|个百分点|百万元|亿元|元|TEU|吨|次)?"
@@ -139,38 +140,22 @@ QUOTE_BLOCK = 20_000
 def quote_pages(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """quote_id, doc_id of the pages (doc_id, text) that contain a quote, both compacted; quotes under six characters match nothing.
 
-    All quotes are looked for at once, by an automaton over them that reads each text once; quotes go to the tasks in blocks of bounded size. No page is paired with a quote that it does not hold.
+    All quotes of a block are looked for at once, by an automaton over them that reads each text once (``blocks.against``). No page is paired with a quote that it does not hold.
     """
     texts = pages.select("doc_id", compact(F.coalesce("text", F.lit(""))).alias("t"))
-    block: list[tuple[int, str]] = []
-    out = None
-    for r in quotes.select("quote_id", compact(F.col("quote")).alias("q")).where("length(q) >= 6").toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == QUOTE_BLOCK:
-            part = texts.mapInArrow(_finder(block), "quote_id long, doc_id long")
-            out, block = part if out is None else out.unionByName(part), []
-    if block or out is None:
-        part = texts.mapInArrow(_finder(block), "quote_id long, doc_id long")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _finder(block: list[tuple[int, str]]):
-    wanted: dict[str, list[int]] = {}
-    for i, q in block:
-        wanted.setdefault(q, []).append(i)
-
-    def run(batches):
+    asked = quotes.select("quote_id", compact(F.col("quote")).alias("q")).where("length(q) >= 6")
+
+    def start(block: list[tuple]):
         import ahocorasick
-        import pyarrow as pa
 
+        wanted: dict[str, list[int]] = {}
+        for i, q in block:
+            wanted.setdefault(q, []).append(i)
         machine = ahocorasick.Automaton()
         for q, ids in wanted.items():
             machine.add_word(q, ids)
         if wanted:
             machine.make_automaton()
-        for b in batches:
-            hits = [(i, d) for d, t in zip(b.column(0).to_pylist(), b.column(1)) if wanted for i in sorted({i for _, ids in machine.iter(t.as_py()) for i in ids})]
-            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())], names=["quote_id", "doc_id"])
+        return lambda rows: [(i, d) for d, t in rows if wanted for i in sorted({i for _, ids in machine.iter(t) for i in ids})]
 
-    return run
+    return against(texts, asked, start, "quote_id long, doc_id long", ask_block=QUOTE_BLOCK)

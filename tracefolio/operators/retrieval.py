@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefolio.functions.text import bm25_tokens, compact
+from tracefolio.operators.blocks import against
 
 K1, B = 1.5, 0.75
-#: Query terms or vectors that are sent to every task, at most; beyond it terms are joined by a shuffle, and vectors come in blocks.
+#: Query terms, or vectors, that are sent to every task, at most; beyond it terms are joined by a shuffle, and vectors are a table in blocks.
 MOST_TERMS, VECTOR_BLOCK = 500_000, 2_000
 
 
@@ -28,16 +26,29 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return sized.groupBy("corpus").agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avg_len"))
 
 
+def counted(tokens: str) -> Column:
+    """array<struct<term, tf>> of a column of sorted tokens: lengths of the runs of equal ones."""
+    t = F.col(tokens)
+    starts = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.element_at(t, i) != F.element_at(t, F.greatest(i - 1, F.lit(1)))))
+    ends = F.concat(F.slice(starts, 2, F.size(t)), F.array(F.size(t) + 1))
+    runs = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: F.struct(F.element_at(t, r["a"]).alias("term"), (r["b"] - r["a"]).cast("long").alias("tf")))
+    return F.when(F.size(t) > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+
 def term_frequencies(docs: DataFrame, terms: DataFrame | None = None, lengths: bool = False) -> DataFrame:
-    """corpus, doc_id, dl, term, tf; of the terms only, where given: postings of other terms are never made. With ``lengths`` every document has a row for the empty term, too."""
-    tokens = docs.select("corpus", "doc_id", bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    listed = F.concat(F.array(F.lit("")), "tokens") if lengths else F.col("tokens")
-    rows = tokens.select("corpus", "doc_id", F.size("tokens").cast("long").alias("dl"), F.explode(listed).alias("term"))
+    """corpus, doc_id, dl, term, tf; of the terms only, where given: postings of other terms are never moved. With ``lengths`` every document has a row for the empty term, too.
+
+    Terms are counted within each text; only what is asked for is dealt out by document, and what is grouped by document and anything more need not be moved again.
+    """
+    tokens = docs.select("corpus", "doc_id", F.array_sort(bm25_tokens(F.coalesce("text", F.lit("")))).alias("tokens"))
+    runs = counted("tokens")
+    listed = F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"))), runs) if lengths else runs
+    rows = tokens.select("corpus", "doc_id", F.size("tokens").cast("long").alias("dl"), F.explode(listed).alias("r")).select("corpus", "doc_id", "dl", "r.*")
     if terms is not None:
         wanted = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")) if lengths else terms
         few = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS
         rows = rows.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
-    return rows.groupBy("corpus", "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return rows.repartition("corpus", "doc_id").groupBy("corpus", "doc_id", "dl", "term").agg(F.sum("tf").alias("tf"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -45,69 +56,62 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def bm25_search(docs: DataFrame, queries: DataFrame, *, top_k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """The best documents of each corpus for each (query_id, text): corpus, query_id, doc_id, score, rank."""
+    """The best documents of each corpus for each (query_id, text): corpus, query_id, doc_id, score, rank.
+
+    Texts are read and cut to tokens once: counts, lengths and scores all read the one exchange of the asked terms' postings, dealt out by document. A common word brings a document to many questions, but within the
+    document's task: scores are summed there, and only each task's best ``top_k`` of every question are shuffled.
+    """
     asked = queries.select("query_id", F.explode(bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    # texts are read and cut to tokens once; counts and lengths come from the postings, which are few
-    postings = term_frequencies(docs, asked.select("term").distinct(), lengths=True).persist(StorageLevel.MEMORY_AND_DISK)
+    near = lambda df, rows: F.broadcast(df) if rows <= MOST_TERMS else df
+    terms, pairs = asked.agg(F.countDistinct("term"), F.count(F.lit(1))).first()
+    corpora = docs.select("corpus").distinct().limit(MOST_TERMS + 1).count()
+    postings = term_frequencies(docs, asked.select("term").distinct(), lengths=True)
     stats = postings.where("term = ''").groupBy("corpus").agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avg_len"))
     tf = postings.where("term != ''")
     df = tf.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = tf.join(df, ["corpus", "term"]).join(stats, "corpus").join(asked, "term")
+    known = df.join(stats, "corpus").select("corpus", "term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_len")
+    weighted = tf.join(near(known, terms * corpora), ["corpus", "term"]).join(near(asked, pairs), "term")
     length = k1 * (1.0 - b + b * F.col("dl") / F.col("avg_len"))
-    one = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (k1 + 1.0) / (F.col("tf") + length) * F.col("qtf")
+    one = F.col("idf") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + length) * F.col("qtf")
     scored = weighted.groupBy("corpus", "query_id", "doc_id").agg(F.sum(one).alias("score")).where("score > 0")
     return ranked(scored, ["corpus", "query_id"], [F.round("score", 9).desc(), "doc_id"], top_k)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, *, top_k: int) -> DataFrame:
-    """Exact cosine search: (vec_id, embedding) for (query_id, embedding). Query vectors go to the tasks in blocks, each Arrow batch
-    gives its own best rows for every query by one matrix product, and only those are shuffled."""
-    out = None
-    schema = "query_id long, vec_id long, score double"
-    for ids, matrix in _blocks(queries):
-
-        def best(batches: Iterator, ids=ids, matrix=matrix) -> Iterator:
-            import pyarrow as pa
-
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                keys = np.array(b.column(0).to_pylist(), np.int64)
-                rows = np.array(b.column(1).to_pylist(), float)
-                norms = np.linalg.norm(rows, axis=1)
-                keep = norms > 0
-                keys, rows = keys[keep], rows[keep] / norms[keep][:, None]
-                scores = matrix @ rows.T
-                n = min(top_k, scores.shape[1])
-                if not n:
-                    continue
-                cut = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
-                q, v = np.nonzero(scores >= cut[:, None])  # ties at the cut stay
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(keys[v]), pa.array(scores[q, v])], names=["query_id", "vec_id", "score"])
-
-        part = vectors.select("vec_id", "embedding").where("embedding is not null").mapInArrow(best, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], schema + ", rank long")
-    return ranked(out, ["query_id"], [F.round("score", 9).desc(), "vec_id"], top_k)
-
-
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Unit query vectors, VECTOR_BLOCK at a time."""
-    ids, rows = [], []
-    for r in queries.select("query_id", "embedding").where("embedding is not null").orderBy("query_id").toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == VECTOR_BLOCK:
-            yield _unit(ids, rows)
-            ids, rows = [], []
-    if ids:
-        yield _unit(ids, rows)
-
-
-def _unit(ids: list, rows: list) -> tuple[np.ndarray, np.ndarray]:
+def vector_search(vectors: DataFrame, queries: DataFrame, *, top_k: int, filters: dict[str, object] | None = None) -> DataFrame:
+    """Exact cosine search: (vec_id, embedding, ...) for (query_id, embedding): query_id, vec_id, score, rank. ``filters``: columns of ``vectors`` and the value that each must have, as document_id and chunk_kind.
+
+    Every vector is read once and met by every query, block by block (``blocks.against``): a matrix product gives each block's own best rows for every query, and only those are shuffled.
+    """
+    for column, wanted in (filters or {}).items():
+        vectors = vectors.where(F.col(column) == F.lit(wanted))
+
+    def start(asked: list[tuple]):
+        ids, matrix = np.array([a for a, _ in asked], np.int64), _unit([v for _, v in asked])
+
+        def best(rows: list[tuple]) -> list[tuple]:
+            if not len(ids) or not rows:
+                return []
+            keys, found = np.array([k for k, _ in rows], np.int64), np.array([v for _, v in rows], float)
+            norms = np.linalg.norm(found, axis=1)
+            keys, found = keys[norms > 0], found[norms > 0] / norms[norms > 0][:, None]
+            scores = matrix @ found.T
+            n = min(top_k, scores.shape[1])
+            if not n:
+                return []
+            cut = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+            q, v = np.nonzero(scores >= cut[:, None])  # ties at the cut stay
+            return list(zip(ids[q].tolist(), keys[v].tolist(), scores[q, v].tolist()))
+
+        return best
+
+    asked = queries.select("query_id", "embedding").where("embedding is not null")
+    found = against(vectors.select("vec_id", "embedding").where("embedding is not null"), asked, start, "query_id long, vec_id long, score double", ask_block=VECTOR_BLOCK)
+    return ranked(found, ["query_id"], [F.round("score", 9).desc(), "vec_id"], top_k)
+
+
+def _unit(rows: list) -> np.ndarray:
     m = np.array(rows, float)
-    return np.array(ids, np.int64), m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None]
+    return m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None] if len(rows) else m
 
 
 def fuse(lists: DataFrame, weights: dict[str, float], *, k: int, by: tuple[str, ...] = ("query_id",), key: tuple[str, ...] = ("page",), top_k: int | None = None) -> DataFrame:
