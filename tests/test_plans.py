@@ -69,3 +69,12 @@ def test_hybrid(spark):
     got = hybrid.search(pages, q).orderBy("rank").collect()
     assert [r["doc_id"] for r in got] == [1, 4, 2] and got[0]["score"] == pytest.approx(0.4 / 21 + 0.6 / 21)
     assert hybrid.search(pages.where("doc_id = 3"), q).count() == 0
+
+
+def test_steps_wait_for_each_other():
+    from tracefolio.plans import workflow
+
+    order = workflow.in_order(workflow.STEPS)
+    assert all(order.index(w) < order.index(s) for s, waits in workflow.STEPS.items() for w in waits)
+    with pytest.raises(ValueError):
+        workflow.in_order({"a": ("b",), "b": ("a",)})

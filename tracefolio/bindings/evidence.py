@@ -9,6 +9,7 @@ from tracefolio.functions import text as T
 from tracefolio.operators import evidence as ops
 from tracefolio.operators import cases, chat, locator, retrieval, review, sections
 from tracefolio.operators.documents import each
+from tracefolio.plans import workflow
 from tracefolio.session import table
 
 QUERIES: dict = {}
@@ -254,13 +255,63 @@ def verify_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("quote_id").alias("point_id"), F.when(F.col("ok"), "verified").otherwise("needs_review").alias("status"), F.when(F.col("ok").isNull(), "citation_missing").alias("issue"))
 
 
+_COLLAPSED = "trim(regexp_replace({}, '\\s+', ' ', 'g'))[1:500]"
+
+
+@bind(
+    f"""WITH r AS (SELECT doc_id, coalesce(text, '') AS a, replace(coalesce(text, ''), chr(10), '  ') AS b, CASE WHEN doc_id % 2 = 0 THEN 'w ' || coalesce(text, '') END AS c FROM documents), k AS (SELECT *, {_COLLAPSED.format('a')} AS ka, {_COLLAPSED.format('b')} AS kb, {_COLLAPSED.format('c')} AS kc FROM r)
+SELECT doc_id, md5(concat_ws(chr(10), CASE WHEN ka <> '' THEN a END, CASE WHEN kb <> '' AND kb <> ka THEN b END, CASE WHEN kc <> '' AND kc <> ka AND kc <> kb THEN c END)) AS digest FROM k WHERE ka <> '' OR kb <> '' OR kc <> ''"""
+)
+def deep_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-11: three readings of each page; those that begin like an earlier one go."""
+    text = F.coalesce("text", F.lit(""))
+    modes = [("text", text), ("blocks", F.replace(text, F.lit("\n"), F.lit("  "))), ("words", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("w "), text)))]
+    readings = docs(spark, sf_dir).select("doc_id", F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), t.alias("text")) for m, t in modes))).alias("r")).select("doc_id", "r.*")
+    return ops.deep_pages(readings, ["doc_id"]).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @bind("SELECT source, doc_id, md5(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')[1:500]) AS k FROM documents QUALIFY row_number() OVER (PARTITION BY source, k ORDER BY doc_id) = 1")
 def dedupe_prefix500(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC-11: page texts that begin alike (500 characters without white space) count once."""
+    """SC-11: page texts of a source that begin alike count once."""
     k = F.md5(F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "\\s+", ""), 1, 500).cast("binary"))
     return docs(spark, sf_dir).withColumn("k", k).groupBy("source", "k").agg(F.min("doc_id").alias("doc_id"))
 
 
+READ = """WITH d AS (SELECT source AS document_id, CAST(doc_id AS INTEGER) AS page, quality = 1 AS found, toxic, quality, l.doc_id FROM labels l JOIN documents USING (doc_id) WHERE n_chars > 300),
+f AS (SELECT document_id, quality = 1 AS ok, CAST(doc_id AS VARCHAR) AS field FROM d WHERE toxic = 0), s AS (SELECT DISTINCT source AS document_id FROM documents), n AS (SELECT document_id, count(*) AS n FROM d GROUP BY ALL),
+i AS (SELECT document_id, 'summary' AS scope, 'p' || doc_id AS item_key, 'review' AS severity, 'citation_missing' AS reason FROM d WHERE NOT found UNION ALL SELECT document_id, 'fact', field, 'review', 'citation_missing' FROM f WHERE NOT ok
+  UNION ALL SELECT document_id, 'summary', 'summary_output', CASE WHEN coalesce(n, 0) = 0 THEN 'review' ELSE 'warning' END, 'summary_incomplete' FROM s LEFT JOIN n USING (document_id) WHERE coalesce(n, 0) < 6) """
+
+
+def filings(spark: SparkSession, sf_dir: str) -> workflow.Result:
+    """Sources as filings, texts as their pages; of labelled texts the good ones are quoted rightly."""
+    d = docs(spark, sf_dir)
+    j = table(spark, sf_dir, "labels").join(d, "doc_id").where("n_chars > 300")
+    key = F.col("source").alias("document_id")
+    good = F.col("quality") == 1
+    points = j.select(key, F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("item_key"), F.lit("t").alias("text"), F.col("doc_id").cast("int").alias("evidence_page"), F.when(good, F.substring("text", 1, 120)).otherwise("qzqz wvwv zqzq vwvw").alias("evidence_quote"))
+    facts = j.where("toxic = 0").select(key, F.col("doc_id").cast("string").alias("field"), F.lit(1.0).alias("value"), F.when(good, 1).otherwise(0).alias("n_citations"))
+    return workflow.read_filings(d.select(key).distinct(), d.select(key, F.col("doc_id").cast("int").alias("page_number"), "text"), points, facts)
+
+
+@bind(READ + "SELECT document_id, scope, item_key, severity, reason FROM i")
+def workflow_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-05: what the verifier finds when both branches have ended."""
+    return filings(spark, sf_dir).issues.select("document_id", "scope", "item_key", "severity", "reason")
+
+
+@bind(READ + ", o AS (SELECT document_id, found AS ok FROM d UNION ALL SELECT document_id, ok FROM f) SELECT s.document_id, (SELECT count(*) FROM o WHERE ok AND o.document_id = s.document_id) AS verified, (SELECT count(*) FROM o WHERE NOT ok AND o.document_id = s.document_id) AS pending, CASE WHEN s.document_id IN (SELECT document_id FROM i WHERE severity = 'review') THEN 'needs_confirmation' ELSE 'passed' END AS status FROM s")
+def workflow_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-05, DX-13: the state of each filing."""
+    return filings(spark, sf_dir).states.select("document_id", "verified", "pending", "status")
+
+
+@bind(READ + ", c AS (SELECT document_id, 'reader' AS step, count(*) AS items FROM d GROUP BY ALL UNION ALL SELECT document_id, 'fact_extractor', count(*) FROM f GROUP BY ALL UNION ALL SELECT document_id, 'verifier', count(*) FROM i GROUP BY ALL UNION ALL SELECT document_id, 'orchestrate', 1 FROM s), w AS (SELECT document_id, unnest(['orchestrate', 'reader', 'fact_extractor', 'verifier']) AS step, unnest([0, 1, 2, 3])::BIGINT AS seq FROM s) SELECT w.document_id, step, seq, coalesce(items, 0) AS items FROM w LEFT JOIN c USING (document_id, step)")
+def workflow_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-05: what each step has given."""
+    return filings(spark, sf_dir).progress().select("document_id", "step", "seq", "items")
+
+
 @bind("SELECT kind, doc_id, source FROM (SELECT 'page_text' AS kind, doc_id, source, text FROM documents UNION ALL SELECT 'section_text', doc_id, source, text FROM documents WHERE lang = 'en' UNION ALL SELECT 'table_row', doc_id, source, text FROM documents WHERE contains(text, '|'))")
 def evidence_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SO-01, SK-04, PJ-02: the kinds of evidence as one table; every document has its page text."""

@@ -133,6 +133,19 @@ def page_budget(pages: DataFrame, score: Column, *, front: int, top: int, by: st
     return ranked.where((F.col("n") <= front) | ((F.col("m") <= top) & (F.col("s") > 0))).withColumn("pos", F.when(F.col("n") <= front, F.col("n")).otherwise(front + F.col("m")))
 
 
+#: Readings of a page, in the order in which they count; and the characters by which two are told apart.
+MODES, TOLD_APART = ("text", "blocks", "words"), 500
+
+
+def deep_pages(readings: DataFrame, key: list[str], modes: tuple[str, ...] = MODES) -> DataFrame:
+    """(key, mode, text) to key and text: a page's readings one below the other, without those that begin like an earlier one (500 characters, white space collapsed). Pages without text fall out."""
+    per = readings.groupBy(*key).agg(F.array(*(F.max(F.when(F.col("mode") == m, F.col("text"))) for m in modes)).alias("parts"))
+    given = per.withColumn("parts", F.filter("parts", lambda p: p.isNotNull() & (collapse(p) != "")))
+    keyed = given.withColumn("keys", F.transform("parts", lambda p: F.substring(collapse(p), 1, TOLD_APART)))
+    first = F.filter(F.arrays_zip("parts", "keys", F.transform("keys", lambda k, i: i).alias("i")), lambda x: F.array_position(F.col("keys"), x["keys"]) == x["i"] + 1)
+    return keyed.where(F.size("parts") > 0).select(*key, F.array_join(F.transform(first, lambda x: x["parts"]), "\n").alias("text"))
+
+
 #: Quotes that one automaton holds.
 QUOTE_BLOCK = 20_000
 
