@@ -93,6 +93,9 @@ def test_fact_table_versions(spark, tmp_path):
     first = t.current()
     t.write(t.read().unionByName(spark.createDataFrame([("f2", *row[1:10], 2024, *row[11:])], t.read().schema)))
     assert t.current() != first and sorted(r["fact_id"] for r in t.read().collect()) == ["f1", "f2"]
+    with pytest.raises(ValueError, match="f1: fact_id must be there once"):
+        t.write(t.read().unionByName(t.read()))
+    assert t.read().count() == 2
     assert "PartitionFilters: [isnotnull(fiscal_year" in t.read().where("fiscal_year = 2024")._jdf.queryExecution().toString()
 
 

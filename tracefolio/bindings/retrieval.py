@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracefolio.functions import text as T
 from tracefolio.operators import cases
 from tracefolio.operators import retrieval as ops
+from tracefolio.plans import hybrid
 from tracefolio.session import table
 
 QUERIES: dict = {}
@@ -108,6 +109,22 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.fuse(vector.unionByName(bm25), {"semantic": 0.4, "bm25": 0.6}, k=20, top_k=6).select("query_id", "page", F.round("score", 6).alias("score"), "rank")
 
 
+@bind(
+    BM25.replace("source AS corpus", "'all' AS corpus").replace("FROM documents", "FROM documents WHERE lang = 'en' AND doc_id IN (SELECT vec_id FROM embeddings)")
+    + f""", b AS (SELECT query_id, doc_id AS page, 'bm25' AS source, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored QUALIFY rank <= 5),
+v AS (SELECT a.vec_id AS query_id, b.vec_id AS page, 'semantic' AS source, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COSINE}, 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b JOIN documents d ON d.doc_id = b.vec_id WHERE a.vec_id IN (SELECT item_id FROM benchmark) AND d.lang = 'en' QUALIFY rank <= 5),
+f AS (SELECT query_id, page, sum(CASE source WHEN 'semantic' THEN 0.4::DOUBLE ELSE 0.6::DOUBLE END / (20.0::DOUBLE + rank)) AS score, min((CASE source WHEN 'semantic' THEN 0 ELSE 1 END) * 1000 + rank) AS seen FROM (SELECT * FROM b UNION ALL SELECT * FROM v) GROUP BY ALL)
+SELECT query_id, page, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen, page) AS rank FROM f QUALIFY rank <= 6"""
+)
+def hybrid_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FP-06, RT-07: the whole plan over evidence of several kinds (here: languages), of which page texts alone take part."""
+    e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    kind = F.when(F.col("lang") == "en", "page_text").otherwise("section_text")
+    evidence = d.join(e, F.col("vec_id") == F.col("doc_id")).select("doc_id", "text", "embedding", kind.alias("chunk_kind"))
+    asked = questions(spark, sf_dir).join(e.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
+    return hybrid.search(evidence, asked).select("query_id", F.col("doc_id").alias("page"), F.round("score", 6).alias("score"), "rank")
+
+
 # Two ranked lists for each question: an order's lines, dear ones first and small ones first; pages repeat.
 LISTS = """WITH l AS (SELECT l_orderkey AS query_id, l_partkey % 7 AS page, * FROM lineitem),
 sem AS (SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS rank FROM l WHERE l_discount <= 0.07), bm AS (SELECT query_id, page, row_number() OVER (PARTITION BY query_id ORDER BY l_quantity, l_linenumber, l_partkey, l_suppkey) AS rank FROM l WHERE l_tax >= 0.01),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefolio import schemas
+from tracefolio.sources.registry import require_none
 
 ACCEPTED = (".pdf", ".html", ".htm", ".txt", ".md")
 
@@ -73,7 +74,7 @@ class Versions:
 
 
 class FactTable(Versions):
-    """The fact table in versions. Files are partitioned by metric and year, which are what questions filter by."""
+    """The fact table in versions. Files are partitioned by metric and year, which are what questions filter by; a fact_id that is missing or comes twice is refused."""
 
     def read(self) -> DataFrame:
         version, empty = self.current(), self.spark.createDataFrame([], schemas.FACT)
@@ -81,6 +82,7 @@ class FactTable(Versions):
         return self.spark.read.schema(schemas.FACT).parquet(f"{self.folder}/{version}").select(*empty.columns) if version else empty
 
     def write(self, facts: DataFrame) -> None:
+        require_none(facts.groupBy("fact_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or fact_id is null").select(F.coalesce("fact_id", F.lit("")).alias("fact_id"), F.lit("fact_id must be there once").alias("rule")), "fact_id")
         version = self.new()
         facts.select(*self.read().columns).write.partitionBy("metric_id", "fiscal_year").parquet(f"{self.folder}/{version}")
         self.switch(version)
