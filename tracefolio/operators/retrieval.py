@@ -40,7 +40,7 @@ def term_frequencies(docs: DataFrame, terms: DataFrame | None = None, lengths: b
 
     Terms are counted within each text; only what is asked for is dealt out by document, and what is grouped by document and anything more need not be moved again.
     """
-    tokens = docs.select("corpus", "doc_id", F.array_sort(bm25_tokens(F.coalesce("text", F.lit("")))).alias("tokens"))
+    tokens = docs.select("corpus", "doc_id", F.sort_array(bm25_tokens(F.coalesce("text", F.lit("")))).alias("tokens"))
     runs = counted("tokens")
     listed = F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"))), runs) if lengths else runs
     rows = tokens.select("corpus", "doc_id", F.size("tokens").cast("long").alias("dl"), F.explode(listed).alias("r")).select("corpus", "doc_id", "dl", "r.*")
