@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefolio.llm import bag_minhash, bpe_prefix, line_dedup, mpeg_audio, packing, pii_tagger, quality_forest, secret_ledger, token_planes, tool_calls, toxicity_grammar
+from tracefolio.llm import bag_minhash, bpe_prefix, line_dedup, mpeg_audio, packing, pii_tagger, quality_forest, secret_ledger, source_audit, token_planes, tool_calls, toxicity_grammar
 from tracefolio.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_column(table(spark, sf_dir, "documents"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -68,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_forest, op2_token_planes, op3_packing, op4_pii_tagger, op5_toxicity_grammar, op6_secret_ledger, op7_bag_minhash, op8_tool_calls, op9_bpe_prefix, op10_mpeg_audio, op12_line_dedup, pipeline)
+    f.__name__: f for f in (op1_quality_forest, op2_token_planes, op3_packing, op4_pii_tagger, op5_toxicity_grammar, op6_secret_ledger, op7_bag_minhash, op8_tool_calls, op9_bpe_prefix, op10_mpeg_audio, op11_source_audit, op12_line_dedup, pipeline)
 }
 
 TOOL_CALLS_SQL = """
@@ -96,4 +100,4 @@ SELECT conv_id, turn, role, kind, call_id,
 FROM i LEFT JOIN o ON conv_id = o_conv AND call_id = o_call LEFT JOIN r ON conv_id = r_conv AND call_id = r_call
 """
 
-ORACLES: dict[str, str] = {"op6_secret_ledger": secret_ledger.oracle(), "op8_tool_calls": TOOL_CALLS_SQL, "op12_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op6_secret_ledger": secret_ledger.oracle(), "op8_tool_calls": TOOL_CALLS_SQL, "op11_source_audit": source_audit.ORACLE, "op12_line_dedup": line_dedup.ORACLE}
