@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefolio.llm import bag_minhash, bpe_prefix, line_dedup, mpeg_audio, packing, pii_tagger, quality_forest, secret_ledger, source_audit, token_planes, tool_calls, toxicity_grammar
+from tracefolio.llm import bag_minhash, bpe_prefix, line_dedup, mpeg_audio, packing, pii_tagger, quality_forest, secret_ledger, source_audit, token_align, token_planes, tool_calls, toxicity_grammar
 from tracefolio.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_forest, op2_token_planes, op3_packing, op4_pii_tagger, op5_toxicity_grammar, op6_secret_ledger, op7_bag_minhash, op8_tool_calls, op9_bpe_prefix, op10_mpeg_audio, op11_source_audit, op12_line_dedup, pipeline)
+    f.__name__: f for f in (op1_quality_forest, op2_token_planes, op3_packing, op4_pii_tagger, op5_toxicity_grammar, op6_secret_ledger, op7_bag_minhash, op8_tool_calls, op9_bpe_prefix, op10_mpeg_audio, op11_source_audit, op12_line_dedup, op13_token_align, pipeline)
 }
 
 TOOL_CALLS_SQL = """
