@@ -117,6 +117,35 @@ def test_packing_is_whole(spark, sf, size, block):
     assert used / (len(windows) * size) > (0.98 if size == 2048 else 0.7)
 
 
+def test_the_programme_closes_all_windows_but_one_in_any_number_of_tasks(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    tok, texts = fast_tokenizer(tokenizer_path(WORD), True), {r["doc_id"]: r["text"] for r in docs.collect()}
+    ends, ids = packing.sentence_ends(tok.whole), {k: np.append(tok.ids(t), 1).astype(np.int64) for k, t in texts.items()}
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), {}
+    try:
+        for parts in (1, 8, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            windows: dict[int, list] = {}
+            for r in packing.pack_documents(docs).collect():
+                windows.setdefault(r["sequence_id"], []).append(r)
+            last = [max(w, key=lambda r: r["offset"]) for w in windows.values()]
+            at = [(ids[r["doc_id"]][r["start"] + r["length"] - 1], r["start"] + r["length"] == r["doc_tokens"], r["start"] + r["length"]) for r in last]
+            inside = sum(not whole and not ends[i] for i, whole, _ in at)
+            padding = sum(packing.SIZE - r["offset"] - r["length"] for r in last)
+            found[parts] = len(windows), inside, padding
+            # cuts in the order of the stream, apart from windows of tails, which stand behind the tasks that they come from
+            assert sorted(windows) == list(range(len(windows)))
+            firsts = [min((r["doc_id"], r["start"]) for r in windows[k]) for k in range(len(windows))]
+            assert firsts == sorted(firsts) or parts > 1
+            assert sum(a > b for a, b in zip(firsts, firsts[1:])) <= parts * (packing.SIZE // 1000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    n = sum(map(len, ids.values()))
+    print(found)
+    for windows, inside, padding in found.values():  # blind cuts would lie within sentences nearly always
+        assert windows <= n / packing.SIZE * 1.02 + 1 and inside <= found[1][1] + 0.08 * windows and padding < 0.02 * n + packing.SIZE
+
+
 @pytest.fixture(scope="module")
 def encoder():
     import public_tokenizers

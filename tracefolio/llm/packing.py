@@ -10,11 +10,10 @@ are offered every GRID ids of a long sentence). The minimum of f(i) + i over the
 monotone queue, so every cut enters and leaves it once.
 
 Texts are moved once, by a range exchange on doc_id and the text's hash (one doc_id, or rows without one, may hold any share of the table);
-each task works on blocks of BLOCK ids and carries the ids after its last window on, so memory is bounded. What is left at the
-end of each task is less than a window; these tails are laid end to end over windows of their own (their places follow
-from one number a task), so the number of tasks costs no padding: the whole corpus has one window that is filled only in part
-besides what the programme chose. Windows of tails are numbered last and are cut at SIZE ids, not by the programme; that concerns
-less than SIZE ids a task, one in 20,000 of a task's ids at 128 MB of text, and is the one thing that depends on the number of tasks.
+each task works on blocks of BLOCK ids and carries the ids after its last window on, so memory is bounded. What is left at the end of a task is less
+than a window, and ends with a document. The tails of JOINED tasks after each other, BLOCK ids at most, are laid end to end and go through the same programme,
+and so do the tails that this leaves, until one is left: it is the only window of the corpus that the programme did not close, whatever the
+number of tasks. Windows are numbered in the order of the stream; those of tails stand behind the windows of the tasks that they come from.
 
 Defined results: a null text is empty and gives the end id alone; a null doc_id sorts first; equal doc_ids are ordered by the text's hash,
 then by text; equal rows each get a place of their own; an empty table gives no rows; other columns are ignored, whatever their
@@ -38,6 +37,8 @@ SIZE = 2048
 END_ID = 1
 SENTENCE, INSIDE, GRID = 2.0, 8.0, 32
 BLOCK = 1 << 19
+#: Tails that are laid end to end in one task.
+JOINED = BLOCK // SIZE
 PIECES = "part int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, tail boolean, ids binary"
 
 
@@ -92,7 +93,7 @@ def sentence_ends(tokenizer) -> np.ndarray:
 
 
 class Packer:
-    """Windows over a stream of documents. ``add`` and ``close`` give pieces: doc_id, start, length, crc, doc_tokens, window, offset, tail, ids of a tail."""
+    """Windows over a stream of documents, or of parts of them. ``add`` and ``close`` give pieces: doc_id, start, length, crc, doc_tokens, window, offset, tail, ids of a tail."""
 
     def __init__(self, ends: np.ndarray, size: int = SIZE, block: int = BLOCK):
         self.ends, self.size, self.block = ends, size, block
@@ -100,9 +101,10 @@ class Packer:
         self.docs: list[list[int]] = []  # doc_id, start of what is held of it, held ids, all its ids
         self.n = self.window = 0
 
-    def add(self, doc_id, ids: np.ndarray) -> list[tuple]:
+    def add(self, doc_id, ids: np.ndarray, start: int = 0) -> list[tuple]:
+        """A document's ids from ``start`` to its end."""
         self.held.append(ids)
-        self.docs.append([doc_id, 0, len(ids), len(ids)])
+        self.docs.append([doc_id, start, len(ids), start + len(ids)])
         self.n += len(ids)
         return self.pack(False) if self.n >= self.block else []
 
@@ -154,34 +156,44 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, *, end_id: int
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = in_order(doc_texts(docs), parts)
-    pieces = settle(small_batches(ordered).mapInArrow(run, PIECES), "pieces")
-
-    # one row a task: its windows, and the length of its tail
-    per_part = pieces.groupBy("part").agg(F.coalesce(F.max(F.when(~F.col("tail"), F.col("window") + 1)), F.lit(0)).alias("windows"), F.coalesce(F.sum(F.when(F.col("tail"), F.col("length"))), F.lit(0)).alias("rest"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    placed = per_part.select(
-        "part",
-        F.coalesce(F.sum("windows").over(before), F.lit(0)).alias("first_window"),
-        F.sum("windows").over(every).alias("all_windows"),
-        F.coalesce(F.sum("rest").over(before), F.lit(0)).alias("tail_start"),
-    )
-    joined = pieces.join(small(placed, per_part.count()), "part")
-    full = joined.where(~F.col("tail")).withColumn("sequence_id", (F.col("first_window") + F.col("window")).cast("long"))
-    spread = (
-        joined.where("tail")
-        .withColumn("at", F.col("tail_start") + F.col("offset"))
-        .withColumn("w", F.explode(F.sequence(F.expr(f"at div {size}"), F.expr(f"(at + length - 1) div {size}"))))
-        .withColumn("lo", F.greatest("at", F.col("w") * size))
-        .withColumn("hi", F.least(F.col("at") + F.col("length"), (F.col("w") + 1) * size))
-    )
-    tails = spread.select(
-        "doc_id",
-        (F.col("start") + F.col("lo") - F.col("at")).cast("long").alias("start"),
-        (F.col("hi") - F.col("lo")).cast("long").alias("length"),
-        F.crc32(F.expr("substring(ids, cast(4 * (lo - at) + 1 as int), cast(4 * (hi - lo) as int))")).alias("ids_crc32"),
-        "doc_tokens",
-        (F.col("all_windows") + F.col("w")).cast("long").alias("sequence_id"),
-        (F.col("lo") % size).cast("long").alias("offset"),
-    )
-    return full.select(*tails.columns).unionByName(tails)
+    levels = [settle(small_batches(ordered).mapInArrow(run, PIECES), "pieces")]
+    parts = (levels[0].agg(F.max("part")).collect()[0][0] or 0) + 1
+    while parts > 1:
+        levels.append(settle(join_tails(levels[-1].where("tail"), path, size, block), "tails"))
+        parts = -(-parts // JOINED)
+
+    every = levels[0].where(F.lit(False)).withColumn("level", F.lit(0))
+    for k, pieces in enumerate(levels):
+        last = k == len(levels) - 1
+        every = every.unionByName(pieces.where(F.lit(last) | ~F.col("tail")).withColumn("level", F.lit(k)))
+    # one row a level and task: its windows, and those before it in the stream; a task of tails stands behind the last task that they come from
+    windows = every.groupBy("level", "part").agg(F.max(F.col("window") + 1).alias("windows"))
+    behind = (F.col("part") + 1) * F.pow(F.lit(JOINED), F.col("level")).cast("long")
+    before = Window.orderBy(behind, "level").rowsBetween(Window.unboundedPreceding, -1)
+    first = windows.select("level", "part", F.coalesce(F.sum("windows").over(before), F.lit(0)).alias("first"))
+    placed = every.join(small(first, windows.count()), ["level", "part"])
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("window")).cast("long").alias("sequence_id"), "offset")
+
+
+def join_tails(tails: DataFrame, tokenizer: str, size: int, block: int) -> DataFrame:
+    """Tails of JOINED tasks each, through the programme: pieces as before, whose part is the number of the joined ones."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(PIECES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends, at, packer = sentence_ends(fast_tokenizer(tokenizer, True).whole), None, None
+        for b in batches:
+            for part, doc_id, start, raw in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if part != at:
+                    if packer and (rows := packer.close()):
+                        yield to_batch([(at, *r) for r in rows], arrow)
+                    at, packer = part, Packer(ends, size, block)
+                if rows := packer.add(doc_id, np.frombuffer(raw, "<u4"), start):
+                    yield to_batch([(part, *r) for r in rows], arrow)
+        if packer and (rows := packer.close()):
+            yield to_batch([(at, *r) for r in rows], arrow)
+
+    joined = tails.withColumn("of", F.col("part")).withColumn("part", F.expr(f"cast(part div {JOINED} as int)"))
+    return small_batches(joined.repartition("part").sortWithinPartitions("part", "of", "offset").select("part", "doc_id", "start", "ids")).mapInArrow(run, PIECES)
