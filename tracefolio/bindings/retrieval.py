@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracefolio.functions import text as T
 from tracefolio.operators import cases
 from tracefolio.operators import retrieval as ops
+from tracefolio.operators.block_index import index_of
 from tracefolio.plans import hybrid
 from tracefolio.session import table
 
@@ -72,6 +73,20 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("corpus", "query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@bind(SQL["bm25_topk"])
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RT-02, RT-03: the same by the stored index, which is built at the first search."""
+    found = index_of(corpus(spark, sf_dir)).search(questions(spark, sf_dir), top_k=5)
+    return found.select("corpus", "query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@bind(SQL["bm25_topk"].replace("source AS corpus", "'all' AS corpus"))
+def indexed_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RT-03: all corpora as one, by the same index."""
+    found = index_of(corpus(spark, sf_dir)).search(questions(spark, sf_dir), top_k=5, everything=True)
+    return found.select("corpus", "query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 COSINE = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 

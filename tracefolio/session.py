@@ -1,7 +1,12 @@
-"""A session with the settings that the engine expects."""
+"""A session with the settings that the engine expects, its tables and its shared folder."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,3 +20,34 @@ def session(app: str = "tracefolio", **conf: str) -> SparkSession:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where that is unset and there is but one machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tracefolio-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """``df``, written to the shared folder and read again: lineage ends there, and several readers read it once made."""
+    path = f"{shared_dir(df.sparkSession)}/tracefolio/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fingerprint(df: DataFrame) -> str | None:
+    """A checksum of the files that ``df`` reads: paths, sizes and times of change. None where it reads no files."""
+    sc, paths = df.sparkSession.sparkContext, sorted(df.inputFiles())
+    if not paths:
+        return None
+    seen = hashlib.sha256()
+    for path in paths:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        status = p.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(p)
+        seen.update(f"{path} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return seen.hexdigest()
