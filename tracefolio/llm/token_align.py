@@ -40,42 +40,58 @@ SPACE = "▁"
 B_BITS = np.int64(32)
 
 
+class WordMemo(dict):
+    """Words to packed ids of B, each word cut once. It is emptied when full and keeps no long words, nor such as don't give their bytes back (``lossy`` tells of those)."""
+
+    def __init__(self, pieces: Pieces, most: int):
+        super().__init__()
+        self.pieces, self.most, self.lossy = pieces, most, False
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.pieces.word(word)
+        packed = np.array(ids, "<i4").tobytes()
+        if b"".join(map(self.pieces.bytes.__getitem__, ids)) != word.encode():
+            self.lossy = True
+        elif len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = packed
+        return packed
+
+
 class Pieces:
-    """A sentencepiece model, words memoised: no piece has a space behind another character, so words with the spaces before them are cut by themselves."""
+    """A sentencepiece model, words memoised: no piece has a space behind another character, or a line end beside any, so lines' words with the spaces before them are cut by themselves."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.bytes = [self._bytes(k) for k in range(self.model.get_piece_size())]
-        self.words = None if any(re.search(f"[^{SPACE}]{SPACE}", self.model.id_to_piece(k)) for k in range(len(self.bytes))) else re.compile(" *[^ ]+| +").findall
-        self.memo: dict[str, bytes] = {}
-        self.most = most
-
-    def _bytes(self, k: int) -> bytes:
-        piece = self.model.id_to_piece(k)
-        return bytes([int(piece[3:5], 16)]) if self.model.is_byte(k) else piece.replace(SPACE, " ").encode()
-
-    def ids(self, text: str) -> np.ndarray:
-        """As ``encode(text)``."""
+        names = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
+        self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(k) else n.replace(SPACE, " ").encode() for k, n in enumerate(names)]
+        apart = not any(re.search(f"[^{SPACE}]{SPACE}|\n.|.\n", n, re.DOTALL) for n in names)
+        self.letter, self.line = self._cut("a"), self._cut("\n")
+        self.words = re.compile("\n+| *[^ \n]+| +").findall if apart and len(self.line) == 2 else None
+        self.memo = WordMemo(self, most)
+
+    def _cut(self, text: str) -> list[int]:
+        return self.model.encode(text, num_threads=1)
+
+    def word(self, word: str) -> list[int]:
+        """A word's ids, as they are within a text: with the spaces before it, or without any behind a line's end."""
+        if word[0] == "\n":
+            return self._cut(word)[1:]
+        if word[0] != " ":
+            return self._cut("\n" + word)[len(self.line) :]
+        return self._cut(word[1:]) if word.strip(" ") else self._cut("a" + word)[len(self.letter) :]
+
+    def ids(self, text: str) -> tuple[np.ndarray, bool]:
+        """As ``encode(text)``, and whether the bytes are those of a space and the text."""
         if self.words is None:
-            return np.array(self.model.encode(text, num_threads=1), "<i4")
-        parts = []
-        for word in self.words(" " + text):
-            if (packed := self.memo.get(word)) is None:
-                packed = self._word(word)
-                if len(word) <= 64:
-                    if len(self.memo) >= self.most:
-                        self.memo.clear()
-                    self.memo[word] = packed
-            parts.append(packed)
-        return np.frombuffer(b"".join(parts), "<i4")
-
-    def _word(self, word: str) -> bytes:
-        if word.strip(" "):
-            return np.array(self.model.encode(word[1:], num_threads=1), "<i4").tobytes()
-        letter = self.model.encode("a", num_threads=1)  # spaces at the end
-        return np.array(self.model.encode("a" + word, num_threads=1)[len(letter) :], "<i4").tobytes()
+            ids = self._cut(text)
+            return np.array(ids, "<i4"), b"".join(map(self.bytes.__getitem__, ids)) == (" " + text).encode()
+        self.memo.lossy = False
+        ids = np.frombuffer(b"".join(map(self.memo.__getitem__, self.words(" " + text))), "<i4")
+        return ids, not self.memo.lossy or b"".join(map(self.bytes.__getitem__, ids.tolist())) == (" " + text).encode()
 
 
 class Aligner:
@@ -92,6 +108,8 @@ class Aligner:
         self.a_bytes = [t.encode() if t in specials else bytes(map(back.__getitem__, t)) for t in names]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b.bytes))
         self.n_a = len(self.a_bytes)
+        # with every byte in its vocabulary and nothing that changes texts before, A gives all bytes back
+        self.a_whole = self.a.whole.normalizer is None and {bytes([k]) for k in range(256)} <= set(self.a_bytes)
         # what stands behind an id in the digest: more of its side, or the side's end
         self.spelled = [f"{k}{mark}" for mark in (",", "|") for k in range(self.n_a)] + [f"{k}{mark}" for mark in (",", ";") for k in range(len(self.b.bytes))]
 
@@ -100,10 +118,11 @@ class Aligner:
         if not text:
             return None
         spaced = " " + text
-        raw, a, b = spaced.encode(), self.a.ids(spaced).astype(np.int64), self.b.ids(text).astype(np.int64)
-        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw or b"".join(map(self.b.bytes.__getitem__, b.tolist())) != raw:
-            return None
+        a, (b, same) = self.a.ids(spaced).astype(np.int64), self.b.ids(text)
+        b = b.astype(np.int64)
         a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        if not same or a_ends[-1] != b_ends[-1] or not (self.a_whole or b"".join(map(self.a_bytes.__getitem__, a.tolist())) == spaced.encode()):
+            return None
         cuts = np.union1d(a_ends, b_ends)
         links = a[np.searchsorted(a_ends, cuts)] << B_BITS | b[np.searchsorted(b_ends, cuts)]
         return a, b, np.intersect1d(a_ends, b_ends, assume_unique=True), links
