@@ -131,7 +131,7 @@ def test_period_labels(spark, period, kind, market, label):
 
 def test_many_queries_stay_a_table(spark, monkeypatch):
     """More asked rows than a block holds: the same results as with all of them in one."""
-    from tracefolio.operators import documents, retrieval
+    from tracefolio.operators import documents, gram_index, retrieval
 
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(6))
@@ -142,8 +142,8 @@ def test_many_queries_stay_a_table(spark, monkeypatch):
     asked = v.where("vec_id < 50").selectExpr("vec_id as query_id", "embedding")
     rows = lambda df: sorted(map(tuple, df.collect()))
     whole = [rows(evidence.quote_pages(q, p)), rows(documents.cite(q, p)), rows(retrieval.vector_search(v, asked, top_k=4).select("query_id", "vec_id", "rank"))]
-    monkeypatch.setattr(evidence, "QUOTE_BLOCK", 20)
-    monkeypatch.setattr(documents, "CITE_BLOCK", 20)
+    monkeypatch.setattr(gram_index, "MOST_PAIRS", 20)
+    monkeypatch.setattr(gram_index, "MOST_TERMS", 20)
     monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 20)
     assert [rows(evidence.quote_pages(q, p)), rows(documents.cite(q, p)), rows(retrieval.vector_search(v, asked, top_k=4).select("query_id", "vec_id", "rank"))] == whole
     assert len(whole[0]) >= 60 and len(whole[2]) == 200

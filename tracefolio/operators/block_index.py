@@ -19,14 +19,12 @@ gives exactly what ``retrieval.bm25_search`` gives.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracefolio.functions.text import bm25_tokens
 from tracefolio.operators.retrieval import K1, MOST_TERMS, B, counted, idf, ranked
-from tracefolio.session import fingerprint, settle, shared_dir
+from tracefolio.session import content_key, settle, shared_dir
 from tracefolio.sources.artifacts import Versions
 
 #: Documents of a block; folders of terms; blocks whose postings of a folder lie in one file.
@@ -176,8 +174,5 @@ def _near(df: DataFrame) -> DataFrame:
 def index_of(docs: DataFrame, folder: str | None = None) -> TextIndex:
     """The index of (corpus, doc_id, text), built unless it is there: it goes by the files that ``docs`` reads and by its columns."""
     spark = docs.sparkSession
-    made_from = fingerprint(docs)
-    plan = docs._jdf.queryExecution().normalized().canonicalized().toString() if made_from else ""
-    key = f"{made_from}-{uuid.uuid5(uuid.NAMESPACE_OID, plan).hex}" if made_from else uuid.uuid4().hex
-    index = TextIndex(spark, f"{folder or shared_dir(spark)}/tracefolio/text-index/{key}")
+    index = TextIndex(spark, f"{folder or shared_dir(spark)}/tracefolio/text-index/{content_key(docs)}")
     return index if index.versions.path() else index.build(docs)

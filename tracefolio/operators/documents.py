@@ -10,7 +10,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 
 from tracefolio.functions.text import folded
-from tracefolio.operators.blocks import against
+from tracefolio.operators import gram_index
 
 LINE_ENDS = re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 
@@ -142,10 +142,6 @@ def by_length(quote: str) -> list[str]:
     return sorted(dict.fromkeys(x for x in map(str.strip, [quote, *re.split(r"\.{3,}|…+", quote)]) if x), key=len, reverse=True)
 
 
-#: Quotes whose needles one index holds.
-CITE_BLOCK = 1_000
-
-
 def sought(quote: str | None) -> list[str]:
     """What a tier of ``find_quote`` looks for, folded: the quote, its parts between ellipses, its clauses."""
     parts, clauses = map(folded, by_length(quote or "")), map(folded, re.split("[;；。]", quote or ""))
@@ -157,49 +153,18 @@ def even(text: str) -> str:
     return text.replace("ς", "σ")
 
 
-class Needles:
-    """Quotes that a page may hold: ``of(page)`` has the place of every quote that ``find_quote`` finds there.
-
-    A tier matches where a needle stands in the page, or where a window of lines stands in a needle. The first is read off by an automaton;
-    for the second, such a window has twelve characters at least, and its first twelve are looked up among the needles'.
-    """
-
-    def __init__(self, quotes: list[tuple[int, str]]):
-        import ahocorasick
-
-        self.of_needle: dict[str, list[int]] = {}
-        for i, (_, q) in enumerate(quotes):
-            for n in sought(q):
-                self.of_needle.setdefault(even(n), []).append(i)
-        self.starts: dict[str, set[str]] = {}
-        self.machine = ahocorasick.Automaton()
-        for n in self.of_needle:
-            self.machine.add_word(n, n)
-            for k in range(len(n) - LEAST_WINDOW + 1):
-                self.starts.setdefault(n[k : k + LEAST_WINDOW], set()).add(n)
-        if self.of_needle:
-            self.machine.make_automaton()
-
-    def of(self, page: str | None) -> list[int]:
-        if not page or not self.of_needle:
-            return []
-        p = Page(page)
-        found = {n for _, n in self.machine.iter(even(p.text))}
-        for at in p.windows():
-            w = even(p.window(*at))
-            found.update(n for n in self.starts.get(w[:LEAST_WINDOW], ()) if len(w) >= len(n) // 2 and w in n)
-        return sorted({i for n in found for i in self.of_needle[n]})
+def spelled_page(text: str) -> tuple[str, list[int]]:
+    """A page as quotes are looked for in it, and where lines begin that a window of LEAST_WINDOW characters begins with."""
+    p = Page(text)
+    return even(p.text), [s for s, e in zip(p.starts, p.starts[WINDOW_LINES:] + [p.starts[-1]] * WINDOW_LINES) if e - s >= LEAST_WINDOW]
 
 
 def cite(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """(quote_id, quote) and (doc_id, text) to quote_id, doc_id, found, for all pairs that ``find_quote`` finds.
 
-    Every page meets every block of quotes (``blocks.against``), and only pairs that share a needle are matched.
+    Pages are found by the grams of the needles (``gram_index``), and pairs that share one are matched.
     """
-
-    def start(block: list[tuple]):
-        needles = Needles(block)
-        return lambda rows: [(block[k][0], doc, f) for doc, text in rows for k in needles.of(text) if (f := find_quote(text, block[k][1]))]
-
     asked = quotes.select("quote_id", "quote").where("quote is not null")
-    return against(pages.select("doc_id", "text"), asked, start, "quote_id long, doc_id long, found string", ask_block=CITE_BLOCK)
+    found = gram_index.candidates(asked, pages, lambda q: [even(n) for n in sought(q)], spelled_page, "folded")
+    make = lambda r: [(r[0], r[1], f)] if (f := find_quote(r[3], r[2])) else []
+    return each(gram_index.meet(found, asked, pages), ["quote_id", "doc_id", "quote", "text"], make, "quote_id long, doc_id long, found string")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefolio.functions.text import collapse, compact, context, lines, truncate
-from tracefolio.operators.blocks import against
+from tracefolio.operators import gram_index
 
 #: Per page: a term counts 5 up to 40, two numbers 1 up to a cap, a line like a table's 2 up to 16, a section word 4 up to 12, the whole query 10.
 NUMBER = r"[0-9]+(?:[.,][0-9]+)?\s*(?:%|个百分点|百万元|亿元|元|TEU|吨|次)?"
@@ -146,29 +146,12 @@ def deep_pages(readings: DataFrame, key: list[str], modes: tuple[str, ...] = MOD
     return keyed.where(F.size("parts") > 0).select(*key, F.array_join(F.transform(first, lambda x: x["parts"]), "\n").alias("text"))
 
 
-#: Quotes that one automaton holds.
-QUOTE_BLOCK = 20_000
-
-
 def quote_pages(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """quote_id, doc_id of the pages (doc_id, text) that contain a quote, both compacted; quotes under six characters match nothing.
 
-    All quotes of a block are looked for at once, by an automaton over them that reads each text once (``blocks.against``). No page is paired with a quote that it does not hold.
+    Pages are found by the quotes' grams (``gram_index``); no page is compared with a quote that it shares no gram with.
     """
-    texts = pages.select("doc_id", compact(F.coalesce("text", F.lit(""))).alias("t"))
-    asked = quotes.select("quote_id", compact(F.col("quote")).alias("q")).where("length(q) >= 6")
-
-    def start(block: list[tuple]):
-        import ahocorasick
-
-        wanted: dict[str, list[int]] = {}
-        for i, q in block:
-            wanted.setdefault(q, []).append(i)
-        machine = ahocorasick.Automaton()
-        for q, ids in wanted.items():
-            machine.add_word(q, ids)
-        if wanted:
-            machine.make_automaton()
-        return lambda rows: [(i, d) for d, t in rows if wanted for i in sorted({i for _, ids in machine.iter(t) for i in ids})]
-
-    return against(texts, asked, start, "quote_id long, doc_id long", ask_block=QUOTE_BLOCK)
+    texts = pages.select("doc_id", compact(F.coalesce("text", F.lit(""))).alias("text"))
+    asked = quotes.select("quote_id", compact(F.col("quote")).alias("quote")).where("length(quote) >= 6")
+    found = gram_index.candidates(asked, texts, lambda q: [q], lambda t: (t, []), "compact")
+    return gram_index.meet(found, asked, texts).where(F.contains("text", F.col("quote"))).select("quote_id", "doc_id")

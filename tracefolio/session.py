@@ -40,12 +40,12 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fingerprint(df: DataFrame) -> str | None:
-    """A checksum of the files that ``df`` reads: paths, sizes and times of change. None where it reads no files."""
+def content_key(df: DataFrame) -> str:
+    """A name for what ``df`` holds: its plan, and paths, sizes and times of change of the files that it reads. One of its own where it reads none."""
     sc, paths = df.sparkSession.sparkContext, sorted(df.inputFiles())
     if not paths:
-        return None
-    seen = hashlib.sha256()
+        return uuid.uuid4().hex
+    seen = hashlib.sha256(df._jdf.queryExecution().normalized().canonicalized().toString().encode())
     for path in paths:
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
         status = p.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(p)
