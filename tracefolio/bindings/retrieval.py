@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefolio.functions import text as T
-from tracefolio.operators import cases
+from tracefolio.operators import cases, vector_index
 from tracefolio.operators import retrieval as ops
 from tracefolio.operators.block_index import index_of
 from tracefolio.plans import hybrid
@@ -98,6 +98,14 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
+@bind("")
+def semantic_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RT-04, SK-04: the same by the stored vector index, which holds every row; recall is measured in tests/test_vector_index.py."""
+    e = table(spark, sf_dir, "embeddings")
+    found = vector_index.index_of(e.select("vec_id", "embedding")).search(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), top_k=6)
+    return found.select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
+
+
 @bind(f"SELECT a.vec_id AS query_id, b.vec_id, round({COSINE}, 5) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COSINE}, 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b JOIN documents d ON d.doc_id = b.vec_id WHERE a.vec_id IN (SELECT item_id FROM benchmark) AND d.source = 'src3' AND d.lang = 'en' QUALIFY rank <= 3")
 def semantic_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FP-05: vector search in one document's evidence of one kind; both are exact."""
