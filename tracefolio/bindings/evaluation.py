@@ -342,16 +342,17 @@ def rescue_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @bind(
-    """WITH d AS (SELECT source, length(source) = 4 AS broken FROM documents WHERE lang <> 'de' GROUP BY source) SELECT l.doc_id AS case_id, d.source IS NOT NULL AND NOT broken AS executed, CASE WHEN d.source IS NULL THEN 'document missing' WHEN broken THEN 'ParserError' END AS error, CASE WHEN NOT broken THEN lang END AS route
-FROM labels l JOIN (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'gone' ELSE source END AS source, lang FROM documents) c USING (doc_id) LEFT JOIN d ON d.source = c.source"""
+    """WITH c AS (SELECT doc_id, quality, source || '/' || lang AS key, lang FROM labels JOIN documents USING (doc_id)), d AS (SELECT key, length(key) = 7 AS broken FROM c GROUP BY key HAVING max(quality) = 1 AND min(quality) = 0)
+SELECT c.doc_id AS case_id, d.key IS NOT NULL AND NOT broken AS executed, CASE WHEN d.key IS NULL THEN 'document missing' WHEN broken THEN 'ParserError' END AS error, CASE WHEN NOT broken THEN lang END AS route FROM c LEFT JOIN d USING (key)"""
 )
 def live_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DX-26: an observation for every case; a missing or broken document is an error row."""
+    """DX-26: an observation for every case; a missing or broken document is an error row. Documents are there whose labels tell good pages and bad ones."""
     d = table(spark, sf_dir, "documents")
-    c = table(spark, sf_dir, "labels").join(d, "doc_id").select(F.col("doc_id").alias("case_id"), F.when(F.col("doc_id") % 5 == 0, "gone").otherwise(F.col("source")).alias("document_key"), "lang")
-    documents = d.where("lang != 'de'").select(F.col("source").alias("document_key")).distinct().withColumn("error", F.when(F.length("document_key") == 4, "ParserError"))
-    retrieved = c.select("case_id", F.col("lang").alias("route"), F.array(F.lit(1)).alias("pages"), F.lit(5).alias("latency_ms"))
-    return C.live_observations(c, documents, retrieved).select("case_id", "executed", "error", "route")
+    labelled = table(spark, sf_dir, "labels").join(d, "doc_id").select(F.col("doc_id").alias("case_id"), F.concat_ws("/", "source", "lang").alias("document_key"), "lang", "quality")
+    told = labelled.groupBy("document_key").agg(F.max("quality").alias("hi"), F.min("quality").alias("lo")).where("hi = 1 and lo = 0")
+    documents = told.select("document_key", F.when(F.length("document_key") == 7, "ParserError").alias("error"))
+    retrieved = labelled.select("case_id", F.col("lang").alias("route"), F.array(F.lit(1)).alias("pages"), F.lit(5).alias("latency_ms"))
+    return C.live_observations(labelled.select("case_id", "document_key", "lang"), documents, retrieved).select("case_id", "executed", "error", "route")
 
 
 _Q = """WITH a AS (SELECT conv_id, turn, CASE WHEN turn % 7 = 5 THEN NULL ELSE text END AS answer, text || ' (end)' AS item, length(text) AS n FROM conversations WHERE role = 'assistant'),

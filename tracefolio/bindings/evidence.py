@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracefolio.bindings.retrieval import BM25
 from tracefolio.functions import text as T
 from tracefolio.operators import evidence as ops
 from tracefolio.operators import cases, chat, locator, retrieval, review, sections
@@ -200,36 +201,43 @@ def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_partkey", order).alias("l_partkey"))
 
 
-TITLE = "regexp_replace(substr(coalesce(text, ''), 1, 60), '\\s+', ' ', 'g')"
+#: The best documents of all for each question, and their texts.
+HITS = BM25.replace("source AS corpus", "'all' AS corpus") + ", r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS pos FROM scored QUALIFY pos <= {k}), hits AS (SELECT query_id, pos, o.* FROM r JOIN documents o USING (doc_id)) "
 
 
-@bind("WITH t AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN '12.5%' WHEN 1 THEN '2024-03' WHEN 2 THEN 'tea' WHEN 3 THEN '3月' WHEN 4 THEN 'to be...' WHEN 5 THEN '中山路' WHEN 6 THEN '' ELSE 'A plain title' END AS title, CASE WHEN doc_id % 2 = 0 THEN 'other' ELSE 'risk' END AS section FROM documents) SELECT doc_id, CASE WHEN title = '' THEN 'empty_title' ELSE concat_ws(',', CASE WHEN regexp_matches(title, '^[0-9]+(\\.[0-9]+)?\\s*[%％]$') THEN 'naked_percent' END, CASE WHEN regexp_matches(title, '^(19|20)[0-9]{2}(年|[-/.年][0-9]{1,2}(月|[-/.月][0-9]{1,2}日?)?)?$') THEN 'date_like' END, CASE WHEN contains(title, '路') THEN 'address_like' END, CASE WHEN contains(title, '...') THEN 'truncated' END, CASE WHEN length(title) BETWEEN 2 AND 4 AND section = 'other' THEN 'short_other' END, CASE WHEN regexp_matches(title, '^[0-9][0-9.,]*\\s*($|[月日%％])') THEN 'numeric_fragment' END) END AS reasons FROM t")
+def hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """query_id, pos and the columns of documents, of the ``k`` best for each question of benchmark."""
+    d = docs(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = retrieval.bm25_search(d.select(F.lit("all").alias("corpus"), "doc_id", "text"), asked, top_k=k)
+    return found.select("query_id", "doc_id", F.col("rank").alias("pos")).join(d, "doc_id")
+
+
+@bind(LINES + """, t AS (SELECT doc_id, line_no, line AS title, CASE WHEN lang = 'en' THEN 'other' ELSE 'risk' END AS section FROM x)
+SELECT doc_id, line_no, concat_ws(',', CASE WHEN regexp_matches(title, '^[0-9]+(\\.[0-9]+)?\\s*[%％]$') THEN 'naked_percent' END, CASE WHEN regexp_matches(title, '^(19|20)[0-9]{2}(年|[-/.年][0-9]{1,2}(月|[-/.月][0-9]{1,2}日?)?)?$') THEN 'date_like' END, CASE WHEN regexp_matches(title, '[樓楼室街路號号]|大厦|大廈') THEN 'address_like' END,
+  CASE WHEN contains(title, '...') OR ends_with(title, '…') THEN 'truncated' END, CASE WHEN length(title) BETWEEN 2 AND 4 AND section = 'other' THEN 'short_other' END, CASE WHEN regexp_matches(title, '^[0-9][0-9.,]*\\s*($|[月日%％點点倍次戶户])') THEN 'numeric_fragment' END) AS reasons
+FROM (SELECT doc_id, line_no, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, section FROM t)""")
 def suspicious_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SF-28."""
-    names = ["12.5%", "2024-03", "tea", "3月", "to be...", "中山路", ""]
-    title = F.lit("A plain title")
-    for i, n in enumerate(names):
-        title = F.when(F.col("doc_id") % 9 == i, F.lit(n)).otherwise(title)
-    section = F.when(F.col("doc_id") % 2 == 0, "other").otherwise("risk")
-    return docs(spark, sf_dir).select("doc_id", F.array_join(ops.suspicious(title, section), ",").alias("reasons"))
+    """SF-28: every line of every document as a title; the reasons are empty where it looks like one."""
+    ls = ops.explode_lines(docs(spark, sf_dir).select("doc_id", "lang", "text"))
+    section = F.when(F.col("lang") == "en", "other").otherwise("risk")
+    return ls.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.array_join(ops.suspicious(F.col("line"), section), ",").alias("reasons"))
 
 
-@bind(LINES + "SELECT lang, count(*) AS n, count(DISTINCT line) AS titles, CAST(sum(CASE WHEN length(line) > 100 THEN 1 ELSE 0 END) AS BIGINT) AS noisy, round(sum(CASE WHEN length(line) > 100 THEN 1 ELSE 0 END) / count(*), 3) AS noise_rate FROM x WHERE line_no = 0 GROUP BY lang")
+@bind(LINES + "SELECT lang, count(*) AS n, count(DISTINCT line) AS titles, CAST(sum(CASE WHEN length(line) > 100 THEN 1 ELSE 0 END) AS BIGINT) AS noisy, round(sum(CASE WHEN length(line) > 100 THEN 1 ELSE 0 END) / count(*), 3) AS noise_rate FROM x GROUP BY lang")
 def title_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-15: first lines as titles."""
-    first = F.try_element_at(T.lines(F.coalesce("text", F.lit(""))), F.lit(1))
-    t = docs(spark, sf_dir).select("lang", first.alias("title")).where("title is not null")
+    """AG-15: all lines as titles."""
+    t = ops.explode_lines(docs(spark, sf_dir).select("lang", "text")).withColumnRenamed("line", "title")
     noisy = F.count_if(F.length("title") > 100)
     return t.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("title").alias("titles"), noisy.alias("noisy"), F.round(noisy / F.count(F.lit(1)), 3).alias("noise_rate"))
 
 
-@bind(LINES + "SELECT source, CASE WHEN bool_and(junk) OR count(*) = 0 THEN 'page_text' ELSE 'section_text' END AS kind FROM (SELECT source, length(line) > 100 OR length(line) < 4 AS junk, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM x WHERE line_no = 0 QUALIFY r <= 3) GROUP BY source")
+@bind(HITS.format(k=3) + f", m AS (SELECT query_id, {LS}[1] AS line FROM hits) SELECT query_id, CASE WHEN bool_and(length(line) > 100 OR length(line) < 4) THEN 'page_text' ELSE 'section_text' END AS kind FROM m WHERE line IS NOT NULL GROUP BY query_id")
 def title_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RT-16: sections unless the first three titles are all junk."""
-    first = F.try_element_at(T.lines(F.coalesce("text", F.lit(""))), F.lit(1))
-    t = docs(spark, sf_dir).select("source", "doc_id", first.alias("line")).where("line is not null")
-    top = retrieval.ranked(t, ["source"], ["doc_id"], 3).withColumn("junk", (F.length("line") > 100) | (F.length("line") < 4))
-    return top.groupBy("source").agg(F.when(F.bool_and("junk"), "page_text").otherwise("section_text").alias("kind"))
+    """RT-16: sections unless the titles of a question's first three hits are all junk."""
+    t = hits(spark, sf_dir, 3).select("query_id", F.try_element_at(T.lines(F.coalesce("text", F.lit(""))), F.lit(1)).alias("line")).where("line is not null")
+    junk = (F.length("line") > 100) | (F.length("line") < 4)
+    return t.groupBy("query_id").agg(F.when(F.bool_and(junk), "page_text").otherwise("section_text").alias("kind"))
 
 
 @bind(f"SELECT item_id AS quote_id, doc_id FROM benchmark b, documents d WHERE contains({COMPACT.replace('text', 'd.text')}, {COMPACT.replace('text', 'b.text')})")
@@ -329,25 +337,24 @@ def evidence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @bind(
-    """WITH t AS (SELECT source, doc_id, lang, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents QUALIFY n <= 5),
-b AS (SELECT source, n, '[Document evidence DOC_' || n || ']' || chr(10) || 'Page: ' || CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE CAST(doc_id % 40 AS VARCHAR) END || chr(10) || 'Evidence kind: page_text' || chr(10) || CASE WHEN lang = 'en' THEN '' ELSE 'Section: ' || lang || chr(10) END
+    HITS.format(k=5)
+    + """, t AS (SELECT query_id, pos AS n, doc_id, lang, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM hits),
+b AS (SELECT query_id, n, '[Document evidence DOC_' || n || ']' || chr(10) || 'Page: ' || CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE CAST(doc_id % 40 AS VARCHAR) END || chr(10) || 'Evidence kind: page_text' || chr(10) || CASE WHEN lang = 'en' THEN '' ELSE 'Section: ' || lang || chr(10) END
   || 'Excerpt: ' || CASE WHEN length(t) <= 700 THEN t ELSE regexp_replace(t[1:697], '\\s+$', '') || '...' END AS block FROM t)
-SELECT source, md5(string_agg(block, chr(10) || chr(10) ORDER BY n)) AS digest, count(*) AS refs FROM b GROUP BY source"""
+SELECT query_id, md5(string_agg(block, chr(10) || chr(10) ORDER BY n)) AS digest, count(*) AS refs FROM b GROUP BY query_id"""
 )
 def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DX-17: the five chunks that a question has found, with metadata and excerpts."""
-    found = retrieval.ranked(docs(spark, sf_dir), ["source"], ["doc_id"], 5, "pos")
     page = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 40)
-    chunks = found.select("source", "pos", F.col("doc_id").alias("chunk_id"), page.alias("page_number"), F.lit("page_text").alias("chunk_kind"), F.when(F.col("lang") != "en", F.col("lang")).alias("section_title"), "text")
-    return chat.prompt_context(chunks, ["source"]).select("source", F.md5(F.col("context").cast("binary")).alias("digest"), F.size("refs").cast("long").alias("refs"))
+    chunks = hits(spark, sf_dir, 5).select("query_id", "pos", F.col("doc_id").alias("chunk_id"), page.alias("page_number"), F.lit("page_text").alias("chunk_kind"), F.when(F.col("lang") != "en", F.col("lang")).alias("section_title"), "text")
+    return chat.prompt_context(chunks, ["query_id"]).select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"), F.size("refs").cast("long").alias("refs"))
 
 
-@bind(LINES + "SELECT lang, doc_id, line, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM (SELECT lang, line, min(doc_id) AS doc_id FROM x WHERE line_no = 0 GROUP BY lang, line) QUALIFY n <= 5")
+@bind(LINES + "SELECT lang, doc_id, line, row_number() OVER (PARTITION BY lang ORDER BY doc_id, line) AS n FROM (SELECT lang, line, min(doc_id) AS doc_id FROM x GROUP BY lang, line) QUALIFY n <= 5")
 def merge_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SF-32: distinct points of each section, five at most."""
-    first = F.try_element_at(T.lines(F.coalesce("text", F.lit(""))), F.lit(1))
-    t = docs(spark, sf_dir).select("lang", "doc_id", first.alias("line")).where("line is not null").groupBy("lang", "line").agg(F.min("doc_id").alias("doc_id"))
-    return retrieval.ranked(t, ["lang"], ["doc_id"], 5, "n").select("lang", "doc_id", "line", "n")
+    """SF-32: distinct points of each section, five at most; every line of a document is a point."""
+    t = ops.explode_lines(docs(spark, sf_dir).select("lang", "doc_id", "text")).groupBy("lang", "line").agg(F.min("doc_id").alias("doc_id"))
+    return retrieval.ranked(t, ["lang"], ["doc_id", "line"], 5, "n").select("lang", "doc_id", "line", "n")
 
 
 @bind("SELECT lang AS section, doc_id FROM labels JOIN documents USING (doc_id) WHERE CASE WHEN doc_id % 7 > 0 THEN toxic = 1 ELSE false END = false")

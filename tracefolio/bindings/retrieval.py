@@ -133,17 +133,17 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @bind(
-    BM25.replace("source AS corpus", "'all' AS corpus").replace("FROM documents", "FROM documents WHERE lang = 'en' AND doc_id IN (SELECT vec_id FROM embeddings)")
+    BM25.replace("source AS corpus", "'all' AS corpus").replace("FROM documents", "FROM documents WHERE lang = 'en'")
     + f""", b AS (SELECT query_id, doc_id AS page, 'bm25' AS source, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored QUALIFY rank <= 5),
 v AS (SELECT a.vec_id AS query_id, b.vec_id AS page, 'semantic' AS source, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COSINE}, 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b JOIN documents d ON d.doc_id = b.vec_id WHERE a.vec_id IN (SELECT item_id FROM benchmark) AND d.lang = 'en' QUALIFY rank <= 5),
 f AS (SELECT query_id, page, sum(CASE source WHEN 'semantic' THEN 0.4::DOUBLE ELSE 0.6::DOUBLE END / (20.0::DOUBLE + rank)) AS score, min((CASE source WHEN 'semantic' THEN 0 ELSE 1 END) * 1000 + rank) AS seen FROM (SELECT * FROM b UNION ALL SELECT * FROM v) GROUP BY ALL)
 SELECT query_id, page, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seen, page) AS rank FROM f QUALIFY rank <= 6"""
 )
 def hybrid_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FP-06, RT-07: the whole plan over evidence of several kinds (here: languages), of which page texts alone take part."""
+    """FP-06, RT-07: the whole plan over evidence of several kinds (here: languages), of which page texts alone take part; a page without a vector can still be found by its words."""
     e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
     kind = F.when(F.col("lang") == "en", "page_text").otherwise("section_text")
-    evidence = d.join(e, F.col("vec_id") == F.col("doc_id")).select("doc_id", "text", "embedding", kind.alias("chunk_kind"))
+    evidence = d.join(e, F.col("vec_id") == F.col("doc_id"), "left").select("doc_id", "text", "embedding", kind.alias("chunk_kind"))
     asked = questions(spark, sf_dir).join(e.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
     return hybrid.search(evidence, asked).select("query_id", F.col("doc_id").alias("page"), F.round("score", 6).alias("score"), "rank")
 
@@ -300,15 +300,22 @@ def primary_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.primary_or_fallback(sem, bm, "query_id", F.col("query_id") % 5 == 0)
 
 
-@bind(f"WITH q AS (SELECT item_id, t, count(*) AS n, min(p) AS p FROM (SELECT item_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS p FROM (SELECT item_id, list_transform(regexp_extract_all(text, '{TOKEN}'), lambda t: lower(t)) AS ts FROM benchmark)) WHERE length(t) > 1 GROUP BY ALL), h AS (SELECT doc_id, t, n, p FROM q JOIN (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id, regexp_replace(lower(coalesce(text, '')), '\\s+', '', 'g') AS x FROM documents) USING (item_id) WHERE contains(x, t)) SELECT doc_id, array_to_string(list(t ORDER BY n DESC, p)[1:8], ' ') AS terms FROM h GROUP BY ALL")
+@bind(
+    BM25.replace("source AS corpus", "'all' AS corpus")
+    + f""", hits AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS pos FROM scored QUALIFY pos <= 5),
+qt AS (SELECT query_id, t, count(*) AS n, min(p) AS p FROM (SELECT query_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS p FROM (SELECT item_id AS query_id, list_transform(regexp_extract_all(text, '{TOKEN}'), lambda t: lower(t)) AS ts FROM benchmark)) WHERE length(t) > 1 GROUP BY ALL),
+h AS (SELECT query_id, doc_id, t, n, p FROM hits JOIN qt USING (query_id) JOIN (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '\\s+', '', 'g') AS x FROM documents) USING (doc_id) WHERE contains(x, t))
+SELECT query_id, doc_id, array_to_string(list(t ORDER BY n DESC, p)[1:8], ' ') AS terms FROM h GROUP BY ALL"""
+)
 def term_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RT-26: the most frequent terms of a question that a text has, eight at most. Every document is asked one question."""
-    q = table(spark, sf_dir, "benchmark")
-    terms = q.select("item_id", F.posexplode(T.bm25_tokens(F.col("text"))).alias("p", "t")).where("length(t) > 1").groupBy("item_id", "t").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("p"))
-    asked = terms.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "p", "t"))), lambda x: x["t"]).alias("ts"))
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % q.count()).alias("item_id"), T.compact(F.coalesce("text", F.lit(""))).alias("x"))
-    hits = d.join(asked, "item_id").select("doc_id", F.filter("ts", lambda t: F.contains(F.col("x"), t)).alias("h")).where("size(h) > 0")
-    return hits.select("doc_id", F.array_join(F.slice("h", 1, 8), " ").alias("terms"))
+    """RT-26: the most frequent terms of a question that its five best hits have, eight at most each."""
+    q, d = questions(spark, sf_dir), table(spark, sf_dir, "documents")
+    terms = q.select("query_id", F.posexplode(T.bm25_tokens(F.col("text"))).alias("p", "t")).where("length(t) > 1").groupBy("query_id", "t").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("p"))
+    asked = terms.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "p", "t"))), lambda x: x["t"]).alias("ts"))
+    found = ops.bm25_search(d.select(F.lit("all").alias("corpus"), "doc_id", "text"), q, top_k=5).select("query_id", "doc_id")
+    met = found.join(d.select("doc_id", T.compact(F.coalesce("text", F.lit(""))).alias("x")), "doc_id").join(asked, "query_id")
+    hits = met.select("query_id", "doc_id", F.filter("ts", lambda t: F.contains(F.col("x"), t)).alias("h")).where("size(h) > 0")
+    return hits.select("query_id", "doc_id", F.array_join(F.slice("h", 1, 8), " ").alias("terms"))
 
 
 @bind(LISTS + """, m AS (SELECT 'semantic_only' AS mode, query_id, page, rank FROM sem WHERE rank <= 2 UNION ALL SELECT 'bm25_only', query_id, page, rank FROM bm WHERE rank <= 5),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracefolio.functions import periods, quote_units, units
 from tracefolio.functions.text import strip
-from tracefolio.operators.facts import HEADLINE_METRICS, METRICS, fact_id, upsert
+from tracefolio.operators.facts import HEADLINE_METRICS, METRICS, fact_id
 from tracefolio.sources.artifacts import FactTable
 
 
@@ -55,6 +55,5 @@ def convert(headlines: DataFrame) -> DataFrame:
 
 
 def backfill(headlines: DataFrame, store: FactTable) -> None:
-    """Convert and merge into the store; running it again changes nothing."""
-    new = convert(headlines).withColumn("pos", F.lit(0))
-    store.write(upsert(store.read(), new))
+    """Convert and merge into the store, whose other buckets stay as they are; running it again changes nothing."""
+    store.upsert(convert(headlines).withColumn("pos", F.lit(0)))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefolio import schemas
@@ -73,19 +74,108 @@ class Versions:
                 fs.delete(f.getPath(), True)
 
 
-class FactTable(Versions):
-    """The fact table in versions. Files are partitioned by metric and year, which are what questions filter by; a fact_id that is missing or comes twice is refused."""
+class Buckets(Versions):
+    """A table in hash buckets of the column ``by``. Each version has a manifest, which names for every bucket the version in whose folder it lies; so a change writes the buckets that it touches, and
+    a manifest, and takes the others over. It holds from when the pointer is renamed; broken off at any step, it leaves the table as it was. Buckets of one version may be partitioned further by columns.
 
-    def read(self) -> DataFrame:
-        version, empty = self.current(), self.spark.createDataFrame([], schemas.FACT)
+    A change that another one has overtaken is refused (``change`` compares the pointer before it is renamed): one writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, by: str, *, buckets: int = 16, partitions: tuple[str, ...] = (), schema: str | None = None):
+        super().__init__(spark, folder)
+        self.by, self.buckets, self.partitions, self.schema = by, buckets, partitions, schema
+
+    def manifest(self) -> dict[int, str]:
+        """Bucket to version; as many rows as there are buckets."""
+        path = self.path()
+        rows = self.spark.read.parquet(f"{path}/manifest").collect() if path else []
+        self.buckets = rows[0]["buckets"] if rows else self.buckets
+        return {r["bucket"]: r["version"] for r in rows if r["version"]}
+
+    def bucket(self, column: Column) -> Column:
+        return F.pmod(F.xxhash64(column.cast("string")), F.lit(self.buckets)).cast("int")
+
+    def read(self, only: set[int] | None = None) -> DataFrame | None:
+        """The table, or some of its buckets; None before the first version of a table without a schema."""
+        lie: dict[str, list[int]] = {}
+        for k, v in self.manifest().items():
+            if only is None or k in only:
+                lie.setdefault(v, []).append(k)
+        out = None
+        for v, ks in sorted(lie.items()):
+            at = f"{self.folder}/{v}/data"
+            reader = self.spark.read.option("basePath", at)
+            part = (reader.schema(self.schema) if self.schema else reader).parquet(*(f"{at}/bucket={k}" for k in sorted(ks))).drop("bucket")
+            out = part if out is None else out.unionByName(part)
+        if self.schema is None:
+            return out
+        empty = self.spark.createDataFrame([], self.schema)
         # partition columns are read last: back to the schema's order
-        return self.spark.read.schema(schemas.FACT).parquet(f"{self.folder}/{version}").select(*empty.columns) if version else empty
+        return empty if out is None else out.select(*empty.columns)
+
+    def change(self, touched: set[int], rows: DataFrame, base: str | None) -> None:
+        """``rows`` are what the touched buckets hold from now on."""
+        before, version = self.manifest(), self.new()
+        at = f"{self.folder}/{version}"
+        placed = rows.withColumn("bucket", self.bucket(F.col(self.by)))
+        placed.repartition("bucket", *self.partitions).write.partitionBy("bucket", *self.partitions).parquet(f"{at}/data")
+        fs, p = filesystem(self.spark, f"{at}/data")
+        names = (f.getPath().getName() for f in fs.listStatus(p))
+        written = {int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")}
+        if not written <= touched:
+            raise ValueError("rows of buckets that are not changed")
+        now = {k: v for k, v in before.items() if k not in touched} | dict.fromkeys(written, version)
+        listed = sorted(now.items()) or [(-1, None)]
+        self.spark.createDataFrame([(k, v, self.buckets) for k, v in listed], "bucket int, version string, buckets int").coalesce(1).write.parquet(f"{at}/manifest")
+        if self.current() != base:
+            raise RuntimeError(f"{self.folder} was changed meanwhile")
+        self.switch(version)
 
-    def write(self, facts: DataFrame) -> None:
+    def replace(self, rows: DataFrame) -> None:
+        """All rows anew."""
+        base = self.current()
+        self.manifest()
+        self.change(set(range(self.buckets)), rows, base)
+
+    def merge(self, new: DataFrame, make: Callable[[DataFrame | None, DataFrame], DataFrame], also: tuple = ()) -> None:
+        """``make(old, new)`` over the buckets in which ``new`` has rows, or to which the values ``also`` of the column belong; other buckets are neither read nor written."""
+        base = self.current()
+        self.manifest()
+        named = self.spark.createDataFrame([(str(v),) for v in also], "v string").select(self.bucket(F.col("v")).alias("b"))
+        touched = {r["b"] for r in new.select(self.bucket(F.col(self.by)).alias("b")).union(named).distinct().collect()}  # as many as there are buckets, at most
+        if touched:
+            self.change(touched, make(self.read(touched), new), base)
+
+    def vacuum(self, *keep: str | None) -> None:
+        """Remove versions in which neither the current table nor those named have a bucket."""
+        self.drop_others(*keep, self.current(), *self.manifest().values())
+
+
+class FactTable(Buckets):
+    """The fact table, in buckets of documents; files are partitioned by metric and year, which are what questions filter by. A fact_id that is missing or comes twice is refused."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 16):
+        super().__init__(spark, folder, "document_id", buckets=buckets, partitions=("metric_id", "fiscal_year"), schema=schemas.FACT)
+
+    def _checked(self, facts: DataFrame) -> DataFrame:
         require_none(facts.groupBy("fact_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or fact_id is null").select(F.coalesce("fact_id", F.lit("")).alias("fact_id"), F.lit("fact_id must be there once").alias("rule")), "fact_id")
-        version = self.new()
-        facts.select(*self.read().columns).write.partitionBy("metric_id", "fiscal_year").parquet(f"{self.folder}/{version}")
-        self.switch(version)
+        return facts.select(*self.spark.createDataFrame([], schemas.FACT).columns)
+
+    def write(self, facts: DataFrame) -> None:
+        """All facts anew."""
+        self.replace(self._checked(facts))
+
+    def upsert(self, new: DataFrame, order: str = "pos") -> None:
+        """Facts in place of those of their fact_id; of equal ones the last by ``order`` holds. Only buckets of their documents are read and written."""
+        from tracefolio.operators.facts import upsert
+
+        self.merge(new, lambda old, rows: self._checked(upsert(old, rows, order=order)))
+
+    def replace_document(self, document_id: str, new: DataFrame, order: str = "pos") -> None:
+        """All facts of one document anew: its bucket is read and written."""
+        from tracefolio.operators.facts import replace_document
+
+        self.merge(new, lambda old, rows: self._checked(replace_document(old, document_id, rows, order=order)), also=(document_id,))
 
 
 def import_name(name: str, size: int, taken: set[str], stamp: str) -> str:

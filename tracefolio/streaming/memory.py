@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracefolio.sources.artifacts import Versions
+from tracefolio.sources.artifacts import Buckets
 
 KEEP = 8
 
@@ -51,26 +51,22 @@ def remember(stream: DataFrame, keep: int = KEEP) -> DataFrame:
     return stream.groupBy("document_id", "session_id").applyInPandasWithState(update, schema, "messages string, summary string, version bigint", "update", "NoTimeout")
 
 
-def keep_latest(path: str, key: str, version: str):
+def keep_latest(path: str, key: str, version: str, buckets: int = 16):
     """A function for foreachBatch: merge a batch into the table at ``path``, the highest version of each key wins. Running a batch again changes nothing; broken off at any point it leaves the table as it was.
 
-    The table is one of versions (``read_latest``); the one before stays for those who still read it.
+    The table lies in buckets of the key (``sources.artifacts.Buckets``): a batch reads and writes the buckets of its keys. The version before stays for those who still read it.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        table = Versions(spark, path)
-        before, new = table.current(), table.new()
-        every = spark.read.parquet(f"{table.folder}/{before}").unionByName(batch) if before else batch
+        table = Buckets(batch.sparkSession, path, key, buckets=buckets)
+        before = table.current(), *table.manifest().values()
         columns = [c for c in batch.columns if c not in (key, version)]
-        latest(every, key, version, columns).select(*batch.columns).write.parquet(f"{table.folder}/{new}")
-        table.switch(new)
-        table.drop_others(before, new)
+        table.merge(batch, lambda old, new: latest(old.select(*new.columns).unionByName(new) if old is not None else new, key, version, columns).select(*new.columns))
+        table.vacuum(*before)
 
     return merge
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
     """The table that ``keep_latest`` keeps; None before its first batch."""
-    now = Versions(spark, path).path()
-    return spark.read.parquet(now) if now else None
+    return Buckets(spark, path, "").read()
