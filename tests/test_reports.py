@@ -135,12 +135,12 @@ def test_terms_of_questions(spark):
     def reference(q):
         import re
 
-        plain = re.sub(f"({cases._STOP})", " ", re.sub(cases._PUNCTUATION, " ", q))
+        plain = re.sub(f"({'|'.join(cases.STOP_WORDS)})", " ", re.sub(f"[{re.escape(cases.PUNCTUATION)}]+", " ", q))
         out = []
-        for part in (p.strip() for p in re.findall(cases._TERM, plain)):
+        for part in (p.strip() for p in re.findall("[一-鿿]{2,}|[A-Za-z][A-Za-z0-9&./ -]{1,}", plain)):
             if re.fullmatch("[一-鿿]+", part) and len(part) > 8:
                 cut = [part[i : i + n] for n in (4, 5, 6) for i in range(len(part) - n + 1)]
-                out += [w for w in cut if sum(c in cases._STOP_CHARS for c in w) < max(2, len(w) - 1)]
+                out += [w for w in cut if sum(c in cases.STOP_CHARS for c in w) < max(2, len(w) - 1)]
             elif len(part) >= 2:
                 out.append(part)
         seen = {}

@@ -378,7 +378,7 @@ k AS (SELECT item_id, ts, list_transform(ts, lambda t: regexp_replace(lower(t),
 )
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SF-26: the terms of questions, with stop words of the fixture's language; ideographs are tried in tests/test_reports.py."""
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(cases.query_terms(F.col("text"), "thing|with"), "|").alias("terms"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(cases.query_terms(F.col("text"), ("thing", "with")), "|").alias("terms"))
 
 
 LEX = locator.Lexicon(

@@ -298,10 +298,5 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 @bind(FILES + "SELECT path, CASE k % 5 WHEN 0 THEN 'annual report' WHEN 1 THEN 'interim report' ELSE NULL END AS kind, CASE WHEN k % 3 > 0 THEN '20' || lpad(CAST(k % 30 AS VARCHAR), 2, '0') || CASE k % 5 WHEN 0 THEN ' annual report' WHEN 1 THEN ' interim report' ELSE '' END END AS period, 'en' AS language FROM e")
 def catalog_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SF-12: the catalogue's own rules for names: blanks for separators, the period with its kind, else the year."""
-    f = files(spark, sf_dir)
-    stem = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"\.[^.]*$", ""), r"[_\-]+", " "), r"\s+", " ")
-    period = F.nullif(F.regexp_extract(stem, r"(20[0-9]{2}\s*(?:annual report|interim report|quarterly report|unaudited financial results))", 1), F.lit(""))
-    year = F.nullif(F.regexp_extract(stem, "(20[0-9]{2})(?: |$)", 1), F.lit(""))
-    dated = F.when(F.col("path").contains("undated"), F.lit(None)).otherwise(F.coalesce(period, year))
-    kind = F.nullif(F.regexp_extract(stem, "(annual report|interim report)", 1), F.lit(""))
-    return f.select("path", kind.alias("kind"), dated.alias("period"), F.when(stem.rlike("[一-鿿]"), "zh").otherwise("en").alias("language"))
+    named = ops.catalog_names(files(spark, sf_dir), "path")
+    return named.select("path", "kind", F.when(~F.col("path").contains("undated"), F.col("period")).alias("period"), "language")

@@ -92,12 +92,26 @@ def without_empty_groups(text: str) -> str:
     return text
 
 
+#: A point of a list behind these begins a line; no blank stands before those.
+BEFORE_POINTS, CLOSING = ("。", "；", "：", ":"), "，。；：！？、,.!?;:"
+
+
 def laid_out(text: str) -> str:
     """Points of a list on lines of their own, single blanks, none before punctuation, one blank line at most."""
-    text = re.sub(r"([。；：:])\s+(?=[-*]\s)", r"\1\n", without_empty_groups(text))
-    lines = [re.sub(r"[ \t]+", " ", line).strip(" \t|") for line in text.split("\n")]
-    text = without_empty_groups("\n".join(x for k, x in enumerate(lines) if x or not k or lines[k - 1]))
-    return re.sub(r"[ \t]+(?=[，。；：！？、,.!?;:])", "", text).strip(" \n\t|")
+    words = re.split(r"(\s+)", without_empty_groups(text))  # a word, white space, a word ...
+    for k in range(1, len(words) - 2, 2):
+        if words[k + 1] in ("-", "*") and words[k - 1].endswith(BEFORE_POINTS):
+            words[k] = "\n"
+    lines: list[str] = []
+    for line in "".join(words).split("\n"):
+        shown = " ".join(filter(None, line.replace("\t", " ").split(" "))).strip(" |")
+        if shown or not lines or lines[-1]:
+            lines.append(shown)
+    text = without_empty_groups("\n".join(lines))
+    for mark in CLOSING:
+        while f" {mark}" in text:
+            text = text.replace(f" {mark}", mark)
+    return text.strip(" \n\t|")
 
 
 def sanitize(text: str) -> str:

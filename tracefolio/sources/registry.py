@@ -148,3 +148,16 @@ def registry_violations(rows: DataFrame, required: list[str], kinds: dict[str, l
     rules += [(f"missing {c}", F.coalesce(F.col(c).cast("string"), F.lit("")) == "") for c in required]
     rules += [(f"unknown {c}", F.col(c).isNotNull() & ~F.col(c).isin(*known)) for c, known in kinds.items()]
     return violations(rows.join(n, key), key, rules)
+
+
+# Kinds of reports in the names of a catalogue; only the first two are told as a kind, all of them belong to a period.
+TOLD_KINDS, DATED_KINDS = ("annual report", "interim report"), ("annual report", "interim report", "quarterly report", "unaudited financial results")
+
+
+def catalog_names(files: DataFrame, path: str) -> DataFrame:
+    """``files`` with the kind, period and language that the name at ``path`` tells: words are parted by blanks, the period is a year with the kind behind it, else a year alone."""
+    stem = F.regexp_replace(F.regexp_replace(F.col(path), r"\.[^.]*$", ""), r"[_\-\s]+", " ")
+    first = lambda pattern, group=0: F.nullif(F.regexp_extract(stem, pattern, group), F.lit(""))
+    year = "20[0-9]{2}"
+    period = F.coalesce(first(f"{year} *({'|'.join(DATED_KINDS)})"), first(f"({year})( |$)", 1))
+    return files.withColumns({"kind": first("|".join(TOLD_KINDS)), "period": period, "language": F.when(stem.rlike("[一-鿿]"), "zh").otherwise("en")})
