@@ -397,3 +397,33 @@ def test_ledger_reads_no_blob_twice(spark, tmp_path):
     shutil.copytree(run, here / "run=broken")
     (here / "run=broken" / "_SUCCESS").unlink()
     assert L.scan(rows, ledger=folder).count() == 3 and L.read_ledger(spark, f"{folder}/{here.name}").count() == 2
+
+
+def test_an_increment_costs_the_increment(spark, tmp_path):
+    folder = f"file://{tmp_path}/ledger"
+    made = lambda *ks: spark.createDataFrame([(k, f"token = abcdef{k:04d}") for k in ks], "doc_id long, text string")
+    rows = lambda: sorted(spark.read.parquet(p).count() for p in L.runs(spark, f"{folder}/rule_version={L.rule_version(L.RULES)}"))
+    assert L.scan(made(*range(50)), ledger=folder).count() == 50 and rows() == [50]
+    assert L.scan(made(3, 4, 90, 90), ledger=folder).count() == 4 and rows() == [1, 50]
+    assert L.scan(made(*range(50)), ledger=folder).count() == 50 and rows() == [1, 50]  # nothing is unseen: no run
+    assert L.scan(made(91, 92), ledger=folder).count() == 2 and rows() == [1, 2, 50]
+    want = sorted((r["doc_id"], r["spans"]) for r in L.digest(L.scan(made(*range(50), 90, 91, 92))).collect())
+    L.compact(spark, folder)
+    assert rows() == [53]
+    assert sorted((r["doc_id"], r["spans"]) for r in L.digest(L.scan(made(*range(50), 90, 91, 92), ledger=folder)).collect()) == want and rows() == [53]
+
+
+def test_only_unseen_texts_are_moved(spark, tmp_path):
+    folder = f"file://{tmp_path}/ledger"
+    path = f"file://{tmp_path}/docs"
+    spark.createDataFrame([(k, f"token = abcdef{k:04d}" * 50) for k in range(400)], "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    L.scan(docs.where("doc_id < 395"), ledger=folder).count()
+    seen = []
+    scan_blobs = L.scan_blobs
+    try:
+        L.scan_blobs = lambda blobs, rules: seen.append(blobs.count()) or scan_blobs(blobs, rules)
+        L.scan(docs, ledger=folder).count()
+    finally:
+        L.scan_blobs = scan_blobs
+    assert seen == [5]

@@ -203,3 +203,17 @@ def test_long_and_tied_messages(spark):
     assert len(got) == 5 and all(r["linked"] for r in got if r["kind"] == "result")
     assert {len(r["json"]) > 300_000 for r in got} == {True} and all(r["errors"] == [] for r in got)
     assert not any(r["duplicate"] for r in got)  # rows that are equal can't be told apart: each is the first
+
+
+@pytest.mark.parametrize("session", ["true", "false"])
+def test_nulls_stay_in_the_json(spark, session):
+    rows = [(1, 0, None, None), (1, 1, "tool", json.dumps({"tool_call_id": "x", "content": None})), (1, 2, "assistant", json.dumps({"content": None, "tool_calls": [{"id": "x", "name": "add", "arguments": '{"a":null}'}]})), (None, None, "user", "hi")]
+    before = spark.conf.get("spark.sql.jsonGenerator.ignoreNullFields")
+    spark.conf.set("spark.sql.jsonGenerator.ignoreNullFields", session)
+    try:
+        items = T.messages_to_items(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+        got = sorted(r["json"] for r in T.link(items, {"add": {"a": "integer"}}).collect())
+    finally:
+        spark.conf.set("spark.sql.jsonGenerator.ignoreNullFields", before)
+    assert '{"content":null,"role":null,"turn":0,"type":"message"}' in got and '{"content":"hi","role":"user","turn":null,"type":"message"}' in got
+    assert any(x.startswith('{"content":null,"id":"x","turn":1') for x in got) and any('"arguments":{"a":null}' in x for x in got)

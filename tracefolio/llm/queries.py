@@ -100,7 +100,7 @@ SELECT conv_id, turn, role, kind, call_id,
   CASE kind
     WHEN 'call' THEN '{"arguments":' || args || ',"id":"' || call_id || '","name":"' || name || '","turn":' || turn || ',"type":"call"}'
     WHEN 'result' THEN '{"content":' || to_json(text) || ',"id":"' || call_id || '","turn":' || turn || ',"type":"result"}'
-    ELSE '{"content":' || to_json(text) || ',"role":"' || role || '","turn":' || turn || ',"type":"message"}' END AS json
+    ELSE '{"content":' || coalesce(to_json(text), 'null') || ',"role":' || coalesce(to_json(role), 'null') || ',"turn":' || coalesce(CAST(turn AS VARCHAR), 'null') || ',"type":"message"}' END AS json
 FROM i LEFT JOIN o ON conv_id = o_conv AND call_id = o_call LEFT JOIN r ON conv_id = r_conv AND call_id = r_call
 """
 

@@ -1,16 +1,17 @@
 """Secret scans over an incremental blob ledger, in DataFrame functions only.
 
 Every version of every path is addressed by the SHA-256 of its text. The ledger has one row for each (blob, rule version) that
-has been scanned, with its findings, empty ones too. ``scan`` takes the versions' distinct blobs, scans those that the
-ledger doesn't have under this rule version, appends them, and joins findings back to all paths. A second run over the
-same history scans nothing; new rules get a new version and scan each blob once more.
+has been scanned, with its findings, empty ones too. ``scan`` takes the versions' digests, and of these the ones that the ledger doesn't have under this
+rule version; only their texts are moved, each scanned once, and a new run is written with their findings and no others. Then findings are joined
+back to all paths. A second run over the same history moves no text and writes no row; new rules get a new version and scan each blob once more. Runs
+stay as they are: ``compact`` makes one of them, when somebody asks.
 
 Positions come from two native functions: the matches of a pattern, and the pieces of the text between them; their lengths
 add up to code-point offsets.
 
 Copies of a text meet in one row before anything is scanned: partial aggregation takes them together on the map side, so
 a blob that a third of all paths share costs one row a task. The join back is keyed by blob with one row on the
-ledger's side; adaptive execution splits its large partitions.
+ledger's side; adaptive execution splits its large partitions. Digests that are few are sent to every task, and the texts, or the ledger, filtered where they lie.
 
 Defined results: a null text is an empty one; rows with equal paths are versions of their own and each gets a row; a blob without
 findings gives zeros, an empty ``spans`` and the hash of the empty string; a very long text is scanned whole, by one task; an empty table gives no rows; columns of the
@@ -27,7 +28,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracefolio.llm.common import settle, shared_dir
+from tracefolio.llm.common import BROADCAST_ROWS, settle, shared_dir, small
 
 
 @dataclass(frozen=True)
@@ -86,38 +87,70 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return blobs.select("blob", F.array_sort(F.concat(*(f"spans_{k}" for k in range(len(rules))))).alias("findings"))
 
 
+SCANNED = "blob string, findings array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+
+
 def addressed(history: DataFrame, paths: tuple[str, ...]) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return history.select(*paths, F.sha2(text, 256).alias("blob"), text.alias("text"))
 
 
+def near(digests: DataFrame) -> DataFrame:
+    """Sent to every task where it has no more rows than BROADCAST_ROWS, else shuffled."""
+    return small(digests, digests.limit(BROADCAST_ROWS + 1).count())
+
+
 def scan(history: DataFrame, *, paths: tuple[str, ...] = ("doc_id",), ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Findings of every version: the path columns, blob, findings. ``ledger``: a folder of the shared store; without it a new one is begun."""
     spark = history.sparkSession
     ledger = ledger or f"{shared_dir(spark)}/tracefolio/ledger-{uuid.uuid4().hex}"
-    version = rule_version(rules)
-    here = f"{ledger}/rule_version={version}"
+    here = f"{ledger}/rule_version={rule_version(rules)}"
     versions = addressed(history, paths)
-    blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
-    known = read_ledger(spark, here)
-    pending = blobs.join(known.select("blob"), "blob", "left_anti") if known is not None else blobs
-    scan_blobs(pending, rules).write.parquet(f"{here}/run={uuid.uuid4().hex}")
-    return versions.drop("text").join(read_ledger(spark, here), "blob")
+    before = runs(spark, here)
+    unseen = versions
+    if before:
+        digests = settle(versions.select("blob").distinct(), "digests")
+        new = settle(digests.join(scanned(spark, before).select("blob"), "blob", "left_anti"), "unseen")
+        unseen = versions.join(near(new), "blob", "left_semi")
+    if not before or not new.isEmpty():
+        scan_blobs(unseen.groupBy("blob").agg(F.first("text").alias("text")), rules).write.parquet(f"{here}/run={uuid.uuid4().hex}")
+    done = runs(spark, here)
+    found = scanned(spark, done)
+    if len(done) > 1:
+        # runs that overlapped, or one that was done again after a failure behind its commit, may both have a blob
+        found = found.join(near(digests), "blob", "left_semi").dropDuplicates(["blob"]) if before else found.dropDuplicates(["blob"])
+    return versions.drop("text").join(found, "blob")
+
+
+def runs(spark, folder: str) -> list[str]:
+    """The runs under one rule version. Each has a folder of its own, and counts from when Spark's committer has ended it."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(f"{folder}/run=*/_SUCCESS")
+    return sorted(str(f.getPath().getParent()) for f in p.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(p) or [])
 
 
-def read_ledger(spark, folder: str) -> DataFrame | None:
-    """What has been scanned under one rule version, each blob once; None if nothing has.
+def scanned(spark, done: list[str]) -> DataFrame:
+    """The rows of runs; runs that overlapped may both have a blob."""
+    return spark.read.schema(SCANNED).parquet(*done)
 
-    Every run has a folder of its own, and counts from when Spark's committer has ended it. Runs that overlapped, or one that was
-    done again after a failure behind its commit, may both have a blob: with more than one run the ledger is written anew without repeats.
-    """
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(f"{folder}/run=*/_SUCCESS")
-    done = [str(f.getPath().getParent()) for f in p.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(p) or []]
+
+def read_ledger(spark, folder: str) -> DataFrame | None:
+    """What has been scanned under one rule version, each blob once; None if nothing has."""
+    done = runs(spark, folder)
     if not done:
         return None
-    found = spark.read.schema("blob string, findings array<struct<start:bigint,rank:int,kind:string,end:bigint>>").parquet(*done)
-    return found if len(done) == 1 else settle(found.dropDuplicates(["blob"]), "ledger")
+    return scanned(spark, done).dropDuplicates(["blob"]) if len(done) > 1 else scanned(spark, done)
+
+
+def compact(spark, ledger: str, rules: tuple[Rule, ...] = RULES) -> None:
+    """All runs of a rule version to one. The new one is whole before the others go; a compaction that is broken off between leaves blobs in two runs, which ``scan`` allows for."""
+    here = f"{ledger}/rule_version={rule_version(rules)}"
+    done = runs(spark, here)
+    if len(done) > 1:
+        scanned(spark, done).dropDuplicates(["blob"]).write.parquet(f"{here}/run={uuid.uuid4().hex}")
+        fs, sc = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext
+        for path in done:
+            fs.Path(path).getFileSystem(sc._jsc.hadoopConfiguration()).delete(fs.Path(path), True)
 
 
 def listed(findings: Column) -> Column:

@@ -73,6 +73,10 @@ def argument_errors(name: Column, args: Column, schemas: dict[str, dict[str, str
     return F.array_compact(F.array(F.when(~F.coalesce(known, F.lit(False)), F.lit("unknown tool")), shape, *(F.when(shape.isNull(), c) for c in checks)))
 
 
+#: Null fields stay in the JSON, whatever the session's setting.
+WITH_NULLS = {"ignoreNullFields": "false"}
+
+
 def link(items: DataFrame, schemas: dict[str, dict[str, str]]) -> DataFrame:
     """Linked, ordered and checked items: conv_id, turn, role, kind, call_id, linked, duplicate, errors, anchor_turn, item, step, json."""
     key = ["conv_id", "call_id"]
@@ -94,9 +98,9 @@ def link(items: DataFrame, schemas: dict[str, dict[str, str]]) -> DataFrame:
         F.when(anchored, F.col("owner.turn")).otherwise(F.col("turn")).alias("anchor_turn"),
         F.when(anchored, F.col("owner.item")).when(is_result, LAST).otherwise(F.col("item")).alias("item"),
         F.when(is_call, 1).when(anchored, 2).when(is_result, 3).otherwise(0).alias("step"),
-        F.when(is_call, F.to_json(F.struct(F.col("v").alias("arguments"), F.col("call_id").alias("id"), "name", "turn", F.lit("call").alias("type"))))
-        .when(is_result, F.to_json(F.struct("content", F.col("call_id").alias("id"), "turn", F.lit("result").alias("type"))))
-        .otherwise(F.to_json(F.struct("content", "role", "turn", F.lit("message").alias("type"))))
+        F.when(is_call, F.to_json(F.struct(F.col("v").alias("arguments"), F.col("call_id").alias("id"), "name", "turn", F.lit("call").alias("type")), WITH_NULLS))
+        .when(is_result, F.to_json(F.struct("content", F.col("call_id").alias("id"), "turn", F.lit("result").alias("type")), WITH_NULLS))
+        .otherwise(F.to_json(F.struct("content", "role", "turn", F.lit("message").alias("type")), WITH_NULLS))
         .alias("json"),
     )
     return out
