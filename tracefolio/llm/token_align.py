@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,58 +41,58 @@ SPACE = "▁"
 B_BITS = np.int64(32)
 
 
-class WordMemo(dict):
-    """Words to packed ids of B, each word cut once. It is emptied when full and keeps no long words, nor such as don't give their bytes back (``lossy`` tells of those)."""
-
-    def __init__(self, pieces: Pieces, most: int):
-        super().__init__()
-        self.pieces, self.most, self.lossy = pieces, most, False
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.pieces.word(word)
-        packed = np.array(ids, "<i4").tobytes()
-        if b"".join(map(self.pieces.bytes.__getitem__, ids)) != word.encode():
-            self.lossy = True
-        elif len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = packed
-        return packed
+#: Characters of texts whose new words are given to B's library at once.
+BATCH_CHARS = 1 << 19
 
 
 class Pieces:
-    """A sentencepiece model, words memoised: no piece has a space behind another character, or a line end beside any, so lines' words with the spaces before them are cut by themselves."""
+    """A sentencepiece model, words memoised: no piece has a space behind another character, or a line end beside any, so lines' words with the spaces before them are cut by themselves.
+
+    The words of several texts that are new go to the library in one call. The memo is emptied when it is full, and keeps neither long words nor such as don't give their bytes back.
+    """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model, self.most, self.memo = sentencepiece.SentencePieceProcessor(model_file=path), most, {}
         names = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(k) else n.replace(SPACE, " ").encode() for k, n in enumerate(names)]
         apart = not any(re.search(f"[^{SPACE}]{SPACE}|\n.|.\n", n, re.DOTALL) for n in names)
-        self.letter, self.line = self._cut("a"), self._cut("\n")
+        self.letter, self.line = self.cut("a"), self.cut("\n")
         self.words = re.compile("\n+| *[^ \n]+| +").findall if apart and len(self.line) == 2 else None
-        self.memo = WordMemo(self, most)
 
-    def _cut(self, text: str) -> list[int]:
+    def cut(self, text: str | list[str]) -> list:
         return self.model.encode(text, num_threads=1)
 
-    def word(self, word: str) -> list[int]:
-        """A word's ids, as they are within a text: with the spaces before it, or without any behind a line's end."""
+    def odd_word(self, word: str) -> list[int]:
+        """The ids of line ends, of what stands behind one, and of spaces at an end, as they are within a text."""
         if word[0] == "\n":
-            return self._cut(word)[1:]
-        if word[0] != " ":
-            return self._cut("\n" + word)[len(self.line) :]
-        return self._cut(word[1:]) if word.strip(" ") else self._cut("a" + word)[len(self.letter) :]
+            return self.cut(word)[1:]
+        return self.cut("\n" + word)[len(self.line) :] if word[0] != " " else self.cut("a" + word)[len(self.letter) :]
 
-    def ids(self, text: str) -> tuple[np.ndarray, bool]:
-        """As ``encode(text)``, and whether the bytes are those of a space and the text."""
+    def same(self, ids: list[int], text: str) -> bool:
+        return b"".join(map(self.bytes.__getitem__, ids)) == text.encode()
+
+    def ids(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
+        """For each text its ids, as ``encode`` gives them, and whether their bytes are those of a space and the text."""
         if self.words is None:
-            ids = self._cut(text)
-            return np.array(ids, "<i4"), b"".join(map(self.bytes.__getitem__, ids)) == (" " + text).encode()
-        self.memo.lossy = False
-        ids = np.frombuffer(b"".join(map(self.memo.__getitem__, self.words(" " + text))), "<i4")
-        return ids, not self.memo.lossy or b"".join(map(self.bytes.__getitem__, ids.tolist())) == (" " + text).encode()
+            return [(np.array(ids, "<i4"), self.same(ids, " " + t)) for t, ids in zip(texts, self.cut(texts))]
+        memo, listed = self.memo, [self.words(" " + t) for t in texts]
+        if len(memo) > self.most:
+            memo.clear()
+        new = set().union(*listed) - memo.keys()
+        plain = [w for w in new if w[0] == " " and not w.isspace()]
+        made = dict(zip(plain, self.cut([w[1:] for w in plain]))) if plain else {}
+        made |= {w: self.odd_word(w) for w in new if w not in made}
+        lossy = {w for w, ids in made.items() if not self.same(ids, w)}
+        memo.update((w, array("i", ids).tobytes()) for w, ids in made.items())
+        out = []
+        for t, words in zip(texts, listed):
+            ids = np.frombuffer(b"".join(map(memo.__getitem__, words)), "<i4")
+            out.append((ids, not lossy or lossy.isdisjoint(words) or self.same(ids.tolist(), " " + t)))
+        for w in [w for w in new if len(w) > 64 or w in lossy]:
+            del memo[w]
+        return out
 
 
 class Aligner:
@@ -113,13 +114,23 @@ class Aligner:
         # what stands behind an id in the digest: more of its side, or the side's end
         self.spelled = [f"{k}{mark}" for mark in (",", "|") for k in range(self.n_a)] + [f"{k}{mark}" for mark in (",", ";") for k in range(len(self.b.bytes))]
 
-    def align(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        """Ids of A and B, the ends at which groups end, and the packed pair of every link; None without tokens."""
-        if not text:
-            return None
+    def align_all(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None]:
+        """``align`` of each text, in order."""
+        at = 0
+        while at < len(texts):
+            stop, chars = at, 0
+            while stop < len(texts) and (stop == at or chars < BATCH_CHARS):
+                chars += len(texts[stop] or "")
+                stop += 1
+            cut = iter(self.b.ids([t for t in texts[at:stop] if t]))
+            for t in texts[at:stop]:
+                yield self.align(t, *next(cut)) if t else None
+            at = stop
+
+    def align(self, text: str, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of A and B, the ends at which groups end, and the packed pair of every link; None without tokens. ``b``: B's ids, ``same``: whether they give the bytes back."""
         spaced = " " + text
-        a, (b, same) = self.a.ids(spaced).astype(np.int64), self.b.ids(text)
-        b = b.astype(np.int64)
+        a, b = self.a.ids(spaced).astype(np.int64), b.astype(np.int64)
         a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         if not same or a_ends[-1] != b_ends[-1] or not (self.a_whole or b"".join(map(self.a_bytes.__getitem__, a.tolist())) == spaced.encode()):
             return None
@@ -179,8 +190,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
         def work(cols: dict) -> list[tuple]:
             out = []
-            for doc_id, text in zip(cols["doc_id"], cols["text"]):
-                if (found := al.align(text)) is None:
+            for doc_id, found in zip(cols["doc_id"], al.align_all(cols["text"])):
+                if found is None:
                     out.append((doc_id, 0, 0, 0, 0, "", b"", b""))
                     continue
                 a, b, ends, links = found
