@@ -283,6 +283,16 @@ def test_added_spans_on_held_out_windows(spark, tagger):
     assert np.mean([recall for _, recall in unseen.values()]) >= 0.5, unseen
 
 
+@pytest.mark.parametrize("date", ["2024-01-15", "12/05/2023", "13/05/2023", "1.2.2023", "2024/1/5", "12/05/23", "2024-01-15 10"])
+def test_dates_are_no_phones(date):
+    assert not P.plausible(3, date)
+
+
+@pytest.mark.parametrize("phone", ["555-123-4567", "(555) 123-4567", "0301 4567 8901", "555.010.2030", "12-34-5678"])
+def test_phones_are_no_dates(phone):
+    assert P.plausible(3, phone)
+
+
 def test_nothing_is_added_to_prose_and_ids(tagger):
     for text in ("order 4111111111111112 of 12 items", "version 1.2.3.400 at noon", "we met at the dot. Com was not there", "1234567890123456 7654321", "look at it. The dot is at 12.30"):
         base, every = P.all_spans(tagger, [text])[0]
