@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefolio.llm.common import FastTokenizer, claim, doc_texts, map_rows, settle, small_batches, tokenizer_path
+from tracefolio.llm.common import KEPT_CHARS, FastTokenizer, PieceMemo, claim, doc_texts, map_rows, settle, small_batches, tokenizer_path
 
 #: Pairs in a count shard, and distinct pairs that a task adds up before it gives them out.
 SHARD_PAIRS, TASK_PAIRS = 1 << 20, 1 << 20
@@ -95,6 +95,18 @@ class Pieces:
         return out
 
 
+class LeanMemo(PieceMemo):
+    """As it is; a piece that is new costs less."""
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        packed = array("H", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+        if len(piece) <= KEPT_CHARS:
+            self[piece] = packed
+        return packed
+
+
 class Aligner:
     """Both tokenizers, and what their tokens' bytes are."""
 
@@ -102,6 +114,7 @@ class Aligner:
         self.a, self.b = FastTokenizer(a_path, False), Pieces(b_path)
         self.a.whole.encode_special_tokens = True
         self.a.added = []  # plain text here, which the memo gives too
+        self.a.memo = LeanMemo(self.a.whole.model)
         back = {c: b for b, c in self.a.memo.alphabet.items()}
         vocabulary = {k: t for t, k in self.a.whole.get_vocab(with_added_tokens=True).items()}
         specials = {t.content for t in self.a.whole.get_added_tokens_decoder().values()}
@@ -134,9 +147,13 @@ class Aligner:
         a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         if not same or a_ends[-1] != b_ends[-1] or not (self.a_whole or b"".join(map(self.a_bytes.__getitem__, a.tolist())) == spaced.encode()):
             return None
-        cuts = np.union1d(a_ends, b_ends)
+        # two ascending runs are merged; an end of both is there twice
+        every = np.concatenate([a_ends, b_ends])
+        every.sort(kind="stable")
+        twice = every[1:] == every[:-1]
+        cuts, ends = every[np.append(True, ~twice)], every[1:][twice]
         links = a[np.searchsorted(a_ends, cuts)] << B_BITS | b[np.searchsorted(b_ends, cuts)]
-        return a, b, np.intersect1d(a_ends, b_ends, assume_unique=True), links
+        return a, b, ends, links
 
     def digest(self, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> str:
         """All groups: ids of A, a bar, ids of B, with semicolons between groups."""
