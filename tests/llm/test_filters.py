@@ -321,8 +321,17 @@ def test_find_pii_against_brute_force(spark, tagger):
             tags = P.viterbi((total / weight[:, None])[None], np.array([len(ids)]), tagger.w[6])[0]
             for kind, x, y in P.tagged_spans(tags):
                 x, y = P.snapped(kind, t, a + x, a + y)
-                if P.plausible(kind, t[x:y]) and not any(x < q and p < y for _, p, q in base):
-                    every.add((kind, x, y))
+                options = [(kind, x, y)]
+                if kind:  # a number: all its groups may be a card, else it is what it was decoded as, else an address
+                    u, v = x, y
+                    while u and (m := re.search(r"[0-9][ ./_-]{0,2}$", t[:u])):
+                        u = m.start()
+                    while m := re.match(r"[ ./_-]{0,2}[0-9]", t[v:]):
+                        v += m.end()
+                    options = [(2, u, v), (kind, x, y), (1, u, v)]
+                hit = next((o for o in options if P.plausible(o[0], t[o[1] : o[2]])), None)
+                if hit and not any(hit[1] < q and p < hit[2] for _, p, q in base):
+                    every.add(hit)
         r = got[d]
         assert r["base_sha256"] == hashlib.sha256(P.listed(base).encode()).hexdigest()
         assert r["spans"] == P.listed(sorted(every)) and [r[f"n_{k}"] for k in P.KINDS] == [sum(b[0] == i for b in base) for i in range(4)]
@@ -437,3 +446,19 @@ def test_only_unseen_texts_are_moved(spark, tmp_path):
     finally:
         L.scan_blobs = scan_blobs
     assert seen == [5]
+
+
+def test_spellings_of_the_docstring_are_found(spark, tagger):
+    """Names that no training window has, within prose of documents that training has not seen."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id >= 2000 and doc_id < 2080 and length(text) > 300").collect()]
+    prose = [P.TRIGGER.sub("", t)[:200] for t in texts]
+
+    def share(value: str, kind: int) -> float:
+        made = [(a.rstrip() + " " + value + " " + b.lstrip(), len(a.rstrip()) + 1) for a, b in zip(prose, prose[1:])]
+        every = [e for _, e in P.all_spans(tagger, [t for t, _ in made])]
+        return sum((kind, at, at + len(value)) in e for (_, at), e in zip(made, every)) / len(made)
+
+    found = {v: share(v, k) for v, k in (("jo at mail dot org", 0), ("joan.smith at mail dot org", 0), ("anna.b [at] post [dot] net", 0), ("4111.1111.1111.1111", 2), ("10[.]0[.]0[.]7", 1))}
+    assert all(x >= 0.6 for x in found.values()), found
+    dates = [P.all_spans(tagger, [f"{a} on 12/05/2023 and 2024-01-15 {b}"])[0][1] for a, b in zip(prose, prose[1:])]
+    assert not any(k == 3 for e in dates for k, *_ in e)
