@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from tracefolio.functions import text as T
 from tracefolio.operators import cases, vector_index
 from tracefolio.operators import retrieval as ops
 from tracefolio.operators.block_index import index_of
+from tracefolio.operators.corpus_deltas import CorpusStatistics
 from tracefolio.plans import hybrid
-from tracefolio.session import table
+from tracefolio.session import shared_dir, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -66,6 +69,16 @@ def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(ops.corpus_stats(docs), "corpus").select("corpus", "term", "df", F.round(ops.idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
 
 
+@bind(SQL["bm25_idf"].replace("FROM documents", "FROM documents WHERE lang <> 'de'"))
+def idf_by_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-21: all documents in, then those of one language out again, without the others being read a second time."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("corpus"), "doc_id", "text", "lang")
+    store = CorpusStatistics(spark, f"{shared_dir(spark)}/tracefolio/statistics-{uuid.uuid4().hex}")
+    store.apply(added=docs.drop("lang"))
+    store.apply(removed=docs.where("lang = 'de'").drop("lang"))
+    return store.frequencies().select("corpus", "term", "df", F.round("idf", 6).alias("idf"))
+
+
 @bind(BM25 + "SELECT corpus, query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY corpus, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored QUALIFY rank <= 5")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RT-03, WN-03, FP-06: five best of each corpus and question."""
