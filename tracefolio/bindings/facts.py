@@ -359,7 +359,7 @@ def fact_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def display_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SF-33: an amount in the unit that suits its size."""
     v = F.col("o_totalprice")
-    two = lambda c: F.round(c, 2).cast("decimal(18,2)").cast("string")
+    two = lambda c: units.rounded(c, 2).cast("decimal(18,2)").cast("string")
     return table(spark, sf_dir, "orders").select("o_orderkey", F.when(v < 1000, F.lit(None)).when(v >= 100000, F.concat(two(v / 10000), F.lit(" 万元"))).otherwise(F.concat(two(v), F.lit(" 元"))).alias("shown"))
 
 

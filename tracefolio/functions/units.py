@@ -68,6 +68,11 @@ def spellings(value: Column) -> Column:
     return F.array_distinct(F.array_compact(out))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Scaled, rounded half away from zero, scaled back, all in doubles, as SQL engines round one. (``F.round`` goes by the shortest spelling: it takes 64.085 up although that double times 100 lies below 6408.5.)"""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def display_amount(value: Column, unit: Column) -> Column:
     """CNY in hundred millions with two decimals, other units whole and grouped; N/A without a value."""
     return F.when(value.isNull(), F.lit("N/A")).when(unit == "CNY", F.concat(F.replace(F.format_number(value / 1e8, 2), F.lit(","), F.lit("")), F.lit(" 亿元"))).otherwise(F.concat_ws(" ", F.format_number(value, 0), unit))
