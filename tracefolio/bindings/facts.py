@@ -286,7 +286,7 @@ def period_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def format_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SF-20, SF-33: display of amounts."""
     o = table(spark, sf_dir, "orders")
-    value = F.when(F.col("o_orderkey") % 13 != 0, F.when(F.col("o_orderkey") % 2 == 0, F.round(F.col("o_totalprice") * 1e4 / 1e8, 2) * 1e8).otherwise(F.round("o_totalprice")))
+    value = F.when(F.col("o_orderkey") % 13 != 0, F.when(F.col("o_orderkey") % 2 == 0, units.rounded(F.col("o_totalprice") * 1e4 / 1e8, 2) * 1e8).otherwise(F.round("o_totalprice")))
     return o.select("o_orderkey", units.display_amount(value, F.when(F.col("o_orderkey") % 2 == 0, F.lit("CNY")).otherwise(F.lit("HKD"))).alias("shown"))
 
 
@@ -297,7 +297,7 @@ MERGED = """WITH j AS (SELECT o_orderkey AS document_id, o_orderstatus = 'F' AS
 def coalesce_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DX-10: a table's figures before a model's; a table without a return on equity takes the model's away."""
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    t, m, f = F.round("o_totalprice", 2), F.round(F.col("o_totalprice") * 2, 2), F.col("o_orderstatus") == "F"
+    t, m, f = units.rounded(F.col("o_totalprice"), 2), units.rounded(F.col("o_totalprice") * 2, 2), F.col("o_orderstatus") == "F"
     rest = lambda v: [v.alias("net_profit"), v.alias("total_liabilities")]
     model = o.select(k.alias("document_id"), F.lit("万元").alias("unit"), m.alias("revenue"), m.alias("total_assets"), *rest(m), F.lit(9.5).alias("roe"))
     tables = o.where(k % 5 < 4).select(k.alias("document_id"), F.when(k % 5 % 2 == 0, "元").otherwise("").alias("unit"), F.when(f, t).alias("revenue"), F.when(k % 5 != 1, t).alias("total_assets"), *rest(t), F.when(k % 5 == 2, 12.5).alias("roe"), f.alias("has_table_signal"))
