@@ -462,3 +462,22 @@ def test_spellings_of_the_docstring_are_found(spark, tagger):
     assert all(x >= 0.6 for x in found.values()), found
     dates = [P.all_spans(tagger, [f"{a} on 12/05/2023 and 2024-01-15 {b}"])[0][1] for a, b in zip(prose, prose[1:])]
     assert not any(k == 3 for e in dates for k, *_ in e)
+
+
+def test_forest_and_threshold_come_from_all_labelled_rows(spark):
+    """Far more rows than the 4,096 that were once drawn; fitted by Spark as on one machine."""
+    assert not hasattr(Q, "SAMPLE")
+    rng, words = np.random.default_rng(5), [f"w{chr(97 + k % 26)}{'o' * (k % 7)}{k}" for k in range(400)]
+    rows = []
+    for i in range(6000):
+        text = " ".join(rng.choice(words, 60 + i % 40))
+        rows.append((i, text if i % 10 else text.upper() + " !" * 30 + " |" * (i % 60), int(i % 10 > 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    x, good = Q.labelled_stats(docs, labels)
+    kept = [r[2] for r in rows for c in [Q.text_stats(r[1])[0]] if not Q.base_failed(c[0], c[4])]
+    assert len(x) == len(kept) > 5500 and good.sum() == sum(kept) == 5400
+    here, there = Q.fit(x, good), Q.train(docs, labels)
+    assert np.array_equal(here.forest.split, there.forest.split) and here.forest.size == there.forest.size >= Q.LEAF_SAMPLE and here.threshold == there.threshold
+    score = there.forest.score(x)
+    assert (score[good] > there.threshold).mean() <= Q.CLEAN_LOSS and (score[~good] > there.threshold).mean() > 0.95
