@@ -210,7 +210,10 @@ def hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     d = docs(spark, sf_dir)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     found = retrieval.bm25_search(d.select(F.lit("all").alias("corpus"), "doc_id", "text"), asked, top_k=k)
-    return found.select("query_id", "doc_id", F.col("rank").alias("pos")).join(d, "doc_id")
+    found = found.select("query_id", "doc_id", F.col("rank").alias("pos"))
+    # texts stay where they lie: the few rows found go to them
+    few = asked.limit(retrieval.MOST_PAIRS + 1).count() <= retrieval.MOST_PAIRS
+    return d.join(F.broadcast(found) if few else found, "doc_id")
 
 
 @bind(LINES + """, t AS (SELECT doc_id, line_no, line AS title, CASE WHEN lang = 'en' THEN 'other' ELSE 'risk' END AS section FROM x)
