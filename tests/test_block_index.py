@@ -87,3 +87,27 @@ def test_a_build_that_is_broken_off(spark, index, monkeypatch):
 def test_an_empty_table(spark, tmp_path):
     empty = TextIndex(spark, f"file://{tmp_path}/e").build(spark.createDataFrame([], "corpus string, doc_id long, text string"))
     assert rows(empty.search(spark.createDataFrame(QUESTIONS, "query_id long, text string"), top_k=3)) == []
+
+
+def test_both_ways_are_equal(spark, index, monkeypatch):
+    asked = spark.createDataFrame(QUESTIONS, "query_id long, text string")
+    monkeypatch.setattr(block_index, "BROAD", 0)
+    broad = rows(index.search(asked, top_k=9))
+    monkeypatch.setattr(block_index, "BROAD", 1e9)
+    assert rows(index.search(asked, top_k=9)) == broad and broad
+
+
+def test_broad_questions_move_no_block_and_a_build_no_posting(spark, docs, index, monkeypatch):
+    plan = block_index.block_rows(index.read("forward"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    monkeypatch.setattr(TextIndex, "bounds", lambda *a, **k: 1 / 0)
+    asked = spark.createDataFrame([(k, f"c{k} c{k + 1} c{k + 2}") for k in range(10)], "query_id long, text string")
+    assert rows(index.search(asked, top_k=2)) == rows(retrieval.bm25_search(docs, asked, top_k=2))
+
+
+def test_blocks_that_go_on_in_the_next_batch(spark, docs, index, monkeypatch):
+    whole = lambda df: sorted(str((r["term"], r["corpus"], r["block"], r["n"], sorted(map(tuple, r["peaks"])), [tuple(p) for p in r["postings"]])) for r in df.collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    few = whole(block_index.block_rows(index.read("forward").coalesce(1)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    assert few == whole(index.read("blocks")) and len(few) > 1000

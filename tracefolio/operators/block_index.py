@@ -5,12 +5,16 @@
 * *forward*: corpus, doc_id, block, dl, and the document's terms with their counts. Documents are dealt by range of corpus and doc_id, and a block is
   BLOCK documents after each other;
 * *blocks*: for each term and block the postings (doc_id, tf, dl), and for each tf the least length (``peaks``). Files are partitioned by a
-  hash of the term and sorted by term and block, so that a search opens the files of its terms, and of these the pages of its blocks.
+  hash of the term and sorted by term and block, so that a search opens the files of its terms, and of these the pages of its blocks. A block's documents lie
+  in one task, which turns them into the block's rows: a build moves texts once, and no posting.
 
 Nothing in the tables depends on k1, b, or the corpus' average length: these, idf and the documents' number are added up from the asked terms' block
 headers and the lengths. So one index serves searches in each corpus and over all of them, and another one (``add``) can stand beside it.
 
-``search`` skips in three steps, none of which loses a document. (1) For each question and block it sums up what a document could score at most; the most promising blocks
+``search`` adds up from the headers how many postings its questions ask for. Where these are more than there are documents, next to nothing can be left out, and what is moved for skipping is more than
+the postings: then *forward* is read, and documents meet the questions where they lie (``bm25_blocks``); only each task's best ones are moved.
+
+Else it skips in three steps, none of which loses a document. (1) For each question and block it sums up what a document could score at most; the most promising blocks
 are scored, and the k-th best score among them is the question's *floor*. (2) Terms whose highest scores sum up to less than the floor can't lift a document over it by
 themselves: these (the common ones, with the long postings) are left for last, and of the others' blocks only those are read whose sum can reach the floor. (3) Documents whose
 score so far, with the most that their block's common terms can add, reaches the floor are *candidates*; the common terms' postings are read for these alone. That
@@ -19,20 +23,28 @@ gives exactly what ``retrieval.bm25_search`` gives.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracefolio.functions.text import bm25_tokens
-from tracefolio.operators.retrieval import K1, MOST_TERMS, B, counted, idf, ranked
-from tracefolio.session import content_key, settle, shared_dir
+from tracefolio.operators import bm25_blocks
+from tracefolio.operators.retrieval import K1, MOST_PAIRS, MOST_TERMS, B, counted, idf, ranked, repeated
+from tracefolio.session import content_key, settle, shared_dir, small_batches, split_bytes
 from tracefolio.sources.artifacts import Versions
 
-#: Documents of a block; folders of terms; blocks whose postings of a folder lie in one file.
-BLOCK, SHARDS, FILE_BLOCKS = 64, 64, 4096
+#: Documents of a block; folders of terms.
+BLOCK, SHARDS = 64, 64
+#: Postings that the questions ask for, to a document: beyond it nothing is skipped.
+BROAD = 1
 #: Blocks of each question that are scored first.
 SEEDS = 2
 #: Rows of a Parquet page of the blocks: what is skipped is skipped in pages.
 PAGE_ROWS = 128
+#: Bytes of *forward* that a task turns into rows of blocks and sorts: some thirty times as many in memory.
+TASK_BYTES = 16 << 20
 #: Sums of floating numbers may differ by their order.
 SLACK = 1e-8
 
@@ -43,21 +55,57 @@ def shard(term: Column) -> Column:
 
 def forward_rows(docs: DataFrame) -> DataFrame:
     """corpus, doc_id, block, dl, terms of (corpus, doc_id, text); documents without terms, too."""
-    tokens = docs.select("corpus", "doc_id", F.sort_array(bm25_tokens(F.coalesce("text", F.lit("")))).alias("tokens"))
-    listed = tokens.select("corpus", "doc_id", F.size("tokens").cast("long").alias("dl"), counted("tokens").alias("terms"))
-    ordered = listed.repartitionByRange(F.col("corpus"), F.col("doc_id"), F.xxhash64("terms")).sortWithinPartitions("corpus", "doc_id")
+    ordered = docs.select("corpus", "doc_id", "text").repartitionByRange(F.col("corpus"), F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("corpus", "doc_id")
     # a task's numbers begin at a multiple of 2^33: no block lies in two tasks
-    return ordered.withColumn("block", F.expr(f"monotonically_increasing_id() div {BLOCK}")).select("corpus", "doc_id", "block", "dl", "terms")
+    numbered = ordered.withColumn("block", F.expr(f"monotonically_increasing_id() div {BLOCK}"))
+    tokens = numbered.select("corpus", "doc_id", "block", F.sort_array(bm25_tokens(F.coalesce("text", F.lit("")))).alias("tokens"))
+    return tokens.select("corpus", "doc_id", "block", F.size("tokens").cast("long").alias("dl"), counted("tokens").alias("terms"))
 
 
 def block_rows(forward: DataFrame) -> DataFrame:
-    """shard, term, corpus, block, n, peaks, postings; by term and block within each file."""
-    posted = forward.select("corpus", "doc_id", "block", "dl", F.explode("terms").alias("t")).select("corpus", "doc_id", "block", "dl", "t.*")
-    dealt = posted.withColumns({"shard": shard(F.col("term")), "file": F.expr(f"block div {FILE_BLOCKS}")}).repartition(F.col("shard"), F.col("file"))
-    grouped = dealt.groupBy("shard", "file", "term", "corpus", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("postings"))
-    least = lambda tf: F.array_min(F.transform(F.filter("postings", lambda p: p["tf"] == tf), lambda p: p["dl"]))
-    peaks = F.transform(F.array_distinct("postings.tf"), lambda tf: F.struct(tf.alias("tf"), least(tf).alias("dl")))
-    return grouped.select("shard", "term", "corpus", "block", F.size("postings").cast("long").alias("n"), peaks.alias("peaks"), "postings").sortWithinPartitions("shard", "term", "block")
+    """shard, term, corpus, block, n, peaks, postings; by term and block within each task. Documents of a block stand after each other; if they come to two tasks, each gives a row of its own."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held = []
+        for b in batches:
+            t = pa.Table.from_batches([*held, b]).combine_chunks()
+            block = t.column("block").to_numpy()
+            # the last block may go on in the next batch
+            end = int(np.flatnonzero(np.r_[True, block[1:] != block[:-1]])[-1]) if len(block) else 0
+            if end:
+                yield grouped(t.slice(0, end))
+            held = t.slice(end).combine_chunks().to_batches()
+        if held:
+            yield grouped(pa.Table.from_batches(held))
+
+    rows = small_batches(forward.select("corpus", F.col("doc_id").cast("long").alias("doc_id"), "block", "dl", "terms")).mapInArrow(run, "term string, corpus string, block long, n long, peaks array<struct<tf:bigint,dl:bigint>>, postings array<struct<doc_id:bigint,tf:bigint,dl:bigint>>")
+    return rows.select(shard(F.col("term")).alias("shard"), "*").sortWithinPartitions("shard", "term", "block")
+
+
+def grouped(t):
+    """The rows of whole blocks, as an Arrow batch of term, corpus, block, n, peaks, postings."""
+    import pyarrow as pa
+
+    t = t.combine_chunks()
+    corpus, doc_id, block, dl, terms = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in (t.column(k) for k in ("corpus", "doc_id", "block", "dl", "terms")))
+    row = np.repeat(np.arange(len(block)), np.asarray(terms.value_lengths()))
+    words, tf = (terms.flatten().field(k) for k in (0, 1))
+    words, corpora, dl, tf = words.dictionary_encode(), corpus.dictionary_encode("encode"), dl.to_numpy()[row], tf.to_numpy()
+    _, number = np.unique(block.to_numpy(), return_inverse=True)
+    key = (number[row] * len(corpora.dictionary) + corpora.indices.to_numpy()[row]) * len(words.dictionary) + words.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0, int)
+    lists = lambda at, n, **columns: pa.ListArray.from_arrays(pa.array(np.r_[at, n], pa.int32()), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
+    first = pa.array(order[starts])
+    low = np.lexsort((dl, tf, key))
+    low = low[np.r_[True, (key[low][1:] != key[low][:-1]) | (tf[low][1:] != tf[low][:-1])]] if len(low) else low
+    peaks = lists(np.searchsorted(key[low], key[order][starts]), len(low), tf=pa.array(tf[low]), dl=pa.array(dl[low]))
+    postings = lists(starts, len(order), doc_id=doc_id.take(pa.array(row[order])), tf=pa.array(tf[order]), dl=pa.array(dl[order]))
+    whose = pa.array(row[order[starts]])
+    columns = [words.dictionary.take(words.indices.take(first)), corpus.take(whose), block.take(whose), pa.array(np.diff(np.r_[starts, len(order)])), peaks, postings]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "corpus", "block", "n", "peaks", "postings"])
 
 
 class TextIndex:
@@ -71,8 +119,8 @@ class TextIndex:
         version = self.versions.new()
         at = f"{self.versions.folder}/{version}"
         forward_rows(docs).write.parquet(f"{at}/forward")
-        forward = self.spark.read.parquet(f"{at}/forward")
-        block_rows(forward).write.partitionBy("shard").option("parquet.page.row.count.limit", str(PAGE_ROWS)).parquet(f"{at}/blocks")
+        with split_bytes(self.spark, TASK_BYTES):
+            block_rows(self.spark.read.parquet(f"{at}/forward")).write.partitionBy("shard").option("parquet.page.row.count.limit", str(PAGE_ROWS)).parquet(f"{at}/blocks")
         self.versions.switch(version)
         return self
 
@@ -146,6 +194,9 @@ class TextIndex:
     def search(self, queries: DataFrame, *, top_k: int, everything: bool = False, k1: float = K1, b: float = B) -> DataFrame:
         """The best documents of each corpus (``everything``: of all of them, as corpus ``all``) for (query_id, text): corpus, query_id, doc_id, score, rank."""
         by = ["corpus", "query_id"]
+        found = self._broad(queries, top_k, everything, k1, b)
+        if found is not None:
+            return ranked(found, by, [F.round("score", 9).desc(), "doc_id"], top_k)
         most, weights = self.bounds(queries, everything=everything, k1=k1, b=b)
         blocks = self.chosen(most, weights, top_k=top_k, everything=everything, k1=k1, b=b)
         found = self.candidates(blocks, weights, everything=everything, k1=k1, b=b)
@@ -156,6 +207,33 @@ class TextIndex:
         scored = found.select(*by, "doc_id", F.col("so_far").alias("one")).unionByName(rest).groupBy(*by, "doc_id").agg(F.sum("one").alias("score"))
         return ranked(scored, by, [F.round("score", 9).desc(), "doc_id"], top_k)
 
+    def _broad(self, queries: DataFrame, top_k: int, everything: bool, k1: float, b: float) -> DataFrame | None:
+        """Each task's best documents of (corpus, query_id), where the questions ask for so much that nothing is skipped; else, where there are too many of them, or where documents have several rows, nothing."""
+        asked = queries.select("query_id", F.explode(bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+        pairs = asked.limit(MOST_PAIRS + 1).collect()
+        if not pairs or len(pairs) > MOST_PAIRS or not all(isinstance(r["query_id"], int) for r in pairs):
+            return None
+        terms = sorted({r["term"] for r in pairs})
+        place = {t: i for i, t in enumerate(terms)}
+        docs = self.read("forward").withColumn("corpus", self.corpus(everything)).where("corpus is not null")
+        sizes = docs.groupBy("corpus").agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avg_len"))
+        sizes = sizes.orderBy("corpus").limit(MOST_TERMS // len(terms) + 1).collect()
+        if len(sizes) * len(terms) > MOST_TERMS:
+            return None
+        number = {r["corpus"]: i for i, r in enumerate(sizes)}
+        wanted = F.broadcast(self.spark.createDataFrame([(t,) for t in terms], "term string"))  # MOST_PAIRS at most
+        held = self.read("blocks").select("term", self.corpus(everything).alias("corpus"), "n").where("corpus is not null").join(wanted, "term", "left_semi")
+        df = np.zeros((len(sizes), len(terms)))
+        for r in held.groupBy("corpus", "term").agg(F.sum("n").alias("df")).collect():
+            df[number[r["corpus"]], place[r["term"]]] = r["df"]
+        times = np.bincount([place[r["term"]] for r in pairs], minlength=len(terms))
+        if (df @ times).sum() <= BROAD * sum(r["n_docs"] for r in sizes) or repeated(docs):
+            return None
+        n = np.array([[r["n_docs"]] for r in sizes])
+        weight = np.where(df > 0, np.log(1.0 + (n - df + 0.5) / (df + 0.5)), 0.0)
+        listed = [(r["query_id"], place[r["term"]], r["qtf"]) for r in pairs]
+        return bm25_blocks.best(bm25_blocks.stored(docs, terms), listed, {r["corpus"]: r["avg_len"] for r in sizes}, weight, top_k=top_k, k1=k1, b=b)
+
 
 def one(k1: float, b: float) -> Column:
     """What a term adds, from the weight and the posting ``p``."""

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefolio.functions.text import bm25_tokens
+from tracefolio.session import small_batches
 
 #: Documents of a block, questions that meet it at once, and candidates that a task holds before it keeps the best of them only.
 BLOCK, CHUNK, HELD = 256, 256, 200_000
@@ -43,6 +44,27 @@ def postings(docs: DataFrame, terms: list[str]) -> DataFrame:
     return cut.mapInArrow(run, "corpus string, doc_id long, dl long, ids array<int>, tfs array<int>")
 
 
+def stored(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """The same of (corpus, doc_id, dl, terms), the terms counted: array<struct<term, tf>>."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known = pa.array(terms, pa.string())
+        for b in batches:
+            listed = b.column(3)
+            n, (term, tf) = np.asarray(listed.value_lengths()), (listed.flatten().field(k) for k in (0, 1))
+            at = pc.index_in(term, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(n)), n)[at >= 0]
+            ends = pa.array(np.searchsorted(row, np.arange(len(n) + 1)), pa.int32())
+            ids, tfs = (pa.ListArray.from_arrays(ends, pa.array(v, pa.int32())) for v in (at[at >= 0], tf.to_numpy()[at >= 0]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], ids, tfs], names=["corpus", "doc_id", "dl", "ids", "tfs"])
+
+    kept = rows.select("corpus", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "dl", "terms")
+    return small_batches(kept).mapInArrow(run, "corpus string, doc_id long, dl long, ids array<int>, tfs array<int>")
+
+
 class Best:
     """The best ``top_k`` documents of each corpus and question among those that are added."""
 
