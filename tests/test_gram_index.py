@@ -87,3 +87,34 @@ def test_the_table_is_made_once_and_candidates_are_few(spark, tables, tmp_path,
         n.append(found.count())
     assert len(made) == 1
     assert n[1] < 0.1 * len(long) * len(pages)
+
+
+def test_a_build_moves_nothing(spark, tables, monkeypatch):
+    plans = []
+    index_once = gram_index.index_once
+
+    def kept(spark, folder, key, build):
+        plans.append(build()._jdf.queryExecution().executedPlan().toString())
+        return index_once(spark, folder, key, build)
+
+    monkeypatch.setattr(gram_index, "index_once", kept)
+    quotes, pages = tables
+    evidence.quote_pages(spark.createDataFrame(quotes[:20], "quote_id long, quote string"), spark.createDataFrame(pages[:20], "doc_id long, text string"))
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+
+
+def test_a_page_is_folded_once_for_its_quotes(tables, monkeypatch):
+    quotes, pages = tables
+    made, plain = [], documents.Page
+    monkeypatch.setattr(documents, "Page", lambda t: made.append(t) or plain(t))
+    documents.page_of.cache_clear()
+    for _, q in quotes[:50]:
+        documents.find_quote(pages[3][1], q)
+    assert len(made) == 1
+    # a window in a needle: as by trying them all
+    for _, t in pages[:30]:
+        p = plain(t)
+        for _, q in quotes[:60]:
+            needle = documents.folded(q) + p.text[:40]
+            least = max(documents.LEAST_WINDOW, len(needle) // 2)
+            assert p.inside(needle) == next((w for w in p.windows() if least <= len(p.window(*w)) <= len(needle) and p.window(*w) in needle), None)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -89,6 +90,7 @@ class Page:
         parts = [folded(x) for x in self.lines]
         self.text = "".join(parts)
         self.starts = [0, *accumulate(map(len, parts))]
+        self.heads = [self.text[s : s + LEAST_WINDOW] for s in self.starts[:-1]]
 
     def window(self, i: int, n: int) -> str:
         return self.text[self.starts[i] : self.starts[i + n]]
@@ -114,7 +116,9 @@ class Page:
     def inside(self, needle: str) -> tuple[int, int] | None:
         """The first window that the needle holds, if it is half of it and no mere word."""
         least = max(LEAST_WINDOW, len(needle) // 2)
-        return next((w for w in self.windows() if least <= self.starts[w[0] + w[1]] - self.starts[w[0]] <= len(needle) and self.window(*w) in needle), None)
+        # a window in the needle has its first characters there
+        near = ((i, n) for i, head in enumerate(self.heads) if head in needle for n in range(1, min(WINDOW_LINES, len(self.lines) - i) + 1))
+        return next((w for w in near if least <= self.starts[w[0] + w[1]] - self.starts[w[0]] <= len(needle) and self.window(*w) in needle), None)
 
 
 def find_quote(page: str | None, quote: str | None) -> str | None:
@@ -123,20 +127,29 @@ def find_quote(page: str | None, quote: str | None) -> str | None:
     The quote and its parts between ellipses are tried, the longest first: one that the page holds is given as it is; else the first window of
     up to three lines that is half of it or more. Else two or more of its clauses have to be found in windows, which are given one after the other.
     """
-    quote = quote or ""
-    p = Page(page)
-    for part in by_length(quote):
-        needle = folded(part)
-        if len(needle) >= LEAST:
-            if needle in p.text:
-                return shown(part)
-            if at := p.inside(needle):
-                return p.spelled(at)
-    clauses = [f for f in map(folded, re.split("[;；。]", quote)) if len(f) >= LEAST_CLAUSE]
+    p, (parts, clauses) = page_of(page), tiers(quote or "")
+    for part, needle in parts:
+        if needle in p.text:
+            return shown(part)
+        if at := p.inside(needle):
+            return p.spelled(at)
     found = [p.spelled(min(w)) for c in clauses if (w := [x for x in (p.around(c), p.inside(c)) if x])] if len(clauses) > 1 else []
     return shown(" ".join(dict.fromkeys(found))) if len(found) > 1 else None
 
 
+@lru_cache(maxsize=2)
+def page_of(text: str | None) -> Page:
+    """The pairs of a page come after each other."""
+    return Page(text)
+
+
+@lru_cache(maxsize=1000)
+def tiers(quote: str) -> tuple[list[tuple[str, str]], list[str]]:
+    """The quote's parts, the longest first, each as it is and folded; and its clauses, folded."""
+    parts = [(part, needle) for part in by_length(quote) if len(needle := folded(part)) >= LEAST]
+    return parts, [f for f in map(folded, re.split("[;；。]", quote)) if len(f) >= LEAST_CLAUSE]
+
+
 def by_length(quote: str) -> list[str]:
     """The quote and its parts between ellipses, longest first, each once."""
     return sorted(dict.fromkeys(x for x in map(str.strip, [quote, *re.split(r"\.{3,}|…+", quote)]) if x), key=len, reverse=True)
