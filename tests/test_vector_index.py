@@ -59,3 +59,13 @@ def test_edges(spark, tmp_path):
     assert rows(index.search(asked, top_k=2, probes=9)) == rows(retrieval.vector_search(made, asked, top_k=2))
     empty = VectorIndex(spark, f"file://{tmp_path}/b").build(made.where("false"))
     assert rows(empty.search(asked, top_k=2)) == []
+
+
+def test_queries_do_not_go_through_the_driver(spark, clustered, tmp_path):
+    index = VectorIndex(spark, f"file://{tmp_path}/v").build(clustered, cells=40)
+    asked = clustered.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = index.search(asked, top_k=6, probes=40)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the one join that is sent holds a row a cell
+    assert plan.count("SortMergeJoin") >= 1 and plan.split("Initial Plan")[0].count("BroadcastHashJoin") <= 1

@@ -141,13 +141,14 @@ class VectorIndex:
         blocks = sized.withColumn("block", block).groupBy("cell", "block").agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
         rows = self.lists().where(F.col("cell").isin(cells))
         packed = rows.groupBy("cell", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("vec_id", "unit")).alias("rows"))
-        met = packed.join(blocks, "cell").select("asked", "rows")
+        # queries times cells: on disk they look small enough to be sent to every task, but by way of the driver they are not
+        met = packed.join(blocks.hint("merge"), "cell").select("asked", "rows")
 
         def score(batches: Iterator) -> Iterator:
             for b in batches:
                 for k in range(b.num_rows):
                     asked, rows = b.column(0)[k].values, b.column(1)[k].values
-                    q, v = (np.array(x.field(1).to_pylist(), float) for x in (asked, rows))
+                    q, v = (x.field(1).flatten().to_numpy().reshape(len(x), -1) for x in (asked, rows))
                     ids, keys = asked.field(0).to_numpy(), rows.field(0).to_numpy()
                     scores = q @ v.T
                     n = min(top_k, scores.shape[1])
