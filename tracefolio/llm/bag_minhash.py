@@ -72,6 +72,10 @@ class WordHashes(dict):
 _WORDS = WordHashes()
 
 
+def claim_words() -> None:
+    claim("words", _WORDS.clear)
+
+
 def shingles(text: str, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, int]:
     """Hashes of the distinct shingles (ascending), their counts, and the node that texts with these words share."""
     words = WORDS(text.lower())
@@ -167,7 +171,7 @@ def sign_documents(docs: DataFrame) -> DataFrame:
     """doc_id, row_key (of the text itself), node, n_shingles, bands."""
 
     def start():
-        claim("words", _WORDS.clear)
+        claim_words()
 
         def work(cols: dict) -> list[tuple]:
             bags = [shingles(t) for t in cols["text"]]
@@ -417,6 +421,8 @@ def _bags(docs: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame:
     hit = rows.join(small(owner, owner.count()), (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("d")) & (F.col("row_key") == F.col("k"))).select("node", "text")
 
     def start():
+        claim_words()
+
         def work(cols: dict) -> list[tuple]:
             out = []
             for node, text in zip(cols["node"], cols["text"]):

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefolio.llm.common import doc_texts, map_rows, small_batches
+from tracefolio.llm.common import claim, doc_texts, local_rows, map_rows, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents and windows that training may look at, at most.
@@ -367,7 +367,7 @@ def sample_windows(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most: int = SA
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).collect()
     if not ids:
         return []
-    chosen = docs.sparkSession.createDataFrame([(r[0],) for r in ids], "sample_id long")
+    chosen = local_rows(docs.sparkSession, [(r[0],) for r in ids], "sample_id long")
     rows = doc_texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("sample_id")).select("doc_id", "text")
 
     def start():
@@ -424,7 +424,7 @@ def train_tagger(docs: DataFrame) -> Tagger | None:
                 np.savez(out, *Tagger.new().train(*training_set(told)).w)
                 yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["weights"])
 
-    row = docs.sparkSession.createDataFrame([(windows,)], "windows array<string>").coalesce(1).mapInArrow(fit, "weights binary").collect()[0]
+    row = local_rows(docs.sparkSession, [(windows,)], "windows array<string>").coalesce(1).mapInArrow(fit, "weights binary").collect()[0]
     held = np.load(io.BytesIO(bytes(row["weights"])))
     return Tagger([held[f"arr_{k}"] for k in range(len(held.files))])
 
@@ -651,6 +651,7 @@ def mask_documents(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
+        claim("pii")
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefolio.llm.common import doc_texts, map_rows, settle, small_batches
+from tracefolio.llm.common import claim, doc_texts, map_rows, settle, small_batches
 
 #: Labelled rows that a forest needs. Labels that go to every task, at most; beyond it they are joined by a shuffle.
 MINIMUM, MOST_LABELS = 40, 2_000_000
@@ -246,6 +246,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = labelled.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
 
     def start():
+        claim("quality")
+
         def work(cols: dict) -> list[tuple]:
             out = []
             for doc_id, text, quality in zip(cols["doc_id"], cols["text"], cols["quality"]):
@@ -285,7 +287,9 @@ def train(docs: DataFrame, labels: DataFrame, clean_loss: float = CLEAN_LOSS) ->
 
     def deal():
         def work(cols: dict) -> list[tuple]:
-            return [(int(t), cols["stats"][r], cols["weight"][r]) for r, t in trees_of(marks(matrix(cols)), copies)]
+            weight = weighed(cols)
+            at = np.flatnonzero(weight)
+            return [(int(t), cols["stats"][at[r]], int(weight[at[r]])) for r, t in trees_of(marks(matrix(cols))[at], copies)]
 
         return work
 
@@ -295,7 +299,8 @@ def train(docs: DataFrame, labels: DataFrame, clean_loss: float = CLEAN_LOSS) ->
         x, weight = np.array(rows["stats"].tolist(), float), rows["weight"].to_numpy(np.int64)
         return pd.DataFrame({"tree": [key[0]], "nodes": [grow_tree(x, weight, int(key[0]))], "n": [int(weight.sum())]})
 
-    dealt = map_rows(planted, "tree int, stats array<double>, weight long", deal, batch=4096).repartition(TREE_TASKS, "tree")
+    # from the pooled rows and not from the planted ones: a task with two Python steps holds two Python workers, and executors keep them
+    dealt = map_rows(pooled, "tree int, stats array<double>, weight long", deal, batch=4096).repartition(TREE_TASKS, "tree")
     trees = sorted((r["tree"], r["nodes"], r["n"]) for r in dealt.groupBy("tree").applyInPandas(plant, "tree int, nodes array<array<double>>, n long").collect())
     forest = forest_of([nodes for _, nodes, _ in trees], sum(n for _, _, n in trees))
 
@@ -351,6 +356,7 @@ def filter_rows(docs: DataFrame, start) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        claim("filter")
         keep = start()
         for b in batches:
             for k in range(0, b.num_rows, 512):

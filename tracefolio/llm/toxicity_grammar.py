@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracefolio.llm.common import doc_texts, map_rows, settle
+from tracefolio.llm.common import doc_texts, local_rows, map_rows, settle
 from tracefolio.llm.quality_forest import filter_rows
 
 #: Labelled rows of each label that may be learned from, at most.
@@ -255,7 +255,7 @@ def fit_model(stems: dict[str, tuple[int, float]], x: np.ndarray, y: np.ndarray,
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from labelled rows that are not held out. Stems and features of the sample reach the driver; texts and words do not."""
-    from tracefolio.llm.bag_minhash import _signed, shingles
+    from tracefolio.llm.bag_minhash import _signed, claim_words, shingles
 
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -263,12 +263,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if len(counts) < 2:
         return Model()
     picked = [(r["doc_id"], int(r["toxic"])) for k in counts for r in known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    chosen = spark.createDataFrame(picked, "label_id long, toxic int")
+    chosen = local_rows(spark, picked, "label_id long, toxic int")
     labelled = doc_texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
     # of rows with one doc_id the least text counts, so no more rows than labels are learned from; for these a few tasks are enough
     rows = settle(labelled.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic"), "labelled").coalesce(16)
 
     def sign():
+        claim_words()
+
         def work(cols: dict) -> list[tuple]:
             bags = [shingles(t) for t in cols["text"]]
             keys = iter(_signed([b[:2] for b in bags if len(b[0])]).tolist())
