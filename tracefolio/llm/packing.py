@@ -148,8 +148,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, *, end_id: int
         tok, part = fast_tokenizer(path, True), TaskContext.get().partitionId()
         packer, end = Packer(sentence_ends(tok.whole), size, block), np.array([end_id], "<u2")
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                if rows := packer.add(doc_id, np.concatenate([tok.ids(text.as_py()), end])):
+            for doc_id, ids in zip(b.column(0).to_pylist(), tok.all_ids(b.column(1))):
+                if rows := packer.add(doc_id, np.concatenate([ids, end])):
                     yield to_batch([(part, *r) for r in rows], arrow)
         if rows := packer.close():
             yield to_batch([(part, *r) for r in rows], arrow)

@@ -38,6 +38,8 @@ HEAD = struct.Struct("<4sBBHIIQI")
 BLOCK = 1 << 16
 #: Ids after which a segment is closed: images stay under a megabyte, for readers hold several at once.
 SEGMENT_IDS = 1 << 19
+#: Pieces whose ids a worker keeps; more than elsewhere, for here no other operator's memos lie beside them.
+KEPT_PIECES = 900_000
 END_ID = 0
 NULL_ID = -(1 << 63)
 
@@ -119,7 +121,7 @@ def write_store(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, block:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tok, part, seg = fast_tokenizer(tokenizer, False), TaskContext.get().partitionId(), 0
+        tok, part, seg = fast_tokenizer(tokenizer, False, most=KEPT_PIECES), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u2")
         held: list[np.ndarray] = []
         names: list[int] = []
@@ -131,8 +133,8 @@ def write_store(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, block:
             return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip((part, seg, len(names), n, image), schema)], schema=schema)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.concatenate([tok.ids(text.as_py()), end])
+            for doc_id, ids in zip(b.column(0).to_pylist(), tok.all_ids(b.column(1))):
+                ids = np.concatenate([ids, end])
                 held.append(ids)
                 names.append(NULL_ID if doc_id is None else doc_id)
                 lengths.append(len(ids))
